@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -69,3 +70,9 @@ def join_counted(left: DataFrame, right: DataFrame, on, how: str = "left") -> Da
     shuffles both sides and AQE splits skewed keys."""
     small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return left.join(F.broadcast(right) if small else right, on, how)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, rather than when the driver's heap happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import personal, quality, secrets, source_mix, token_counts, vectors, warc
+from . import packing, personal, quality, secrets, source_mix, substrings, token_counts, vectors, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.retrieval_packing(_docs(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), ranks=_tokenizer("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.pareto_mix(_docs(spark, sf_dir))
 
@@ -49,8 +59,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_personal_data, op3_warc, op4_token_counts, op7_source_mix, op8_nearest_vectors, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_personal_data, op3_warc, op4_token_counts, op5_substring_dedup, op6_retrieval_packing, op7_source_mix, op8_nearest_vectors, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op5_substring_dedup": substrings.ORACLE}
