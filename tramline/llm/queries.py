@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, personal, quality, secrets, source_mix, substrings, token_counts, vectors, warc
+from . import jaccard, packing, personal, quality, secrets, source_mix, substrings, token_counts, vectors, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pack(docs: DataFrame) -> DataFrame:
+    """Packing with the byte-level vocabulary of 50k."""
+    import public_tokenizers
+
+    return packing.retrieval_packing(docs, _tokenizer("byte_bpe_50k.json"), ranks=_tokenizer("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(_docs(spark, sf_dir)))
 
@@ -41,9 +48,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.retrieval_packing(_docs(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), ranks=_tokenizer("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return pack(_docs(spark, sf_dir))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,13 +59,18 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(_docs(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_personal_data, op3_warc, op4_token_counts, op5_substring_dedup, op6_retrieval_packing, op7_source_mix, op8_nearest_vectors, op10_quality_rules)}
+    own = (op1_secret_scan, op2_personal_data, op3_warc, op4_token_counts, op5_substring_dedup, op6_retrieval_packing, op7_source_mix, op8_nearest_vectors, op9_jaccard_groups, op10_quality_rules)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op5_substring_dedup": substrings.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op5_substring_dedup": substrings.ORACLE, "op9_jaccard_groups": jaccard.ORACLE}

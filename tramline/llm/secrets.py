@@ -55,3 +55,12 @@ def secret_spans(docs: DataFrame, max_owners: int = 1, id_col: str = "doc_id", t
 def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != LIVE.name)
     return spans.select(id_col, *[counted(F.col("spans"), k.name).alias(f"n_{k.name}") for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), counted(F.col("spans"), LIVE.name).alias("n_live"), F.size(F.filter("spans", lambda s: s["specific"])).cast("long").alias("n_owner_specific"))
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """text with each run of overlapping spans replaced by mark."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    till = lambda a, s: F.substring(text, a["at"] + 1, s["start"] - a["at"])
+    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], till(a, s), F.lit(mark))).otherwise(a["out"]).alias("out"))
+    end = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text)

@@ -38,12 +38,12 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
-def pareto_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+def pareto_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, draw_col: str | None = None) -> DataFrame:
     """One row for each row of docs: id, size (words), source_size, target, copies, taken = copies * size.
 
     A document's expected copies are e = target * w / sum(w * size) over its source, cap at most (w: weight_col, else 1). It
     surely gets floor(e) copies; pi = e - floor(e) is its inclusion probability for one more. Those are drawn in Pareto order:
-    by U/(1-U) over pi/(1-pi), U uniform by id and seed, in fixed size, here as many documents as bring the source's words
+    by U/(1-U) over pi/(1-pi), U uniform by draw_col (else the id) and seed, in fixed size, here as many documents as bring the source's words
     nearest to its target. The cut in that order is found from word sums by bins of the rank, in two steps of BINS bins, then
     among the rows of one cell; so no source's rows meet in one task, and only sums for each source move.
 
@@ -51,14 +51,14 @@ def pareto_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: floa
     rows are documents of their own; ties in rank go by size. No rows in, no rows out. Other columns are not read."""
     src = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col(source_col)))
     w = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
-    base = cut(docs.select(F.col(id_col).alias("_id"), src.alias("_src"), word_count(F.col(text_col)).alias("size"), w.alias("_w")), "mix-sizes")
+    base = cut(docs.select(F.col(id_col).alias("_id"), F.col(draw_col or id_col).cast("string").alias("_draw"), src.alias("_src"), word_count(F.col(text_col)).alias("size"), w.alias("_w")), "mix-sizes")
     sums = base.groupBy("_src").agg(F.sum("size").alias("source_size"), F.sum(F.col("_w") * F.col("size")).alias("_mass"))
     targets = cut(source_targets(sums.select("_src", "source_size"), weights, share, cap).join(sums.select("_src", "_mass"), "_src"), "mix-targets")
 
     e = F.when(F.col("_mass") > 0, F.least(F.lit(float(cap)), F.col("target") * F.col("_w") / F.col("_mass"))).otherwise(0.0)
     rows = join_counted(base, targets, "_src").withColumn("_e", e).withColumn("_sure", F.floor("_e"))
     pi = F.col("_e") - F.col("_sure")
-    u = uniform(F.col("_id"), seed)
+    u = uniform(F.col("_draw"), seed)
     odds = (u / (1 - u)) * ((1 - pi) / pi)
     rank = F.when((pi > 0) & (F.col("size") > 0), odds / (1 + odds))  # order-preserving, in (0, 1)
     rows = rows.withColumn("_v", rank).withColumn("_b1", F.floor(F.col("_v") * BINS)).withColumn("_b2", F.floor((F.col("_v") * BINS - F.col("_b1")) * BINS))
