@@ -55,7 +55,7 @@ def personal_spans(docs: DataFrame, rounds: int = 3, min_support: int = 5, min_p
 
     The BASE spans are the seeds. Words before a seed make lexical patterns; patterns and the identifier-like tokens (three
     digits or more, outside BASE spans) that follow them form a graph. Each round scores a pattern by the share of all its
-    occurrences in the corpus that are followed by a seed or an accepted instance, if min_support different ones are, and an
+    occurrences in the corpus that are followed by a seed or an accepted instance, if min_support different ones are (patterns that cannot reach min_precision are left out beforehand), and an
     instance by 1 minus the product of (1 - score) over its patterns; instances of min_score or more are accepted and count
     from the next round on. Spans of the accepted instances in a pattern of min_precision or more are added, as kind "found".
     BASE spans always stay. Null text: empty, no spans. Repeated rows keep their own spans, but instances and supports count
@@ -76,9 +76,15 @@ def personal_spans(docs: DataFrame, rounds: int = 3, min_support: int = 5, min_p
     hopeful = cut(hopeful.join(edges.filter("not seed").select("pat").distinct(), "pat"), "personal-patterns")
     accepted = None
     if not hopeful.isEmpty():
-        # How often each hopeful pattern occurs at all, over every word of the corpus.
-        said = docs.select(F.explode(word_contexts(text)).alias("pat"))
-        total = join_counted(said, hopeful, "pat", "inner").groupBy("pat").agg(F.count("*").alias("total"))
+        # How often a pattern occurs: first where any span can be, which already rules out most, then over the whole corpus.
+        most = edges.groupBy("pat").agg(F.sum("n").alias("n"))
+        for where in (text.rlike("(?s)@|[0-9].*[0-9].*[0-9]"), F.lit(True)):
+            said = docs.filter(where).select(F.explode(word_contexts(text)).alias("pat"))
+            total = join_counted(said, hopeful, "pat", "inner").groupBy("pat").agg(F.count("*").alias("total"))
+            total = cut(total.join(most, "pat").filter(F.col("n") >= min_precision * F.col("total")).select("pat", "total"), "personal-totals")
+            hopeful = total.select("pat")
+            if hopeful.isEmpty():
+                break
         graph = cut(edges.join(total, "pat"), "personal-graph")
         known = graph.filter("seed").select("inst").distinct()
         for _ in range(rounds):
