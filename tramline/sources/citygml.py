@@ -9,7 +9,7 @@ RELEASE = r"LoD1-DE_HH_(\d{4}-\d{2}-\d{2})"
 #: Height difference up to which a face is level or two faces are at one level.
 LEVEL = 0.01
 SCHEMA = """`_gml:id` string, `gml:name` string, `bldg:function` string, `bldg:roofType` string, `bldg:measuredHeight` struct<_VALUE: double>, `bldg:storeysAboveGround` int,
- `bldg:lod1Solid` struct<`gml:Solid`: struct<`gml:exterior`: struct<`gml:CompositeSurface`: struct<`gml:surfaceMember`: array<struct<`gml:Polygon`: struct<`gml:exterior`: struct<`gml:LinearRing`: struct<`gml:posList`: string>>>>>>>>,
+ `bldg:lod1Solid` struct<`gml:Solid`: struct<`gml:exterior`: struct<`gml:CompositeSurface`: struct<`gml:surfaceMember`: array<struct<`gml:Polygon`: struct<`gml:exterior`: struct<`gml:LinearRing`: struct<`gml:posList`: string>>>>>>>>>,
  `bldg:lod1TerrainIntersection` struct<`gml:MultiCurve`: struct<`gml:curveMember`: array<struct<`gml:LineString`: struct<`gml:posList`: string>>>>>,
  `gen:stringAttribute` array<struct<_name: string, `gen:value`: string>>"""
 
