@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..shared import cut
 
 
-def raptor(queries: DataFrame, sources: DataFrame, targets: DataFrame, valid: DataFrame, patterns: DataFrame, paths: DataFrame, max_rounds: int = 3, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0) -> DataFrame:
+def raptor(queries: DataFrame, sources: DataFrame, targets: DataFrame, valid: DataFrame, patterns: DataFrame, paths: DataFrame, max_rounds: int = 3, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, closed: bool = False) -> DataFrame:
     """Options of each query: query_id, round (boardings), arrival, transfers; one row for each round that arrives earlier
     than all before it.
 
@@ -17,7 +17,8 @@ def raptor(queries: DataFrame, sources: DataFrame, targets: DataFrame, valid: Da
 
     A round boards from the stops that the round before has improved: the first trip of each pattern to leave that stop
     within max_wait of the ready time (arrival there, plus the penalty after the first boarding) and the horizon. All later
-    stops of those trips are reached; strict improvements are kept, then footpaths are walked to a fixpoint. Trips of one
+    stops of those trips are reached; strict improvements are kept, then footpaths are walked to a fixpoint (one step does if they are closed, see
+    station_walks()). Trips of one
     pattern are taken not to overtake each other. Everything is keyed by query and stop, so a batch of queries is one job a
     round; labels are written tables, so lineage stays short and lost executors cost a reread."""
     limit = queries.select("query_id", (F.col("depart") + horizon).alias("limit"))
@@ -44,6 +45,8 @@ def raptor(queries: DataFrame, sources: DataFrame, targets: DataFrame, valid: Da
             if front.isEmpty():
                 return best, marked
             best, marked = cut(merged(best, front), "raptor-best"), cut(merged(marked, front), "raptor-marked")
+            if closed:
+                return best, marked
 
     def arrivals(best: DataFrame, n: int) -> DataFrame:
         got = best.join(targets.withColumnRenamed("seconds", "egress"), ["query_id", "stop"]).join(limit, "query_id").filter(F.col("t") + F.col("egress") <= F.col("limit"))
@@ -78,10 +81,13 @@ def best_options(options: DataFrame) -> DataFrame:
     return options.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def station_walks(paths: DataFrame, hops: int = 3) -> DataFrame:
-    """Shortest walks over up to 2**hops footpaths, for feeds with few stations."""
-    best = cut(paths.groupBy("from_stop", "to_stop").agg(F.min("seconds").alias("seconds")), "walks")
-    for _ in range(hops):
+def station_walks(paths: DataFrame) -> DataFrame:
+    """Shortest walks over any number of footpaths, for feeds with few stations: each step joins walks with walks, so it
+    ends after the logarithm of the longest chain."""
+    best = cut(paths.groupBy("from_stop", "to_stop").agg(F.min("seconds").cast("long").alias("seconds")), "walks")
+    seen = None
+    while seen != (now := best.agg(F.count("*"), F.sum("seconds")).first()):
+        seen = now
         on = best.select(F.col("from_stop").alias("to_stop"), F.col("to_stop").alias("end"), F.col("seconds").alias("more"))
         longer = best.join(on, "to_stop").filter("from_stop <> end").select("from_stop", F.col("end").alias("to_stop"), (F.col("seconds") + F.col("more")).alias("seconds"))
         best = cut(best.unionByName(longer).groupBy("from_stop", "to_stop").agg(F.min("seconds").alias("seconds")), "walks")

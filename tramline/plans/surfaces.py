@@ -82,7 +82,7 @@ def floor_space_grid(buildings: DataFrame, release: str, resolution: int = 100,
     if min(resolution, population, storey_height) <= 0:
         raise ValueError("resolution, population and storey height must be above 0")
     area = F.col("w") * F.col("d") * 1.0
-    storeys = F.greatest(F.lit(1.0), F.coalesce(F.nullif(F.col("storeys").cast("double"), F.lit(0.0)), F.rint(F.col("height") / storey_height), F.lit(1.0)))
+    storeys = F.greatest(F.lit(1.0), F.coalesce(F.when(F.col("storeys") > 0, F.col("storeys").cast("double")), F.rint(F.col("height") / storey_height), F.lit(1.0)))
     snap = lambda c: (F.floor(c / resolution) * resolution).cast("int")
     rows = buildings.filter(F.col("release") == release).select(snap(F.col("x") + F.col("w") / 2).alias("easting"), snap(F.col("y") + F.col("d") / 2).alias("northing"), area.alias("a"), (area * storeys).alias("f"))
     cells = rows.groupBy("easting", "northing").agg(F.count("*").alias("n"), F.sum("a").alias("footprint"), F.sum("f").alias("floor_space"))

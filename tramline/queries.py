@@ -9,12 +9,16 @@ from . import oracle_parts as o
 from .functions import geo, lines, times
 from .operators.ordered import asof_forward, top_by
 from .operators.spatial import grid_pairs
-from .plans import graphs, surfaces, timetable
+from .plans import graphs, itinerary, surfaces, timetable
 from .plans.adapter import tables
-from .plans.raptor import best_options, raptor
+from .plans.raptor import best_options, raptor, station_walks
+from .plans.search import earliest_arrivals
 from .registry import query
+from .shared import cut
 
 RELEASE = "LoD1-DE_HH_2023-04-01"
+#: Stations up to which all walks are closed before a search.
+MAX_CLOSED = 1_000
 
 
 def _timed(s: SparkSession, d: str) -> DataFrame:
@@ -149,7 +153,7 @@ def fun_17_21_22_cell_fields(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT building_id, greatest(1.0, coalesce(nullif(storeys, 0)::DOUBLE, round_even(height / 3.2::DOUBLE, 0), 1.0)) AS storeys, (floor((x + w / 2) / 100) * 100)::INT AS easting, (floor((y + d / 2) / 100) * 100)::INT AS northing FROM (SELECT building_id, storeys, height::DOUBLE AS height, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, d::DOUBLE AS d FROM buildings) b", "buildings")
 def fun_33_34_storeys_and_cells(s: SparkSession, d: str) -> DataFrame:
-    storeys = F.greatest(F.lit(1.0), F.coalesce(F.nullif(F.col("storeys").cast("double"), F.lit(0.0)), F.rint(F.col("height") / 3.2), F.lit(1.0)))
+    storeys = F.greatest(F.lit(1.0), F.coalesce(F.when(F.col("storeys") > 0, F.col("storeys").cast("double")), F.rint(F.col("height") / 3.2), F.lit(1.0)))
     snap = lambda c: (F.floor(c / 100) * 100).cast("int")
     return tables(s, d, "buildings")[0].select("building_id", storeys.alias("storeys"), snap(F.col("x") + F.col("w") / 2).alias("easting"), snap(F.col("y") + F.col("d") / 2).alias("northing"))
 
@@ -366,8 +370,11 @@ def _search(s: SparkSession, d: str) -> DataFrame:
     c = timetable.canonical_stops(stops)
     req = req.filter("query_id % 20 < 2")
     at = lambda side: req.join(c, req[side] == c["stop_id"]).select("query_id", F.col("canonical").alias("stop"), F.lit(0).alias("seconds"))
-    valid = _valid(s, d)
-    return raptor(req.select("query_id", "depart"), at("origin"), at("destination"), valid, timetable.trip_patterns(valid, trips), _paths(s, d), 3)
+    valid = cut(_valid(s, d), "trips")
+    paths = cut(_paths(s, d), "paths")
+    few = paths.select("from_stop").distinct().limit(MAX_CLOSED + 1).count() <= MAX_CLOSED
+    walks = station_walks(paths) if few else paths
+    return raptor(req.select("query_id", "depart"), at("origin"), at("destination"), valid, timetable.trip_patterns(valid, trips), walks, 3, closed=few)
 
 
 def _unrolled(rounds: int) -> str:
@@ -399,3 +406,96 @@ def itr_1_2_win_13_raptor_options(s: SparkSession, d: str) -> DataFrame:
 @query(f"{_unrolled(3)} SELECT query_id, arg_max(round, round) AS round, min(arrival)::INT AS arrival FROM z WHERE e IS NULL OR arrival < e GROUP BY 1", NEEDED)
 def top_4_best_option(s: SparkSession, d: str) -> DataFrame:
     return best_options(_search(s, d)).select("query_id", "round", "arrival")
+
+
+# --- label-correcting search, itineraries, geometry, client transforms ----------------------------------------------
+
+
+@query(f"""{WALKED}, {o.TIMED}, {o.PAIRS}, rides AS (SELECT DISTINCT from_stop, to_stop, dep, arr FROM pairs WHERE weight IS NOT NULL), q AS (SELECT query_id, canonical AS stop, depart FROM requests JOIN canon ON stop_id = origin WHERE query_id % 100 = 3),
+d0 AS (SELECT query_id, stop, depart AS t FROM q), {", ".join(f"d{i} AS (SELECT query_id, stop, min(t) AS t FROM (SELECT * FROM d{i - 1} UNION ALL SELECT d.query_id, r.to_stop, arg_min(arr, (dep, arr)) FROM d{i - 1} d JOIN q ON q.query_id = d.query_id JOIN rides r ON r.from_stop = d.stop AND r.dep >= d.t AND r.dep <= d.t + 1200 AND r.dep <= depart + 3600 GROUP BY d.query_id, d.stop, d.t, r.to_stop UNION ALL SELECT d.query_id, m.to_stop, d.t + m.weight + 60 FROM d{i - 1} d JOIN moves m ON m.from_stop = d.stop AND m.weight IS NOT NULL) u WHERE t <= (SELECT depart + 3600 FROM q WHERE q.query_id = u.query_id) GROUP BY ALL)" for i in range(1, 26))}
+SELECT query_id, stop, t::INT AS t FROM d25""", NEEDED)
+def itr_4_6_win_14_label_search(s: SparkSession, d: str) -> DataFrame:
+    req, stops = tables(s, d, "requests", "stops")
+    q = req.filter("query_id % 100 = 3").join(timetable.canonical_stops(stops), F.col("origin") == F.col("stop_id")).select("query_id", F.col("canonical").alias("stop"), "depart")
+    return earliest_arrivals(q, _pairs(s, d), _moves(s, d).withColumn("apply_penalty", F.lit(True)), 3600, 1200, 60).select("query_id", "stop", F.col("t").cast("int").alias("t"))
+
+
+SEGMENTS = """SELECT o_custkey AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'trip' WHEN o_orderkey % 5 = 2 THEN 'station_link' ELSE 'transfer' END AS kind,
+    CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'L' || (o_orderkey % 2) WHEN o_orderkey % 5 = 3 THEN 'walk' WHEN o_orderkey % 5 = 4 THEN 'change' END AS label, CASE WHEN o_orderkey % 5 = 2 AND o_orderkey % 2 = 0 THEN 0 WHEN o_orderkey % 17 <> 0 THEN (o_orderkey % 600)::INT END AS weight,
+    o_orderkey % 5 = 4 AS apply_penalty, 'S' || o_orderkey AS from_stop, 'S' || (o_orderkey + 1) AS to_stop FROM orders"""
+
+
+def _segments(s: SparkSession, d: str) -> DataFrame:
+    return s.sql(SEGMENTS.replace("FROM orders", "FROM {orders}").replace("(o_orderkey % 600)::INT", "cast(o_orderkey % 600 as int)"), orders=s.read.parquet(f"{d}/orders.parquet"))
+
+
+RUNS = f"""WITH s AS ({SEGMENTS}), f AS (SELECT * FROM s WHERE NOT (kind = 'station_link' AND coalesce(weight, 0) = 0)),
+g AS (SELECT *, CASE WHEN kind <> 'trip' AND coalesce(lag(kind) OVER (PARTITION BY path ORDER BY pos) <> 'trip', false) THEN 0 ELSE 1 END AS nw FROM f), r AS (SELECT *, sum(nw) OVER (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM g),
+m AS (SELECT path, min(pos) AS pos, CASE WHEN bool_or(kind = 'trip') THEN 'trip' ELSE 'transfer' END AS kind, coalesce(arg_min(label, pos) FILTER (label = 'walk'), arg_min(label, pos) FILTER (label IS NOT NULL)) AS label, CASE WHEN count(weight) = count(*) THEN sum(weight)::BIGINT END AS weight,
+    bool_or(apply_penalty) AS apply_penalty, arg_min(from_stop, pos) AS from_stop, arg_max(to_stop, pos) AS to_stop FROM r GROUP BY path, run)"""
+
+
+@query(f"{RUNS} SELECT path, pos::INT AS pos, kind, label, weight, apply_penalty, from_stop, to_stop FROM m")
+def win_10_merged_transfers(s: SparkSession, d: str) -> DataFrame:
+    return itinerary.merged_transfers(_segments(s, d)).withColumn("weight", F.col("weight").cast("long"))
+
+
+@query(f"""{RUNS}, l AS (SELECT *, sum(CASE WHEN kind = 'trip' AND coalesce(pk = 'trip' AND pl IS NOT DISTINCT FROM label, false) THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS leg FROM (SELECT *, lag(kind) OVER (PARTITION BY path ORDER BY pos) AS pk, lag(label) OVER (PARTITION BY path ORDER BY pos) AS pl FROM m) a),
+c AS (SELECT *, CASE WHEN kind = 'trip' THEN weight ELSE weight + CASE WHEN apply_penalty THEN 300 ELSE 0 END END AS sec FROM l),
+e AS (SELECT path, leg::BIGINT AS leg, arg_min(kind, pos) AS kind, arg_min(label, pos) AS label, CASE WHEN count(sec) = count(*) THEN sum(sec)::BIGINT END AS seconds, arg_min(from_stop, pos) AS a, arg_max(to_stop, pos) AS b FROM c GROUP BY path, leg)
+SELECT path, leg, CASE WHEN kind = 'trip' THEN 'ride' WHEN label = 'walk' THEN 'walk' ELSE 'transfer' END AS mode, seconds, a || ' -> ' || b || ': ' || CASE WHEN seconds IS NULL THEN 'unknown time' ELSE seconds || ' sec (' || printf('%.1f', round_even(seconds / 6.0::DOUBLE, 0) / 10) || ' min)' END AS text FROM e""")
+def win_11_itr_11_fun_45_46_legs(s: SparkSession, d: str) -> DataFrame:
+    return itinerary.legs(itinerary.merged_transfers(_segments(s, d)), 300).select("path", "leg", "mode", F.col("seconds").cast("long").alias("seconds"), "text")
+
+
+@query("""+ p AS (SELECT shape_id, list(lat ORDER BY shape_pt_sequence) AS la, list(lon ORDER BY shape_pt_sequence) AS lo FROM shapes GROUP BY 1), x AS (SELECT shape_id, stop_id, list_position(ds, list_min(ds)) - 1 AS vertex FROM (SELECT shape_id, stop_id, list_transform(generate_series(1, len(la)), lambda i: pow(la[i] - stop_lat, 2) + pow(lo[i] - stop_lon, 2)) AS ds FROM p, stops WHERE stop_lat IS NOT NULL AND k % 10 = 0) q)
+SELECT shape_id, stop_id, vertex::INT AS vertex FROM x""", "stops shapes")
+def top_8_nearest_vertex(s: SparkSession, d: str) -> DataFrame:
+    stops, shapes = tables(s, d, "stops", "shapes")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("shape_pt_sequence", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    lines_ = shapes.groupBy("shape_id").agg(items.alias("shape"))
+    # There are two shapes a route, few beside the stops.
+    rows = stops.filter("stop_lat is not null and k % 10 = 0").crossJoin(F.broadcast(lines_))
+    return rows.select("shape_id", "stop_id", itinerary.nearest_vertex(F.col("shape"), F.col("stop_lat"), F.col("stop_lon")).alias("vertex"))
+
+
+@query("""SELECT p_partkey, list_slice(v, least(a, b) + 1 - CASE WHEN a = b AND a = 6 THEN 1 ELSE 0 END, greatest(a, b) + 1 + CASE WHEN a = b AND a < 6 THEN 1 ELSE 0 END) AS forward, a > b AS backward FROM (SELECT p_partkey, [0, 1, 2, 3, 4, 5, 6] AS v, (p_partkey % 7)::INT AS a, (p_size % 7)::INT AS b FROM part) t""".replace("SELECT p_partkey, list_slice(", "SELECT p_partkey, array_to_string(CASE WHEN a > b THEN list_reverse(z) ELSE z END, ',') AS part FROM (SELECT p_partkey, a, b, list_slice(").replace(") AS forward, a > b AS backward FROM", ") AS z FROM") + ") y")
+def fun_40_shape_slice(s: SparkSession, d: str) -> DataFrame:
+    a, b = (F.col("p_partkey") % 7).cast("int"), (F.col("p_size") % 7).cast("int")
+    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(itinerary.shape_slice(F.sequence(F.lit(0), F.lit(6)), a, b).cast("array<string>"), ",").alias("part"))
+
+
+@query()
+def fun_43_44_fallback_geometry(s: SparkSession, d: str) -> DataFrame:
+    stops, t = tables(s, d, "stops", "transfers")
+    at = lambda i: stops.select(F.col("stop_id").alias(("from_stop_id", "to_stop_id")[i]), F.col("stop_lat").alias(f"lat{i}"), F.col("stop_lon").alias(f"lon{i}"))
+    rows = t.unionByName(t.withColumn("to_stop_id", F.col("from_stop_id"))).join(at(0), "from_stop_id").join(at(1), "to_stop_id")
+    return rows.select("from_stop_id", "to_stop_id", F.to_json(itinerary.fallback_geometry(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))).alias("geometry"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_retailprice < 60 THEN '< 1 min' WHEN p_retailprice < 3600 THEN round_even(p_retailprice / 60, 0)::INT || ' min' ELSE (round_even(p_retailprice / 60, 0)::INT // 60) || ' hr ' || (round_even(p_retailprice / 60, 0)::INT % 60) || ' min' END AS duration, round(100.0 * p_size / max(p_size) OVER (), 6) AS position FROM part")
+def fun_53_71_duration_and_legend(s: SparkSession, d: str) -> DataFrame:
+    price, minutes = F.col("p_retailprice"), F.rint(F.col("p_retailprice") / 60).cast("int")
+    text = F.when(price < 60, "< 1 min").when(price < 3600, F.concat(minutes.cast("string"), F.lit(" min"))).otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit(" hr "), (minutes % 60).cast("string"), F.lit(" min")))
+    rows = s.read.parquet(f"{d}/part.parquet")
+    most = rows.agg(F.max("p_size").alias("_most"))
+    return rows.crossJoin(F.broadcast(most)).select("p_partkey", text.alias("duration"), F.round(100.0 * F.col("p_size") / F.col("_most"), 6).alias("position"))
+
+
+@query("SELECT p_partkey, try_cast(nullif(trim(x), '') AS DOUBLE) IS NOT NULL AS numeric, array_to_string(list_transform(string_split(p_type, '_'), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title FROM (SELECT p_partkey, replace(p_type, ' ', '_') AS p_type, CASE p_partkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN ' 1.5 ' WHEN 2 THEN 'x' || p_size ELSE '' || p_size END AS x FROM part) t")
+def fun_55_68_70_text_checks(s: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey") % 4
+    x = F.when(key == 0, " ").when(key == 1, " 1.5 ").when(key == 2, F.concat(F.lit("x"), F.col("p_size").cast("string"))).otherwise(F.col("p_size").cast("string"))
+    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", times.blank_to_null(x).try_cast("double").isNotNull().alias("numeric"), F.initcap(F.replace(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("_"), F.lit(" "))).alias("title"))
+
+
+@query("SELECT min(stop_lon) AS west, min(stop_lat) AS south, max(stop_lon) AS east, max(stop_lat) AS north, count(DISTINCT stop_id) AS n FROM stops", "stops")
+def agg_21_22_bounds_and_counts(s: SparkSession, d: str) -> DataFrame:
+    return tables(s, d, "stops")[0].agg(F.min("stop_lon").alias("west"), F.min("stop_lat").alias("south"), F.max("stop_lon").alias("east"), F.max("stop_lat").alias("north"), F.countDistinct("stop_id").alias("n"))
+
+
+@query(f"{WALKED}, {o.PATHS} SELECT a.parent_station AS station, arg_min(a.stop_id, (p.seconds, a.stop_id)) AS nearest, min(p.seconds) AS seconds FROM stops a JOIN paths p ON p.from_stop = a.parent_station WHERE a.parent_station <> '' GROUP BY 1", "stops transfers")
+def agg_19_20_top_14_station_candidates(s: SparkSession, d: str) -> DataFrame:
+    stops = tables(s, d, "stops")[0].filter("parent_station <> ''").select("stop_id", F.col("parent_station").alias("from_stop"))
+    rows = stops.join(_paths(s, d), "from_stop").groupBy("from_stop").agg(F.min(F.struct("seconds", "stop_id")).alias("b"))
+    return rows.select(F.col("from_stop").alias("station"), F.col("b.stop_id").alias("nearest"), F.col("b.seconds").alias("seconds"))

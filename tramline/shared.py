@@ -6,9 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LISTS: list[list[str]] = []
+
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder name in the cluster's shared spark.checkpoint.dir; in a local folder only where that is unset."""
@@ -26,4 +30,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: lineage ends there, and lost executors cost a reread."""
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for made in _LISTS:
+        made.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote; nothing that is still to run may read them."""
+    for t in tables:
+        delete(t.sparkSession, t._written_to)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def listing() -> Iterator[list[str]]:
+    """The folders that cut() writes meanwhile."""
+    made: list[str] = []
+    _LISTS.append(made)
+    try:
+        yield made
+    finally:
+        _LISTS.remove(made)
