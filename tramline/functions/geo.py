@@ -13,6 +13,11 @@ A, FLAT = 6_378_137.0, 1 / 298.257222101
 ECC2 = FLAT * (2 - FLAT)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once; spelled out, these formulas would be copied many times over."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle metres."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
@@ -44,15 +49,24 @@ def laea_to_wgs84(easting: Column, northing: Column) -> tuple[Column, Column]:
     rq = A * math.sqrt(qp / 2)
     b0 = math.asin(_q(math.sin(lat0)) / qp)
     d = A * math.cos(lat0) / math.sqrt(1 - ECC2 * math.sin(lat0) ** 2) / (rq * math.cos(b0))
-    x, y = easting - e0, northing - n0
-    rho = F.sqrt(F.pow(x / d, 2) + F.pow(y * d, 2))
-    c = 2 * F.asin(rho / (2 * rq))
-    there = rho > 0
-    beta = F.when(there, F.asin(F.cos(c) * math.sin(b0) + d * y * F.sin(c) * math.cos(b0) / rho)).otherwise(b0)
-    lon = F.when(there, F.atan2(x * F.sin(c), d * rho * math.cos(b0) * F.cos(c) - d * d * y * math.sin(b0) * F.sin(c))).otherwise(0.0)
     e2, e4, e6 = ECC2, ECC2**2, ECC2**3
-    lat = beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + (761 * e6 / 45360) * F.sin(6 * beta)
-    return F.degrees(lat), F.degrees(lon + lon0)
+
+    def placed(p: Column) -> Column:
+        """p: x, y, rho and c of the point."""
+        x, y, rho, c = p["x"], p["y"], p["rho"], p["c"]
+        there = rho > 0
+        beta = F.when(there, F.asin(F.cos(c) * math.sin(b0) + d * y * F.sin(c) * math.cos(b0) / rho)).otherwise(b0)
+        lon = F.when(there, F.atan2(x * F.sin(c), d * rho * math.cos(b0) * F.cos(c) - d * d * y * math.sin(b0) * F.sin(c))).otherwise(0.0)
+        lat = lambda b: b + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * b) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * b) + (761 * e6 / 45360) * F.sin(6 * b)
+        return F.struct(F.degrees(_let(beta, lat)).alias("lat"), F.degrees(lon + lon0).alias("lon"))
+
+    def polar(p: Column) -> Column:
+        rho = F.sqrt(F.pow(p["x"] / d, 2) + F.pow(p["y"] * d, 2))
+        return _let(rho, lambda r: F.struct(p["x"].alias("x"), p["y"].alias("y"), r.alias("rho"), (2 * F.asin(r / (2 * rq))).alias("c")))
+
+    point = F.struct((easting - e0).alias("x"), (northing - n0).alias("y"))
+    out = _let(_let(point, polar), placed)
+    return out["lat"], out["lon"]
 
 
 def utm32_to_wgs84(easting: Column, northing: Column) -> tuple[Column, Column]:
@@ -61,13 +75,23 @@ def utm32_to_wgs84(easting: Column, northing: Column) -> tuple[Column, Column]:
     r = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
     beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
     delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    xi, eta = northing / r, (easting - 500_000.0) / r
-    xi1, eta1 = xi, eta
-    for j, b in enumerate(beta, 1):
-        xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi
-    for j, d in enumerate(delta, 1):
-        lat = lat + d * F.sin(2 * j * chi)
-    return F.degrees(lat), F.lit(9.0) + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
+
+    def conformal(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        for j, b in enumerate(beta, 1):
+            xi, eta = xi - b * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"]), eta - b * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    def placed(p: Column) -> Column:
+        def lat(chi: Column) -> Column:
+            out = chi
+            for j, d in enumerate(delta, 1):
+                out = out + d * F.sin(2 * j * chi)
+            return out
+
+        chi = F.asin(F.sin(p["xi"]) / F.cosh(p["eta"]))
+        return F.struct(F.degrees(_let(chi, lat)).alias("lat"), (F.lit(9.0) + F.degrees(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"])))).alias("lon"))
+
+    point = F.struct((northing / r).alias("xi"), ((easting - 500_000.0) / r).alias("eta"))
+    out = _let(_let(point, conformal), placed)
+    return out["lat"], out["lon"]
