@@ -27,7 +27,7 @@ TABLES = {
         SELECT 'T' || o AS trip_id, 'S' || (((o % 25) * 11 + (DIV(o, 25) % 2) * 3 + seq * 5) % n) AS stop_id, seq AS stop_sequence,
                CASE WHEN (o * 7 + seq) % 211 = 0 THEN '' ELSE CLOCK(a) END AS arrival_time, CASE WHEN (o * 7 + seq) % 223 = 0 THEN NULL ELSE CLOCK((a + 20)) END AS departure_time
         FROM (SELECT o, seq, 14400 + (o * 97) % 72000 + seq * 180 + (o % 5) * 10 AS a, n
-              FROM (SELECT o, ln, row_number() OVER (PARTITION BY o ORDER BY ln) AS seq FROM (SELECT DISTINCT l_orderkey AS o, l_linenumber AS ln FROM {lineitem}) d) r
+              FROM (SELECT o, ln, CAST(row_number() OVER (PARTITION BY o ORDER BY ln) AS INT) AS seq FROM (SELECT DISTINCT l_orderkey AS o, l_linenumber AS ln FROM {lineitem}) d) r
               CROSS JOIN (SELECT count(*) AS n FROM {supplier}) c) t""",
     "transfers": """
         SELECT 'S' || s_suppkey AS from_stop_id, 'S' || ((s_suppkey + 4) % n) AS to_stop_id, CASE WHEN s_suppkey % 3 <> 0 THEN 60 + (s_suppkey % 5) * 30 END AS min_transfer_time, (s_suppkey % 2) * 2 AS transfer_type

@@ -225,7 +225,7 @@ def agg_17_18_inverted_indexes(s: SparkSession, d: str) -> DataFrame:
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT s.stop_id, p.stop_id AS near_id, r AS rank FROM (SELECT a.stop_id, b.stop_id AS near_id, row_number() OVER (PARTITION BY a.stop_id ORDER BY abs(a.k * 7919 % 1000 - b.k * 7919 % 1000), b.k) AS r FROM stops a JOIN stops b ON a.k <> b.k AND a.k % 7 = b.k % 7) q JOIN stops s USING (stop_id) JOIN stops p ON p.stop_id = near_id WHERE r <= 3", "stops")
+@query("SELECT s.stop_id, p.stop_id AS near_id, r::INT AS rank FROM (SELECT a.stop_id, b.stop_id AS near_id, row_number() OVER (PARTITION BY a.stop_id ORDER BY abs(a.k * 7919 % 1000 - b.k * 7919 % 1000), b.k) AS r FROM stops a JOIN stops b ON a.k <> b.k AND a.k % 7 = b.k % 7) q JOIN stops s USING (stop_id) JOIN stops p ON p.stop_id = near_id WHERE r <= 3", "stops")
 def top_2_k_neighbours(s: SparkSession, d: str) -> DataFrame:
     a = tables(s, d, "stops")[0].select("stop_id", "k", (F.col("k") % 7).alias("g"), (F.col("k") * 7919 % 1000).alias("v"))
     b = a.select(F.col("stop_id").alias("near_id"), F.col("k").alias("k2"), "g", F.col("v").alias("v2"))
@@ -239,7 +239,7 @@ def joi_4_grid_distance_join(s: SparkSession, d: str) -> DataFrame:
     return grid_pairs(p, 400.0).select("a", "b")
 
 
-@query(f"{STOPS}, m AS (SELECT r.query_id, c.stop, 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) AS metres FROM requests r JOIN coords o ON o.stop = r.origin JOIN coords c ON true, LATERAL (SELECT pow(sin(radians(c.lat - o.lat) / 2), 2) + cos(radians(o.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - o.lon) / 2), 2) AS h) q WHERE r.query_id % 10 = 0) SELECT query_id, stop, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(metres, 3), stop) AS r FROM m WHERE metres <= 900) z WHERE r <= 3", "stops requests")
+@query(f"{STOPS}, m AS (SELECT r.query_id, c.stop, 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) AS metres FROM requests r JOIN coords o ON o.stop = r.origin JOIN coords c ON true, LATERAL (SELECT pow(sin(radians(c.lat - o.lat) / 2), 2) + cos(radians(o.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - o.lon) / 2), 2) AS h) q WHERE r.query_id % 10 = 0) SELECT query_id, stop, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(metres, 3), stop) AS r FROM m WHERE metres <= 900) z WHERE r <= 3", "stops requests")
 def top_1_joi_5_nearest_stops(s: SparkSession, d: str) -> DataFrame:
     (req,), c = tables(s, d, "requests"), _coords(s, d)
     at = req.filter("query_id % 10 = 0").join(c.select(F.col("stop").alias("origin"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), "origin")
