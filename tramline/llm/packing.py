@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ship, word_count
-from .sketch import summed
+from .base import ship
+from .sketch import PIECES, summed
 from .textblocks import Words, arrow_rows, blocks
 
 #: Terms are words hashed into TERMS buckets, so document frequencies have a fixed size. Words of a shard, about.
 TERMS, SHARD_WORDS = 1 << 18, 200_000
 K1, B = 1.2, 0.75
+#: What the byte-level pattern has for runs of white space before a word, and such runs.
+LOOK_AHEAD, _SPACES = r"|\s+(?!\S)", re.compile("[\\t\\n\\r ]{2}")
 #: Texts of these characters, without special strings, are split alike by both libraries; others go the exact way round.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f]*")
 
@@ -38,11 +40,13 @@ class Encoder:
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+            made = lambda p: tiktoken.Encoding("own", pat_str=p, mergeable_ranks=table, special_tokens={})
+            # Without runs of white space the look-ahead decides nothing, and splitting is faster without it.
+            self.fast, self.plain = made(pattern), made(pattern.replace(LOOK_AHEAD, ""))
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+            return np.array((self.fast if _SPACES.search(text) else self.plain).encode_ordinary(text), np.uint32)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -58,7 +62,10 @@ def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count_documents(acc: np.ndarray, words: Words) -> None:
-    acc += np.bincount(_buckets(words)[1], minlength=TERMS).astype(np.uint32)
+    """Document frequencies; then the numbers of documents and of words."""
+    acc[:TERMS] += np.bincount(_buckets(words)[1], minlength=TERMS).astype(np.uint64)
+    acc[TERMS] += np.uint64(len(words.counts))
+    acc[TERMS + 1] += np.uint64(words.counts.sum())
 
 
 class Index:
@@ -121,10 +128,10 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
     no rows out. Other columns are not read."""
     spark = ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = summed(docs, text, TERMS, _count_documents)
-    n, total = docs.select(F.count("*"), F.sum(word_count(F.col(text_col)))).first()
-    shards = max(1, -(-(total or 0) // SHARD_WORDS))
-    mean_size = (total or 0) / max(1, n)
+    sums = summed(docs, text, TERMS + PIECES, _count_documents)
+    df, n, total = sums[:TERMS].astype(np.float64), int(sums[TERMS]), int(sums[TERMS + 1])
+    shards = max(1, -(-total // SHARD_WORDS))
+    mean_size = total / max(1, n)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
     kind = dict(docs.dtypes)[id_col]
 

@@ -14,32 +14,31 @@ from .textblocks import Words, arrow_rows, blocks
 PIECES = 64
 
 
-def summed(docs: DataFrame, text: Column, size: int, update: Callable[[np.ndarray, Words], None], lower: bool = False, most: int = 2**32 - 1) -> np.ndarray:
+def summed(docs: DataFrame, text: Column, size: int, update: Callable[[np.ndarray, Words], None], lower: bool = False, most: int = 2**63) -> np.ndarray:
     """Sum over all tasks of the array that update() counts into for each group of texts; counts stop at `most`.
 
     Each task sends its array once; pieces of it are summed one after another where Spark brings them together. The result,
     of `size` counts whatever the corpus, is all that reaches the driver."""
-    kind = np.uint8 if most < 256 else np.uint32
+    kind = np.uint8 if most < 256 else np.uint64
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(size, np.uint32)
+        acc = np.zeros(size, np.uint64)
         for _, _, words in blocks(((None, t) for (t,) in arrow_rows(batches)), lower=lower):
             update(acc, words)
-        yield _sent(np.minimum(acc, most).astype(kind).reshape(PIECES, -1))
+        yield _sent(np.minimum(acc, np.uint64(most)).astype(kind).reshape(PIECES, -1))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[int, np.ndarray] = {}
         for piece, data in arrow_rows(batches):
-            part = np.frombuffer(data, kind).astype(np.uint32)
-            acc[piece] = np.minimum(acc.get(piece, 0) + part.astype(np.uint64), most).astype(np.uint32)
+            acc[piece] = np.minimum(acc.get(piece, np.uint64(0)) + np.frombuffer(data, kind).astype(np.uint64), np.uint64(most))
         for piece, part in acc.items():
             yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "data": pa.array([part.astype(kind).tobytes()], pa.binary())})
 
     parts = docs.select(text.cast("binary").alias("text")).mapInArrow(counted, "piece int, data binary")
     rows = parts.repartition(PIECES, "piece").mapInArrow(totals, "piece int, data binary").collect()
-    out = np.zeros((PIECES, size // PIECES), np.uint32)
+    out = np.zeros((PIECES, size // PIECES), np.uint64)
     for row in rows:
-        out[row["piece"]] += np.frombuffer(row["data"], kind)
+        out[row["piece"]] = np.frombuffer(row["data"], kind)
     return out.ravel()
 
 

@@ -16,8 +16,8 @@ _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-#: Bytes that are hashed at a time; what numpy holds for them is about 60 times that.
-BLOCK = 1 << 20
+#: Bytes that are hashed at a time (what numpy holds for them is about 60 times that), and of texts that go together.
+BLOCK, GROUP = 1 << 17, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ def _hashed(texts: list[bytes], lower: bool, hashes: int) -> Words:
     return Words(counts, [np.concatenate([p[w] for p in parts]) if parts else np.zeros(0, np.uint64) for w in range(hashes)])
 
 
-def blocks(pairs: Iterable[tuple], lower: bool = False, hashes: int = 1, size: int = BLOCK) -> Iterator[tuple[list, list[bytes], Words]]:
+def blocks(pairs: Iterable[tuple], lower: bool = False, hashes: int = 1, size: int = GROUP) -> Iterator[tuple[list, list[bytes], Words]]:
     """Groups of about `size` bytes of texts with their ids and words, from (id, text); a longer text is a group of its own."""
     some_ids, some, held = [], [], 0
     for i, t in pairs:
