@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import os
-import shutil
-import tempfile
-import uuid
+import time
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, drop, work_folder  # noqa: F401
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -46,25 +45,6 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name in the cluster's shared spark.checkpoint.dir; in a local folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tramline-')}"
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: lineage ends there and lost executors cost nothing but a reread."""
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_counted(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
     """left join right. right (already a written table) is broadcast only up to BROADCAST_ROWS counted rows; beyond, Spark
     shuffles both sides and AQE splits skewed keys."""
@@ -73,6 +53,9 @@ def join_counted(left: DataFrame, right: DataFrame, on, how: str = "left") -> Da
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now, rather than when the driver's heap happens to fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished steps now, rather than when the driver's heap happens to fill. What a
+    step has just used is let go a moment later, hence twice."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)

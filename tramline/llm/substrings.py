@@ -11,23 +11,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, release, ship, word_count
+from .base import cut, drop, release, ship, word_count
 from .textblocks import arrow_rows, blocks
 
 #: Entries of a hash part, and words of a bucket of documents, about; parts and buckets at least; bytes of texts packed together.
-PART_ENTRIES, BUCKET_WORDS, LEAST, TEXTS = 1 << 20, 300_000, 48, 12 << 20
+PART_ENTRIES, BUCKET_WORDS, LEAST, TEXTS = 1 << 20, 300_000, 48, 4 << 20
 PACKED = "part int, n int, data binary"
 NULL_ID = -(1 << 63)
 
 
 def packed(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    """Entries as one compressed row for each part they belong to."""
+    """Entries as one compressed row for each part they belong to. The last three columns, a place (document, tag, position),
+    are sent as differences, and every column byte by byte, which brings a place to about two bytes."""
     order = np.argsort(part, kind="stable")
     part, columns = part[order], [c[order] for c in columns]
     edges = np.concatenate([[0], np.nonzero(part[1:] != part[:-1])[0] + 1, [len(part)]]) if len(part) else [0]
     press = zstandard.ZstdCompressor(level=1)
     for a, b in zip(edges[:-1], edges[1:]):
-        yield int(part[a]), int(b - a), press.compress(b"".join(c[a:b].tobytes() for c in columns))
+        sent = [np.diff(c[a:b], prepend=c.dtype.type(0)) if k >= len(columns) - 3 else c[a:b] for k, c in enumerate(columns)]
+        yield int(part[a]), int(b - a), press.compress(b"".join(c.view(np.uint8).reshape(b - a, -1).T.tobytes() for c in sent))
 
 
 def unpacked(rows: list[tuple[int, bytes]], kinds: list) -> list[np.ndarray]:
@@ -37,7 +39,8 @@ def unpacked(rows: list[tuple[int, bytes]], kinds: list) -> list[np.ndarray]:
         raw, at = zstandard.ZstdDecompressor().decompress(data), 0
         for k, kind in enumerate(kinds):
             size = n * np.dtype(kind).itemsize
-            out[k].append(np.frombuffer(raw, kind, n, at))
+            column = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(-1, n).T).view(kind).ravel()
+            out[k].append(np.cumsum(column, dtype=kind) if k >= len(kinds) - 3 else column)
             at += size
     return [np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(out, kinds)]
 
@@ -84,14 +87,15 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, ~(new & np.append(new[1:], True)) if len(key) else new
 
 
-def _after_first(h: np.ndarray, h1: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which entries have an equal hash at an earlier place, with all columns in that order."""
-    doc, tag, at = place
+def _repeats(h: np.ndarray, h1: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which entries have an equal hash at an earlier place."""
     order = np.lexsort((at, doc, h1, h))
-    h, h1, doc, tag, at = (x[order] for x in (h, h1, doc, tag, at))
+    h, h1, doc, at = (x[order] for x in (h, h1, doc, at))
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (h1[1:] != h1[:-1])]) if len(h) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-    return (doc != doc[first]) | (at != at[first]), [h, h1, doc, tag, at]
+    out = np.zeros(len(h), bool)
+    out[order] = (doc != doc[first]) | (at != at[first])
+    return out
 
 
 def _settled(table: pa.Table, parts: int) -> pa.Table:
@@ -135,7 +139,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             doc, tag, at = np.array(ids, np.int64)[d], tags[d], words.at[start].astype(np.uint32)
             order = np.argsort(h, kind="stable")
             new, shared = _runs(h[order])
-            sent, here = order[new], order[shared]
+            sent, here = np.sort(order[new]), np.sort(order[shared])  # in order of place, which packs well
             here = here[at[here] % half == 0]
             found = list(packed(part[sent], [x[sent] for x in (low, high, doc, tag, at)]))
             found += packed(parts + _bucketed(doc[here], buckets), [doc[here], tag[here], at[here]])
@@ -148,7 +152,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         low, high, doc, tag, at = unpacked(_rows(table), ANCHOR)
         key = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
         order = np.argsort(key, kind="stable")
-        some = order[_runs(key[order])[1]]
+        some = np.sort(order[_runs(key[order])[1]])
         some = some[at[some] % half == 0]
         return _table(list(packed(_bucketed(doc[some], buckets), [doc[some], tag[some], at[some]])))
 
@@ -169,7 +173,8 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             pick = np.cumsum(near)[start] > 0
             start, h, h1 = start[pick], h[pick], h1[pick].astype(np.uint32)
             d = words.doc[start]
-            rep, (h, h1, doc, tag, at) = _after_first(h, h1, np.array(ids, np.int64)[d], tags[d], words.at[start].astype(np.uint32))
+            doc, tag, at = np.array(ids, np.int64)[d], tags[d], words.at[start].astype(np.uint32)
+            rep = _repeats(h, h1, doc, tag, at)
             sent = ~rep
             out += packed((h[sent] % np.uint64(parts)).astype(np.int64), [x[sent] for x in (h, h1, doc, tag, at)])
             out += packed(parts + _bucketed(doc[rep], buckets), [doc[rep], tag[rep], at[rep]])
@@ -178,7 +183,8 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     def later(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() >= parts:
             return _settled(table, parts)
-        rep, (_, _, doc, tag, at) = _after_first(*unpacked(_rows(table), WINDOW))
+        h, h1, doc, tag, at = unpacked(_rows(table), WINDOW)
+        rep = _repeats(h, h1, doc, tag, at)
         return _table(list(packed(_bucketed(doc[rep], buckets), [doc[rep], tag[rep], at[rep]])))
 
     def cleaned(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -210,6 +216,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     release(spark)
     full = dealt.groupBy("part").cogroup(anchored.groupBy("part")).applyInArrow(windows, PACKED)
     repeats = cut(full.groupBy("part").applyInArrow(later, PACKED), "repeat-windows")
+    drop(anchored)
     release(spark)
     out = dealt.groupBy("part").cogroup(repeats.groupBy("part")).applyInArrow(cleaned, "doc long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")
     back = F.when(F.col("doc") != NULL_ID, F.col("doc")).cast(dict(docs.dtypes)[id_col])
