@@ -17,7 +17,7 @@ from ..shared import cut, drop, work_folder  # noqa: F401
 WORD = "[^\\x20\\x09-\\x0D]+"
 SEPARATORS = " \t\n\x0b\x0c\r"
 #: Rows up to which a side that has been counted may be broadcast.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 500_000
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 

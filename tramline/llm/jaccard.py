@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, join_counted, release, ship
+from .base import cut, drop, join_counted, release, ship
 from .components import components
 from .sketch import summed
 from .substrings import NULL_ID
@@ -82,7 +82,7 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
 
     def count(acc: np.ndarray, words: Words) -> None:
         cells, n = np.unique(shingle_sets(words, k)[1] % np.uint64(CELLS), return_counts=True)
-        acc[cells.astype(np.int64)] += n.astype(np.uint32)
+        acc[cells.astype(np.int64)] += n.astype(np.uint64)
 
     held = summed(rows, F.col("text"), CELLS, count, lower=True, most=255).astype(np.uint8)
     sketch = spark.sparkContext.broadcast(held)
@@ -118,6 +118,8 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     made = cut(made, "sets")
     classes = made.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc", "n", "typ", "prefix", "elements")).alias("c"), F.min(F.when(F.col("doc") != NULL_ID, F.col("doc"))).alias("top"))
     classes = cut(classes.select(F.col("s1").alias("cls"), "c.*", "top"), "set-classes")
+    members, firsts = cut(made.select("doc", "n", "s1"), "set-members"), cut(classes.select("cls", "doc", "top"), "set-firsts")
+    drop(made)
     release(spark)
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +139,13 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     stars = cut(stars, "set-stars")
     linked = light.join(stars, ["sub", "t"]).filter((F.col("cls") != F.col("hcls")) & (100 * F.col("t") >= percent * (F.col("n") + F.col("hn") - F.col("t"))))
     edges = cut(linked.select(F.col("cls").alias("a"), F.col("hcls").alias("b")).distinct(), "set-links")
+    drop(light, stars)
 
     least = _least(small + 1, percent)
     heavy = classes.filter(F.col("n") >= least).select("cls", "n", "typ", F.posexplode("prefix").alias("p", "token"))
     shared = cut(heavy.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "set-tokens")
-    lists = cut(join_counted(heavy, shared, "token", "inner"), "set-lists")
+    lists = cut(heavy.join(shared, "token"), "set-lists")
+    drop(classes, shared)
     release(spark)
     hubs = lists.groupBy("token").agg(F.max(F.struct("typ", "cls", "n", "p")).alias("hub"))
     hubs = cut(hubs.select("token", F.col("hub.cls").alias("hcls"), F.col("hub.n").alias("hn"), F.col("hub.p").alias("hp")), "set-hubs")
@@ -171,17 +175,20 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     def verified(pairs: DataFrame) -> DataFrame:
         """Of the pairs of classes, those that link by their exact sets, which are made anew from one document of each class."""
         need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        need = cut(need.join(classes.select("cls", "doc"), "cls"), "set-needed")
+        need = cut(need.join(firsts.select("cls", "doc"), "cls"), "set-needed")
         found = join_counted(rows, need, "doc", "inner").select("cls", "doc", "text").mapInArrow(sets, "cls long, items binary")
         found = cut(found.groupBy("cls").agg(F.first("items").alias("items")), "set-items")
+        release(spark)
         both = pairs.join(found.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(found.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
         out = cut(both.select("a", "b", "x", "y").mapInArrow(overlaps, "a long, b long"), "set-links")
+        drop(need, found)
         release(spark)
         return out
 
     edges = edges.union(verified(pairs))
     comp = components(edges)
-    lists = cut(lists.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "set-lists")
+    plain, lists = lists, cut(lists.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "set-lists")
+    drop(plain)
     hubs = cut(hubs.join(comp.withColumnRenamed("node", "hcls"), "hcls", "left").select("token", F.coalesce("comp", "hcls").alias("hcomp")), "set-hubs")
     apart = join_counted(lists, hubs, "token").filter(F.col("comp") != F.col("hcomp"))
     apart = cut(apart.select("token", F.col("cls").alias("acls"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("comp").alias("acomp")), "set-apart")
@@ -189,13 +196,14 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     cross = cross.select(F.least("cls", "acls").alias("a"), F.greatest("cls", "acls").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cut(cross.join(tried, ["a", "b"], "left_anti"), "set-pairs")
+    drop(lists, hubs, apart)
     if not cross.isEmpty():
         comp = components(edges.union(verified(cross)))
-    full = classes.select("cls", "top").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    full = firsts.select("cls", "top").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     tops = cut(full.groupBy("comp").agg(F.min("top").alias("component_id")), "set-tops")
     ends = cut(full.join(tops, "comp").select(F.col("cls").alias("s1"), "component_id"), "set-ends")
     back = F.when(F.col("doc") != NULL_ID, F.col("doc"))
-    out = join_counted(made.select("doc", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1")), ends, "s1")
+    out = join_counted(members.select("doc", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1")), ends, "s1")
     return out.select(back.cast(dict(docs.dtypes)[id_col]).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(back).alias("component_id"))
 
 
