@@ -1,0 +1,35 @@
+"""Queries named _all answer every request and stop: the oracles' SQL without its filters, on the smallest tables."""
+
+import duckdb
+import pytest
+
+from tramline.queries import MAX_ROUNDS, SAMPLED, _unrolled
+from tramline.registry import ORACLES, QUERIES
+
+from .test_queries import DIR, TABLES, shown
+
+OPTIONS, BEST = "itr_1_2_win_13_raptor_options", "top_4_best_option"
+SUBSETS = {
+    OPTIONS: [(_unrolled(SAMPLED[1]).removeprefix("+"), _unrolled(MAX_ROUNDS).removeprefix("+")), (" WHERE query_id % 20 < 2", "")],
+    BEST: [(_unrolled(SAMPLED[1]).removeprefix("+"), _unrolled(MAX_ROUNDS).removeprefix("+")), (" WHERE query_id % 20 < 2", "")],
+    "itr_4_6_win_14_label_search": [(" WHERE query_id % 100 = 3", ""), ("depart + 3600", "depart + 14400")],
+    "top_1_joi_5_nearest_stops": [(" WHERE r.query_id % 10 = 0", "")],
+    "top_8_nearest_vertex": [(" AND k % 10 = 0", "")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(SUBSETS))
+def test_all_rows_are_answered(spark, name):
+    duck, sql = duckdb.connect(), ORACLES[name]
+    for t in TABLES:
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    for some, all_ in SUBSETS[name]:
+        assert some.strip() in sql
+        sql = sql.replace(some.strip(), all_)
+    df = QUERIES[f"{name}_all"](spark, DIR)
+    cursor = duck.execute(sql)
+    names = [x[0] for x in cursor.description]
+    want = sorted(tuple(shown(v) for _, v in sorted(zip(names, r), key=lambda p: p[0])) for r in cursor.fetchall())
+    assert sorted(tuple(shown(r[c]) for c in sorted(df.columns)) for r in df.collect()) == want
+    few = QUERIES[name](spark, DIR).count()
+    assert len(want) > few
