@@ -234,6 +234,32 @@ def test_packing_takes_lexical_neighbours():
     assert sum(n for w in got for _, _, n in w) == 1400
 
 
+def test_packing_finds_neighbours_in_the_whole_corpus(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_WORDS", 4_000)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    common, topics = [word() for _ in range(60)], [[word() for _ in range(30)] for _ in range(60)]
+    order = [k for k in range(60) for _ in range(10)]
+    rng.shuffle(order)
+    texts = [" ".join(rng.choice(common if rng.random() < 0.5 else topics[k]) for _ in range(60)) for k in order]
+    out = packing.retrieval_packing(table(spark, texts), public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN).toPandas()
+    assert out.doc_id.nunique() == 600
+    seeds = out[out.offset == 0].set_index("sequence_id").doc_id
+    others = out[out.offset > 0]
+    same = [order[d] == order[seeds[s]] for d, s in zip(others.doc_id, others.sequence_id)]
+    assert len(set(out.sequence_id // 2**32)) > 3 and sum(same) > 0.7 * len(same), sum(same) / len(same)
+
+
+def test_packing_scores_by_all_terms():
+    rng = np.random.default_rng(4)
+    terms = [np.unique(rng.integers(0, 400, 90)) for _ in range(50)] + [np.zeros(0, np.int64)]
+    counts, sizes, idf = [rng.integers(1, 5, len(t)) for t in terms], np.full(51, 200), rng.random(400)
+    index = packing.Index(terms, counts, sizes, idf, 180.0)
+    for a in (0, 7, 50):
+        want = [sum(idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * 200 / 180)) for t, f in zip(terms[b], counts[b]) if t in set(terms[a])) for b in range(51)]
+        assert np.allclose(index.scores(a), want)
+
+
 def test_mix_comes_near_its_targets(spark):
     rng = random.Random(5)
     rows = [(i, "w " * rng.randint(0, 40), "en", rng.choice(["a", "b", "c", "d", None]) if i % 3 else "hot", 0) for i in range(900)] + [(None, None, None, "empty", None)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,10 +17,15 @@ from pyspark.sql import functions as F
 
 from .base import ship
 from .sketch import PIECES, summed
-from .textblocks import Words, arrow_rows, blocks
+from .textblocks import Words, arrow_rows, blocks, mix
+from .vectors import fit_centroids
 
 #: Terms are words hashed into TERMS buckets, so document frequencies have a fixed size. Words of a shard, about.
 TERMS, SHARD_WORDS = 1 << 18, 200_000
+#: Documents that the topics are fitted on and topics at most; numbers of a document's sketch.
+SAMPLE, MAX_TOPICS, SKETCH = 20_000, 2_048, 256
+#: Lists that hold more than this share of a shard's documents are scored as whole rows of weights.
+COMMON = 1 / 8
 K1, B = 1.2, 0.75
 #: What the byte-level pattern has for runs of white space before a word, and such runs.
 LOOK_AHEAD, _SPACES = r"|\s+(?!\S)", re.compile("[\\t\\n\\r ]{2}")
@@ -68,24 +74,101 @@ def _count_documents(acc: np.ndarray, words: Words) -> None:
     acc[TERMS + 1] += np.uint64(words.counts.sum())
 
 
+def bm25(idf: np.ndarray, tf: np.ndarray, sizes: np.ndarray, mean_size: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / max(mean_size, 1e-9)))
+
+
+def sketched(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Unit count sketches of n documents' weights, whose products come near the cosines; 0 for a document without terms."""
+    at = mix(term.astype(np.uint64) + np.uint64(1))
+    sign = np.where(at >> np.uint64(63), 1.0, -1.0)
+    out = np.bincount(doc * SKETCH + (at % np.uint64(SKETCH)).astype(np.int64), sign * weight, n * SKETCH).reshape(n, SKETCH)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+class Topics:
+    """Deals documents to shards by content: to the topic whose centroid is nearest. A topic of more than SHARD_WORDS words,
+    by the sample's share, is parted by the second nearest one, and what is still more than two shards (copies, mostly) by a
+    hash of the id."""
+
+    def __init__(self, sample: np.ndarray, sizes: np.ndarray, shards: int, words: int):
+        self.topics = fit_centroids(sample, max(1, min(shards, MAX_TOPICS, len(sample) // 8))) if shards > 1 and len(sample) else None
+        self.parts: dict[int, int] = {}
+        self.large: dict[tuple[int, int], int] = {}
+        if self.topics is not None:
+            first, second = self.nearest(sample)
+            share = words / SHARD_WORDS / max(1, sizes.sum())
+            for a in np.unique(first):
+                own, rest = first == a, 0.0
+                for b in np.unique(second[own]):
+                    held = share * sizes[own & (second == b)].sum()
+                    if held > 2:
+                        self.large[int(a), int(b)] = math.ceil(held)
+                    else:
+                        rest += held
+                self.parts[int(a)] = max(1, math.ceil(rest))
+        # Shards are numbered topic by topic: the parts first, then the large pairs' shares.
+        self.first, self.large_first, self.n = {}, {}, 0
+        for a in range(1 if self.topics is None else len(self.topics)):
+            self.first[a] = self.n
+            self.n += self.parts.get(a, 1)
+        for pair, n in self.large.items():
+            self.large_first[pair] = self.n
+            self.n += n
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, second = [], []
+        for part in np.array_split(x, math.ceil(len(x) / 1024)):
+            near = part @ self.topics.T
+            first.append(near.argmax(axis=1))
+            near[np.arange(len(part)), first[-1]] = -2
+            second.append(near.argmax(axis=1))
+        return np.concatenate(first), np.concatenate(second)
+
+    def shards(self, x: np.ndarray, keys: list[int]) -> list[int]:
+        """Shards of documents with sketches x; keys are hashes of the ids. A document without terms has no topic and is
+        dealt by its key."""
+        if self.topics is None:
+            return [0] * len(keys)
+        out = []
+        for a, b, some, key in zip(*(v.tolist() for v in self.nearest(x)), x.any(axis=1).tolist(), keys):
+            if not some:
+                out.append(key % self.n)
+            elif n := self.large.get((a, b)):
+                out.append(self.large_first[a, b] + key % n)
+            else:
+                out.append(self.first[a] + b % self.parts.get(a, 1))
+        return out
+
+
 class Index:
-    """Inverted lists of one shard with BM25 weights from the whole corpus's statistics."""
+    """Inverted lists of one shard with BM25 weights from the whole corpus's statistics. A document asks by all its terms."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, idf: np.ndarray, mean_size: float, query_terms: int):
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, idf: np.ndarray, mean_size: float):
         doc, term, tf = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms), np.concatenate(counts).astype(np.float64)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(mean_size, 1e-9)))
+        weight = bm25(idf[term], tf, sizes[doc], mean_size)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.terms, self.begin = np.unique(term[order], return_index=True)
         self.end = np.append(self.begin[1:], len(order))
-        # A document asks by its terms of the largest weight.
-        self.asks = [np.searchsorted(self.terms, t[np.argsort(-idf[t], kind="stable")[:query_terms]]) for t in terms]
         self.n = len(terms)
+        self.asks = [np.searchsorted(self.terms, t) for t in terms]
+        # Long lists are rows of weights for all documents, which add up faster; they hold at most 1 / COMMON numbers an entry.
+        long = np.nonzero(self.end - self.begin > COMMON * self.n)[0]
+        self.row = np.full(len(self.terms), -1, np.int64)
+        self.row[long] = np.arange(len(long))
+        self.rows = np.zeros((len(long), self.n))
+        for k, t in enumerate(long):
+            self.rows[k, self.doc[self.begin[t] : self.end[t]]] = self.weight[self.begin[t] : self.end[t]]
 
     def scores(self, seed: int) -> np.ndarray:
-        at = [np.arange(self.begin[t], self.end[t]) for t in self.asks[seed]]
-        at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        asks = self.asks[seed]
+        row = self.row[asks]
+        out = self.rows[row[row >= 0]].sum(axis=0)
+        asks = asks[row < 0]
+        many = self.end[asks] - self.begin[asks]
+        at = np.repeat(self.begin[asks] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return out + np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 def pack(lengths: np.ndarray, scores, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -114,14 +197,14 @@ def pack(lengths: np.ndarray, scores, window: int) -> Iterator[list[tuple[int, i
             yield taken
 
 
-def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: int = 0, query_terms: int = 32, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: int = 0, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids, with end_id after them, are cut into whole windows, which are sequences of their own, and a last
-    fragment. Fragments are dealt by a hash of their id into shards of about SHARD_WORDS words; a shard holds an inverted
-    index of its documents, weighted by document frequencies and mean length of the whole corpus, and pack() fills windows
-    from it, full up to the last one of a shard. Document frequencies are of hashed terms (a fixed-size array, which is what
-    is broadcast). Texts are read twice: for the frequencies, and to encode them. Only fragments and term counts are
+    fragment. Fragments are dealt by their documents' topics (see Topics, fitted on a sample) into shards of about SHARD_WORDS
+    words, so that neighbours meet; a shard holds an inverted index of its documents, weighted by document frequencies and
+    mean length of the whole corpus, and pack() fills windows from it, full up to the last one of a shard. Document frequencies are of hashed terms (a fixed-size array, which is what
+    is broadcast). Texts are read twice, for the frequencies and to encode them, and those of the sample once more. Only fragments and term counts are
     shuffled. model (and ranks, pattern: the same vocabulary for tiktoken) must name the same files on every executor.
 
     Null or empty text: end_id alone. Rows that repeat an id are packed each for itself. Null ids pass through. No rows in,
@@ -133,6 +216,29 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
     shards = max(1, -(-total // SHARD_WORDS))
     mean_size = total / max(1, n)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
+
+    def sketches(words: Words, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        weight = bm25(idf.value[term], tf, words.counts[doc], mean_size)
+        for lo in range(0, len(words.counts), 1024):
+            hi = min(lo + 1024, len(words.counts))
+            a, b = np.searchsorted(doc, [lo, hi])
+            yield slice(lo, hi), sketched(doc[a:b] - lo, term[a:b], weight[a:b], hi - lo)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, words in blocks(arrow_rows(batches)):
+            for own, x in sketches(words, *_buckets(words)):
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[own], pa.int64()), "x": pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary()), "size": pa.array(words.counts[own], pa.int64())})
+
+    fit = (np.zeros((0, SKETCH)), np.zeros(0))
+    if shards > 1:
+        key = F.xxhash64(F.lit(3), F.col(id_col).cast("string"), text)
+        share = int(min(1.0, SAMPLE / n) * (1 << 20)) + 1
+        some = docs.select(key.alias("key"), text.cast("binary").alias("text")).filter(F.pmod("key", F.lit(1 << 20)) < share)
+        some = some.mapInArrow(sampled, "key long, x binary, size long").orderBy("key").limit(SAMPLE).collect()
+        x = np.array([np.frombuffer(r["x"], np.float32) for r in some], np.float64).reshape(-1, SKETCH)
+        there = x.any(axis=1)
+        fit = (x[there], np.array([r["size"] for r in some], np.float64)[there])
+    topics = spark.sparkContext.broadcast(Topics(*fit, shards, total))
     kind = dict(docs.dtypes)[id_col]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +247,8 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
             doc, term, tf = _buckets(words)
             bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
             out: dict[str, list] = {k: [] for k in ("id", "n", "crcs", "rest", "terms", "tf", "size")}
+            keys = [zlib.crc32(t if i is None else i.encode()) for i, t in zip(some, texts)]
+            out["shard"] = [s for own, x in sketches(words, doc, term, tf) for s in topics.value.shards(x, keys[own])]
             for k, t in enumerate(texts):
                 tokens = np.append(encode(t.decode()), np.uint32(end_id)).astype("<u4")
                 whole = len(tokens) // window * window
@@ -153,7 +261,7 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
                 out["terms"].append(term[own].tobytes())
                 out["tf"].append(np.minimum(tf[own], 65535).astype(np.uint16).tobytes())
                 out["size"].append(int(words.counts[k]))
-            kinds = {"id": pa.string(), "n": pa.int64(), "size": pa.int64()}
+            kinds = {"id": pa.string(), "n": pa.int64(), "size": pa.int64(), "shard": pa.int64()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
     def packed(shard: pd.DataFrame) -> pd.DataFrame:
@@ -169,7 +277,7 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
             for j, crc in enumerate(np.frombuffer(crcs, np.uint32)):
                 rows.append((k, j * window, window, int(crc), first, 0))
                 first += 1
-        index = Index([np.frombuffer(b, np.int32) for b in shard["terms"]], [np.frombuffer(b, np.uint16) for b in shard["tf"]], shard["size"].to_numpy(), idf.value, mean_size, query_terms)
+        index = Index([np.frombuffer(b, np.int32) for b in shard["terms"]], [np.frombuffer(b, np.uint16) for b in shard["tf"]], shard["size"].to_numpy(), idf.value, mean_size)
         for taken in pack(fragment, index.scores, window):
             offset = 0
             for k, start, length in taken:
@@ -181,8 +289,7 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
         return out[["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text.cast("binary").alias("text"))
-    rows = rows.mapInArrow(encoded, "id string, n long, crcs binary, rest binary, terms binary, tf binary, size long")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    rows = rows.mapInArrow(encoded, "id string, n long, crcs binary, rest binary, terms binary, tf binary, size long, shard long")
     out = rows.groupBy("shard").applyInPandas(packed, "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
