@@ -81,6 +81,22 @@ def test_contexts_find_unseen_identifiers(spark):
     assert not any(r.n_found for r in personal.digest(personal.personal_spans(table(spark, copies))).collect())
 
 
+def found(spark, texts):
+    return [r.n_found for r in personal.digest(personal.personal_spans(table(spark, texts))).orderBy("doc_id").collect()]
+
+
+def test_accepted_identifiers_support_new_patterns(spark):
+    texts = [f"call our agent phone: +1 (555) 555-{1000 + i} today" for i in range(30)] + [f"call our agent phone: 555-77{i:02d}-9 today" for i in range(6)]
+    texts += [f"the employee no 555-77{i:02d}-9 left" for i in range(6)] + ["the employee no 41-882-7 left", "the order 77-88-12 came"]
+    assert found(spark, texts) == [0] * 30 + [1] * 13 + [0]
+
+
+def test_contexts_of_attached_labels(spark):
+    for before in ("tel=", "tel:", '{"tel": "', '{"tel":"'):
+        texts = [f"u{i} {before}+1 (555) 555-{1000 + i}" for i in range(12)] + [f"u{i} {before}555-77{i:02d}-9" for i in range(3)]
+        assert found(spark, texts) == [0] * 12 + [1] * 3, before
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 2, 3, 10, 101)], "v array<int>")
     for r in df.select("v", let(F.col("v"), spans.running).alias("s")).collect():

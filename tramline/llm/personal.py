@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD, cut, join_counted, let
+from .base import cut, join_counted, let
 from .spans import Kind, all_spans, counted, joined, kind_spans
 
 
@@ -29,16 +29,22 @@ BASE = [
 _TOKEN = Kind("found", "(?<![A-Za-z0-9@_#./+-])(?=[A-Za-z@_#./+-]*+[0-9][A-Za-z@_#./+-]*+[0-9][A-Za-z@_#./+-]*+[0-9])[A-Za-z0-9@_#+][A-Za-z0-9@_#./+-]{3,61}[A-Za-z0-9](?![A-Za-z0-9@_#./+-])", maybe="(?s)[0-9].*[0-9].*[0-9]")
 
 
+#: Pattern words end at white space, and after quotes, brackets and labels, which may be attached to what follows.
+_MARKS = "\\x22':=,;|(){}<>\\[\\]"
+_PIECE = f"[^\\x20\\x09-\\x0D{_MARKS}]*+[{_MARKS}]++|[^\\x20\\x09-\\x0D{_MARKS}]++"
+
+
 def _norm(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), "[0-9]", "9")
 
 
 def contexts(text: Column, start: Column, reach: int = 160) -> Column:
     """Lexical patterns of a place: the two words before it, and the one before it if it ends like a label. Only the `reach`
-    code points before the place are cut up; a word longer than that is no pattern word."""
+    code points before the place are cut up; a word longer than that is no pattern word. A place inside a word has none."""
     before = F.substring(text, F.greatest(F.lit(1), start - reach + 1), F.least(start, F.lit(reach)))
     made = lambda ws: F.when(F.size(ws) >= 1, F.filter(F.array(F.when(F.size(ws) >= 2, F.concat(F.lit("2 "), _norm(F.get(ws, F.size(ws) - 2)), F.lit(" "), _norm(F.get(ws, F.size(ws) - 1)))), F.when(F.get(ws, F.size(ws) - 1).rlike("[:=#]$"), F.concat(F.lit("1 "), _norm(F.get(ws, F.size(ws) - 1))))), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
-    return let(F.regexp_extract_all(before, F.lit(WORD), F.lit(0)), made)
+    begins = lambda b: F.when(b.rlike(f"[\\x20\\x09-\\x0D{_MARKS}]$"), let(F.regexp_extract_all(b, F.lit(_PIECE), F.lit(0)), made)).otherwise(F.array().cast("array<string>"))
+    return let(before, begins)
 
 
 def word_contexts(text: Column) -> Column:
@@ -47,15 +53,15 @@ def word_contexts(text: Column) -> Column:
         F.when(F.size(ws) >= 3, F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.concat(F.lit("2 "), F.get(ws, i), F.lit(" "), F.get(ws, i + 1)))).otherwise(F.array().cast("array<string>")),
         F.transform(F.filter(ws, lambda w: w.rlike("[:=#]$")), lambda w: F.concat(F.lit("1 "), w)),
     )
-    return let(F.regexp_extract_all(_norm(text), F.lit(WORD), F.lit(0)), pairs)
+    return let(F.regexp_extract_all(_norm(text), F.lit(_PIECE), F.lit(0)), pairs)
 
 
 def personal_spans(docs: DataFrame, rounds: int = 3, min_support: int = 5, min_precision: float = 0.5, min_score: float = 0.8, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: id, spans (array of start, rank, kind, end), and keep's columns.
 
-    The BASE spans are the seeds. Words before a seed make lexical patterns; patterns and the identifier-like tokens (three
-    digits or more, outside BASE spans) that follow them form a graph. Each round scores a pattern by the share of all its
-    occurrences in the corpus that are followed by a seed or an accepted instance, if min_support different ones are (patterns that cannot reach min_precision are left out beforehand), and an
+    The BASE spans are the seeds. Words before a seed or token make lexical patterns; patterns and the identifier-like tokens
+    (5 to 64 characters, three digits or more, outside BASE spans) that follow them form a graph. Each round scores a pattern by the share of all its
+    occurrences in the corpus that are followed by a seed or an accepted instance, if min_support different ones are (patterns that cannot reach that or min_precision, whatever is accepted, are left out beforehand), and an
     instance by 1 minus the product of (1 - score) over its patterns; instances of min_score or more are accepted and count
     from the next round on. Spans of the accepted instances in a pattern of min_precision or more are added, as kind "found".
     BASE spans always stay. Null text: empty, no spans. Repeated rows keep their own spans, but instances and supports count
@@ -72,8 +78,8 @@ def personal_spans(docs: DataFrame, rounds: int = 3, min_support: int = 5, min_p
     some = rows.filter(F.size("_found") > 0).select("_row", F.explode("_found").alias("s")).select("_row", "s.*")
     edges = some.select("inst", (F.col("kind") != _TOKEN.name).alias("seed"), F.explode("pats").alias("pat"))
     edges = cut(edges.groupBy("pat", "inst", "seed").agg(F.count("*").alias("n")), "personal-graph")
-    hopeful = edges.filter("seed").groupBy("pat").agg(F.count("*").alias("k")).filter(F.col("k") >= min_support).select("pat")
-    hopeful = cut(hopeful.join(edges.filter("not seed").select("pat").distinct(), "pat"), "personal-patterns")
+    hopeful = edges.groupBy("pat").agg(F.count_distinct("inst").alias("k"), F.bool_or(~F.col("seed")).alias("new"))
+    hopeful = cut(hopeful.filter((F.col("k") >= min_support) & F.col("new")).select("pat"), "personal-patterns")
     accepted = None
     if not hopeful.isEmpty():
         # How often a pattern occurs: first where any span can be, which already rules out most, then over the whole corpus.
@@ -90,7 +96,7 @@ def personal_spans(docs: DataFrame, rounds: int = 3, min_support: int = 5, min_p
         for _ in range(rounds):
             marked = graph.join(known.withColumn("_known", F.lit(True)), "inst", "left").withColumn("_good", F.col("seed") | F.coalesce("_known", F.lit(False)))
             score = F.sum(F.when(F.col("_good"), F.col("n")).otherwise(0)) / F.first("total")
-            pats = marked.groupBy("pat").agg(score.alias("score"), F.sum(F.col("_good").cast("int")).alias("k")).filter(F.col("k") >= min_support).select("pat", F.least("score", F.lit(0.999)).alias("score"))
+            pats = marked.groupBy("pat").agg(score.alias("score"), F.count_distinct(F.when(F.col("_good"), F.col("inst"))).alias("k")).filter(F.col("k") >= min_support).select("pat", F.least("score", F.lit(0.999)).alias("score"))
             pats = cut(pats, "personal-scores")
             insts = graph.join(pats, "pat").groupBy("inst").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("conf")).filter(F.col("conf") >= min_score).select("inst")
             known = cut(known.union(insts).distinct(), "personal-known")
