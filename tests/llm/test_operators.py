@@ -340,6 +340,14 @@ def test_nearest_vectors(spark):
     assert vectors.nearest_vectors(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_ties_of_many_vectors_go_to_smaller_ids(spark):
+    # One-hot pairs: all vectors of the large group are different and have the same cosine with the query.
+    rows = [(0, [1.0] + [0.0] * 80)] + [(i, [1.0] + [float(j == i) for j in range(1, 81)]) for i in range(80, 0, -1)]
+    for some in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        got = vectors.nearest_vectors(spark.createDataFrame(some, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
+
+
 # --- quality ---
 
 

@@ -125,7 +125,8 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, replicas:
         return run
 
     kind = "list long, _c string, _v array<double>"
-    posted = cut(classes.select("_c", "_v").mapInPandas(dealt(replicas, replica_ratio, 1), kind), "ann-lists")
+    posted = classes.select("_c", "_v").mapInPandas(dealt(replicas, replica_ratio, 1), kind)
+    posted = cut(posted.join(classes.select("_c", F.get("ids", F.lit(0)).alias("_first")), "_c").select("list", "_c", "_v", "_first"), "ann-lists")
     seekers = classes.join(asked.select("_c").distinct(), "_c", "left_semi").select("_c", "_v")
     probed = cut(seekers.mapInPandas(dealt(probes, probe_ratio, least_probes), kind), "ann-probes")
     # There are MAX_LISTS lists at most, so this table of their parts is small.
@@ -133,20 +134,18 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, replicas:
     split = cut(parts(posted, "_np").join(parts(probed, "_nq"), "list"), "ann-parts")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     part = F.pmod(F.xxhash64("_c"), F.col("_n")).cast("int")
-    held = posted.join(F.broadcast(split.withColumnRenamed("_np", "_n")), "list").select("list", part.alias("p"), each(F.col("_nq")).alias("q"), "_c", "_v")
+    held = posted.join(F.broadcast(split.withColumnRenamed("_np", "_n")), "list").select("list", part.alias("p"), each(F.col("_nq")).alias("q"), "_c", "_v", "_first")
     seek = probed.join(F.broadcast(split.withColumnRenamed("_nq", "_n")), "list").select("list", each(F.col("_np")).alias("p"), part.alias("q"), "_c", "_v")
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"_qc": [], "_c": [], "score": []}
         if len(left) and len(right):
+            left = left.sort_values("_first", kind="stable")
             a, b = np.array(right["_v"].tolist()), np.array(left["_v"].tolist())
             sims = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
+            # By score, then smallest id, as in the result: rows are put in order of ids, and the sort is stable.
             top = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * k + 2]
-            pick = np.repeat(np.arange(len(a)), top.shape[1])
-            # All that tie with the last one kept come along.
-            last = np.take_along_axis(sims, top[:, -1:], 1)
-            tie_q, tie_c = np.nonzero(sims >= last)
-            q, c = (tie_q, tie_c) if len(tie_q) <= 4 * len(pick) else (pick, top.ravel())
+            q, c = np.repeat(np.arange(len(a)), top.shape[1]), top.ravel()
             out = {"_qc": right["_c"].to_numpy()[q], "_c": left["_c"].to_numpy()[c], "score": sims[q, c]}
         return pd.DataFrame(out)
 
