@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,15 +11,20 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LISTS: list[list[str]] = []
+#: Rows up to which a side that has been counted may be broadcast.
+BROADCAST_ROWS = 500_000
+#: Spark's setting that deletes a query's shuffle files as soon as the query is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder name in the cluster's shared spark.checkpoint.dir; in a local folder only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tramline-')}"
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
@@ -27,12 +33,19 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: lineage ends there, and lost executors cost a reread."""
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    """df as a written table in the shared folder: lineage ends there, and lost executors cost a reread. What it was shuffled
+    through is deleted once it is written."""
+    spark = df.sparkSession
+    path = work_folder(spark, name)
     for made in _LISTS:
         made.append(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
@@ -49,6 +62,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def join_counted(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
+    """left join right. right, a written table whose rows its footers count, is broadcast only up to BROADCAST_ROWS; beyond,
+    Spark shuffles both sides and AQE splits skewed keys."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+
+
 @contextmanager
 def listing() -> Iterator[list[str]]:
     """The folders that cut() writes meanwhile."""
