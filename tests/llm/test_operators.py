@@ -183,6 +183,29 @@ def test_repeats_of_repeated_rows_and_null_ids(spark):
     assert substrings.repeated_spans(nothing(spark)).count() == 0
 
 
+def test_repeats_of_many_rows_with_one_id(spark):
+    rng = random.Random(5)
+    line = [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join([rng.choice("abcdef") * rng.randint(1, 9) for _ in range(rng.randint(0, 40))] + line * (n % 2))) for n, i in enumerate([None] * 1500 + [7] * 1500 + list(range(100, 400)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.repeated_spans(df)
+    first: dict[tuple, tuple] = {}
+    for i, text in rows:
+        ws = brute.words(text)
+        for at in range(len(ws) - 19):
+            first[tuple(ws[at : at + 20])] = min(first.get(tuple(ws[at : at + 20]), (1 << 62, 0)), (-1 if i is None else i, at))
+    want = []
+    for i, text in rows:
+        ws = brute.words(text)
+        gone = {p for at in range(len(ws) - 19) if first[tuple(ws[at : at + 20])] < (-1 if i is None else i, at) for p in range(at, at + 20)}
+        want.append((-1 if i is None else i, len(ws), len(gone), " ".join(w for p, w in enumerate(ws) if p not in gone)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == sorted(want)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = got.filter("doc_id is null").select(F.spark_partition_id().alias("p")).distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1
+
+
 def near(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
@@ -348,6 +371,57 @@ def test_ties_of_many_vectors_go_to_smaller_ids(spark):
         assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
 
 
+def _found(spark, x, asks=50, **options):
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict[int, list] = {}
+    for r in vectors.nearest_vectors(df, F.col("vec_id") % asks == 0, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def _recall(got, x):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, found in got.items():
+        sims = np.round(unit @ unit[q], 12)
+        sims[q] = -9
+        hits += len(set(found) & set(np.lexsort((np.arange(len(x)), -sims))[:5].tolist()))
+    return hits / (5 * len(got))
+
+
+def test_scaled_vectors_tie_and_extreme_components_count(spark):
+    base = np.arange(1.0, 9.0)
+    assert _found(spark, np.outer(1 + np.arange(300.0), base), 300)[0] == [1, 2, 3, 4, 5]
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 8))
+    plain = _found(spark, x, 10)
+    assert _found(spark, x * 1e200, 10) == plain == _found(spark, x * 1e-200, 10) == _found(spark, x * 10.0 ** rng.integers(-300, 300, (120, 1)), 10)
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_recall_where_a_fifth_of_the_lists_is_read(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(40, 64))[rng.integers(0, 40, n)] + 0.5 * rng.normal(size=(n, 64))
+    lists = vectors.lists_for(n)
+    assert lists >= 30 and max(2, int(0.2 * lists)) <= lists / 5
+    assert _recall(_found(spark, x, 10), x) >= 0.9
+
+
+def test_long_lists_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4, 16))[rng.integers(0, 4, 4000)] + 0.4 * rng.normal(size=(4000, 16))
+    monkeypatch.setattr(vectors, "MAX_LISTS", 32)
+    monkeypatch.setattr(vectors, "SPLIT", 100)
+    monkeypatch.setattr(vectors, "PART", 64)
+    assert _recall(_found(spark, x, 50, share=0.4), x) >= 0.9
+
+
+def test_vectors_of_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0])] * 9 + [(2, [1.0, 0.1]), (2, [0.0, 1.0]), (None, [1.0, 0.0]), (3, [0.5, 0.5])]
+    got = vectors.nearest_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"c": F.lit(1), "u": F.lit(2), "list": F.lit(3)}), F.col("vec_id") == 1).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(1, 2), (1, 3)]
+
+
 # --- quality ---
 
 

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import time
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, drop, work_folder  # noqa: F401
+from ..shared import cut, delete, drop, join_counted, work_folder  # noqa: F401
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 SEPARATORS = " \t\n\x0b\x0c\r"
-#: Rows up to which a side that has been counted may be broadcast.
-BROADCAST_ROWS = 500_000
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -43,19 +39,3 @@ def ship(spark: SparkSession) -> SparkSession:
     if _ROOT not in env.get(held, "").split(os.pathsep):
         env[held] = os.pathsep.join(filter(None, [_ROOT, env.get(held, "")]))
     return spark
-
-
-def join_counted(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
-    """left join right. right (already a written table) is broadcast only up to BROADCAST_ROWS counted rows; beyond, Spark
-    shuffles both sides and AQE splits skewed keys."""
-    small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(right) if small else right, on, how)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now, rather than when the driver's heap happens to fill. What a
-    step has just used is let go a moment later, hence twice."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)

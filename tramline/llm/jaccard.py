@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, drop, join_counted, release, ship
+from .base import cut, drop, join_counted, ship
 from .components import components
 from .sketch import summed
 from .substrings import NULL_ID
@@ -120,7 +120,6 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     classes = cut(classes.select(F.col("s1").alias("cls"), "c.*", "top"), "set-classes")
     members, firsts = cut(made.select("doc", "n", "s1"), "set-members"), cut(classes.select("cls", "doc", "top"), "set-firsts")
     drop(made)
-    release(spark)
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cls, n, elements in arrow_rows(batches):
@@ -146,7 +145,6 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     shared = cut(heavy.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "set-tokens")
     lists = cut(heavy.join(shared, "token"), "set-lists")
     drop(classes, shared)
-    release(spark)
     hubs = lists.groupBy("token").agg(F.max(F.struct("typ", "cls", "n", "p")).alias("hub"))
     hubs = cut(hubs.select("token", F.col("hub.cls").alias("hcls"), F.col("hub.n").alias("hn"), F.col("hub.p").alias("hp")), "set-hubs")
     big = F.greatest("n", "hn") > small
@@ -178,11 +176,9 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
         need = cut(need.join(firsts.select("cls", "doc"), "cls"), "set-needed")
         found = join_counted(rows, need, "doc", "inner").select("cls", "doc", "text").mapInArrow(sets, "cls long, items binary")
         found = cut(found.groupBy("cls").agg(F.first("items").alias("items")), "set-items")
-        release(spark)
         both = pairs.join(found.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(found.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
         out = cut(both.select("a", "b", "x", "y").mapInArrow(overlaps, "a long, b long"), "set-links")
         drop(need, found)
-        release(spark)
         return out
 
     edges = edges.union(verified(pairs))

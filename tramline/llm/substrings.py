@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, drop, release, ship, word_count
+from .base import cut, drop, ship, word_count
 from .textblocks import arrow_rows, blocks
 
 #: Entries of a hash part, and words of a bucket of documents, about; parts and buckets at least; bytes of texts packed together.
@@ -21,8 +20,8 @@ NULL_ID = -(1 << 63)
 
 
 def packed(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    """Entries as one compressed row for each part they belong to. The last three columns, a place (document, tag, position),
-    are sent as differences, and every column byte by byte, which brings a place to about two bytes."""
+    """Entries as one compressed row for each part they belong to. The last three columns, a place (document, row key,
+    position), are sent as differences, and every column byte by byte, which brings a place to about two bytes."""
     order = np.argsort(part, kind="stable")
     part, columns = part[order], [c[order] for c in columns]
     edges = np.concatenate([[0], np.nonzero(part[1:] != part[:-1])[0] + 1, [len(part)]]) if len(part) else [0]
@@ -45,10 +44,10 @@ def unpacked(rows: list[tuple[int, bytes]], kinds: list) -> list[np.ndarray]:
     return [np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(out, kinds)]
 
 
-#: Anchor entries: 48 bits of the block hash beside the part's own, then document, 16 bits of its text's hash, place.
-ANCHOR = [np.uint32, np.uint16, np.int64, np.uint16, np.uint32]
-WINDOW = [np.uint64, np.uint32, np.int64, np.uint16, np.uint32]
-PLACE = [np.int64, np.uint16, np.uint32]
+#: Anchor entries: 48 bits of the block hash beside the part's own, then id, 64 bits of hash of id and text, place.
+ANCHOR = [np.uint32, np.uint16, np.int64, np.int64, np.uint32]
+WINDOW = [np.uint64, np.uint32, np.int64, np.int64, np.uint32]
+PLACE = [np.int64, np.int64, np.uint32]
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -64,21 +63,11 @@ def _rows(table: pa.Table) -> list[tuple[int, bytes]]:
     return list(zip(table["n"].to_pylist(), table["data"].to_pylist()))
 
 
-def _bucketed(doc: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket that xxhash64 gives each id in Spark."""
-    ids, back = np.unique(doc, return_inverse=True)
-    return np.array([xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42) for i in ids], np.uint64).astype(np.int64)[back] % buckets if len(ids) else np.zeros(0, np.int64)
-
-
-def _by_document(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-    order = np.lexsort((at, tag, doc))
-    doc, tag, at = doc[order], tag[order], at[order]
-    edges = np.nonzero((doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))[0] + 1
-    return {(int(d[0]), int(t[0])): a for d, t, a in zip(np.split(doc, edges), np.split(tag, edges), np.split(at, edges)) if len(d)}
-
-
-def _tag(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text) & 0xFFFF
+def _by_row(doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    order = np.lexsort((at, key, doc))
+    doc, key, at = doc[order], key[order], at[order]
+    edges = np.nonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))[0] + 1
+    return {(int(d[0]), int(k[0])): a for d, k, a in zip(np.split(doc, edges), np.split(key, edges), np.split(at, edges)) if len(d)}
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +76,7 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, ~(new & np.append(new[1:], True)) if len(key) else new
 
 
-def _repeats(h: np.ndarray, h1: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _repeats(h: np.ndarray, h1: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which entries have an equal hash at an earlier place."""
     order = np.lexsort((at, doc, h1, h))
     h, h1, doc, at = (x[order] for x in (h, h1, doc, at))
@@ -117,82 +106,79 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     3. Runs of repeats, brought back to their documents, extend to the maximal spans.
     Pairs are never formed. What repeats within one group of texts (TEXTS bytes, or a bucket) is settled there, and only its
     earliest place is sent on, so a passage that a third of all documents share brings one entry from each group to its part.
-    Documents are dealt by a hash of their id, and nothing is collected.
+    Rows are known and dealt by 64 bits of hash of id and text, so rows of one id are spread, and nothing is collected.
 
     Ids are integers; null counts as smaller than all. Null or empty text: no words. Rows that repeat id and text are judged
-    alike, each against earlier places; rows that repeat an id with another text are told apart by 16 bits of the text's hash.
-    No rows in, no rows out. Other columns are not read."""
+    alike, each against earlier places. Of rows that repeat an id with other texts none is earlier than another: only a place
+    further on is later. No rows in, no rows out. Other columns are not read."""
     spark = ship(docs.sparkSession)
     half = window // 2
     total = docs.agg(F.sum(word_count(F.col(text_col)))).first()[0] or 0
     parts, buckets = max(LEAST, total // PART_ENTRIES), max(LEAST, total // BUCKET_WORDS)
     ident, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(ident.alias("doc"), text.alias("text"))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
+    rows = docs.select(ident.alias("doc"), F.xxhash64(ident, text).alias("key"), text.alias("text"))
+    dealt = rows.withColumn("part", F.pmod("key", F.lit(buckets)).cast("int"))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, words in blocks(arrow_rows(batches), size=TEXTS):
-            tags = np.array([_tag(t) for t in texts], np.uint16)
+        for ids, _, words in blocks((((d, k), t) for d, k, t in arrow_rows(batches)), size=TEXTS):
             start, h = words.windows(half)
             part, rest, d = (h % np.uint64(parts)).astype(np.int64), h // np.uint64(parts), words.doc[start]
             low, high = (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint16)
-            doc, tag, at = np.array(ids, np.int64)[d], tags[d], words.at[start].astype(np.uint32)
+            (doc, key), at = np.array(ids, np.int64)[d].T, words.at[start].astype(np.uint32)
             order = np.argsort(h, kind="stable")
             new, shared = _runs(h[order])
             sent, here = np.sort(order[new]), np.sort(order[shared])  # in order of place, which packs well
             here = here[at[here] % half == 0]
-            found = list(packed(part[sent], [x[sent] for x in (low, high, doc, tag, at)]))
-            found += packed(parts + _bucketed(doc[here], buckets), [doc[here], tag[here], at[here]])
+            found = list(packed(part[sent], [x[sent] for x in (low, high, doc, key, at)]))
+            found += packed(parts + key[here] % buckets, [doc[here], key[here], at[here]])
             for i in range(0, len(found), 64):
                 yield _batch(found[i : i + 64])
 
-    def anchors(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() >= parts:
+    def anchors(part: tuple, table: pa.Table) -> pa.Table:
+        if part[0].as_py() >= parts:
             return _settled(table, parts)
-        low, high, doc, tag, at = unpacked(_rows(table), ANCHOR)
-        key = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-        order = np.argsort(key, kind="stable")
-        some = np.sort(order[_runs(key[order])[1]])
+        low, high, doc, key, at = unpacked(_rows(table), ANCHOR)
+        h = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+        order = np.argsort(h, kind="stable")
+        some = np.sort(order[_runs(h[order])[1]])
         some = some[at[some] % half == 0]
-        return _table(list(packed(_bucketed(doc[some], buckets), [doc[some], tag[some], at[some]])))
+        return _table(list(packed(key[some] % buckets, [doc[some], key[some], at[some]])))
 
     def windows(texts: pa.Table, found: pa.Table) -> pa.Table:
-        places = _by_document(*unpacked(_rows(found), PLACE))
+        places = _by_row(*unpacked(_rows(found), PLACE))
         out: list[tuple[int, int, bytes]] = []
-        some = ((d, t) for d, t in zip(texts["doc"].to_pylist(), texts["text"].to_pylist()) if (d, _tag(t)) in places)
-        for ids, group, words in blocks(some, hashes=2, size=TEXTS):
-            tags = np.array([_tag(t) for t in group], np.uint16)
+        some = (((d, k), t) for d, k, t in zip(*(texts[c].to_pylist() for c in ("doc", "key", "text"))) if (d, k) in places)
+        for ids, _, words in blocks(some, hashes=2, size=TEXTS):
             start, h = words.windows(window, 0)
             _, h1 = words.windows(window, 1)
             near = np.zeros(len(words.doc) + 1, np.int64)  # +1 where anchored windows begin, -1 after the last of them
-            for k, (i, t) in enumerate(zip(ids, tags)):
-                at = places[i, int(t)].astype(np.int64)
+            for k, row in enumerate(ids):
+                at = places[row].astype(np.int64)
                 near_from, near_to = words.first[k] + np.maximum(0, at - (window - half)), words.first[k] + at + 1
                 np.add.at(near, near_from, 1)
                 np.add.at(near, near_to, -1)
             pick = np.cumsum(near)[start] > 0
             start, h, h1 = start[pick], h[pick], h1[pick].astype(np.uint32)
-            d = words.doc[start]
-            doc, tag, at = np.array(ids, np.int64)[d], tags[d], words.at[start].astype(np.uint32)
-            rep = _repeats(h, h1, doc, tag, at)
+            (doc, key), at = np.array(ids, np.int64)[words.doc[start]].T, words.at[start].astype(np.uint32)
+            rep = _repeats(h, h1, doc, at)
             sent = ~rep
-            out += packed((h[sent] % np.uint64(parts)).astype(np.int64), [x[sent] for x in (h, h1, doc, tag, at)])
-            out += packed(parts + _bucketed(doc[rep], buckets), [doc[rep], tag[rep], at[rep]])
+            out += packed((h[sent] % np.uint64(parts)).astype(np.int64), [x[sent] for x in (h, h1, doc, key, at)])
+            out += packed(parts + key[rep] % buckets, [doc[rep], key[rep], at[rep]])
         return _table(out)
 
-    def later(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() >= parts:
+    def later(part: tuple, table: pa.Table) -> pa.Table:
+        if part[0].as_py() >= parts:
             return _settled(table, parts)
-        h, h1, doc, tag, at = unpacked(_rows(table), WINDOW)
-        rep = _repeats(h, h1, doc, tag, at)
-        return _table(list(packed(_bucketed(doc[rep], buckets), [doc[rep], tag[rep], at[rep]])))
+        h, h1, doc, key, at = unpacked(_rows(table), WINDOW)
+        rep = _repeats(h, h1, doc, at)
+        return _table(list(packed(key[rep] % buckets, [doc[rep], key[rep], at[rep]])))
 
     def cleaned(texts: pa.Table, found: pa.Table) -> pa.Table:
-        places = _by_document(*unpacked(_rows(found), PLACE))
+        places = _by_row(*unpacked(_rows(found), PLACE))
         out: dict[str, list] = {k: [] for k in ("doc", "n_words", "n_removed", "spans", "kept")}
-        for doc, text in zip(texts["doc"].to_pylist(), texts["text"].to_pylist()):
+        for doc, key, text in zip(*(texts[c].to_pylist() for c in ("doc", "key", "text"))):
             words = text.split()  # of bytes, at exactly the six separators
-            at = places.get((doc, _tag(text))) if places else None
+            at = places.get((doc, key)) if places else None
             spans, kept = [], words
             if at is not None:
                 at = np.unique(at.astype(np.int64))
@@ -213,11 +199,9 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     probed = rows.mapInArrow(probes, PACKED).groupBy("part").applyInArrow(anchors, PACKED)
     anchored = cut(probed, "repeat-anchors")
-    release(spark)
     full = dealt.groupBy("part").cogroup(anchored.groupBy("part")).applyInArrow(windows, PACKED)
     repeats = cut(full.groupBy("part").applyInArrow(later, PACKED), "repeat-windows")
     drop(anchored)
-    release(spark)
     out = dealt.groupBy("part").cogroup(repeats.groupBy("part")).applyInArrow(cleaned, "doc long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")
     back = F.when(F.col("doc") != NULL_ID, F.col("doc")).cast(dict(docs.dtypes)[id_col])
     return out.select(back.alias(id_col), "n_words", "n_removed", "spans", F.col("kept").cast("string").alias("kept"))

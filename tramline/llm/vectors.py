@@ -7,15 +7,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, ship
+from .base import cut, drop, join_counted, ship
 
-#: The index is fitted on this many distinct vectors at most; every vector is indexed.
-SAMPLE, MAX_LISTS, LIST_SIZE = 20_000, 2_048, 128
+#: The index is fitted on this many distinct directions at most, and so is each list that is split; every vector is indexed.
+SAMPLE, MAX_LISTS = 20_000, 2_048
+#: A list of more entries is split into lists of about an eighth of that.
+SPLIT = 4_096
 #: Vectors and queries that meet in one task at most.
 PART = 2_048
+#: Decimals to which directions are one class and scores tie: what lies below is rounding of the sums.
+DECIMALS = 12
 
 
 def fit_centroids(sample: np.ndarray, lists: int, seed: int = 7, steps: int = 8) -> np.ndarray:
@@ -72,9 +79,28 @@ class CentroidGraph:
         return ids, sims
 
 
-def _unit(batch: pd.Series) -> np.ndarray:
-    x = np.array(batch.tolist(), np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, q, v: list of doubles) -> (id, q, dim, c, u): the unit vector as bytes and a hash of its direction. Vectors are first
+    divided by their largest component, so no norm over- or underflows. What is not a valid vector is left out."""
+    for b in batches:
+        ids, asks, v = b.columns
+        lens = pc.fill_null(pc.list_value_length(v), 0).to_numpy()
+        flat, first = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(lens) - lens
+        for dim in np.unique(lens[lens > 0]):
+            rows = np.nonzero(lens == dim)[0]
+            x = flat[first[rows][:, None] + np.arange(dim)]
+            big = np.abs(x).max(axis=1)
+            ok = np.isfinite(x).all(axis=1) & (big > 0)
+            x = x[ok] / big[ok][:, None]
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            c = [xxhash.xxh3_128_hexdigest(r.tobytes()) for r in np.round(x, DECIMALS) + 0.0]
+            rows = pa.array(rows[ok])
+            cols = [ids.take(rows), asks.take(rows), pa.array(np.full(len(c), dim, np.int32)), pa.array(c, pa.string()), pa.array([r.tobytes() for r in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "q", "dim", "c", "u"])
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
 
 def _chosen(ids: np.ndarray, sims: np.ndarray, ratio: float, least: int) -> np.ndarray:
@@ -85,77 +111,141 @@ def _chosen(ids: np.ndarray, sims: np.ndarray, ratio: float, least: int) -> np.n
     return keep
 
 
-def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, replicas: int = 4, replica_ratio: float = 1.10, probes: int = 48, probe_ratio: float = 1.6, least_probes: int = 24, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _dealt(graph: CentroidGraph, part: pd.DataFrame, want: int, ratio: float, least: int, name: str) -> pd.DataFrame:
+    """Rows of part, each once for every list that it is dealt to, as column `name`."""
+    out = []
+    for some in (part.iloc[i : i + 256] for i in range(0, len(part), 256)):
+        ids, sims = graph.search(_matrix(some["u"]), min(want, len(graph.at)))
+        row, col = np.nonzero(_chosen(ids, sims, ratio, least))
+        out.append(some.iloc[row].assign(**{name: ids[row, col]}))
+    return pd.concat(out) if out else part.assign(**{name: np.zeros(0, np.int64)})
+
+
+def lists_for(n: int) -> int:
+    """Lists of n vectors: they grow with the square root of n, up to MAX_LISTS, beyond which lists are split."""
+    return max(1, min(MAX_LISTS, round(1.7 * math.sqrt(n))))
+
+
+def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, replicas: int = 4, replica_ratio: float = 1.10, probes: int = 48, probe_ratio: float = 1.6, least_probes: int = 24, share: float = 0.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row that is_query holds for, its k nearest other rows: query_id, rank (from 1), vec_id, score (cosine).
 
-    Vectors that are null or zero, hold null or non-finite components, or have another length than most, take no part. Equal
-    vectors are one class with its k + 1 smallest ids, so a vector that fills a third of the table costs as much as one row;
-    ties go to smaller ids. Classes are assigned to the posting lists of near centroids (several, if the next is within
-    replica_ratio of the nearest) by a search of the centroid graph; a query class reads the lists that probe_ratio leaves.
-    Lists and their queries are dealt out in parts of PART, so no list has to fit one task. Repeated ids count as rows of
-    their own, but a query never finds its own id. A table without two valid vectors gives no rows."""
+    Vectors that are null or zero, hold null or non-finite components, or have another length than most, take no part, nor do
+    null ids. Vectors of one direction (to DECIMALS decimals of the unit vector) are one class with its k + 1 smallest ids, so
+    copies and scaled copies that fill a third of the table cost as much as one row. Scores that agree to DECIMALS decimals
+    tie, and ties go to smaller ids.
+
+    Classes are assigned to the posting lists of near centroids (several, if the next is within replica_ratio of the nearest)
+    by a search of the centroid graph, in memory and of bounded size. A list with more than SPLIT entries gets centroids of its
+    own, fitted where its entries are, and is split by them alike, so lists stay short at any size. A query class reads the
+    lists that probe_ratio leaves, least_probes at least and probes at most, but no more than `share` of all (or two). Lists
+    and their queries are dealt out in parts of PART.
+
+    Rows that repeat id and vector count once; an id with several vectors may be found by any of them and asks with each, but
+    a query never finds its own id. A table without two valid vectors gives no rows. Other columns are not read."""
     spark = ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), is_query.alias("_q"))
-    ok = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
-    rows = rows.filter(F.col("_v").isNotNull() & ok & F.col("_id").isNotNull())
-    rows = rows.withColumn("_c", F.concat_ws(".", F.xxhash64("_v"), F.xxhash64(F.lit(1), "_v")))
-    top = rows.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = cut(rows.filter("id is not null and v is not null").mapInArrow(units, "id long, q boolean, dim int, c string, u binary"), "ann-vectors")
+    top = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if top is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("_v") == top["n"])
-    by = Window.partitionBy("_c").orderBy("_id")
-    first = rows.select("_c", "_id", "_v").withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= k + 1)
-    classes = cut(first.groupBy("_c").agg(F.sort_array(F.collect_list("_id")).alias("ids"), F.first("_v").alias("_v")), "ann-classes")
-    asked = cut(rows.filter(F.coalesce(F.col("_q"), F.lit(False))).select("_c", F.col("_id").alias("query_id")), "ann-queries")
+    valid = rows.filter(F.col("dim") == top["dim"])
+    by = Window.partitionBy("c").orderBy("id")
+    ids = valid.select("c", "id").distinct().withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= k + 1)
+    ids = ids.groupBy("c").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    classes = cut(valid.groupBy("c").agg(F.min_by("u", "id").alias("u")).join(ids, "c"), "ann-classes")
+    asked = cut(valid.filter("q").select("c", F.col("id").alias("query_id")).distinct(), "ann-queries")
     n = classes.count()
-    share = min(1.0, SAMPLE / max(1, n))
-    sample = classes.select("_c", "_v").filter(F.pmod(F.xxhash64("_c", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("_c").limit(SAMPLE).toPandas()
-    fitted = _unit(sample["_v"])
-    graph = spark.sparkContext.broadcast(CentroidGraph(fit_centroids(fitted, max(1, min(MAX_LISTS, len(fitted) // 8, n // LIST_SIZE)))))
-
-    def dealt(want: int, ratio: float, least: int):
+    within = int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)) + 1
+    sample = classes.select("c", "u").filter(F.pmod(F.xxhash64("c", F.lit(5)), F.lit(1 << 20)) < within).orderBy("c").limit(SAMPLE).toPandas()
+    fitted = _matrix(sample["u"])
+    lists = max(1, min(lists_for(n), len(fitted) // 8))
+    graph = spark.sparkContext.broadcast(CentroidGraph(fit_centroids(fitted, lists)))
+    read = lambda k_: max(2, min(probes, int(share * k_)))
+
+    def dealt(seeking: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-            g = graph.value
+            how = (read(lists), probe_ratio, min(least_probes, read(lists))) if seeking else (replicas, replica_ratio, 1)
             for b in batches:
-                for part in (b.iloc[i : i + 256] for i in range(0, len(b), 256)):
-                    ids, sims = g.search(_unit(part["_v"]), min(want, len(g.at)))
-                    row, col = np.nonzero(_chosen(ids, sims, ratio, least))
-                    yield pd.DataFrame({"list": ids[row, col], "_c": part["_c"].to_numpy()[row], "_v": part["_v"].to_numpy()[row]})
+                yield _dealt(graph.value, b, *how, "list")[["list", "first", "c", "u"]]
 
         return run
 
-    kind = "list long, _c string, _v array<double>"
-    posted = classes.select("_c", "_v").mapInPandas(dealt(replicas, replica_ratio, 1), kind)
-    posted = cut(posted.join(classes.select("_c", F.get("ids", F.lit(0)).alias("_first")), "_c").select("list", "_c", "_v", "_first"), "ann-lists")
-    seekers = classes.join(asked.select("_c").distinct(), "_c", "left_semi").select("_c", "_v")
-    probed = cut(seekers.mapInPandas(dealt(probes, probe_ratio, least_probes), kind), "ann-probes")
-    # There are MAX_LISTS lists at most, so this table of their parts is small.
-    parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
-    split = cut(parts(posted, "_np").join(parts(probed, "_nq"), "list"), "ann-parts")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    part = F.pmod(F.xxhash64("_c"), F.col("_n")).cast("int")
-    held = posted.join(F.broadcast(split.withColumnRenamed("_np", "_n")), "list").select("list", part.alias("p"), each(F.col("_nq")).alias("q"), "_c", "_v", "_first")
-    seek = probed.join(F.broadcast(split.withColumnRenamed("_nq", "_n")), "list").select("list", each(F.col("_np")).alias("p"), part.alias("q"), "_c", "_v")
+    kind = "list long, first long, c string, u binary"
+    told = classes.select(F.get("ids", F.lit(0)).alias("first"), "c", "u")
+    posted = cut(told.mapInPandas(dealt(False), kind), "ann-lists")
+    seekers = told.join(asked.select("c").distinct(), "c", "left_semi")
+    probed = cut(seekers.mapInPandas(dealt(True), kind), "ann-probes")
+    posted, probed, dropped = _split(posted, probed, lambda k_: (read(k_), probe_ratio, min(least_probes, read(k_))), (replicas, replica_ratio, 1))
+    drop(rows)
+
+    keys = ["list", "sub"]
+    parts = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
+    split = cut(parts(posted, "_np").join(parts(probed, "_nq"), keys), "ann-parts")
+    each = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    part = lambda m: F.pmod(F.xxhash64("c"), F.col(m)).cast("int")
+    held = join_counted(posted, split, keys, "inner").select(*keys, part("_np").alias("p"), each(F.col("_nq")).alias("q"), "first", "c", "u")
+    seek = join_counted(probed, split, keys, "inner").select(*keys, each(F.col("_np")).alias("p"), part("_nq").alias("q"), "c", "u")
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"_qc": [], "_c": [], "score": []}
+        out = {"qc": [], "c": [], "key": [], "score": []}
         if len(left) and len(right):
-            left = left.sort_values("_first", kind="stable")
-            a, b = np.array(right["_v"].tolist()), np.array(left["_v"].tolist())
-            sims = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
+            left = left.sort_values("first", kind="stable")
+            sims = _matrix(right["u"]) @ _matrix(left["u"]).T
+            tied = np.round(sims, DECIMALS)
             # By score, then smallest id, as in the result: rows are put in order of ids, and the sort is stable.
-            top = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * k + 2]
-            q, c = np.repeat(np.arange(len(a)), top.shape[1]), top.ravel()
-            out = {"_qc": right["_c"].to_numpy()[q], "_c": left["_c"].to_numpy()[c], "score": sims[q, c]}
+            best = np.argsort(-tied, axis=1, kind="stable")[:, : 2 * k + 2]
+            q, c = np.repeat(np.arange(len(right)), best.shape[1]), best.ravel()
+            out = {"qc": right["c"].to_numpy()[q], "c": left["c"].to_numpy()[c], "key": tied[q, c], "score": np.clip(sims[q, c], -1, 1)}
         return pd.DataFrame(out)
 
-    keys = ["list", "p", "q"]
-    found = held.groupBy(*keys).cogroup(seek.groupBy(*keys)).applyInPandas(scored, "_qc string, _c string, score double")
-    found = found.groupBy("_qc", "_c").agg(F.max("score").alias("score"))
-    found = found.join(classes.select("_c", F.explode("ids").alias("vec_id")), "_c")
-    best = Window.partitionBy("_qc").orderBy(F.desc("score"), "vec_id")
+    meet = [*keys, "p", "q"]
+    found = held.groupBy(*meet).cogroup(seek.groupBy(*meet)).applyInPandas(scored, "qc string, c string, key double, score double")
+    found = cut(found.groupBy("qc", "c").agg(F.max("key").alias("key"), F.max("score").alias("score")), "ann-found")
+    drop(split, *dropped)
+    found = found.join(classes.select("c", F.explode("ids").alias("vec_id")), "c")
+    best = Window.partitionBy("qc").orderBy(F.desc("key"), "vec_id")
+    # An id with several vectors is found by the nearest of them.
+    found = found.groupBy("qc", "vec_id").agg(F.max("key").alias("key"), F.max("score").alias("score"))
     found = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1)
-    lists = found.groupBy("_qc").agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("near"))
-    out = asked.join(lists, asked["_c"] == lists["_qc"]).select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
+    near = found.groupBy(F.col("qc").alias("c")).agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("near"))
+    out = asked.join(near, "c").select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
     out = out.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("pos", "hit"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+
+
+def _split(posted: DataFrame, probed: DataFrame, seek: object, post: tuple) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """posted and probed with `sub`, the list within the list: 0 in lists of SPLIT entries at most, else that of the nearest of
+    the list's own centroids, which are fitted on at most SAMPLE of its entries. The third result is what can be dropped."""
+    sized = posted.groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT)
+    sized = cut(sized.withColumn("parts", F.ceil(F.col("n") / (8 * PART)).cast("int")), "ann-sizes")
+    zero = F.lit(0).cast("long").alias("sub")
+    if sized.isEmpty():
+        return posted.select("*", zero), probed.select("*", zero), [sized, posted, probed]
+
+    def fitted(part: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(part.sort_values("c").head(SAMPLE)["u"])
+        k = max(1, min(MAX_LISTS, len(x) // 8, math.ceil(8 * part["n"].iloc[0] / SPLIT)))
+        return pd.DataFrame({"list": [part["list"].iloc[0]], "m": [fit_centroids(x, k).tobytes()]})
+
+    big = join_counted(posted, sized, "list", "inner")
+    some = big.filter(F.pmod(F.xxhash64("c", F.lit(6)), F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(0.9 * SAMPLE) / F.col("n")) * (1 << 20))
+    own = cut(some.select("list", "n", "c", "u").groupBy("list").applyInPandas(fitted, "list long, m binary"), "ann-sublists")
+
+    def placed(seeking: bool):
+        def run(part: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+            if not len(part) or not len(at):
+                return pd.DataFrame({c: [] for c in ("list", "first", "c", "u", "sub")})
+            m = np.frombuffer(at["m"].iloc[0], np.float64).reshape(-1, len(part["u"].iloc[0]) // 8)
+            return _dealt(CentroidGraph(m), part, *(seek(len(m)) if seeking else post), "sub")[["list", "first", "c", "u", "sub"]]
+
+        return run
+
+    def dealt(rows: DataFrame, seeking: bool, name: str) -> DataFrame:
+        keyed = join_counted(rows, sized, "list").withColumn("p", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+        near = own.join(sized, "list").select("list", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+        split = keyed.filter("n is not null").select("list", "first", "c", "u", "p").groupBy("list", "p").cogroup(near.groupBy("list", "p"))
+        out = split.applyInPandas(placed(seeking), "list long, first long, c string, u binary, sub long")
+        return cut(keyed.filter("n is null").select("list", "first", "c", "u", zero).unionByName(out), name)
+
+    out = dealt(posted, False, "ann-lists"), dealt(probed, True, "ann-probes")
+    return *out, [sized, own, posted, probed, *out]
