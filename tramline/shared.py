@@ -32,20 +32,24 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: lineage ends there, and lost executors cost a reread. What it was shuffled
-    through is deleted once it is written."""
+def write(df: DataFrame, path: str) -> DataFrame:
+    """df written to path and read from there. What it was shuffled through is deleted once it is written."""
     spark = df.sparkSession
-    path = work_folder(spark, name)
-    for made in _LISTS:
-        made.append(path)
     was = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.select("*").write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
-    out = spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table in the shared folder: lineage ends there, and lost executors cost a reread."""
+    path = work_folder(df.sparkSession, name)
+    for made in _LISTS:
+        made.append(path)
+    out = write(df, path)
     out._written_to = path
     return out
 
@@ -76,4 +80,21 @@ def listing() -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _LISTS.remove(made)
+        _LISTS[:] = [x for x in _LISTS if x is not made]
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes in the end what cut() writes meanwhile, but for what is taken out of the list: for work whose results are
+    written by then."""
+    with listing() as made:
+        yield made
+    for path in made:
+        delete(spark, path)
+
+
+def kept(df: DataFrame, made: list[str]) -> DataFrame:
+    """df, a written table, taken out of passing()'s list."""
+    if df._written_to in made:
+        made.remove(df._written_to)
+    return df
