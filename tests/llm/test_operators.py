@@ -149,6 +149,23 @@ def test_warc_files_do_not_depend_on_partitions(spark):
     assert seen[0] == seen[1] and len(seen[0]) > 4 and sum(r[2] for r in seen[0]) == 300
 
 
+def test_warc_shards_of_far_null_and_repeated_ids(spark):
+    ids = [*range(4000), 1 << 50, *[None] * 500, *[77] * 500, -(1 << 62), (1 << 63) - 1]
+    rows = [(i, "u", f"{n} " * 40) for n, i in enumerate(ids)] + [(88, "u", "same " * 500)] * 400
+    from tramline.shared import work_folder
+
+    folder = work_folder(spark, "w")
+    made = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, shard_bytes=100_000).collect()
+    shards = {}
+    for r in made:
+        shards[r.path[:12]] = shards.get(r.path[:12], 0) + r.records
+    assert sum(shards.values()) == len(rows) and max(shards.values()) <= 400 and len(shards) > 20
+    back = warc.read_warc(spark, folder)
+    assert back.count() == len(rows) and back.filter("page_id is null").count() == 500
+    import os
+    assert sorted(os.listdir(folder.removeprefix("file://"))) == sorted({*(r.path for r in made), "manifest"} | {f for f in os.listdir(folder.removeprefix("file://")) if f.endswith(".crc")})
+
+
 # --- repeats, groups ---
 
 

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, delete, drop, join_counted, work_folder  # noqa: F401
+from ..shared import cut, delete, drop, join_counted, kept, passing, work_folder, write  # noqa: F401
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
