@@ -120,11 +120,29 @@ def test_token_counts_equal_the_library(spark):
     counter = token_counts.counter(model)
     for t in texts[3:]:
         assert len({counter.count(t, k) for k in (1, 2, 3, 7, 1000)}) == 1
-    maps = [counter.chunk_map(x) for x in ("a b", "  c", "d", "e  f ", " g")]
-    assert counter.total(counter.scan(maps)[-1]) == counter.units("a b  cde  f  g")
     assert token_counts.token_counts(nothing(spark), model).count() == 0
 
 
+def test_token_counts_of_texts_without_spaces(spark):
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library, counter, rng = sentencepiece.SentencePieceProcessor(model_file=model), token_counts.counter(model), random.Random(3)
+    pieces = sorted(counter.transducer.ranks)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(500)), "".join(rng.choice("abcdefghijklmnop") for _ in range(500)), "a" * 500, "ab" * 300, "".join(rng.choice(pieces).strip() for _ in range(100)), "".join(rng.choice(pieces) for _ in range(100))]
+    for t in texts:
+        for size in (1, 2, 7, 64, 333):
+            for look in (1, 4, 32):
+                assert counter.count(t, size, look) == len(library.encode(t)), (t, size, look)
+    # Maps hold entry and exit states and counts only, and a scan of them gives each prefix's count.
+    text = texts[4]
+    maps = [counter.chunk_map(part, counter.entries(before)) for part, before in token_counts.chunks(text, 40)]
+    ends = [m[token_counts.START][1] for m in token_counts.scan(maps)]
+    assert ends == [len(library.encode(text[: 40 * (i + 1) - 1])) for i in range(len(maps))]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(table(spark, [*texts, *texts, None, "short"]), model, chunk=64, look=1, spread=300).collect()}
+    assert [got[i] for i in range(14)] == [len(library.encode(t)) for t in [*texts, *texts, "", "short"]]
+
+
 # --- WARC ---
 
 
