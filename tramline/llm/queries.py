@@ -52,7 +52,7 @@ def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.pareto_mix(_docs(spark, sf_dir))
+    return source_mix.pareto_mix(_docs(spark, sf_dir), by_size=True)
 
 
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
