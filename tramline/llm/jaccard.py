@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -11,14 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, drop, join_counted, ship
+from .base import cut, drop, join_counted, kept, passing, ship
 from .components import components
 from .sketch import summed
 from .substrings import NULL_ID
 from .textblocks import Words, arrow_rows, blocks, mix, spans_hash
 
-#: Cells of the frequency sketch; sets up to MAX_SMALL may be enumerated.
-CELLS, MAX_SMALL = 1 << 22, 24
+#: Bits of the number of cells of the frequency sketch: about one for CELL_BYTES of text, between these. A count is kept as
+#: eighths of its logarithm, in one byte that no count fills.
+CELL_BITS, CELL_BYTES = (20, 24), 48
+#: Sets up to MAX_SMALL may be enumerated. Lists of more than LONG sets are parted by further elements, DEPTH times at most.
+MAX_SMALL, LONG, DEPTH = 24, 64, 3
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +56,9 @@ def boundary(list_length: float, percent: int) -> int:
     return best
 
 
-def _linkable(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
-    """Whether sets of these sizes, whose first common element is at these places, can still link."""
-    most = F.least(n1 - p1, n2 - p2)
+def _linkable(n1: Column, p1: Column, n2: Column, p2: Column, percent: int, before: int = 0) -> Column:
+    """Whether sets of these sizes can still link, whose next common element, after `before` others, is at these places."""
+    most = F.least(n1 - p1, n2 - p2) + before
     return (100 * most >= percent * (n1 + n2 - most)) & (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
 
 
@@ -66,34 +70,68 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
 
     Equal sets are one class. Sets up to a boundary size are light: each enumerates its subsets of every size that a link may
     have in common; sets that share a subset of t elements form a star around the smallest of them, which links with all that
-    any of them links with over it. Larger ones are heavy: elements are ordered by corpus frequency (from a sketch of fixed
-    size; any fixed order is right), and the inverted lists of the first ones are scanned, as linked sets must meet in one.
-    The boundary is where enumeration would cost more than the lists, by their mean length.
+    any of them links with over it. Larger ones are heavy: elements are ordered by corpus frequency (from a sketch of bounded
+    size, whose noise only blurs the order of what is rarer than that; any fixed order is right), and the inverted lists of
+    the first ones are scanned, as linked sets must meet in one. The boundary is where enumeration would cost more than the lists, by their mean length.
     A list is first joined with its most typical member only, so a group of copies is linked by a star. Exact sets are compared.
     Only members that the star did not bring into its component are then joined with the rest of their list, so all links
-    between different components are found, and pairs within one are not formed. Size and place filters drop pairs that
-    cannot link. Lists are keys of joins that Spark may split; nothing is collected but the sketch.
+    between different components are found, and pairs within one are not formed. A long list is first parted by the next
+    element that its members may have in common, and again while its parts are long (see crossing()). Size and place filters
+    drop pairs that cannot link. Lists are keys of joins that Spark may split; nothing is collected but the sketch.
 
     Null or empty text, or no words: 0 shingles, linked with nothing, component_id its own id. Null ids are never a
     component_id while another id is there. Repeated rows are in one class. Other columns are not read."""
+    with passing(docs.sparkSession) as made:
+        return _similar_groups(made, docs, k, percent, id_col, text_col)
+
+
+def crossing(lists: DataFrame, prefixes: DataFrame, percent: int, small: int) -> DataFrame:
+    """lists(token, cls, n, p, comp, apart): pairs (a, b) of one list, of different components, one of them apart.
+
+    In a list of more than LONG the members are dealt out once more: two of them that link and have their first common element
+    here have the next one within one place more of their order's beginning, so they meet in a list of both. prefixes(cls,
+    prefix) has the elements in order. After DEPTH such steps lists are joined whatever their length, so none is left out."""
+    out = []
+    for level in range(1, DEPTH + 2):
+        sized = lists.groupBy("token").agg(F.count("*").alias("m"), F.max(F.col("apart").cast("int")).alias("_a")).filter("m > 1 and _a = 1")
+        sized = cut(sized.select("token", (F.lit(level <= DEPTH) & (F.col("m") > LONG)).alias("long")), "set-sizes")
+        lists = cut(join_counted(lists, sized, "token", "inner"), "set-parts")
+        short = lists.filter(~F.col("long"))
+        one = short.filter("apart").select("token", F.col("cls").alias("acls"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("comp").alias("acomp"))
+        both = one.join(short, "token").filter((F.col("comp") != F.col("acomp")) & (F.greatest("n", "an") > small) & _linkable(F.col("n"), F.col("p"), F.col("an"), F.col("ap"), percent, level - 1))
+        out.append(cut(both.select(F.least("cls", "acls").alias("a"), F.greatest("cls", "acls").alias("b")).distinct(), "set-crossing"))
+        long = lists.filter("long")
+        if long.isEmpty():
+            break
+        last = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + level
+        more = long.join(prefixes, "cls").select("token", "cls", "n", "p", "comp", "apart", F.posexplode(F.slice("prefix", F.col("p") + 2, F.greatest(F.lit(0), last - F.col("p")).cast("int"))).alias("q", "next"))
+        lists = more.select(F.xxhash64("token", "next").alias("token"), "cls", "n", (F.col("p") + 1 + F.col("q")).alias("p"), "comp", "apart")
+    return reduce(DataFrame.union, out).distinct()
+
+
+def _similar_groups(made, docs, k, percent, id_col, text_col) -> DataFrame:
     spark = ship(docs.sparkSession)
     ident, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(ident.alias("doc"), text.alias("text"))
+    # A row is known by a hash of id and text, as ids may repeat or be null.
+    rows = docs.select(ident.alias("doc"), F.xxhash64(ident, text).alias("key"), text.alias("text"))
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    cells = 1 << min(CELL_BITS[1], max(CELL_BITS[0], (n_bytes // CELL_BYTES).bit_length()))
 
     def count(acc: np.ndarray, words: Words) -> None:
-        cells, n = np.unique(shingle_sets(words, k)[1] % np.uint64(CELLS), return_counts=True)
-        acc[cells.astype(np.int64)] += n.astype(np.uint64)
-
-    held = summed(rows, F.col("text"), CELLS, count, lower=True, most=255).astype(np.uint8)
-    sketch = spark.sparkContext.broadcast(held)
-    seen = np.bincount(held, minlength=256).astype(float)
-    list_length = float((seen * np.arange(256) ** 2).sum() / max(1.0, (seen * np.arange(256)).sum()))
+        at, n = np.unique(shingle_sets(words, k)[1] % np.uint64(cells), return_counts=True)
+        acc[at.astype(np.int64)] += n.astype(np.uint32)
+
+    seen = summed(rows, F.col("text"), cells, count, lower=True, kind=np.uint32).astype(np.float32)
+    list_length = float(np.dot(seen, seen)) / max(1.0, float(seen.sum(dtype=float)))
+    np.log2(seen + 1, out=seen)
+    sketch = spark.sparkContext.broadcast((8 * seen).astype(np.uint8))
+    del seen
     small = boundary(list_length, percent)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, words in blocks(arrow_rows(batches), lower=True):
+        for ids, _, words in blocks((((d, i), t) for d, i, t in arrow_rows(batches)), lower=True):
             doc, h = shingle_sets(words, k)
-            df = sketch.value[(h % np.uint64(CELLS)).astype(np.int64)]
+            df = sketch.value[(h % np.uint64(cells)).astype(np.int64)]
             n = np.bincount(doc, minlength=len(ids))
             first = np.concatenate([[0], np.cumsum(n)])
             some = n > 0
@@ -102,24 +140,25 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
             if len(at):
                 s1[some] = np.add.reduceat(mix(h), at).view(np.int64)
                 s2[some] = np.bitwise_xor.reduceat(mix(h + np.uint64(77)), at).view(np.int64)
-                typ[some] = np.add.reduceat(np.log2(df + 1.0), at) / n[some]
+                typ[some] = np.add.reduceat(df.astype(float), at) / n[some]
             order = np.lexsort((h, df, doc))
             place = np.arange(len(h)) - first[doc]
-            prefix = order[place < (n - _least(n, percent) + 1)[doc]]
+            prefix = order[place < (n - _least(n, percent) + 1 + DEPTH)[doc]]
             few = (n <= MAX_SMALL)[doc]
             lists = []
             for picked in (prefix, np.nonzero(few)[0]):
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[picked], minlength=len(ids)))])
                 lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[picked].view(np.int64))))
-            cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.array(typ), *lists]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "n", "s1", "s2", "typ", "prefix", "elements"])
+            own = [pa.array(x, pa.int64()) for x in zip(*ids)]
+            cols = [*own, pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.array(typ), *lists]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "key", "n", "s1", "s2", "typ", "prefix", "elements"])
 
-    made = rows.mapInArrow(summaries, "doc long, n long, s1 long, s2 long, typ double, prefix array<long>, elements array<long>")
-    made = cut(made, "sets")
-    classes = made.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc", "n", "typ", "prefix", "elements")).alias("c"), F.min(F.when(F.col("doc") != NULL_ID, F.col("doc"))).alias("top"))
+    sets_ = rows.mapInArrow(summaries, "doc long, key long, n long, s1 long, s2 long, typ double, prefix array<long>, elements array<long>")
+    sets_ = cut(sets_, "sets")
+    classes = sets_.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc", "key", "n", "typ", "prefix", "elements")).alias("c"), F.min(F.when(F.col("doc") != NULL_ID, F.col("doc"))).alias("top"))
     classes = cut(classes.select(F.col("s1").alias("cls"), "c.*", "top"), "set-classes")
-    members, firsts = cut(made.select("doc", "n", "s1"), "set-members"), cut(classes.select("cls", "doc", "top"), "set-firsts")
-    drop(made)
+    members, firsts = kept(cut(sets_.select("doc", "n", "s1"), "set-members"), made), cut(classes.select("cls", "key", "top"), "set-firsts")
+    drop(sets_)
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cls, n, elements in arrow_rows(batches):
@@ -142,9 +181,10 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
 
     least = _least(small + 1, percent)
     heavy = classes.filter(F.col("n") >= least).select("cls", "n", "typ", F.posexplode("prefix").alias("p", "token"))
+    heavy = heavy.filter(F.col("p") <= F.col("n") - F.floor((percent * F.col("n") + 99) / 100))
     shared = cut(heavy.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "set-tokens")
     lists = cut(heavy.join(shared, "token"), "set-lists")
-    drop(classes, shared)
+    drop(shared)
     hubs = lists.groupBy("token").agg(F.max(F.struct("typ", "cls", "n", "p")).alias("hub"))
     hubs = cut(hubs.select("token", F.col("hub.cls").alias("hcls"), F.col("hub.n").alias("hn"), F.col("hub.p").alias("hp")), "set-hubs")
     big = F.greatest("n", "hn") > small
@@ -173,8 +213,8 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     def verified(pairs: DataFrame) -> DataFrame:
         """Of the pairs of classes, those that link by their exact sets, which are made anew from one document of each class."""
         need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        need = cut(need.join(firsts.select("cls", "doc"), "cls"), "set-needed")
-        found = join_counted(rows, need, "doc", "inner").select("cls", "doc", "text").mapInArrow(sets, "cls long, items binary")
+        need = cut(need.join(firsts.select("cls", "key"), "cls"), "set-needed")
+        found = join_counted(rows, need, "key", "inner").select("cls", "key", "text").mapInArrow(sets, "cls long, items binary")
         found = cut(found.groupBy("cls").agg(F.first("items").alias("items")), "set-items")
         both = pairs.join(found.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(found.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
         out = cut(both.select("a", "b", "x", "y").mapInArrow(overlaps, "a long, b long"), "set-links")
@@ -183,21 +223,18 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
 
     edges = edges.union(verified(pairs))
     comp = components(edges)
-    plain, lists = lists, cut(lists.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "set-lists")
-    drop(plain)
-    hubs = cut(hubs.join(comp.withColumnRenamed("node", "hcls"), "hcls", "left").select("token", F.coalesce("comp", "hcls").alias("hcomp")), "set-hubs")
-    apart = join_counted(lists, hubs, "token").filter(F.col("comp") != F.col("hcomp"))
-    apart = cut(apart.select("token", F.col("cls").alias("acls"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("comp").alias("acomp")), "set-apart")
-    cross = apart.join(lists, "token").filter((F.col("comp") != F.col("acomp")) & (F.greatest("n", "an") > small) & _linkable(F.col("n"), F.col("p"), F.col("an"), F.col("ap"), percent))
-    cross = cross.select(F.least("cls", "acls").alias("a"), F.greatest("cls", "acls").alias("b")).distinct()
+    hubs = hubs.join(comp.withColumnRenamed("node", "hcls"), "hcls", "left").select("token", F.coalesce("comp", "hcls").alias("hcomp"))
+    hubs = cut(hubs, "set-hubs")
+    lists = lists.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    lists = join_counted(lists, hubs, "token").select("token", "cls", "n", "p", "comp", (F.col("comp") != F.col("hcomp")).alias("apart"))
+    cross = crossing(lists, classes.select("cls", "prefix"), percent, small)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cut(cross.join(tried, ["a", "b"], "left_anti"), "set-pairs")
-    drop(lists, hubs, apart)
     if not cross.isEmpty():
         comp = components(edges.union(verified(cross)))
     full = firsts.select("cls", "top").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     tops = cut(full.groupBy("comp").agg(F.min("top").alias("component_id")), "set-tops")
-    ends = cut(full.join(tops, "comp").select(F.col("cls").alias("s1"), "component_id"), "set-ends")
+    ends = kept(cut(full.join(tops, "comp").select(F.col("cls").alias("s1"), "component_id"), "set-ends"), made)
     back = F.when(F.col("doc") != NULL_ID, F.col("doc"))
     out = join_counted(members.select("doc", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1")), ends, "s1")
     return out.select(back.cast(dict(docs.dtypes)[id_col]).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(back).alias("component_id"))

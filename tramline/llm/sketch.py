@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 
 from .textblocks import Words, arrow_rows, blocks
@@ -14,34 +15,43 @@ from .textblocks import Words, arrow_rows, blocks
 PIECES = 64
 
 
-def summed(docs: DataFrame, text: Column, size: int, update: Callable[[np.ndarray, Words], None], lower: bool = False, most: int = 2**63) -> np.ndarray:
-    """Sum over all tasks of the array that update() counts into for each group of texts; counts stop at `most`.
+def summed(docs: DataFrame, text: Column, size: int, update: Callable[[np.ndarray, Words], None], lower: bool = False, kind: type = np.uint64) -> np.ndarray:
+    """Sum over all tasks of the array that update() counts into for each group of texts; counts stop at kind's largest value.
 
-    Each task sends its array once; pieces of it are summed one after another where Spark brings them together. The result,
-    of `size` counts whatever the corpus, is all that reaches the driver."""
-    kind = np.uint8 if most < 256 else np.uint64
+    Each task sends its array once, compressed; pieces of it are summed one after another where Spark brings them together. The
+    result, of `size` counts whatever the corpus, is all that reaches the driver."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(size, np.uint64)
+        acc = np.zeros(size, kind)
         for _, _, words in blocks(((None, t) for (t,) in arrow_rows(batches)), lower=lower):
             update(acc, words)
-        yield _sent(np.minimum(acc, np.uint64(most)).astype(kind).reshape(PIECES, -1))
+        parts = acc.reshape(PIECES, -1)
+        for i in np.nonzero(parts.any(axis=1))[0]:
+            yield _sent(i, parts[i])
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[int, np.ndarray] = {}
         for piece, data in arrow_rows(batches):
-            acc[piece] = np.minimum(acc.get(piece, np.uint64(0)) + np.frombuffer(data, kind).astype(np.uint64), np.uint64(most))
+            more = _received(data, kind)
+            have = acc.setdefault(piece, np.zeros(len(more), kind))
+            acc[piece] = np.where(have > np.iinfo(kind).max - more, np.iinfo(kind).max, have + more).astype(kind)
         for piece, part in acc.items():
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "data": pa.array([part.astype(kind).tobytes()], pa.binary())})
+            yield _sent(piece, part)
 
     parts = docs.select(text.cast("binary").alias("text")).mapInArrow(counted, "piece int, data binary")
     rows = parts.repartition(PIECES, "piece").mapInArrow(totals, "piece int, data binary").collect()
-    out = np.zeros((PIECES, size // PIECES), np.uint64)
+    out = np.zeros((PIECES, size // PIECES), kind)
     for row in rows:
-        out[row["piece"]] = np.frombuffer(row["data"], kind)
+        out[row["piece"]] = _received(row["data"], kind)
     return out.ravel()
 
 
-def _sent(pieces: np.ndarray) -> pa.RecordBatch:
-    some = np.nonzero(pieces.any(axis=1))[0]
-    return pa.RecordBatch.from_pydict({"piece": pa.array(some, pa.int32()), "data": pa.array([pieces[i].tobytes() for i in some], pa.binary())})
+def _sent(piece: int, counts: np.ndarray) -> pa.RecordBatch:
+    """Byte by byte, so that the high bytes, mostly 0, take no room."""
+    data = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.view(np.uint8).reshape(len(counts), -1).T).tobytes())
+    return pa.RecordBatch.from_pydict({"piece": pa.array([int(piece)], pa.int32()), "data": pa.array([data], pa.binary())})
+
+
+def _received(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
