@@ -40,3 +40,66 @@ walks AS (SELECT from_stop, to_stop, metres, greatest(1, round_even(metres / {sp
 
 PATHS = """paths AS (SELECT from_stop, to_stop, seconds, is_walk FROM (SELECT *, row_number() OVER (PARTITION BY from_stop, to_stop ORDER BY is_walk, seconds) AS r FROM (
     SELECT from_stop, to_stop, greatest(0, coalesce(weight, 0))::INT AS seconds, 0 AS is_walk FROM moves UNION ALL SELECT from_stop, to_stop, seconds, 1 FROM walks) u WHERE from_stop <> to_stop) v WHERE r = 1)"""
+
+
+def rounds(n: int, wait: int = 1200, horizon: int = 14_400) -> str:
+    """Labels by rounds as plain SQL, after PATHS, VALID and PATTERNS, for all requests: lab(query_id, rnd, stop, t, w, trip_id,
+    from_pos, from_stop, pos, dep, sec, foot) and z(query_id, round, arrival). Walks are closed beforehand over up to 64 paths."""
+    out = ["w0 AS MATERIALIZED (SELECT from_stop, to_stop, seconds, is_walk = 1 AS foot FROM paths)"]
+    for i in range(1, 7):
+        out.append(f"""w{i} AS MATERIALIZED (SELECT from_stop, to_stop, min(seconds) AS seconds, arg_min(foot, (seconds, foot)) AS foot FROM (SELECT * FROM w{i - 1}
+    UNION ALL SELECT a.from_stop, b.to_stop, a.seconds + b.seconds, a.foot OR b.foot FROM w{i - 1} a JOIN w{i - 1} b ON a.to_stop = b.from_stop AND a.from_stop <> b.to_stop) u GROUP BY ALL)""")
+    out.append(f"q AS MATERIALIZED (SELECT query_id, depart, depart + {horizon} AS lim, a.canonical AS src, b.canonical AS dst FROM requests JOIN canon a ON a.stop_id = origin JOIN canon b ON b.stop_id = destination)")
+    out.append(f"calls AS MATERIALIZED (SELECT v.*, p.pattern, p.trip_index, v.dep // {wait} AS bin FROM valid v JOIN patterns p USING (trip_id))")
+    out.append("r0 AS MATERIALIZED (SELECT query_id, src AS stop, depart AS t, 0 AS w, NULL::VARCHAR AS trip_id, NULL::INT AS from_pos, NULL::VARCHAR AS from_stop, NULL::INT AS pos, NULL::INT AS dep, NULL::INT AS sec, NULL::BOOLEAN AS foot FROM q)")
+    for i in range(n + 1):
+        if i:
+            out.append(f"""o{i} AS (SELECT f.query_id, c.pattern, c.pos AS from_pos, any_value(f.stop) AS from_stop, arg_min(c.trip_id, (c.dep, c.trip_index)) AS trip_id, min(c.dep) AS dep
+    FROM (SELECT *, unnest([t // {wait}, t // {wait} + 1]) AS bin FROM l{i - 1}) f JOIN q USING (query_id) JOIN calls c ON c.stop = f.stop AND c.bin = f.bin AND c.dep >= f.t AND c.dep <= f.t + {wait} AND c.dep <= lim GROUP BY f.query_id, c.pattern, c.pos),
+t{i} AS (SELECT query_id, trip_id, min(from_pos) AS from_pos, arg_min(from_stop, from_pos) AS from_stop, arg_min(dep, from_pos) AS dep FROM o{i} GROUP BY ALL),
+r{i} AS MATERIALIZED (SELECT g.query_id, g.stop, g.t, 0 AS w, trip_id, from_pos, from_stop, pos, dep, NULL::INT AS sec, NULL::BOOLEAN AS foot FROM (
+    SELECT t.query_id, c.stop, c.arr AS t, t.trip_id, t.from_pos, t.from_stop, c.pos, t.dep, row_number() OVER (PARTITION BY t.query_id, c.stop ORDER BY c.arr, t.trip_id, t.from_pos, c.pos) AS n
+    FROM t{i} t JOIN calls c ON c.trip_id = t.trip_id AND c.pos > t.from_pos JOIN q ON q.query_id = t.query_id WHERE c.arr <= lim) g LEFT JOIN b{i - 1} b ON b.query_id = g.query_id AND b.stop = g.stop WHERE n = 1 AND (b.t IS NULL OR g.t < b.t))""")
+        best = f"SELECT query_id, stop, t FROM r{i}" + (f" UNION ALL SELECT query_id, stop, t FROM b{i - 1}" if i else "")
+        out.append(f"""k{i} AS (SELECT g.* FROM (SELECT r.query_id, w.to_stop AS stop, r.t + w.seconds AS t, r.stop AS from_stop, w.seconds AS sec, w.foot, row_number() OVER (PARTITION BY r.query_id, w.to_stop ORDER BY r.t + w.seconds, r.stop) AS n
+    FROM r{i} r JOIN w6 w ON w.from_stop = r.stop JOIN q ON q.query_id = r.query_id WHERE r.t + w.seconds <= lim) g LEFT JOIN (SELECT query_id, stop, min(t) AS t FROM ({best}) x GROUP BY ALL) b ON b.query_id = g.query_id AND b.stop = g.stop WHERE n = 1 AND (b.t IS NULL OR g.t < b.t)),
+l{i} AS MATERIALIZED (SELECT r.* FROM r{i} r ANTI JOIN k{i} k ON k.query_id = r.query_id AND k.stop = r.stop UNION ALL SELECT query_id, stop, t, 1, NULL, NULL, from_stop, NULL, NULL, sec, foot FROM k{i}),
+b{i} AS MATERIALIZED (SELECT query_id, stop, min(t) AS t FROM (SELECT query_id, stop, t FROM l{i}""" + (f" UNION ALL SELECT * FROM b{i - 1}" if i else "") + ") u GROUP BY ALL)")
+    out.append("lab AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS rnd, * FROM l{i}" for i in range(n + 1)) + ")")
+    out.append("z AS MATERIALIZED (SELECT * FROM (SELECT *, min(arrival) OVER (PARTITION BY query_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM (SELECT query_id, rnd AS round, t AS arrival FROM lab JOIN q USING (query_id) WHERE stop = dst) g) h WHERE e IS NULL OR arrival < e)")
+    return ", ".join(out)
+
+
+#: The steps of each option of z, from rounds(): j(query_id, round, pos, kind, label, from_stop, to_stop, dep, arr, seconds, trip_id, from_pos, to_pos).
+JOURNEYS = """back AS (SELECT z.query_id, z.round, dst AS stop, z.round AS rnd, 0 AS n FROM z JOIN q USING (query_id)
+    UNION ALL SELECT p.query_id, p.round, l.from_stop, l.rnd - 1 + l.w, p.n + 1 FROM back p JOIN lab l ON l.query_id = p.query_id AND l.stop = p.stop AND l.rnd = p.rnd WHERE l.from_stop IS NOT NULL),
+j AS (SELECT p.query_id, p.round, row_number() OVER (PARTITION BY p.query_id, p.round ORDER BY p.n DESC) - 1 AS pos, CASE WHEN l.w = 0 THEN 'trip' ELSE 'transfer' END AS kind, CASE WHEN l.w = 1 AND l.foot THEN 'walk' END AS label,
+    l.from_stop, l.stop AS to_stop, CASE WHEN l.w = 0 THEN l.dep ELSE l.t - l.sec END AS dep, l.t AS arr, CASE WHEN l.w = 0 THEN l.t - l.dep ELSE l.sec END AS seconds, l.trip_id, l.from_pos, l.pos AS to_pos
+    FROM back p JOIN lab l ON l.query_id = p.query_id AND l.stop = p.stop AND l.rnd = p.rnd WHERE l.from_stop IS NOT NULL)"""
+
+
+def relaxed(steps: int, route_penalty: int = 0, penalty: int = 60, wait: int = 1200, horizon: int = 14_400) -> str:
+    """Labels of the label-correcting search as plain SQL, after PAIRS and TRANSFERS, for all requests: lab(query_id, step, stop,
+    active, t, kind, trip_id, from_stop, from_active, dep), and g(query_id, t, step, stop, active), the goals' earliest ones."""
+    out = ["q AS MATERIALIZED (SELECT query_id, depart + %d AS lim, depart, a.canonical AS src, b.canonical AS dst FROM requests JOIN canon a ON a.stop_id = origin JOIN canon b ON b.stop_id = destination)" % horizon]
+    out.append(f"rides AS MATERIALIZED (SELECT from_stop, to_stop, dep, arr, trip_id, route_id, dep // {wait} AS bin FROM pairs LEFT JOIN trips USING (trip_id) WHERE weight IS NOT NULL)")
+    out.append(f"hopped AS MATERIALIZED (SELECT from_stop, to_stop, min(weight) + {penalty} AS cost FROM moves WHERE weight IS NOT NULL GROUP BY ALL)")
+    out.append("f0 AS MATERIALIZED (SELECT query_id, src AS stop, '' AS active, depart AS t, NULL::INT AS kind, NULL::VARCHAR AS trip_id, NULL::VARCHAR AS from_stop, NULL::VARCHAR AS from_active, NULL::INT AS dep FROM q), b0 AS MATERIALIZED (SELECT query_id, stop, active, t FROM f0)")
+    active = "d.route_id" if route_penalty else "''"
+    for i in range(1, steps + 1):
+        out.append(f"""n{i} AS (SELECT query_id, to_stop AS stop, {active} AS active, d.arr + CASE WHEN from_active <> '' AND from_active <> d.route_id THEN {route_penalty} ELSE 0 END AS t, 0 AS kind, d.trip_id AS trip_id, from_stop, from_active, d.dep AS dep FROM (
+    SELECT f.query_id, r.to_stop, f.stop AS from_stop, f.active AS from_active, arg_min(struct_pack(dep := r.dep, trip_id := r.trip_id, arr := r.arr, route_id := r.route_id), (r.dep, r.trip_id)) AS d
+    FROM (SELECT *, unnest([t // {wait}, t // {wait} + 1]) AS bin FROM f{i - 1}) f JOIN q USING (query_id) JOIN rides r ON r.from_stop = f.stop AND r.bin = f.bin AND r.dep >= f.t AND r.dep <= f.t + {wait} AND r.dep <= lim GROUP BY f.query_id, f.stop, f.active, r.to_stop) x
+    UNION ALL SELECT f.query_id, to_stop, '', f.t + cost, 1, NULL, f.stop, f.active, NULL FROM f{i - 1} f JOIN hopped h ON h.from_stop = f.stop),
+f{i} AS MATERIALIZED (SELECT n.* EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, stop, active ORDER BY t, kind, trip_id, from_stop, from_active) AS rn FROM n{i}) n JOIN q USING (query_id) LEFT JOIN b{i - 1} b ON b.query_id = n.query_id AND b.stop = n.stop AND b.active = n.active
+    WHERE rn = 1 AND n.t <= lim AND (b.t IS NULL OR n.t < b.t)),
+b{i} AS MATERIALIZED (SELECT query_id, stop, active, min(t) AS t FROM (SELECT * FROM b{i - 1} UNION ALL SELECT query_id, stop, active, t FROM f{i}) u GROUP BY ALL)""".replace("n.* EXCLUDE (rn)", "n.query_id, n.stop, n.active, n.t, n.kind, n.trip_id, n.from_stop, n.from_active, n.dep"))
+    out.append("lab AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS step, * FROM f{i}" for i in range(steps + 1)) + ")")
+    out.append("g AS MATERIALIZED (SELECT query_id, t, step, stop, active FROM (SELECT l.*, row_number() OVER (PARTITION BY query_id ORDER BY t, step, active) AS n FROM lab l JOIN q USING (query_id) WHERE stop = dst) x WHERE n = 1)")
+    return ", ".join(out)
+
+
+#: The way to each goal, from relaxed(): h(query_id, pos, kind, from_stop, to_stop, trip_id, dep, arr).
+HOPS = """back AS (SELECT query_id, step, stop, active FROM g UNION ALL SELECT p.query_id, p.step - 1, l.from_stop, l.from_active FROM back p JOIN lab l ON l.query_id = p.query_id AND l.step = p.step AND l.stop = p.stop AND l.active = p.active WHERE l.from_stop IS NOT NULL),
+h AS (SELECT p.query_id, row_number() OVER (PARTITION BY p.query_id ORDER BY p.step) - 1 AS pos, CASE WHEN l.kind = 0 THEN 'trip' ELSE 'transfer' END AS kind, l.from_stop, l.stop AS to_stop, l.trip_id, l.dep, l.t AS arr
+    FROM back p JOIN lab l ON l.query_id = p.query_id AND l.step = p.step AND l.stop = p.stop AND l.active = p.active WHERE l.from_stop IS NOT NULL)"""

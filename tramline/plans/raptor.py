@@ -1,94 +1,180 @@
-"""Round-based earliest-arrival search over all queries at once."""
+"""Round-based earliest-arrival search over all queries at once, and the journeys it found."""
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, drop, join_counted, kept, passing
+
+#: What an equal arrival is decided by, in this order: a ride before a walk, then the smaller trip, place and stop.
+PARENT = ["is_walk", "trip_id", "from_pos", "from_stop", "pos", "dep", "seconds", "foot"]
+
+
+class Found(NamedTuple):
+    """options(query_id, round, arrival, transfers): one row for each round that arrives earlier than all before it. labels: what
+    each round improved, with the step that led there: query_id, round, stop, t, and PARENT. ends(query_id, round, stop, egress)."""
+
+    options: DataFrame
+    labels: DataFrame
+    ends: DataFrame
 
 
-def raptor(queries: DataFrame, sources: DataFrame, targets: DataFrame, valid: DataFrame, patterns: DataFrame, paths: DataFrame, max_rounds: int = 3, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, closed: bool = False) -> DataFrame:
-    """Options of each query: query_id, round (boardings), arrival, transfers; one row for each round that arrives earlier
-    than all before it.
+def boardings(calls: DataFrame, width: int) -> DataFrame:
+    """calls -> (stop, bin, pattern, from_pos, deps): sorted departures of a pattern's place in a bin of width seconds and the
+    next one, so whoever is ready in a bin finds what leaves within width in one row."""
+    at = F.floor(F.col("dep") / width)
+    rows = calls.select("stop", "pattern", F.col("pos").alias("from_pos"), F.struct("dep", "trip_index", "trip_id").alias("d"), F.explode(F.array(at, at - 1)).alias("bin"))
+    return rows.groupBy("stop", "bin", "pattern", "from_pos").agg(F.array_sort(F.collect_list("d")).alias("deps"))
+
+
+def search(queries: DataFrame, sources: DataFrame, targets: DataFrame, valid: DataFrame, patterns: DataFrame, paths: DataFrame, max_rounds: int = 8, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, closed: bool = False) -> Found:
+    """Options of each query and the labels that lead to them.
 
     queries(query_id, depart), sources(query_id, stop, seconds), targets(query_id, stop, seconds); valid: valid_trips();
-    patterns: trip_patterns(); paths(from_stop, to_stop, seconds).
+    patterns: trip_patterns(); paths(from_stop, to_stop, seconds, is_walk; without is_walk all are walks).
 
     A round boards from the stops that the round before has improved: the first trip of each pattern to leave that stop
     within max_wait of the ready time (arrival there, plus the penalty after the first boarding) and the horizon. All later
-    stops of those trips are reached; strict improvements are kept, then footpaths are walked to a fixpoint (one step does if they are closed, see
-    station_walks()). Trips of one
-    pattern are taken not to overtake each other. Everything is keyed by query and stop, so a batch of queries is one job a
-    round; labels are written tables, so lineage stays short and lost executors cost a reread."""
-    limit = queries.select("query_id", (F.col("depart") + horizon).alias("limit"))
-    calls = cut(valid.join(patterns.select("trip_id", "pattern", "trip_index"), "trip_id").select("pattern", "trip_id", "trip_index", "pos", "stop", "arr", "dep"), "raptor-calls")
-    paths = cut(paths.select("from_stop", "to_stop", "seconds"), "raptor-paths")
-    labels = sources.join(queries, "query_id").groupBy("query_id", "stop").agg(F.min(F.col("depart") + F.col("seconds")).cast("int").alias("t"))
-    labels = labels.join(limit, "query_id").filter("t <= limit").select("query_id", "stop", "t")
-
-    def improved(best: DataFrame, new: DataFrame) -> DataFrame:
-        """New labels within the horizon that are earlier than the best so far."""
-        new = new.groupBy("query_id", "stop").agg(F.min("t").alias("t")).join(limit, "query_id").filter("t <= limit").drop("limit")
-        old = best.withColumnRenamed("t", "_old")
-        return new.join(old, ["query_id", "stop"], "left").filter("_old is null or t < _old").select("query_id", "stop", "t")
-
-    def merged(best: DataFrame, new: DataFrame) -> DataFrame:
-        return best.unionByName(new).groupBy("query_id", "stop").agg(F.min("t").alias("t"))
-
-    def walked(best: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Best labels and all stops improved, after walking on from marked until nothing gets earlier."""
-        front = marked
+    stops of those trips are reached; strict improvements are kept, then footpaths are walked to a fixpoint (one step does if
+    they are closed, see station_walks()). Labels that are no earlier than the target has been reached lead to no option and
+    are left out. Trips of one pattern are taken not to overtake each other.
+
+    Everything is keyed by query and stop, so a batch of queries is one job a round. Boarding is an equi-join on the stop and
+    the ready time's bin of max_wait seconds, so a busy station's day is not joined with each query. Labels are written tables,
+    so lineage stays short and lost executors cost a reread."""
+    spark = queries.sparkSession
+    with passing(spark) as made:
+        return _search(made, queries, sources, targets, valid, patterns, paths, max_rounds, horizon, max_wait, penalty, closed)
+
+
+def _search(made, queries, sources, targets, valid, patterns, paths, max_rounds, horizon, max_wait, penalty, closed) -> Found:
+    keep = lambda df, name: kept(cut(df, name), made)
+    width = max_wait or horizon
+    limit = cut(queries.select("query_id", (F.col("depart") + horizon).alias("limit")), "search-limits")
+    calls = cut(valid.join(patterns.select("trip_id", "pattern", "trip_index"), "trip_id").select("pattern", "trip_id", "trip_index", "pos", "stop", "arr", "dep"), "search-calls")
+    board = cut(boardings(calls, width), "search-boardings")
+    foot = F.col("is_walk") if "is_walk" in paths.columns else F.lit(True)
+    paths = cut(paths.select("from_stop", "to_stop", F.col("seconds").cast("int").alias("seconds"), foot.alias("foot")), "search-paths")
+    ends = keep(targets.select("query_id", "stop", F.col("seconds").alias("egress")), "search-ends")
+
+    none = {"is_walk": "int", "trip_id": "string", "from_pos": "int", "from_stop": "string", "pos": "int", "dep": "int", "seconds": "int", "foot": "boolean"}
+    parent = lambda **given: [given.get(c, F.lit(None)).cast(t).alias(c) for c, t in none.items()]
+
+    def improved(best: DataFrame | None, bound: DataFrame | None, new: DataFrame) -> DataFrame:
+        """The best new label of each query and stop, if within the horizon, earlier than the best so far and than the target."""
+        new = new.groupBy("query_id", "stop").agg(F.min(F.struct("t", *PARENT)).alias("l")).select("query_id", "stop", "l.*")
+        new = join_counted(new, limit, "query_id", "inner").filter("t <= limit").drop("limit")
+        if bound is not None:
+            new = join_counted(new, bound, "query_id").filter("bound is null or t < bound").drop("bound")
+        if best is None:
+            return new
+        return new.join(best.withColumnRenamed("t", "_old"), ["query_id", "stop"], "left").filter("_old is null or t < _old").drop("_old")
+
+    def merged(best: DataFrame | None, new: DataFrame) -> DataFrame:
+        new = new.select("query_id", "stop", "t")
+        return new if best is None else best.unionByName(new).groupBy("query_id", "stop").agg(F.min("t").alias("t"))
+
+    def walked(best: DataFrame | None, bound: DataFrame | None, rode: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The round's labels after walking on from `rode` until nothing gets earlier, and the best labels then."""
+        labels, front, best = rode, rode, cut(merged(best, rode), "search-best")
         while True:
-            far = front.join(paths, front["stop"] == paths["from_stop"]).select("query_id", F.col("to_stop").alias("stop"), (F.col("t") + F.col("seconds")).alias("t"))
-            front = cut(improved(best, far), "raptor-walk")
+            far = join_counted(front.select("query_id", F.col("stop").alias("from_stop"), "t"), paths, "from_stop", "inner")
+            far = far.select("query_id", F.col("to_stop").alias("stop"), (F.col("t") + F.col("seconds")).alias("t"), *parent(is_walk=F.lit(1), from_stop=F.col("from_stop"), seconds=F.col("seconds"), foot=F.col("foot")))
+            front = cut(improved(best, bound, far), "search-walks")
             if front.isEmpty():
-                return best, marked
-            best, marked = cut(merged(best, front), "raptor-best"), cut(merged(marked, front), "raptor-marked")
+                return labels, best
+            best = cut(merged(best, front), "search-best")
+            both = labels.unionByName(front).groupBy("query_id", "stop").agg(F.min(F.struct("t", *PARENT)).alias("l"))
+            labels = both.select("query_id", "stop", "l.*")
             if closed:
-                return best, marked
-
-    def arrivals(best: DataFrame, n: int) -> DataFrame:
-        got = best.join(targets.withColumnRenamed("seconds", "egress"), ["query_id", "stop"]).join(limit, "query_id").filter(F.col("t") + F.col("egress") <= F.col("limit"))
-        return got.groupBy("query_id").agg(F.min(F.col("t") + F.col("egress")).cast("int").alias("arrival")).withColumn("round", F.lit(n))
-
-    best = cut(labels, "raptor-best")
-    best, marked = walked(best, best)
-    reached = arrivals(best, 0)
-    for n in range(1, max_rounds + 1):
-        ready = marked.withColumn("ready", F.col("t") + (penalty if n > 1 else 0)).join(limit, "query_id")
-        board = ready.join(calls, "stop").filter((F.col("dep") >= F.col("ready")) & (F.col("dep") <= F.col("limit")))
-        if max_wait is not None:
-            board = board.filter(F.col("dep") <= F.col("ready") + max_wait)
-        first = board.groupBy("query_id", "pattern", "pos").agg(F.min(F.struct("dep", "trip_index", "trip_id")).alias("b"))
-        # Of boardings of one trip only the first place counts.
-        first = first.groupBy("query_id", F.col("b.trip_id").alias("trip_id")).agg(F.min("pos").alias("from_pos"))
-        ridden = first.join(calls, "trip_id").filter("pos > from_pos").select("query_id", "stop", F.col("arr").alias("t"))
-        new = cut(improved(best, ridden), "raptor-marked")
-        if new.isEmpty():
-            break
-        best = cut(merged(best, new), "raptor-best")
-        best, marked = walked(best, new)
-        reached = reached.unionByName(arrivals(best, n))
+                return labels, best
+
+    def reached(labels: DataFrame, n: int) -> DataFrame:
+        got = join_counted(labels.select("query_id", "stop", "t").join(ends, ["query_id", "stop"]), limit, "query_id", "inner").withColumn("a", (F.col("t") + F.col("egress")).cast("int")).filter("a <= limit")
+        return got.groupBy("query_id").agg(F.min("a").alias("arrival")).withColumn("round", F.lit(n))
+
+    rode = join_counted(sources.join(queries, "query_id"), limit, "query_id", "inner").withColumn("t", (F.col("depart") + F.col("seconds")).cast("int")).filter("t <= limit")
+    rode = cut(rode.select("query_id", "stop", "t", *parent(is_walk=F.lit(0))).groupBy("query_id", "stop").agg(F.min(F.struct("t", *PARENT)).alias("l")).select("query_id", "stop", "l.*"), "search-sources")
+    best, bound, rounds, arrivals = None, None, [], []
+    for n in range(max_rounds + 1):
+        if n:
+            ready = join_counted(rounds[-1].select("query_id", "stop", (F.col("t") + (penalty if n > 1 else 0)).alias("ready")), limit, "query_id", "inner")
+            if n > 1:  # what was improved later than the target was reached leads nowhere
+                ready = join_counted(ready, bound, "query_id").filter("bound is null or ready < bound").drop("bound")
+            on = ready.withColumn("bin", F.floor(F.col("ready") / width)).join(board, ["stop", "bin"])
+            last = F.least(F.col("limit"), F.col("ready") + max_wait) if max_wait is not None else F.col("limit")
+            on = on.withColumn("d", F.get(F.filter("deps", lambda d: (d["dep"] >= F.col("ready")) & (d["dep"] <= last)), F.lit(0))).filter("d is not null")
+            # Of boardings of one trip only the first place counts.
+            first = on.groupBy("query_id", F.col("d.trip_id").alias("trip_id")).agg(F.min(F.struct("from_pos", F.col("stop").alias("from_stop"), F.col("d.dep").alias("dep"))).alias("b"))
+            ridden = first.select("query_id", "trip_id", "b.*").join(calls.select("trip_id", "pos", "stop", "arr"), "trip_id").filter("pos > from_pos")
+            ridden = ridden.select("query_id", "stop", F.col("arr").alias("t"), *parent(is_walk=F.lit(0), trip_id=F.col("trip_id"), from_pos=F.col("from_pos"), from_stop=F.col("from_stop"), pos=F.col("pos"), dep=F.col("dep")))
+            rode = cut(improved(best, bound, ridden), "search-rides")
+            if rode.isEmpty():
+                break
+        labels, best = walked(best, bound, rode)
+        rounds.append(keep(labels.select("query_id", F.lit(n).alias("round"), "stop", "t", *PARENT), "search-labels"))
+        arrivals.append(keep(reached(rounds[-1], n), "search-arrivals"))
+        bound = cut(reduce(DataFrame.unionByName, arrivals).groupBy("query_id").agg(F.min("arrival").alias("bound")), "search-bounds")
     earlier = F.min("arrival").over(Window.partitionBy("query_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
-    out = reached.withColumn("_e", earlier).filter("_e is null or arrival < _e")
-    return out.select("query_id", "round", "arrival", F.greatest(F.col("round") - 1, F.lit(0)).alias("transfers"))
+    options = reduce(DataFrame.unionByName, arrivals).withColumn("_e", earlier).filter("_e is null or arrival < _e")
+    options = options.select("query_id", "round", "arrival", F.greatest(F.col("round") - 1, F.lit(0)).alias("transfers"))
+    return Found(options, reduce(DataFrame.unionByName, rounds), ends)
+
+
+def raptor(*args, **options) -> DataFrame:
+    """The options alone of search()."""
+    return search(*args, **options).options
 
 
 def best_options(options: DataFrame) -> DataFrame:
     """The option of each query that arrives first, then has fewest transfers and boardings."""
-    w = Window.partitionBy("query_id").orderBy("arrival", "transfers", "round")
-    return options.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    first = options.groupBy("query_id").agg(F.min(F.struct("arrival", "transfers", "round")).alias("o"))
+    return first.select("query_id", "o.round", "o.arrival", "o.transfers")
+
+
+def journeys(found: Found, options: DataFrame | None = None) -> DataFrame:
+    """The steps of each option (all, or those of `options`): query_id, round, pos (from 0), kind (trip, transfer), label (walk or
+    null), from_stop, to_stop, dep, arr, seconds, trip_id, from_pos, to_pos.
+
+    Walks back from the target's label: a walk comes from a label of its own round, a ride from one of the round before. A step
+    back is an equi-join for all options at once, so there are at most two for each round."""
+    with passing(found.options.sparkSession) as made:
+        return _journeys(made, found, found.options if options is None else options)
+
+
+def _journeys(made, found: Found, options: DataFrame) -> DataFrame:
+    labels = found.labels.withColumnRenamed("round", "at")
+    reach = options.select("query_id", "round", "arrival").join(found.ends, "query_id")
+    at = reach.join(labels.withColumnRenamed("at", "round"), ["query_id", "round", "stop"]).filter(F.col("t") + F.col("egress") == F.col("arrival"))
+    first = at.groupBy("query_id", "round").agg(F.min(F.struct("egress", "stop")).alias("e"))
+    cursor = cut(first.select("query_id", "round", F.col("e.stop").alias("stop"), F.col("round").alias("at")), "journey-cursor")
+    steps, n = [], 0
+    while not steps or not cursor.isEmpty():
+        got = cursor.join(labels, ["query_id", "stop", "at"]).filter("from_stop is not null").withColumn("back", F.lit(n))
+        steps.append(kept(cut(got, "journey-steps"), made))
+        cursor = cut(steps[-1].select("query_id", "round", F.col("from_stop").alias("stop"), (F.col("at") - 1 + F.col("is_walk")).alias("at")), "journey-cursor")
+        n += 1
+    rows = reduce(DataFrame.unionByName, steps)
+    pos = F.row_number().over(Window.partitionBy("query_id", "round").orderBy(F.desc("back"))) - 1
+    ride = F.col("is_walk") == 0
+    return rows.select("query_id", "round", pos.alias("pos"), F.when(ride, "trip").otherwise("transfer").alias("kind"), F.when(~ride & F.col("foot"), "walk").alias("label"), "from_stop", F.col("stop").alias("to_stop"), F.when(ride, F.col("dep")).otherwise(F.col("t") - F.col("seconds")).alias("dep"), F.col("t").alias("arr"), F.when(ride, F.col("t") - F.col("dep")).otherwise(F.col("seconds")).alias("seconds"), "trip_id", "from_pos", F.col("pos").alias("to_pos"))
 
 
 def station_walks(paths: DataFrame) -> DataFrame:
-    """Shortest walks over any number of footpaths, for feeds with few stations: each step joins walks with walks, so it
-    ends after the logarithm of the longest chain."""
-    best = cut(paths.groupBy("from_stop", "to_stop").agg(F.min("seconds").cast("long").alias("seconds")), "walks")
+    """Shortest walks over any number of footpaths, for feeds with few stations: from_stop, to_stop, seconds, is_walk (whether
+    any part is no explicit transfer). Each step joins walks with walks, so it ends after the logarithm of the longest chain."""
+    least = lambda df: df.groupBy("from_stop", "to_stop").agg(F.min(F.struct("seconds", "is_walk")).alias("w")).select("from_stop", "to_stop", "w.*")
+    best = cut(least(paths.select("from_stop", "to_stop", F.col("seconds").cast("long").alias("seconds"), "is_walk")), "walks")
     seen = None
-    while seen != (now := best.agg(F.count("*"), F.sum("seconds")).first()):
+    while seen != (now := best.agg(F.count("*"), F.sum("seconds"), F.sum(F.col("is_walk").cast("int"))).first()):
         seen = now
-        on = best.select(F.col("from_stop").alias("to_stop"), F.col("to_stop").alias("end"), F.col("seconds").alias("more"))
-        longer = best.join(on, "to_stop").filter("from_stop <> end").select("from_stop", F.col("end").alias("to_stop"), (F.col("seconds") + F.col("more")).alias("seconds"))
-        best = cut(best.unionByName(longer).groupBy("from_stop", "to_stop").agg(F.min("seconds").alias("seconds")), "walks")
+        on = best.select(F.col("from_stop").alias("to_stop"), F.col("to_stop").alias("end"), F.col("seconds").alias("more"), F.col("is_walk").alias("foot"))
+        longer = best.join(on, "to_stop").filter("from_stop <> end").select("from_stop", F.col("end").alias("to_stop"), (F.col("seconds") + F.col("more")).alias("seconds"), (F.col("is_walk") | F.col("foot")).alias("is_walk"))
+        old, best = best, cut(least(best.unionByName(longer)), "walks")
+        drop(old)
     return best
+

@@ -1,37 +1,119 @@
-"""Label-correcting earliest arrival over departure buckets and transfers (stops as states)."""
+"""Label-correcting earliest arrival over departure buckets and transfers, for all queries at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..functions.geo import haversine
+from ..shared import cut, join_counted, kept, passing
+
+#: What an equal arrival is decided by, in this order.
+STEP = ["kind", "trip_id", "from_stop", "from_active", "dep"]
+#: No vehicle is faster, in metres a second.
+MAX_SPEED = 55.0
+
+
+def lower_bound(lat: Column, lon: Column, goal_lat: Column, goal_lon: Column, speed: float = MAX_SPEED) -> Column:
+    """Seconds that a way to the goal takes at least; 0 where a place is unknown."""
+    return F.coalesce(F.ceil(haversine(lat, lon, goal_lat, goal_lon) / speed), F.lit(0)).cast("int")
+
+
+def departure_bins(rides: DataFrame, width: int) -> DataFrame:
+    """rides -> (from_stop, bin, to_stop, deps): sorted departures of a bucket in a bin of width seconds and the next one."""
+    at = F.floor(F.col("dep") / width)
+    rows = rides.select("from_stop", "to_stop", F.struct("dep", "trip_id", "arr", "route_id").alias("d"), F.explode(F.array(at, at - 1)).alias("bin"))
+    return rows.groupBy("from_stop", "bin", "to_stop").agg(F.array_sort(F.collect_set("d")).alias("deps"))
+
 
+def labels(queries: DataFrame, rides: DataFrame, transfers: DataFrame, goals: DataFrame | None = None, coords: DataFrame | None = None, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, route_penalty: int = 0, max_steps: int = 400) -> DataFrame:
+    """All labels that were an improvement when found: query_id, step, stop, active, t, and STEP, the way there from a label of the
+    step before.
 
-def earliest_arrivals(queries: DataFrame, rides: DataFrame, transfers: DataFrame, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, max_steps: int = 200) -> DataFrame:
-    """Earliest arrival at every stop: query_id, stop, t, hops.
+    queries(query_id, stop, depart); rides(from_stop, to_stop, dep, arr[, trip_id, route_id]); transfers(from_stop, to_stop,
+    weight, apply_penalty). A state is a stop and the route one is on, none after a transfer; without a route penalty the route
+    does not matter, and a state is a stop. At a stop, of each next stop the first ride that leaves within max_wait and the
+    horizon is taken, with the route penalty if one is on another route, or a transfer of known weight plus the penalty if it
+    applies. A step relaxes only the labels that the step before improved, and it ends when none improves; max_steps without
+    that is an error. The wait limit holds for each label on its own, also where a stop is later found to be reached earlier.
+    Rides that arrive before they leave are left out.
 
-    queries(query_id, stop, depart); rides(from_stop, to_stop, dep, arr); transfers(from_stop, to_stop, weight,
-    apply_penalty). At a stop, of each next stop the first ride that leaves within max_wait and the horizon is taken, or a
-    transfer of known weight plus the penalty if it applies. A step relaxes only the labels that the step before improved,
-    so it ends when none improves. Rides that arrive before they leave are left out."""
+    goals(query_id, stop): labels that cannot reach the goal before the best arrival there, by the straight way from coords(stop,
+    lat, lon) at MAX_SPEED, are left out, which keeps the goal's labels and the ways there."""
+    with passing(queries.sparkSession) as made:
+        return _labels(made, queries, rides, transfers, goals, coords, horizon, max_wait, penalty, route_penalty, max_steps)
+
+
+def _labels(made, queries, rides, transfers, goals, coords, horizon, max_wait, penalty, route_penalty, max_steps) -> DataFrame:
+    width = max_wait or horizon
     limit = queries.select("query_id", (F.col("depart") + horizon).alias("limit"))
-    rides = cut(rides.filter("arr >= dep").select("from_stop", "to_stop", "dep", "arr").distinct(), "search-rides")
-    moves = transfers.filter("weight is not null").select("from_stop", "to_stop", (F.col("weight") + F.when(F.col("apply_penalty"), penalty).otherwise(0)).alias("cost"))
-    best = cut(queries.select("query_id", "stop", F.col("depart").alias("t"), F.lit(0).alias("hops")), "search-best")
-    front = best
-    for step in range(1, max_steps + 1):
-        at = front.join(limit, "query_id").withColumnRenamed("stop", "from_stop").select("query_id", "from_stop", "t", "limit")
-        seen = at.join(rides, "from_stop").filter((F.col("dep") >= F.col("t")) & (F.col("dep") <= F.col("limit")))
-        if max_wait is not None:
-            seen = seen.filter(F.col("dep") <= F.col("t") + max_wait)
-        ridden = seen.groupBy("query_id", "from_stop", "to_stop").agg(F.min(F.struct("dep", "arr")).alias("r")).select("query_id", F.col("to_stop").alias("stop"), F.col("r.arr").alias("t"))
-        walked = at.join(moves, "from_stop").select("query_id", F.col("to_stop").alias("stop"), (F.col("t") + F.col("cost")).alias("t"))
-        new = ridden.unionByName(walked).groupBy("query_id", "stop").agg(F.min("t").alias("t")).join(limit, "query_id").filter("t <= limit")
-        new = new.join(best.select("query_id", "stop", F.col("t").alias("_old")), ["query_id", "stop"], "left").filter("_old is null or t < _old")
-        front = cut(new.select("query_id", "stop", "t", F.lit(step).alias("hops")), "search-front")
-        if front.isEmpty():
-            break
-        merged = best.unionByName(front).groupBy("query_id", "stop").agg(F.min(F.struct("t", "hops")).alias("b"))
-        best = cut(merged.select("query_id", "stop", "b.t", "b.hops"), "search-best")
-    return best
+    if goals is not None:
+        place = lambda df, a, b: df.join(coords.select("stop", F.col("lat").alias(a), F.col("lon").alias(b)), "stop", "left") if coords is not None else df.withColumns({c: F.lit(None).cast("double") for c in (a, b)})
+        limit = limit.join(place(goals.select("query_id", "stop"), "goal_lat", "goal_lon").withColumnRenamed("stop", "goal"), "query_id")
+    limit = cut(limit, "search-limits")
+    for c in ("trip_id", "route_id"):
+        rides = rides if c in rides.columns else rides.withColumn(c, F.lit(None).cast("string"))
+    bins = cut(departure_bins(rides.filter("arr >= dep"), width), "search-rides")
+    cost = F.col("weight") + F.when(F.col("apply_penalty"), penalty).otherwise(0)
+    moves = cut(transfers.filter("weight is not null").groupBy("from_stop", "to_stop").agg(F.min(cost).alias("cost")), "search-moves")
+    places = cut(coords.select("stop", "lat", "lon"), "search-places") if coords is not None else None
+    none = lambda t="string": F.lit(None).cast(t)
+    start = queries.select("query_id", "stop", none().alias("active"), F.col("depart").cast("int").alias("t"), none("int").alias("kind"), none().alias("trip_id"), none().alias("from_stop"), none().alias("from_active"), none("int").alias("dep")).distinct()
+    steps, best, bound = [kept(cut(start.withColumn("step", F.lit(0)), "search-labels"), made)], None, None
+    while True:
+        front, n = steps[-1], len(steps)
+        best = cut(front.select("query_id", "stop", "active", "t") if best is None else best.unionByName(front.select("query_id", "stop", "active", "t")).groupBy("query_id", "stop", "active").agg(F.min("t").alias("t")), "search-best")
+        if goals is not None:
+            there = join_counted(best, limit, "query_id", "inner").filter("stop = goal").groupBy("query_id").agg(F.min("t").alias("bound"))
+            bound = cut(there, "search-bounds")
+        at = join_counted(front.select("query_id", F.col("stop").alias("from_stop"), F.col("active").alias("from_active"), "t"), limit, "query_id", "inner")
+        seen = at.withColumn("bin", F.floor(F.col("t") / width)).join(bins, ["from_stop", "bin"])
+        last = F.least(F.col("limit"), F.col("t") + max_wait) if max_wait is not None else F.col("limit")
+        seen = seen.withColumn("d", F.get(F.filter("deps", lambda d: (d["dep"] >= F.col("t")) & (d["dep"] <= last)), F.lit(0))).filter("d is not null")
+        change = F.when(F.col("from_active").isNotNull() & ~F.col("from_active").eqNullSafe(F.col("d.route_id")), route_penalty).otherwise(0)
+        on = F.col("d.route_id") if route_penalty else none()
+        ridden = seen.select("query_id", F.col("to_stop").alias("stop"), on.alias("active"), (F.col("d.arr") + change).cast("int").alias("t"), F.lit(0).alias("kind"), F.col("d.trip_id").alias("trip_id"), "from_stop", "from_active", F.col("d.dep").alias("dep"))
+        walked = join_counted(at, moves, "from_stop", "inner").select("query_id", F.col("to_stop").alias("stop"), none().alias("active"), (F.col("t") + F.col("cost")).cast("int").alias("t"), F.lit(1).alias("kind"), none().alias("trip_id"), "from_stop", "from_active", none("int").alias("dep"))
+        new = ridden.unionByName(walked).groupBy("query_id", "stop", "active").agg(F.min(F.struct("t", *STEP)).alias("l")).select("query_id", "stop", "active", "l.*")
+        new = join_counted(new, limit, "query_id", "inner").filter("t <= limit")
+        if goals is not None:
+            if places is not None:
+                new = join_counted(new, places, "stop").withColumn("t2", F.col("t") + lower_bound(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon")))
+            else:
+                new = new.withColumn("t2", F.col("t"))
+            new = join_counted(new, bound, "query_id").filter("bound is null or t2 < bound")
+        old = best.select("query_id", "stop", F.col("active").alias("_active"), F.col("t").alias("_old"))
+        new = new.join(old, ["query_id", "stop"], "left") if not route_penalty else new.join(old.withColumnRenamed("query_id", "_q").withColumnRenamed("stop", "_s"), (F.col("query_id") == F.col("_q")) & (F.col("stop") == F.col("_s")) & F.col("active").eqNullSafe(F.col("_active")), "left")
+        new = new.filter("_old is null or t < _old").select("query_id", "stop", "active", "t", *STEP, F.lit(n).alias("step"))
+        new = kept(cut(new, "search-labels"), made)
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, steps)
+        if n == max_steps:
+            raise ValueError(f"labels still improve after {max_steps} steps")
+        steps.append(new)
+
+
+def earliest_arrivals(queries: DataFrame, rides: DataFrame, transfers: DataFrame, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, max_steps: int = 400, **options) -> DataFrame:
+    """Earliest arrival at every stop, and the hops of the way there: query_id, stop, t, hops. See labels()."""
+    found = labels(queries, rides, transfers, horizon=horizon, max_wait=max_wait, penalty=penalty, max_steps=max_steps, **options)
+    return found.groupBy("query_id", "stop").agg(F.min(F.struct("t", "step")).alias("b")).select("query_id", "stop", "b.t", F.col("b.step").alias("hops"))
+
+
+def hops(found: DataFrame, goals: DataFrame) -> DataFrame:
+    """The way to each goal reached: query_id, pos (from 0), kind (trip, transfer), from_stop, to_stop, trip_id, dep, arr. arr has
+    the route penalty in it, as the search counts it.
+
+    Goes back from the goal's earliest label, a step at a time for all queries at once."""
+    with passing(found.sparkSession) as made:
+        at = goals.join(found, ["query_id", "stop"]).groupBy("query_id").agg(F.min(F.struct("t", "step", "stop", "active")).alias("g"))
+        cursor, steps = cut(at.select("query_id", "g.step", "g.stop", "g.active"), "hop-cursor"), []
+        while not steps or not cursor.isEmpty():
+            on = [cursor["query_id"] == found["query_id"], cursor["step"] == found["step"], cursor["stop"] == found["stop"], cursor["active"].eqNullSafe(found["active"])]
+            got = cursor.join(found, on).filter("from_stop is not null").select(found["*"])
+            steps.append(kept(cut(got, "hop-steps"), made))
+            cursor = cut(steps[-1].select("query_id", (F.col("step") - 1).alias("step"), F.col("from_stop").alias("stop"), F.col("from_active").alias("active")), "hop-cursor")
+        rows = reduce(DataFrame.unionByName, steps)
+        pos = F.row_number().over(Window.partitionBy("query_id").orderBy("step")) - 1
+        return rows.select("query_id", pos.alias("pos"), F.when(F.col("kind") == 0, "trip").otherwise("transfer").alias("kind"), "from_stop", F.col("stop").alias("to_stop"), "trip_id", "dep", F.col("t").alias("arr"))

@@ -69,7 +69,10 @@ def delete(spark: SparkSession, path: str) -> None:
 def join_counted(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
     """left join right. right, a written table whose rows its footers count, is broadcast only up to BROADCAST_ROWS; beyond,
     Spark shuffles both sides and AQE splits skewed keys."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+    rows = right.__dict__.setdefault("_rows", None)
+    if rows is None:
+        rows = right._rows = right.count()
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 
 
 @contextmanager
