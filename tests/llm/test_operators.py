@@ -45,6 +45,26 @@ def test_secrets_match_the_base_rules(spark):
     assert secrets.secret_spans(nothing(spark)).count() == 0
 
 
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(8)
+    keys = [f"{k:016x}" for k in range(30)]
+    rows = [(i, " ".join(f"token={rng.choice(keys)}" for _ in range(rng.randint(0, 4))), rng.choice(["en", "de", "fr", "it", None]), rng.choice(["p", "q", None]), 0) for i in range(60)]
+    rows += [(100 + i, "token=aaaaaaaaaaaaaaaaaaaa", f"l{i}", "one", 0) for i in range(6)] + [(None, "token=bbbbbbbbbbbbbbbbbbbb", None, None, 0)] * 3
+    owners: dict[str, set] = {}
+    for _, text, lang, source, _ in rows:
+        for m in text.split():
+            owners.setdefault(m, set()).add((source, lang))
+    verdict = lambda m: "specific" if len({s for s, _ in owners[m]}) <= 1 and len(owners[m]) <= 3 else "copied"
+    got = secrets.digest(secrets.secret_spans(spark.createDataFrame(rows, SCHEMA))).collect()
+    # The hexadecimal values are candidates of their own kind too, with the same owners.
+    want = []
+    for i, text, _, _, _ in rows:
+        by = [f"{x.split(':')[0]}:{x.split(':')[1]}:{x.split(':')[2]}:{verdict(next(m for m in text.split() if text[int(x.split(':')[1]) : int(x.split(':')[2])] in m))}" for x in brute.spans(text, brute.SECRETS)]
+        want.append((i or -1, ",".join(by)))
+    assert sorted((r.doc_id or -1, r.verdicts) for r in got) == sorted(want)
+    assert {r.verdicts for r in got if r.doc_id and r.doc_id >= 100} == {"assign:0:26:copied,hex:6:26:copied"}
+
+
 def test_secrets_part_live_from_copied(spark):
     live, copied = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8"
     rows = [(1, f"see {live} here", "en", "one", 0), (2, f"see {live} again", "en", "one", 0), (3, f"sample {copied}", "en", "one", 0), (4, f"sample {copied}", "en", "two", 0), (5, f"token={live}", "en", "one", 0)]
@@ -97,6 +117,48 @@ def test_contexts_of_attached_labels(spark):
         assert found(spark, texts) == [0] * 12 + [1] * 3, before
 
 
+def identifiers(spark, texts):
+    rows = personal.personal_spans(table(spark, texts)).orderBy("doc_id").collect()
+    return [[(s.start, s.end) for s in r.spans if s.kind == "found"] for r in rows]
+
+
+def planted(rng):
+    """Texts, and which of them hold an identifier that only its surroundings tell from the decoys."""
+    say = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(3, 9)))
+    number = lambda: f"{rng.choice('ABCDEFG')}{rng.randint(100, 999)}-{rng.randint(1000, 9999)}"
+    texts = [f"{say()} reach me via phone: +49 ({rng.randint(100, 999)}) {rng.randint(100000, 999999)} anytime {say()}" for _ in range(60)]
+    ids = [number() for _ in range(60)]
+    texts += [f"{say()} reach me via phone: {i} anytime {say()}" for i in ids[:40]] + [f"{say()} badge holder {i} on file {say()}" for i in ids]
+    good = len(texts)
+    texts += [f"{say()} the part {number()} costs {rng.randint(100, 999)}.50 {say()}" for _ in range(60)] + [f"{say()} built 2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)} {say()}" for _ in range(40)]
+    return texts, range(60, good), range(good, len(texts))
+
+
+def test_planted_identifiers_are_found_and_decoys_left(spark):
+    texts, good, bad = planted(random.Random(4))
+    got = identifiers(spark, texts)
+    assert got == brute.found(texts)
+    hits, wrong = sum(len(got[i]) == 1 for i in good), sum(bool(got[i]) for i in bad)
+    assert hits >= 0.95 * len(good) and wrong == 0
+
+
+def test_long_identifiers_and_long_words(spark):
+    long = "x" * 300
+    for before, after in ((f"{long} phone: ", ""), (f"{long}phone: ", " a"), ("phone: ", f" {long} b"), (f"a {long} {long}: ", "")):
+        texts = [f"u{i} {before}+1 (555) 555-{1000 + i}{after}" for i in range(12)] + [f"u{i} {before}{'k' * 70}77{i:02d}{after}" for i in range(3)] + [f"u {before}55-77-99."]
+        got = identifiers(spark, texts)
+        assert got == brute.found(texts) and [len(x) for x in got] == [0] * 12 + [1] * 4, before[-20:]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bootstrapping_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words_ = ["id:", "no", "tel=", "a", "b", '"x":"', "(", "of"]
+    value = lambda: rng.choice(["+1 555 555 " + str(rng.randint(1000, 1020)), "me@x.org", f"K{rng.randint(100, 115)}-1", "12345.", "zz"])
+    texts = [None, ""] + [rng.choice([" ", "\n"]).join(rng.choice(words_) + rng.choice(["", " "]) + value() for _ in range(rng.randint(0, 6))) for _ in range(120)]
+    assert identifiers(spark, texts) == brute.found(texts)
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 2, 3, 10, 101)], "v array<int>")
     for r in df.select("v", let(F.col("v"), spans.running).alias("s")).collect():
@@ -271,6 +333,29 @@ def test_groups_with_enumeration_forced(spark, monkeypatch):
     assert got == brute.groups(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_groups_of_long_lists(spark, monkeypatch, seed):
+    # Every list counts as long, and most documents share a passage, so pairs are found by several common elements.
+    monkeypatch.setattr(jaccard, "LONG", 1)
+    monkeypatch.setattr(jaccard, "boundary", lambda length, percent: 0)
+    rng = random.Random(seed)
+    shared = [f"s{i}" for i in range(40)]
+    texts = near(seed) + [" ".join(shared + [rng.choice("abcdefgh") + rng.choice("ij") for _ in range(n)]) for n in rng.choices(range(2, 30), k=60)]
+    for percent in (85, 70):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(table(spark, texts), 4, percent).collect()}
+        assert got == brute.groups(list(enumerate(texts)), 4, percent)
+
+
+def test_groups_of_many_null_ids(spark):
+    texts = near(9)
+    want = brute.groups(list(enumerate(texts)))
+    # Null ids: the groups are those of the texts, whose sizes are told by joining one known id to each.
+    got = jaccard.similar_groups(spark.createDataFrame([(None, t) for t in texts] + [(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    known = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert all(known[1000 + i].component_id == 1000 + c for i, (_, c) in want.items())
+    assert sorted(r.component_id or -1 for r in got if r.doc_id is None) == sorted(1000 + c if n else -1 for n, c in want.values())
+
+
 def test_groups_of_null_ids_and_empty_tables(spark):
     rows = [(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (None, None), (9, "")]
     got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -369,6 +454,32 @@ def test_mix_by_document_weights(spark):
     assert high > low and all(r.copies <= 2 for r in got)
 
 
+def test_mix_takes_documents_as_often_as_expected(spark):
+    # 3 weights, over many draws: inclusion frequencies come near expected copies, and the taken words near the target.
+    rows = [(i, "w " * 10, "en", "a", (1, 2, 4)[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = {w: 0 for w in (1, 2, 4)}
+    for seed in range(6):
+        got = source_mix.pareto_mix(df, share=0.5, seed=seed, weight_col="n_chars").collect()
+        assert abs(sum(r.taken for r in got) - 1500) <= 10
+        for r in got:
+            taken[(1, 2, 4)[r.doc_id % 3]] += r.copies
+    for w, n in taken.items():
+        assert abs(n / 600 - w * 1.5 / 7) < 0.06, taken
+
+
+def test_mix_of_rows_that_repeat_id_and_text(spark):
+    rows = [(None, "a b c", "en", "x", 0)] * 3000 + [(5, "d e f", "en", "x", 0)] * 500 + [(i, "g h", "en", "y", 0) for i in range(500)]
+    got = source_mix.pareto_mix(spark.createDataFrame(rows, SCHEMA), by_size=True).groupBy("target").agg(F.sum("taken").alias("n"), F.max("copies").alias("c")).collect()
+    assert all(abs(r.n - r.target) <= 3 and r.c <= 2 for r in got) and len(got) == 2
+
+
+def test_mix_fills_what_capped_documents_leave(spark):
+    rows = [(i, "w " * 10, "en", "a", 1000 if i < 10 else 1) for i in range(100)]
+    got = source_mix.pareto_mix(spark.createDataFrame(rows, SCHEMA), weight_col="n_chars").collect()
+    assert abs(sum(r.taken for r in got) - 1500) <= 10 and all(r.copies == 2 for r in got if r.doc_id < 10)
+
+
 # --- vectors ---
 
 
@@ -478,3 +589,32 @@ def test_outliers_are_rejected_and_clean_documents_kept(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.kept for r in quality.quality_rules(df).collect()}
     assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 312))
+
+
+def test_distances_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    names, floors = list(quality.FEATURES), list(quality.FEATURES.values())
+    x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5))
+    x[:60] += 12
+    rows = [("a" if i % 2 else "b", i, *map(float, r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "_group string, i long, " + ", ".join(f"{n} double" for n in names))
+    got = {r.i: r._d2 for r in quality.with_distance(df, quality.mcd_fits(df, names), names, ["i"]).collect()}
+    inflate, last = quality.consistency(5, 0.75), quality.consistency(5, 0.975)
+    for odd in (0, 1):
+        want = brute.least_determinant(x[odd::2], floors, 0.75, inflate, last, quality.chi2_quantile(5, 0.975))
+        assert np.allclose([got[i] for i in range(odd, 400, 2)], want, rtol=1e-6)
+        assert min(got[i] for i in range(odd, 60, 2)) > quality.chi2_quantile(5, 1 - 1e-6)
+
+
+def test_chi_square_law():
+    assert [round(quality.chi2_quantile(d, p), 3) for d, p in ((1, 0.95), (5, 0.5), (5, 0.999), (7, 0.975))] == [3.841, 4.351, 20.515, 16.013]
+
+
+def test_small_groups_join_wider_ones(spark):
+    rng = random.Random(2)
+    clean = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(30, 400)))
+    rows = [(i, clean(), f"l{i % 9}", f"s{i % 90}", 0) for i in range(180)] + [(999, " ".join(w + "###" for w in clean().split()), "l3", "s3", 0)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not got[999].kept and sum(r.kept for r in got.values()) >= 178
+    few = quality.quality_rules(spark.createDataFrame(rows[:20], SCHEMA)).collect()
+    assert all(r.kept and r.d2 is None for r in few)
