@@ -42,16 +42,20 @@ PATHS = """paths AS (SELECT from_stop, to_stop, seconds, is_walk FROM (SELECT *,
     SELECT from_stop, to_stop, greatest(0, coalesce(weight, 0))::INT AS seconds, 0 AS is_walk FROM moves UNION ALL SELECT from_stop, to_stop, seconds, 1 FROM walks) u WHERE from_stop <> to_stop) v WHERE r = 1)"""
 
 
-def rounds(n: int, wait: int = 1200, horizon: int = 14_400) -> str:
+#: The ends of rounds(): the stations of a request's two stops.
+STATIONS = "starts AS MATERIALIZED (SELECT query_id, canonical AS stop, 0 AS seconds FROM requests JOIN canon ON stop_id = origin), ends AS MATERIALIZED (SELECT query_id, canonical AS stop, 0 AS egress FROM requests JOIN canon ON stop_id = destination)"
+
+
+def rounds(n: int, wait: int = 1200, horizon: int = 14_400, ends: str = STATIONS) -> str:
     """Labels by rounds as plain SQL, after PATHS, VALID and PATTERNS, for all requests: lab(query_id, rnd, stop, t, w, trip_id,
     from_pos, from_stop, pos, dep, sec, foot) and z(query_id, round, arrival). Walks are closed beforehand over up to 64 paths."""
     out = ["w0 AS MATERIALIZED (SELECT from_stop, to_stop, seconds, is_walk = 1 AS foot FROM paths)"]
     for i in range(1, 7):
         out.append(f"""w{i} AS MATERIALIZED (SELECT from_stop, to_stop, min(seconds) AS seconds, arg_min(foot, (seconds, foot)) AS foot FROM (SELECT * FROM w{i - 1}
     UNION ALL SELECT a.from_stop, b.to_stop, a.seconds + b.seconds, a.foot OR b.foot FROM w{i - 1} a JOIN w{i - 1} b ON a.to_stop = b.from_stop AND a.from_stop <> b.to_stop) u GROUP BY ALL)""")
-    out.append(f"q AS MATERIALIZED (SELECT query_id, depart, depart + {horizon} AS lim, a.canonical AS src, b.canonical AS dst FROM requests JOIN canon a ON a.stop_id = origin JOIN canon b ON b.stop_id = destination)")
+    out.append(f"q AS MATERIALIZED (SELECT query_id, depart, depart + {horizon} AS lim FROM requests), {ends}")
     out.append(f"calls AS MATERIALIZED (SELECT v.*, p.pattern, p.trip_index, v.dep // {wait} AS bin FROM valid v JOIN patterns p USING (trip_id))")
-    out.append("r0 AS MATERIALIZED (SELECT query_id, src AS stop, depart AS t, 0 AS w, NULL::VARCHAR AS trip_id, NULL::INT AS from_pos, NULL::VARCHAR AS from_stop, NULL::INT AS pos, NULL::INT AS dep, NULL::INT AS sec, NULL::BOOLEAN AS foot FROM q)")
+    out.append("r0 AS MATERIALIZED (SELECT query_id, stop, depart + seconds AS t, 0 AS w, NULL::VARCHAR AS trip_id, NULL::INT AS from_pos, NULL::VARCHAR AS from_stop, NULL::INT AS pos, NULL::INT AS dep, NULL::INT AS sec, NULL::BOOLEAN AS foot FROM q JOIN starts USING (query_id) WHERE depart + seconds <= lim)")
     for i in range(n + 1):
         if i:
             out.append(f"""o{i} AS (SELECT f.query_id, c.pattern, c.pos AS from_pos, any_value(f.stop) AS from_stop, arg_min(c.trip_id, (c.dep, c.trip_index)) AS trip_id, min(c.dep) AS dep
@@ -66,12 +70,12 @@ r{i} AS MATERIALIZED (SELECT g.query_id, g.stop, g.t, 0 AS w, trip_id, from_pos,
 l{i} AS MATERIALIZED (SELECT r.* FROM r{i} r ANTI JOIN k{i} k ON k.query_id = r.query_id AND k.stop = r.stop UNION ALL SELECT query_id, stop, t, 1, NULL, NULL, from_stop, NULL, NULL, sec, foot FROM k{i}),
 b{i} AS MATERIALIZED (SELECT query_id, stop, min(t) AS t FROM (SELECT query_id, stop, t FROM l{i}""" + (f" UNION ALL SELECT * FROM b{i - 1}" if i else "") + ") u GROUP BY ALL)")
     out.append("lab AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS rnd, * FROM l{i}" for i in range(n + 1)) + ")")
-    out.append("z AS MATERIALIZED (SELECT * FROM (SELECT *, min(arrival) OVER (PARTITION BY query_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM (SELECT query_id, rnd AS round, t AS arrival FROM lab JOIN q USING (query_id) WHERE stop = dst) g) h WHERE e IS NULL OR arrival < e)")
+    out.append("z AS MATERIALIZED (SELECT * FROM (SELECT *, min(arrival) OVER (PARTITION BY query_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM (SELECT query_id, rnd AS round, min(t + egress) AS arrival FROM lab JOIN ends USING (query_id, stop) JOIN q USING (query_id) WHERE t + egress <= lim GROUP BY ALL) g) h WHERE e IS NULL OR arrival < e)")
     return ", ".join(out)
 
 
 #: The steps of each option of z, from rounds(): j(query_id, round, pos, kind, label, from_stop, to_stop, dep, arr, seconds, trip_id, from_pos, to_pos).
-JOURNEYS = """back AS (SELECT z.query_id, z.round, dst AS stop, z.round AS rnd, 0 AS n FROM z JOIN q USING (query_id)
+JOURNEYS = """back AS (SELECT z.query_id, z.round, arg_min(l.stop, (egress, l.stop)) AS stop, z.round AS rnd, 0 AS n FROM z JOIN lab l ON l.query_id = z.query_id AND l.rnd = z.round JOIN ends e ON e.query_id = l.query_id AND e.stop = l.stop AND t + egress = arrival GROUP BY z.query_id, z.round
     UNION ALL SELECT p.query_id, p.round, l.from_stop, l.rnd - 1 + l.w, p.n + 1 FROM back p JOIN lab l ON l.query_id = p.query_id AND l.stop = p.stop AND l.rnd = p.rnd WHERE l.from_stop IS NOT NULL),
 j AS (SELECT p.query_id, p.round, row_number() OVER (PARTITION BY p.query_id, p.round ORDER BY p.n DESC) - 1 AS pos, CASE WHEN l.w = 0 THEN 'trip' ELSE 'transfer' END AS kind, CASE WHEN l.w = 1 AND l.foot THEN 'walk' END AS label,
     l.from_stop, l.stop AS to_stop, CASE WHEN l.w = 0 THEN l.dep ELSE l.t - l.sec END AS dep, l.t AS arr, CASE WHEN l.w = 0 THEN l.t - l.dep ELSE l.sec END AS seconds, l.trip_id, l.from_pos, l.pos AS to_pos
@@ -103,3 +107,30 @@ b{i} AS MATERIALIZED (SELECT query_id, stop, active, min(t) AS t FROM (SELECT *
 HOPS = """back AS (SELECT query_id, step, stop, active FROM g UNION ALL SELECT p.query_id, p.step - 1, l.from_stop, l.from_active FROM back p JOIN lab l ON l.query_id = p.query_id AND l.step = p.step AND l.stop = p.stop AND l.active = p.active WHERE l.from_stop IS NOT NULL),
 h AS (SELECT p.query_id, row_number() OVER (PARTITION BY p.query_id ORDER BY p.step) - 1 AS pos, CASE WHEN l.kind = 0 THEN 'trip' ELSE 'transfer' END AS kind, l.from_stop, l.stop AS to_stop, l.trip_id, l.dep, l.t AS arr
     FROM back p JOIN lab l ON l.query_id = p.query_id AND l.step = p.step AND l.stop = p.stop AND l.active = p.active WHERE l.from_stop IS NOT NULL)"""
+
+
+#: journeys' steps j with what routes and stops say: e.
+DESCRIBED = """e AS (SELECT j.*, t.shape_id, coalesce(route_short_name, t.route_id) AS line, CASE WHEN regexp_matches(ltrim(trim(route_color), '#'), '^[0-9A-Fa-f]{6}$') THEN '#' || upper(ltrim(trim(route_color), '#')) END AS colour, a.stop_name AS from_name, b.stop_name AS to_name
+    FROM j LEFT JOIN trips t ON t.trip_id = j.trip_id LEFT JOIN routes r ON r.route_id = t.route_id LEFT JOIN stops a ON a.stop_id = from_stop LEFT JOIN stops b ON b.stop_id = to_stop)"""
+#: Lines of e's steps: m(query_id, round, pos, line_string).
+GEOMETRY = """pts AS (SELECT shape_id, list(lat ORDER BY shape_pt_sequence) AS la, list(lon ORDER BY shape_pt_sequence) AS lo FROM shapes GROUP BY 1),
+pr AS (SELECT DISTINCT e.shape_id, from_stop, to_stop, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM e JOIN coords a ON a.stop = from_stop JOIN coords b ON b.stop = to_stop),
+vx AS (SELECT shape_id, from_stop, to_stop, la, lo, list_position(d1, list_min(d1)) - 1 AS va, list_position(d2, list_min(d2)) - 1 AS vb, len(la) AS n FROM (SELECT pr.*, la, lo, list_transform(generate_series(1, len(la)), lambda i: pow(la[i] - lat1, 2) + pow(lo[i] - lon1, 2)) AS d1,
+    list_transform(generate_series(1, len(la)), lambda i: pow(la[i] - lat2, 2) + pow(lo[i] - lon2, 2)) AS d2 FROM pr JOIN pts USING (shape_id)) y),
+vs AS (SELECT *, CASE WHEN va = vb THEN least(va + 1, n - 1) ELSE greatest(va, vb) END AS hi, least(va, vb) AS lw FROM vx),
+vt AS (SELECT shape_id, from_stop, to_stop, va > vb AS back, list_transform(generate_series(CASE WHEN lw = hi THEN greatest(lw - 1, 0) ELSE lw END + 1, hi + 1), lambda i: printf('%.5f %.5f', lo[i], la[i])) AS ps FROM vs WHERE n >= 2),
+m AS (SELECT query_id, round, pos, CASE WHEN ps IS NOT NULL THEN array_to_string(CASE WHEN back THEN list_reverse(ps) ELSE ps END, ',') WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN printf('%.5f %.5f', a.lon, a.lat) || ',' || printf('%.5f %.5f', b.lon, b.lat) END AS line_string
+    FROM e LEFT JOIN vt ON vt.shape_id = e.shape_id AND vt.from_stop = e.from_stop AND vt.to_stop = e.to_stop LEFT JOIN coords a ON a.stop = e.from_stop LEFT JOIN coords b ON b.stop = e.to_stop)"""
+#: e's steps as answers. Walks are closed, so no two transfers follow each other and each is a leg; rides of one line that follow each other are one.
+ANSWERS = """s1 AS (SELECT *, CASE WHEN kind = 'trip' THEN line ELSE label END AS lb FROM e),
+s2 AS (SELECT *, sum(CASE WHEN kind = 'trip' AND coalesce(pk = 'trip' AND pl = lb, false) THEN 0 ELSE 1 END) OVER (PARTITION BY query_id, round ORDER BY pos) AS leg FROM (SELECT *, lag(kind) OVER (PARTITION BY query_id, round ORDER BY pos) AS pk, lag(lb) OVER (PARTITION BY query_id, round ORDER BY pos) AS pl FROM s1) x),
+s3 AS (SELECT query_id, round, leg, sum(seconds + CASE WHEN kind = 'trip' THEN 0 ELSE 300 END)::BIGINT AS sec, arg_min(from_stop, pos) AS a, arg_max(to_stop, pos) AS b FROM s2 GROUP BY ALL),
+s4 AS (SELECT query_id, round, string_agg(a || ' -> ' || b || ': ' || sec || ' sec (' || printf('%.1f', round_even(sec / 6.0::DOUBLE, 0) / 10) || ' min)', '; ' ORDER BY leg) AS legs, count(*) AS n_legs FROM s3 GROUP BY ALL),
+rides AS (SELECT query_id, round, colour, row_number() OVER (PARTITION BY query_id, round ORDER BY pos) - 1 AS i FROM e WHERE kind = 'trip'),
+drawn AS (SELECT query_id, round, -1::BIGINT AS i, '' AS c FROM (SELECT DISTINCT query_id, round FROM rides) x
+    UNION ALL SELECT r.query_id, r.round, r.i, CASE WHEN colour IS NOT NULL AND colour <> c THEN colour WHEN p[(r.i % 4 + 1)::INT] <> c THEN p[(r.i % 4 + 1)::INT] ELSE p[((r.i + 1) % 4 + 1)::INT] END
+    FROM drawn d JOIN rides r ON r.query_id = d.query_id AND r.round = d.round AND r.i = d.i + 1, (SELECT ['#1B6CA8', '#D1495B', '#2F9E44', '#8E5BA6'] AS p) q),
+s5 AS (SELECT query_id, round, string_agg(c, ',' ORDER BY i) AS colours, count(*)::INT AS n_rides FROM drawn WHERE i >= 0 GROUP BY ALL),
+opts AS (SELECT query_id, round, arrival::INT AS arrival, greatest(round - 1, 0) AS transfers FROM z),
+answers AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY arrival DESC, transfers, n_legs, round) - 1 AS place, row_number() OVER (PARTITION BY query_id ORDER BY arrival, transfers, round) = 1 AS best, min(transfers) OVER (PARTITION BY query_id) AS fewest FROM (
+    SELECT o.*, coalesce(legs, '') AS legs, coalesce(n_legs, 0) AS n_legs, coalesce(colours, '') AS colours, coalesce(n_rides, 0) AS n_rides FROM opts o LEFT JOIN s4 USING (query_id, round) LEFT JOIN s5 USING (query_id, round)) y)"""

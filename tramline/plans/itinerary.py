@@ -7,8 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lines import hex_colour
 from ..functions.times import duration_text
 
+#: What legs are drawn in whose line has no colour of its own, or that of the leg before.
+LEG_COLOURS = ("#1B6CA8", "#D1495B", "#2F9E44", "#8E5BA6")
+
 
 def merged_transfers(segments: DataFrame) -> DataFrame:
     """segments(path, pos, kind, label, weight, apply_penalty, from_stop, to_stop) with runs of transfers as one.
@@ -83,3 +87,86 @@ def fallback_geometry(lat1: Column, lon1: Column, lat2: Column, lon2: Column) ->
     some = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
     line = F.array(F.array(lon1, lat1), F.array(lon2, lat2))
     return F.when(some, F.when((lat1 == lat2) & (lon1 == lon2), self_loop(lat1, lon1)).otherwise(line))
+
+
+def described(steps: DataFrame, trips: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
+    """journeys() or hops() steps with line (a ride's route name, else its id), colour (the route's, if it is one), shape_id, and the
+    names of both stops, null where unknown."""
+    ride = trips.select("trip_id", "route_id", "shape_id").join(routes.select("route_id", "route_short_name", "route_color"), "route_id", "left")
+    ride = ride.select("trip_id", "shape_id", F.coalesce("route_short_name", "route_id").alias("line"), hex_colour(F.col("route_color")).alias("colour"))
+    name = lambda side: stops.select(F.col("stop_id").alias(f"{side}_stop"), F.col("stop_name").alias(f"{side}_name"))
+    return steps.join(ride, "trip_id", "left").join(name("from"), "from_stop", "left").join(name("to"), "to_stop", "left")
+
+
+def with_geometry(steps: DataFrame, shapes: DataFrame, coords: DataFrame) -> DataFrame:
+    """described() steps with line_string, an array of (lon, lat): a ride's part of its shape between the vertices nearest to its
+    stops, cut once for each shape and pair of stops; else, and for walks, the straight line."""
+    points = F.transform(F.array_sort(F.collect_list(F.struct("shape_pt_sequence", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    lists = shapes.groupBy("shape_id").agg(points.alias("shape"))
+    at = lambda side, n: coords.select(F.col("stop").alias(f"{side}_stop"), F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}"))
+    pair = steps.filter("shape_id is not null").select("shape_id", "from_stop", "to_stop").distinct().join(at("from", 1), "from_stop").join(at("to", 2), "to_stop").join(lists, "shape_id")
+    part = shape_slice(F.col("shape"), nearest_vertex(F.col("shape"), F.col("lat1"), F.col("lon1")), nearest_vertex(F.col("shape"), F.col("lat2"), F.col("lon2")))
+    cut_out = pair.select("shape_id", "from_stop", "to_stop", F.when(F.size("shape") >= 2, F.transform(part, lambda p: F.array(p["lon"], p["lat"]))).alias("_part"))
+    rows = steps.join(cut_out, ["shape_id", "from_stop", "to_stop"], "left").join(at("from", 1), "from_stop", "left").join(at("to", 2), "to_stop", "left")
+    straight = fallback_geometry(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    return rows.withColumn("line_string", F.coalesce("_part", straight)).drop("_part", "lat1", "lon1", "lat2", "lon2")
+
+
+def leg_colours(own: Column) -> Column:
+    """Colours of a journey's rides, given their own ones in order: a ride has its own, unless the one before is drawn in that;
+    without one, the palette's next, or the one after that if it is the one before."""
+    palette, n = F.array(*map(F.lit, LEG_COLOURS)), len(LEG_COLOURS)
+    pick = lambda i, prev: F.when(F.get(palette, i % n) != prev, F.get(palette, i % n)).otherwise(F.get(palette, (i + 1) % n))
+    start = F.struct(F.lit("").alias("prev"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, c: Column) -> Column:
+        chosen = F.when(c.isNotNull() & (c != a["prev"]), c).otherwise(pick(F.size(a["out"]), a["prev"]))
+        return F.struct(chosen.alias("prev"), F.concat(a["out"], F.array(chosen)).alias("out"))
+
+    return F.aggregate(own, start, step)["out"]
+
+
+def stitched(steps: DataFrame, options: DataFrame, starts: DataFrame, ends: DataFrame, origin: str = "__origin__", destination: str = "__destination__") -> DataFrame:
+    """journeys() steps with the walks from and to the requests' coordinates: starts(query_id, stop, seconds), ends(query_id, stop,
+    egress). Walks of no time are left out. An option without steps walks from its one stop to its end.
+
+    The first stop of an option is where its first step begins; of an option without steps, the stop of the least walk."""
+    key = ["query_id", "round"]
+    bounds = steps.groupBy(*key).agg(F.min_by("from_stop", "pos").alias("first"), F.max_by("to_stop", "pos").alias("last"), F.count("*").alias("n"), F.max("arr").alias("_arr"), F.min("dep").alias("_dep"), F.min_by("dep", "pos").alias("_go"))
+    bare = options.join(bounds, key, "left_anti").join(starts, "query_id").join(ends, ["query_id", "stop"])
+    bare = bare.groupBy(*key).agg(F.min(F.struct((F.col("seconds") + F.col("egress")).alias("s"), "stop")).alias("b"), F.first("arrival").alias("_arr")).select(*key, F.col("b.stop").alias("first"), F.col("b.stop").alias("last"), F.lit(0).cast("long").alias("n"), "_arr")
+    both = bounds.select(*key, "first", "last", "n").unionByName(bare.select(*key, "first", "last", "n")).join(options.select(*key, "arrival"), key)
+    null = {c: F.lit(None).cast(t).alias(c) for c, t in steps.dtypes if c not in (*key, "pos", "kind", "label", "from_stop", "to_stop", "dep", "arr", "seconds")}
+    walk = lambda df, pos, a, b, dep, arr, sec: df.filter(sec > 0).select(*key, pos.cast("int").alias("pos"), F.lit("transfer").alias("kind"), F.lit("walk").alias("label"), a.alias("from_stop"), b.alias("to_stop"), dep.cast("int").alias("dep"), arr.cast("int").alias("arr"), sec.cast("int").alias("seconds"), *null.values())
+    out = both.join(starts.select("query_id", F.col("stop").alias("first"), "seconds", "depart"), ["query_id", "first"])
+    access = walk(out, F.lit(-1), F.lit(origin), F.col("first"), F.col("depart"), F.col("depart") + F.col("seconds"), F.col("seconds"))
+    off = both.join(ends.select("query_id", F.col("stop").alias("last"), "egress"), ["query_id", "last"])
+    egress = walk(off, F.col("n"), F.col("last"), F.lit(destination), F.col("arrival") - F.col("egress"), F.col("arrival"), F.col("egress"))
+    rows = steps.withColumn("pos", F.col("pos").cast("int")).unionByName(access.select(*steps.columns)).unionByName(egress.select(*steps.columns))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy("pos")) - 1)
+
+
+def without_terminals(steps: DataFrame, origin: str = "__origin__", destination: str = "__destination__") -> DataFrame:
+    """Steps between stops alone."""
+    rows = steps.filter((F.col("from_stop") != origin) & (F.col("to_stop") != destination))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("query_id", "round").orderBy("pos")) - 1)
+
+
+def answers(steps: DataFrame, options: DataFrame, penalty: int = 0) -> DataFrame:
+    """described() steps as one row for each option, as a client shows them: query_id, place (from 0: latest arrival first, then
+    transfers, then legs), best (whether it is the one to choose: arrival, transfers, round), round, arrival, transfers, fewest
+    (transfers of any option of the request), n_rides, legs (array of leg texts), colours (of the rides)."""
+    key = ["query_id", "round"]
+    path = F.concat_ws("/", *key)
+    segments = steps.select(path.alias("path"), "pos", "kind", F.coalesce("label", F.when(F.col("kind") == "trip", F.col("line"))).alias("label"), F.col("seconds").alias("weight"), (F.col("kind") != "trip").alias("apply_penalty"), "from_stop", "to_stop")
+    texts = legs(merged_transfers(segments), penalty).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("leg", "text"))), lambda x: x["text"]).alias("legs"))
+    # An array keeps its nulls only inside structs.
+    own = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "trip", F.struct("pos", "colour")))), lambda x: x["colour"])
+    rides = steps.groupBy(*key).agg(own.alias("own"), F.count(F.when(F.col("kind") == "trip", 1)).cast("int").alias("n_rides"))
+    rows = options.join(rides, key, "left").withColumn("path", path).join(texts, "path", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.select(*key, "arrival", "transfers", F.coalesce("n_rides", F.lit(0)).alias("n_rides"), F.coalesce("legs", none).alias("legs"), F.coalesce(leg_colours(F.col("own")), none).alias("colours"))
+    by = Window.partitionBy("query_id")
+    shown = by.orderBy(F.desc("arrival"), "transfers", F.size("legs"), "round")
+    best = by.orderBy("arrival", "transfers", "round")
+    return rows.select("query_id", (F.row_number().over(shown) - 1).alias("place"), (F.row_number().over(best) == 1).alias("best"), "round", "arrival", "transfers", F.min("transfers").over(by).alias("fewest"), "n_rides", "legs", "colours")

@@ -16,11 +16,13 @@ PARENT = ["is_walk", "trip_id", "from_pos", "from_stop", "pos", "dep", "seconds"
 
 class Found(NamedTuple):
     """options(query_id, round, arrival, transfers): one row for each round that arrives earlier than all before it. labels: what
-    each round improved, with the step that led there: query_id, round, stop, t, and PARENT. ends(query_id, round, stop, egress)."""
+    each round improved, with the step that led there: query_id, round, stop, t, and PARENT. starts(query_id, stop, seconds,
+    depart) and ends(query_id, stop, egress): the ways to the first stops and from the last ones."""
 
     options: DataFrame
     labels: DataFrame
     ends: DataFrame
+    starts: DataFrame
 
 
 def boardings(calls: DataFrame, width: int) -> DataFrame:
@@ -59,7 +61,8 @@ def _search(made, queries, sources, targets, valid, patterns, paths, max_rounds,
     board = cut(boardings(calls, width), "search-boardings")
     foot = F.col("is_walk") if "is_walk" in paths.columns else F.lit(True)
     paths = cut(paths.select("from_stop", "to_stop", F.col("seconds").cast("int").alias("seconds"), foot.alias("foot")), "search-paths")
-    ends = keep(targets.select("query_id", "stop", F.col("seconds").alias("egress")), "search-ends")
+    ends = keep(targets.groupBy("query_id", "stop").agg(F.min("seconds").alias("egress")), "search-ends")
+    starts = keep(sources.groupBy("query_id", "stop").agg(F.min("seconds").alias("seconds")).join(queries, "query_id"), "search-starts")
 
     none = {"is_walk": "int", "trip_id": "string", "from_pos": "int", "from_stop": "string", "pos": "int", "dep": "int", "seconds": "int", "foot": "boolean"}
     parent = lambda **given: [given.get(c, F.lit(None)).cast(t).alias(c) for c, t in none.items()]
@@ -97,8 +100,8 @@ def _search(made, queries, sources, targets, valid, patterns, paths, max_rounds,
         got = join_counted(labels.select("query_id", "stop", "t").join(ends, ["query_id", "stop"]), limit, "query_id", "inner").withColumn("a", (F.col("t") + F.col("egress")).cast("int")).filter("a <= limit")
         return got.groupBy("query_id").agg(F.min("a").alias("arrival")).withColumn("round", F.lit(n))
 
-    rode = join_counted(sources.join(queries, "query_id"), limit, "query_id", "inner").withColumn("t", (F.col("depart") + F.col("seconds")).cast("int")).filter("t <= limit")
-    rode = cut(rode.select("query_id", "stop", "t", *parent(is_walk=F.lit(0))).groupBy("query_id", "stop").agg(F.min(F.struct("t", *PARENT)).alias("l")).select("query_id", "stop", "l.*"), "search-sources")
+    rode = join_counted(starts, limit, "query_id", "inner").withColumn("t", (F.col("depart") + F.col("seconds")).cast("int")).filter("t <= limit")
+    rode = cut(rode.select("query_id", "stop", "t", *parent(is_walk=F.lit(0))), "search-sources")
     best, bound, rounds, arrivals = None, None, [], []
     for n in range(max_rounds + 1):
         if n:
@@ -122,7 +125,7 @@ def _search(made, queries, sources, targets, valid, patterns, paths, max_rounds,
     earlier = F.min("arrival").over(Window.partitionBy("query_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
     options = reduce(DataFrame.unionByName, arrivals).withColumn("_e", earlier).filter("_e is null or arrival < _e")
     options = options.select("query_id", "round", "arrival", F.greatest(F.col("round") - 1, F.lit(0)).alias("transfers"))
-    return Found(options, reduce(DataFrame.unionByName, rounds), ends)
+    return Found(options, reduce(DataFrame.unionByName, rounds), ends, starts)
 
 
 def raptor(*args, **options) -> DataFrame:

@@ -9,7 +9,7 @@ from . import oracle_parts as o
 from .functions import geo, lines, times
 from .operators.ordered import asof_forward, top_by
 from .operators.spatial import grid_pairs
-from .plans import graphs, itinerary, surfaces, timetable
+from .plans import access, graphs, itinerary, surfaces, timetable
 from .plans.adapter import tables
 from .plans.raptor import Found, best_options, journeys, search, station_walks
 from .plans.search import hops
@@ -240,27 +240,40 @@ def joi_4_grid_distance_join(s: SparkSession, d: str) -> DataFrame:
     return grid_pairs(p, 400.0).select("a", "b")
 
 
-@query(f"{STOPS}, m AS (SELECT r.query_id, c.stop, 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) AS metres FROM requests r JOIN coords o ON o.stop = r.origin JOIN coords c ON true, LATERAL (SELECT pow(sin(radians(c.lat - o.lat) / 2), 2) + cos(radians(o.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - o.lon) / 2), 2) AS h) q WHERE r.query_id % 10 = 0) SELECT query_id, stop, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(metres, 3), stop) AS r FROM m WHERE metres <= 900) z WHERE r <= 3", "stops requests")
+NEAREST = f"{STOPS}, m AS (SELECT r.query_id, c.stop, 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) AS metres FROM requests r JOIN coords o ON o.stop = r.origin JOIN coords c ON true, LATERAL (SELECT pow(sin(radians(c.lat - o.lat) / 2), 2) + cos(radians(o.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - o.lon) / 2), 2) AS h) q) SELECT query_id, stop, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(metres, 3), stop) AS r FROM m WHERE metres <= 900) z WHERE r <= 3"
+
+
+@query(NEAREST, "stops requests")
 def top_1_joi_5_nearest_stops(s: SparkSession, d: str) -> DataFrame:
-    return _nearest_stops(s, d, "query_id % 10 = 0")
+    (req,), c = tables(s, d, "requests"), _coords(s, d)
+    at = req.join(c.withColumnRenamed("stop", "origin"), "origin")
+    return top_by(access.within(at, c, 900), ["query_id"], [F.round("metres", 3), F.col("stop")], 3).select("query_id", "stop", "rank")
 
 
-@query()
+@query(NEAREST, "stops requests")
 def top_1_joi_5_nearest_stops_all(s: SparkSession, d: str) -> DataFrame:
-    return _nearest_stops(s, d)
+    return top_1_joi_5_nearest_stops(s, d)
 
 
-def _nearest_stops(s: SparkSession, d: str, some: str = "true") -> DataFrame:
-    (req,), c = tables(s, d, "requests"), _coords(s, d)
-    at = req.filter(some).join(c.select(F.col("stop").alias("origin"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), "origin")
-    # Stops within reach lie in the cell of a kilometre's side or its neighbours, so the join is on cells.
-    cell = lambda la, lo: [F.floor(F.col(la) / 0.01).alias("cy"), F.floor(F.col(lo) / 0.02).alias("cx")]
-    near = at.select("query_id", "lat1", "lon1", *cell("lat1", "lon1"))
-    for x in ("cy", "cx"):
-        near = near.withColumn(x, F.explode(F.array(*[F.col(x) + i for i in (-1, 0, 1)])))
-    rows = near.join(c.select("stop", "lat", "lon", *cell("lat", "lon")), ["cy", "cx"])
-    rows = rows.withColumn("m", geo.haversine(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))).filter("m <= 900")
-    return top_by(rows, ["query_id"], [F.round("m", 3), F.col("stop")], 3).select("query_id", "stop", "rank")
+def _near(side: str, name: str) -> str:
+    """Candidates of one end of each request, whose place is a little off its stop's: name(query_id, stop, metres, seconds, rank)."""
+    return f"""{name}p AS (SELECT query_id, stop_lat + 0.0015 AS lat, stop_lon + 0.001 AS lon FROM requests JOIN stops ON stop_id = {side} WHERE stop_lat IS NOT NULL),
+{name}m AS (SELECT query_id, s.stop_id, canonical, round(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)), 3) AS metres FROM {name}p p JOIN stops s ON s.stop_lat BETWEEN p.lat - 0.01 AND p.lat + 0.01 JOIN canon c ON c.stop_id = s.stop_id,
+    LATERAL (SELECT pow(sin(radians(s.stop_lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.stop_lat)) * pow(sin(radians(s.stop_lon - p.lon) / 2), 2) AS h) q),
+{name}t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY metres, stop_id) AS r FROM {name}m WHERE metres <= 900) x WHERE r <= 24),
+{name} AS MATERIALIZED (SELECT query_id, stop, metres, greatest(0, round_even(metres / 0.7::DOUBLE, 0)::INT) AS seconds, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY metres, stop) AS r FROM (SELECT query_id, canonical AS stop, min(metres) AS metres FROM {name}t GROUP BY ALL) y) z WHERE r <= 6)"""
+
+
+@query(f"+ {o.CANON}, {_near('origin', 'c')} SELECT query_id, stop, metres, seconds, rank::INT AS rank FROM c", "stops requests")
+def top_3_12_agg_19_fun_8_candidates(s: SparkSession, d: str) -> DataFrame:
+    return _candidates(s, d, "origin")
+
+
+def _candidates(s: SparkSession, d: str, side: str) -> DataFrame:
+    req, stops = tables(s, d, "requests", "stops")
+    at = req.join(stops.select(F.col("stop_id").alias(side), "stop_lat", "stop_lon"), side).select("query_id", (F.col("stop_lat") + 0.0015).alias("lat"), (F.col("stop_lon") + 0.001).alias("lon"))
+    named = stops.join(timetable.canonical_stops(stops), "stop_id").select("stop_id", "canonical", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+    return access.candidates(at, named, 6, 900).select("query_id", "stop", "metres", "seconds", "rank")
 
 
 @query(f"{PAIRED} SELECT r.query_id, p.to_stop, min(p.dep) AS dep FROM requests r JOIN canon c ON c.stop_id = r.origin JOIN pairs p ON p.from_stop = c.canonical AND p.weight IS NOT NULL AND p.dep >= r.depart AND p.dep <= r.depart + 1200 GROUP BY ALL", "stops stop_times requests")
@@ -418,6 +431,62 @@ def itr_3_8_raptor_journeys(s: SparkSession, d: str) -> DataFrame:
     return journeys(_found(s, d)).select(*STEPS.split(", "))
 
 
+JOURNEYED = f"{SEARCHED}, {o.JOURNEYS}, {o.DESCRIBED}"
+EXTENDED = f"{NEEDED} routes"
+
+
+def _described(s: SparkSession, d: str, found: Found) -> DataFrame:
+    trips, routes, stops = tables(s, d, "trips", "routes", "stops")
+    return itinerary.described(journeys(found), trips, routes, stops)
+
+
+@query(f"{JOURNEYED} SELECT query_id, round, pos, line, colour, from_name, to_name FROM e", EXTENDED)
+def joi_9_10_11_described_steps(s: SparkSession, d: str) -> DataFrame:
+    return _described(s, d, _found(s, d)).select("query_id", "round", "pos", "line", "colour", "from_name", "to_name")
+
+
+@query(f"{JOURNEYED}, {o.GEOMETRY} SELECT query_id, round, pos, line_string FROM m", f"{EXTENDED} shapes")
+def bld_16_joi_8_9_fun_42_journey_geometry(s: SparkSession, d: str) -> DataFrame:
+    steps = itinerary.with_geometry(_described(s, d, _found(s, d)), tables(s, d, "shapes")[0], _coords(s, d))
+    text = F.array_join(F.transform("line_string", lambda p: F.format_string("%.5f %.5f", F.get(p, F.lit(0)), F.get(p, F.lit(1)))), ",")
+    return steps.select("query_id", "round", "pos", text.alias("line_string"))
+
+
+@query(f"{JOURNEYED}, {o.ANSWERS} SELECT query_id, place, best, round, arrival, transfers, fewest, n_rides, legs, colours FROM answers", EXTENDED)
+def api_2_8_itr_11_top_5_6_win_12_agg_23_24_answers(s: SparkSession, d: str) -> DataFrame:
+    found = _found(s, d)
+    out = itinerary.answers(_described(s, d, found), found.options, 300)
+    return out.withColumn("legs", F.array_join("legs", "; ")).withColumn("colours", F.array_join("colours", ","))
+
+
+PLACED = f"{WALKED}, {o.PATHS}, {o.TIMED}, {o.MERGED}, {o.VALID}, {o.PATTERNS}, " + o.rounds(5, ends=_near("origin", "starts") + ", " + _near("destination", "away") + ", ends AS MATERIALIZED (SELECT query_id, stop, seconds AS egress FROM away)")
+
+
+@query(f"""{PLACED}, {o.JOURNEYS}, s AS (SELECT query_id, round, min(pos) AS a, max(pos) AS b, arg_min(from_stop, pos) AS first, arg_max(to_stop, pos) AS last FROM j GROUP BY ALL),
+n AS (SELECT z.query_id, z.round, -1 AS a, -1 AS b, arg_min(stop, (seconds + egress, stop)) AS first, arg_min(stop, (seconds + egress, stop)) AS last FROM z JOIN starts USING (query_id) JOIN ends USING (query_id, stop) ANTI JOIN s ON s.query_id = z.query_id AND s.round = z.round GROUP BY ALL),
+w AS (SELECT * FROM s UNION ALL SELECT * FROM n),
+k AS (SELECT query_id, round, pos, kind, from_stop, to_stop, dep, arr FROM j UNION ALL SELECT w.query_id, w.round, -1, 'transfer', '__origin__', first, depart, depart + seconds FROM w JOIN starts t ON t.query_id = w.query_id AND t.stop = first JOIN requests r ON r.query_id = w.query_id WHERE seconds > 0
+    UNION ALL SELECT w.query_id, w.round, b + 1, 'transfer', last, '__destination__', arrival - egress, arrival FROM w JOIN ends t ON t.query_id = w.query_id AND t.stop = last JOIN z ON z.query_id = w.query_id AND z.round = w.round WHERE egress > 0)
+SELECT query_id, round, row_number() OVER (PARTITION BY query_id, round ORDER BY pos) - 1 AS pos, kind, from_stop, to_stop, dep::INT AS dep, arr::INT AS arr FROM k""", NEEDED)
+def itr_7_9_coordinate_routes(s: SparkSession, d: str) -> DataFrame:
+    """Five boardings, from and to coordinates by way of the candidates near them, with the walks there."""
+    found = _placed(s, d)
+    return itinerary.stitched(journeys(found), found.options, found.starts, found.ends).select("query_id", "round", "pos", "kind", "from_stop", "to_stop", "dep", "arr")
+
+
+@query(f"{PLACED}, {o.JOURNEYS} SELECT query_id, round, pos, from_stop, to_stop FROM j", NEEDED)
+def itr_10_without_terminals(s: SparkSession, d: str) -> DataFrame:
+    found = _placed(s, d)
+    return itinerary.without_terminals(itinerary.stitched(journeys(found), found.options, found.starts, found.ends)).select("query_id", "round", "pos", "from_stop", "to_stop")
+
+
+def _placed(s: SparkSession, d: str) -> Found:
+    req, trips = tables(s, d, "requests", "trips")
+    ends = [_candidates(s, d, side).select("query_id", "stop", "seconds") for side in ("origin", "destination")]
+    valid = cut(_valid(s, d), "trips")
+    return search(req.select("query_id", "depart"), *ends, valid, timetable.trip_patterns(valid, trips), station_walks(cut(_paths(s, d), "paths")), 5, closed=True)
+
+
 # --- label-correcting search, itineraries, geometry, client transforms ----------------------------------------------
 
 
@@ -491,26 +560,26 @@ def win_11_itr_11_fun_45_46_legs(s: SparkSession, d: str) -> DataFrame:
     return itinerary.legs(itinerary.merged_transfers(_segments(s, d)), 300).select("path", "leg", "mode", F.col("seconds").cast("long").alias("seconds"), "text")
 
 
-@query("""+ p AS (SELECT shape_id, list(lat ORDER BY shape_pt_sequence) AS la, list(lon ORDER BY shape_pt_sequence) AS lo FROM shapes GROUP BY 1), x AS (SELECT shape_id, stop_id, list_position(ds, list_min(ds)) - 1 AS vertex FROM (SELECT shape_id, stop_id, list_transform(generate_series(1, len(la)), lambda i: pow(la[i] - stop_lat, 2) + pow(lo[i] - stop_lon, 2)) AS ds FROM p, stops WHERE stop_lat IS NOT NULL AND k % 10 = 0) q)
-SELECT shape_id, stop_id, vertex::INT AS vertex FROM x""", "stops shapes")
-def top_8_nearest_vertex(s: SparkSession, d: str) -> DataFrame:
-    return _nearest_vertex(s, d, "k % 10 = 0")
-
-
-@query()
-def top_8_nearest_vertex_all(s: SparkSession, d: str) -> DataFrame:
-    return _nearest_vertex(s, d)
+VERTEX = """+ p AS (SELECT shape_id, list(lat ORDER BY shape_pt_sequence) AS la, list(lon ORDER BY shape_pt_sequence) AS lo FROM shapes GROUP BY 1), u AS (SELECT DISTINCT shape_id, stop_id, stop_lat, stop_lon FROM stop_times JOIN trips USING (trip_id) JOIN stops USING (stop_id) WHERE stop_lat IS NOT NULL),
+x AS (SELECT shape_id, stop_id, list_position(ds, list_min(ds)) - 1 AS vertex FROM (SELECT shape_id, stop_id, list_transform(generate_series(1, len(la)), lambda i: pow(la[i] - stop_lat, 2) + pow(lo[i] - stop_lon, 2)) AS ds FROM p JOIN u USING (shape_id)) q)
+SELECT shape_id, stop_id, vertex::INT AS vertex FROM x"""
 
 
-def _nearest_vertex(s: SparkSession, d: str, some: str = "true") -> DataFrame:
-    stops, shapes = tables(s, d, "stops", "shapes")
+@query(VERTEX, "stops shapes trips stop_times")
+def top_8_nearest_vertex(s: SparkSession, d: str) -> DataFrame:
+    """For each stop that a shape's trips call at."""
+    stops, shapes, trips, calls = tables(s, d, "stops", "shapes", "trips", "stop_times")
     items = F.transform(F.array_sort(F.collect_list(F.struct("shape_pt_sequence", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
-    lines_ = shapes.groupBy("shape_id").agg(items.alias("shape"))
-    # There are two shapes a route, few beside the stops.
-    rows = stops.filter("stop_lat is not null").filter(some).crossJoin(F.broadcast(lines_))
+    called = calls.select("trip_id", "stop_id").join(trips.select("trip_id", "shape_id"), "trip_id").select("shape_id", "stop_id").distinct()
+    rows = called.join(stops.filter("stop_lat is not null").select("stop_id", "stop_lat", "stop_lon"), "stop_id").join(shapes.groupBy("shape_id").agg(items.alias("shape")), "shape_id")
     return rows.select("shape_id", "stop_id", itinerary.nearest_vertex(F.col("shape"), F.col("stop_lat"), F.col("stop_lon")).alias("vertex"))
 
 
+@query(VERTEX, "stops shapes trips stop_times")
+def top_8_nearest_vertex_all(s: SparkSession, d: str) -> DataFrame:
+    return top_8_nearest_vertex(s, d)
+
+
 @query("""SELECT p_partkey, list_slice(v, least(a, b) + 1 - CASE WHEN a = b AND a = 6 THEN 1 ELSE 0 END, greatest(a, b) + 1 + CASE WHEN a = b AND a < 6 THEN 1 ELSE 0 END) AS forward, a > b AS backward FROM (SELECT p_partkey, [0, 1, 2, 3, 4, 5, 6] AS v, (p_partkey % 7)::INT AS a, (p_size % 7)::INT AS b FROM part) t""".replace("SELECT p_partkey, list_slice(", "SELECT p_partkey, array_to_string(CASE WHEN a > b THEN list_reverse(z) ELSE z END, ',') AS part FROM (SELECT p_partkey, a, b, list_slice(").replace(") AS forward, a > b AS backward FROM", ") AS z FROM") + ") y")
 def fun_40_shape_slice(s: SparkSession, d: str) -> DataFrame:
     a, b = (F.col("p_partkey") % 7).cast("int"), (F.col("p_size") % 7).cast("int")
