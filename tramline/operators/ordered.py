@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut, join_counted
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The first row of each key in the given (ascending) order, as a partial aggregate: no key's rows are sorted."""
+    rest = [c for c in df.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct(*[o.alias(f"_{i}") for i, o in enumerate(order)])).alias("_b")
+    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
+
+
+def row_numbers(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with `name`, each row's place from 1 in the order of `by`: sorted range by range, the ranges counted, so no task sorts
+    all rows."""
+    rows = cut(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_m", 33)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    counts = cut(rows.groupBy(part.alias("_p")).count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o")), "number-offsets")
+    at = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_o") + 1
+    return join_counted(rows.withColumn("_p", part), counts, "_p", "inner").withColumn(name, at).drop("_m", "_p", "_o")
 
 
 def top_by(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M
-from ..operators.ordered import first_by, top_by
+from ..operators.ordered import first_by, row_numbers, top_by
 from ..operators.spatial import grid_pairs
+from ..shared import cut
 from .timetable import canonical_stops
 
 
+#: What a hub's name begins with, and what parts stop and pattern in a node's.
+HUB, PART = "hub of ", "::"
+
+
 def walk_edges(coords: DataFrame, max_metres: float = 500, speed: float = 1.4, max_neighbours: int = 8, existing: DataFrame | None = None) -> DataFrame:
     """coords(stop, lat, lon) -> from_stop, to_stop, metres, seconds for the nearest neighbours within max_metres.
 
@@ -73,20 +78,20 @@ def multi_edges(pairs: DataFrame, trips: DataFrame, transfers: DataFrame, walks:
 def pattern_nodes(patterns: DataFrame) -> DataFrame:
     """stop, pattern, node: where patterns call."""
     rows = patterns.select("pattern", F.explode("stops").alias("stop")).distinct()
-    return rows.select("stop", "pattern", F.concat_ws("::", "stop", "pattern").alias("node"))
+    return rows.select("stop", "pattern", F.concat_ws(PART, "stop", "pattern").alias("node"))
 
 
 def hub_edges(nodes: DataFrame, paths: DataFrame, penalty: int = 0) -> DataFrame:
     """Changes between pattern nodes by way of a hub for each stop, so n nodes meet m by n + m edges: from_node, to_node,
     weight. A stop of two nodes or more has its own hub at no cost but the penalty; paths lead from a stop's nodes to the
     hub of the other stop. The preferred edge of each pair stays."""
-    hub = F.concat(F.lit("__same_stop_transfer__"), "stop")
+    nodes, hub = cut(nodes, "nodes"), F.concat(F.lit(HUB), "stop")
     many = nodes.groupBy("stop").count().filter("count >= 2").select("stop")
     reached = paths.select(F.col("to_stop").alias("stop")).union(many).distinct()
     at = nodes.join(reached, "stop", "left_semi")
     out = at.select(hub.alias("from_stop"), F.col("node").alias("to_stop"), F.lit(0).alias("weight"), F.lit(False).alias("walk"))
     own = nodes.join(many, "stop", "left_semi").select(F.col("node").alias("from_stop"), hub.alias("to_stop"), F.lit(penalty).alias("weight"), F.lit(False).alias("walk"))
-    there = F.concat(F.lit("__same_stop_transfer__"), "to_stop")
+    there = F.concat(F.lit(HUB), "to_stop")
     goes = nodes.join(paths.select(F.col("from_stop").alias("stop"), "to_stop", "seconds", "is_walk"), "stop")
     goes = goes.join(nodes.select(F.col("stop").alias("to_stop")).distinct(), "to_stop", "left_semi")
     goes = goes.select(F.col("node").alias("from_stop"), there.alias("to_stop"), (F.col("seconds") + F.when(F.col("is_walk"), 0).otherwise(penalty)).alias("weight"), F.col("is_walk").alias("walk"))
@@ -108,4 +113,70 @@ def anytime_edges(pairs: DataFrame, trips: DataFrame, medians: DataFrame, headwa
 
 def dense_ids(values: DataFrame, col: str) -> DataFrame:
     """Dictionary codes from 1 in the values' order; 0 is kept for null."""
-    return values.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("code", F.dense_rank().over(Window.orderBy(col)))
+    return row_numbers(values.select(col).filter(F.col(col).isNotNull()).distinct(), col, "code")
+
+
+def nodes_of(stops: DataFrame, nodes: DataFrame) -> DataFrame:
+    """stop, nodes: a stop's pattern nodes in order, or the stop itself where no pattern calls."""
+    own = nodes.groupBy("stop").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    return stops.select("stop").distinct().join(own, "stop", "left").select("stop", F.coalesce("nodes", F.array("stop")).alias("nodes"))
+
+
+def base_stop(node: Column) -> Column:
+    """The stop of a node or hub: without a hub's name and a pattern's part."""
+    bare = F.when(node.startswith(HUB), F.substring(node, len(HUB) + 1, 1 << 20)).otherwise(node)
+    return F.regexp_replace(bare, f"{PART}pattern_[^:]*$", "")
+
+
+def node_parts(node: Column) -> tuple[Column, Column]:
+    """Stop and pattern of a pattern node, parted at the first mark; an error if it has none."""
+    at = F.instr(node, PART)
+    ok = F.when(at > 0, node).otherwise(F.raise_error(F.concat(F.lit("not a pattern node: "), node)).cast("string"))
+    return F.substring_index(ok, PART, 1), F.substring(ok, at + len(PART), F.char_length(ok))
+
+
+def pattern_rides(pairs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Consecutive stops as rides between pattern nodes: from_node, to_node, dep, arr, trip_id; none that arrives before it leaves."""
+    rows = pairs.filter("weight is not null").join(patterns.select("trip_id", "pattern"), "trip_id")
+    return rows.select(F.concat_ws(PART, "from_stop", "pattern").alias("from_node"), F.concat_ws(PART, "to_stop", "pattern").alias("to_node"), "dep", "arr", "trip_id")
+
+
+def node_transfers(moves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Explicit transfers between all nodes of their two stops (see hub_edges() for the form that does not multiply)."""
+    side = lambda s: nodes.select(F.col("stop").alias(f"{s}_stop"), F.col("node").alias(f"{s}_node"))
+    return moves.join(side("from"), "from_stop").join(side("to"), "to_stop").select("from_node", "to_node", "weight")
+
+
+def preferred_anytime(rides: DataFrame, transfers: DataFrame, walks: DataFrame) -> DataFrame:
+    """One edge for each pair of stops: kind, weight, headway. A ride before others, a transfer before a walk, then the smaller
+    weight plus half the headway."""
+    none = F.lit(None).cast("int").alias("headway")
+    ride = rides.select("from_stop", "to_stop", F.lit("ride").alias("kind"), "weight", "headway")
+    move = transfers.select("from_stop", "to_stop", F.lit("transfer").alias("kind"), "weight", none)
+    walk = walks.select("from_stop", "to_stop", F.lit("walk").alias("kind"), F.col("seconds").alias("weight"), none)
+    cost = F.coalesce(F.col("weight") + F.floor(F.coalesce("headway", F.lit(0)) / 2), F.lit(10**9))
+    order = [F.when(F.col("kind") == "ride", 0).when(F.col("kind") == "transfer", 1).otherwise(2), cost, F.coalesce("weight", F.lit(10**9))]
+    return first_by(ride.unionByName(move).unionByName(walk), ["from_stop", "to_stop"], order)
+
+
+def compact(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges by dictionary codes instead of names, and the dictionary (stop, code)."""
+    names = edges.select(F.col("from_stop").alias("stop")).union(edges.select("to_stop"))
+    codes = cut(dense_ids(names, "stop"), "codes")
+    side = lambda s: codes.select(F.col("stop").alias(f"{s}_stop"), F.col("code").alias(s))
+    out = edges.join(side("from"), "from_stop").join(side("to"), "to_stop").drop("from_stop", "to_stop")
+    return out, codes
+
+
+def inserted(rides: DataFrame, transfers: DataFrame) -> DataFrame:
+    """The edge kept of each pair of stops: timed (departures that do not arrive before they leave), untimed (the least weight of
+    rides without times), transfer (the preferred one): kind, from_stop, to_stop, n, weight."""
+    timed = rides.filter("dep is not null and arr >= dep").groupBy("from_stop", "to_stop").agg(F.count("*").alias("n"), F.min(F.col("arr") - F.col("dep")).alias("weight")).withColumn("kind", F.lit("timed"))
+    untimed = rides.filter("dep is null or arr is null").groupBy("from_stop", "to_stop").agg(F.count("*").alias("n"), F.min("weight").alias("weight")).withColumn("kind", F.lit("untimed"))
+    moves = preferred(transfers.select("from_stop", "to_stop", "weight"), F.lit(False), F.col("weight")).withColumns({"n": F.lit(1).cast("long"), "kind": F.lit("transfer")})
+    return timed.unionByName(untimed).unionByName(moves)
+
+
+def synthetic(edges: DataFrame, kind: str, label: str | None = None, apply_penalty: bool = False) -> DataFrame:
+    """Copies of edges as another kind, with another label, and with the penalty only if asked for."""
+    return edges.withColumns({"kind": F.lit(kind), "label": F.lit(label).cast("string"), "apply_penalty": F.lit(apply_penalty)})

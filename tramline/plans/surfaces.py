@@ -12,7 +12,7 @@ from ..functions.times import blank_to_null
 
 def line_shapes(routes: DataFrame, trips: DataFrame) -> DataFrame:
     """Trips of each rapid-transit (line, shape) with the line's family and the feed's colour: line, family, shape_id, own, n."""
-    rows = trips.join(F.broadcast(routes), "route_id").filter(rapid(F.col("route_short_name"), F.col("shape_id")))
+    rows = trips.join(routes, "route_id").filter(rapid(F.col("route_short_name"), F.col("shape_id")))
     counts = rows.groupBy("route_short_name", "route_color", "shape_id").agg(F.count("trip_id").alias("c"))
     line = F.upper(F.trim("route_short_name"))
     counts = counts.select(line.alias("line"), family(F.col("route_short_name")).alias("family"), "shape_id", hex_colour(F.col("route_color")).alias("own"), "c")
@@ -30,7 +30,7 @@ def frequent_shapes(shapes: DataFrame) -> DataFrame:
 def shape_pieces(points: DataFrame, refs: DataFrame) -> DataFrame:
     """points(shape_id, shape_pt_sequence, lat, lon) of the shapes in refs, cut at interior gaps of s_bahn lines: line,
     shape_id, piece, coords (array of [lon, lat]). Pieces of one point are dropped."""
-    rows = points.dropDuplicates(["shape_id", "shape_pt_sequence"]).join(F.broadcast(refs.select("line", "family", "shape_id")), "shape_id")
+    rows = points.dropDuplicates(["shape_id", "shape_pt_sequence"]).join(refs.select("line", "family", "shape_id"), "shape_id")
     w = Window.partitionBy("line", "shape_id").orderBy("shape_pt_sequence")
     i, n = F.row_number().over(w), F.count("*").over(Window.partitionBy("line", "shape_id"))
     gap = short_distance(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle_parts as o
-from .functions import geo, lines, times
+from .functions import client, geo, lines, times
 from .operators.ordered import asof_forward, top_by
 from .operators.spatial import grid_pairs
 from .plans import access, graphs, itinerary, surfaces, timetable
@@ -214,7 +214,7 @@ def agg_12_13_headways(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT route_short_name, route_color, shape_id, count(trip_id) AS n FROM routes JOIN trips USING (route_id) GROUP BY ALL", "routes trips")
 def agg_1_joi_1_trips_per_shape(s: SparkSession, d: str) -> DataFrame:
     r, t = tables(s, d, "routes", "trips")
-    return t.join(F.broadcast(r.drop("k")), "route_id").groupBy("route_short_name", "route_color", "shape_id").agg(F.count("trip_id").alias("n"))
+    return t.join(r.drop("k"), "route_id").groupBy("route_short_name", "route_color", "shape_id").agg(F.count("trip_id").alias("n"))
 
 
 @query(f"{VALID}, {o.PATTERNS}, x AS (SELECT DISTINCT pattern, stops FROM patterns), u AS (SELECT pattern, unnest(stops) AS stop, generate_subscripts(stops, 1) - 1 AS pos FROM x) SELECT stop, count(DISTINCT pattern) AS n_patterns, count(*) AS n_positions FROM u GROUP BY 1", "stops stop_times trips")
@@ -320,9 +320,9 @@ def bld_2_set_2_multi_edges(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{WALKED}, {o.PATHS}, {o.TIMED}, {o.MERGED}, {o.VALID}, {o.PATTERNS}, nodes AS (SELECT DISTINCT s AS stop, pattern, s || '::' || pattern AS node FROM patterns, unnest(stops) t(s)),
 many AS (SELECT stop FROM nodes GROUP BY 1 HAVING count(*) >= 2), e AS (
-SELECT '__same_stop_transfer__' || stop AS from_node, node AS to_node, 0 AS weight, 0 AS walk FROM nodes WHERE stop IN (SELECT stop FROM many UNION SELECT to_stop FROM paths)
-UNION ALL SELECT node, '__same_stop_transfer__' || stop, 300, 0 FROM nodes WHERE stop IN (SELECT stop FROM many)
-UNION ALL SELECT n.node, '__same_stop_transfer__' || p.to_stop, p.seconds + CASE WHEN p.is_walk = 1 THEN 0 ELSE 300 END, p.is_walk FROM nodes n JOIN paths p ON p.from_stop = n.stop WHERE p.to_stop IN (SELECT stop FROM nodes))
+SELECT 'hub of ' || stop AS from_node, node AS to_node, 0 AS weight, 0 AS walk FROM nodes WHERE stop IN (SELECT stop FROM many UNION SELECT to_stop FROM paths)
+UNION ALL SELECT node, 'hub of ' || stop, 300, 0 FROM nodes WHERE stop IN (SELECT stop FROM many)
+UNION ALL SELECT n.node, 'hub of ' || p.to_stop, p.seconds + CASE WHEN p.is_walk = 1 THEN 0 ELSE 300 END, p.is_walk FROM nodes n JOIN paths p ON p.from_stop = n.stop WHERE p.to_stop IN (SELECT stop FROM nodes))
 SELECT from_node, to_node, weight FROM (SELECT *, row_number() OVER (PARTITION BY from_node, to_node ORDER BY walk, weight) AS r FROM e) q WHERE r = 1""", "stops transfers stop_times trips")
 def bld_6_9_joi_14_hub_edges(s: SparkSession, d: str) -> DataFrame:
     return graphs.hub_edges(graphs.pattern_nodes(_patterns(s, d)), _paths(s, d), 300)
@@ -339,9 +339,89 @@ def bld_7_win_3_anytime_edges(s: SparkSession, d: str) -> DataFrame:
     return graphs.anytime_edges(p, trips, timetable.segment_medians(p, trips), timetable.headways(t, trips))
 
 
+CALLED = f"+ {o.CANON}, {o.COORDS}, {o.TRANSFERS}, {o.walks(500, 1.4, 8)}, {o.TIMED}, {o.PAIRS}, {o.MERGED}, {o.VALID}, {o.PATTERNS}, nodes AS (SELECT DISTINCT s AS stop, pattern, s || '::' || pattern AS node FROM patterns, unnest(stops) t(s))"
+GRAPH = "stops transfers stop_times trips"
+
+
+@query(f"{CALLED} SELECT stop, round(lat, 6) AS lat, round(lon, 6) AS lon FROM coords WHERE stop IN (SELECT stop FROM nodes)", GRAPH)
+def prj_3_coordinates_of_known_nodes(s: SparkSession, d: str) -> DataFrame:
+    known = graphs.pattern_nodes(_patterns(s, d)).select("stop").distinct()
+    return _coords(s, d).join(known, "stop", "left_semi").select("stop", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query(f"{CALLED} SELECT c.stop, coalesce(n, c.stop) AS nodes FROM (SELECT DISTINCT canonical AS stop FROM canon) c LEFT JOIN (SELECT stop, string_agg(node, ',' ORDER BY node) AS n FROM nodes GROUP BY 1) x USING (stop)", GRAPH)
+def prj_9_nodes_of_stops(s: SparkSession, d: str) -> DataFrame:
+    stops = timetable.canonical_stops(tables(s, d, "stops")[0]).select(F.col("canonical").alias("stop"))
+    return graphs.nodes_of(stops, graphs.pattern_nodes(_patterns(s, d))).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query(f"{CALLED} SELECT stop, coalesce(rides, 0) AS rides, coalesce(buckets, 0) AS buckets, coalesce(moves, 0) AS moves FROM (SELECT DISTINCT stop FROM nodes) n LEFT JOIN (SELECT from_stop AS stop, count(*) AS rides, count(DISTINCT to_stop) AS buckets FROM pairs WHERE weight IS NOT NULL GROUP BY 1) p USING (stop) LEFT JOIN (SELECT from_stop AS stop, count(*) AS moves FROM moves GROUP BY 1) m USING (stop)", GRAPH)
+def prj_10_adjacency_of_nodes(s: SparkSession, d: str) -> DataFrame:
+    stops = graphs.pattern_nodes(_patterns(s, d)).select("stop").distinct()
+    rides = _pairs(s, d).filter("weight is not null").groupBy(F.col("from_stop").alias("stop")).agg(F.count("*").alias("rides"), F.countDistinct("to_stop").alias("buckets"))
+    moves = _moves(s, d).groupBy(F.col("from_stop").alias("stop")).agg(F.count("*").alias("moves"))
+    return stops.join(rides, "stop", "left").join(moves, "stop", "left").fillna(0, ["rides", "buckets", "moves"])
+
+
+@query(f"{CALLED} SELECT p.from_stop || '::' || t.pattern AS from_node, p.to_stop || '::' || t.pattern AS to_node, dep, arr, trip_id FROM pairs p JOIN patterns t USING (trip_id) WHERE weight IS NOT NULL", GRAPH)
+def win_2_pattern_node_rides(s: SparkSession, d: str) -> DataFrame:
+    return graphs.pattern_rides(_pairs(s, d), _patterns(s, d))
+
+
+@query(f"{CALLED} SELECT a.node AS from_node, b.node AS to_node, weight FROM moves JOIN nodes a ON a.stop = from_stop JOIN nodes b ON b.stop = to_stop", GRAPH)
+def joi_13_transfers_between_nodes(s: SparkSession, d: str) -> DataFrame:
+    return graphs.node_transfers(_moves(s, d), graphs.pattern_nodes(_patterns(s, d)))
+
+
+@query(f"{CALLED} SELECT from_stop, to_stop, kind, weight::INT AS weight, headway FROM (SELECT *, row_number() OVER (PARTITION BY from_stop, to_stop ORDER BY p, coalesce(weight + coalesce(headway, 0) // 2, 1000000000), weight) AS r FROM (SELECT from_stop, to_stop, 'ride' AS kind, 0 AS p, weight, 600 AS headway FROM pairs UNION ALL SELECT from_stop, to_stop, 'transfer', 1, weight, NULL FROM moves UNION ALL SELECT from_stop, to_stop, 'walk', 2, seconds, NULL FROM walks) u) x WHERE r = 1", GRAPH)
+def agg_15_preferred_anytime_edges(s: SparkSession, d: str) -> DataFrame:
+    return graphs.preferred_anytime(_pairs(s, d).withColumn("headway", F.lit(600)), _moves(s, d), _walks(s, d))
+
+
+@query(f"{CALLED}, e AS (SELECT 'transfer' AS kind, from_stop, to_stop, weight FROM moves UNION ALL SELECT 'walk', from_stop, to_stop, seconds FROM walks), codes AS (SELECT stop, row_number() OVER (ORDER BY stop) AS code FROM (SELECT from_stop AS stop FROM e UNION SELECT to_stop FROM e) u) SELECT a.code AS from, b.code AS to, kind, weight::INT AS weight FROM e JOIN codes a ON a.stop = from_stop JOIN codes b ON b.stop = to_stop".replace("AS from,", 'AS "from",').replace("AS to,", 'AS "to",'), GRAPH)
+def bld_4_compact_graph(s: SparkSession, d: str) -> DataFrame:
+    edges = _moves(s, d).select(F.lit("transfer").alias("kind"), "from_stop", "to_stop", "weight").unionByName(_walks(s, d).select(F.lit("walk").alias("kind"), "from_stop", "to_stop", F.col("seconds").alias("weight")))
+    return graphs.compact(edges)[0].select("from", "to", "kind", "weight")
+
+
+@query(f"{CALLED} SELECT 'timed' AS kind, from_stop, to_stop, count(*) AS n, min(arr - dep) AS weight FROM pairs WHERE dep IS NOT NULL AND arr >= dep GROUP BY ALL UNION ALL SELECT 'untimed', from_stop, to_stop, count(*), min(weight) FROM pairs WHERE dep IS NULL OR arr IS NULL GROUP BY ALL UNION ALL SELECT 'transfer', from_stop, to_stop, 1, min(weight) FROM moves GROUP BY ALL", GRAPH)
+def bld_10_edge_insertion(s: SparkSession, d: str) -> DataFrame:
+    return graphs.inserted(_pairs(s, d), _moves(s, d)).select("kind", "from_stop", "to_stop", "n", "weight")
+
+
+@query(f"{CALLED} SELECT p.from_stop || '::' || t.pattern AS node, arg_min(p.to_stop || '::' || t.pattern, (dep, trip_id)) AS target, min(dep) AS dep FROM pairs p JOIN patterns t USING (trip_id) WHERE weight IS NOT NULL GROUP BY ALL", GRAPH)
+def bld_12_first_departure_of_nodes(s: SparkSession, d: str) -> DataFrame:
+    rows = graphs.pattern_rides(_pairs(s, d), _patterns(s, d)).groupBy(F.col("from_node").alias("node")).agg(F.min(F.struct("dep", "trip_id", "to_node")).alias("b"))
+    return rows.select("node", F.col("b.to_node").alias("target"), F.col("b.dep").alias("dep"))
+
+
+@query(f"{CALLED} SELECT node, stop, pattern, stop AS base, coalesce(stop_name, stop) AS shown FROM nodes LEFT JOIN stops ON stop_id = stop", GRAPH)
+def fun_37_38_39_node_names(s: SparkSession, d: str) -> DataFrame:
+    nodes = graphs.pattern_nodes(_patterns(s, d)).select("node")
+    stop, pattern = graphs.node_parts(F.col("node"))
+    names = tables(s, d, "stops")[0].select(F.col("stop_id").alias("base"), "stop_name")
+    rows = nodes.select("node", stop.alias("stop"), pattern.alias("pattern"), graphs.base_stop(F.concat(F.lit(graphs.HUB), "node")).alias("base"))
+    return rows.join(names, "base", "left").select("node", "stop", "pattern", "base", F.coalesce("stop_name", "base").alias("shown"))
+
+
+@query(f"{CALLED}, {o.PATHS} SELECT from_stop, string_agg(to_stop || '/' || seconds, ',' ORDER BY seconds, to_stop) AS paths FROM paths GROUP BY 1", GRAPH)
+def top_11_footpath_order(s: SparkSession, d: str) -> DataFrame:
+    items = F.array_sort(F.collect_list(F.struct("seconds", "to_stop")))
+    return _paths(s, d).groupBy("from_stop").agg(F.array_join(F.transform(items, lambda x: F.concat_ws("/", x["to_stop"], x["seconds"])), ",").alias("paths"))
+
+
+@query(f"{CALLED}, p AS (SELECT trip_id, a.stop AS from_stop, b.stop AS to_stop, min(a.pos) AS from_pos, min(b.pos) AS to_pos FROM valid a JOIN valid b USING (trip_id) WHERE b.pos > a.pos AND a.pos = (SELECT min(pos) FROM valid x WHERE x.trip_id = a.trip_id AND x.stop = a.stop) GROUP BY ALL) SELECT * FROM p", GRAPH)
+def fun_41_stop_pairs_in_trips(s: SparkSession, d: str) -> DataFrame:
+    """The first place of a stop in its trip, and of each later stop the first place after it."""
+    v = cut(_valid(s, d), "trips")
+    first = v.groupBy("trip_id", F.col("stop").alias("from_stop")).agg(F.min("pos").alias("from_pos"))
+    later = v.select("trip_id", F.col("stop").alias("to_stop"), "pos")
+    return first.join(later, "trip_id").filter("pos > from_pos").groupBy("trip_id", "from_stop", "to_stop").agg(F.min("from_pos").alias("from_pos"), F.min("pos").alias("to_pos"))
+
+
 @query("SELECT stop_id, dense_rank() OVER (ORDER BY stop_id) AS code FROM (SELECT DISTINCT stop_id FROM stops) t", "stops")
 def bld_4_fun_64_dictionary_ids(s: SparkSession, d: str) -> DataFrame:
-    return graphs.dense_ids(tables(s, d, "stops")[0], "stop_id").withColumn("code", F.col("code").cast("long"))
+    return graphs.dense_ids(tables(s, d, "stops")[0], "stop_id")
 
 
 # --- map layers ------------------------------------------------------------------------------------------------------
@@ -620,3 +700,43 @@ def agg_19_20_top_14_station_candidates(s: SparkSession, d: str) -> DataFrame:
     stops = tables(s, d, "stops")[0].filter("parent_station <> ''").select("stop_id", F.col("parent_station").alias("from_stop"))
     rows = stops.join(_paths(s, d), "from_stop").groupBy("from_stop").agg(F.min(F.struct("seconds", "stop_id")).alias("b"))
     return rows.select(F.col("from_stop").alias("station"), F.col("b.stop_id").alias("nearest"), F.col("b.seconds").alias("seconds"))
+
+
+PICKS = "CASE WHEN p_partkey % 3 = 0 THEN 'X' || p_partkey END AS ident, CASE WHEN p_partkey % 5 <> 0 THEN 53.0E0 + p_size / 100.0E0 END AS lat, CASE WHEN p_partkey % 7 <> 0 THEN 9.0E0 + p_size / 50.0E0 END AS lon, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS name, p_size AS n"
+
+
+def _picks(s: SparkSession, d: str) -> DataFrame:
+    return s.sql(f"SELECT p_partkey, {PICKS} FROM {{part}}", part=s.read.parquet(f"{d}/part.parquet"))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN (ident IS NOT NULL AND (lat IS NOT NULL OR lon IS NOT NULL)) OR ((lat IS NULL) <> (lon IS NULL)) THEN 'error' WHEN ident IS NOT NULL THEN 'id' WHEN lat IS NOT NULL THEN 'coords' WHEN name IS NOT NULL THEN 'name' ELSE 'error' END AS mode,
+    CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN printf('%.6f, %.6f', lat, lon) END AS label, lat IS NOT NULL AND lon IS NOT NULL AS valid FROM (SELECT p_partkey, {PICKS} FROM part) t""")
+def fun_48_49_67_72_endpoints(s: SparkSession, d: str) -> DataFrame:
+    lat, lon = F.col("lat"), F.col("lon")
+    label = F.when(lat.isNotNull() & lon.isNotNull(), client.coordinate_label(lat, lon))
+    return _picks(s, d).select("p_partkey", client.endpoint_mode(F.col("ident"), lat, lon, F.col("name")).alias("mode"), label.alias("label"), F.coalesce(client.valid_point(lon, lat), F.lit(False)).alias("valid"))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN n <= 0 THEN 0.0 WHEN n < 10 THEN n / 10.0E0 WHEN n < 30 THEN 1 + (n - 10) / 20.0E0 ELSE 2.0 END AS shade, CASE WHEN n % 9 < 4 THEN n % 9 ELSE 1 END AS chosen, round(lon - 500 / 111320.0E0 / greatest(cos(radians(lat)), 1e-6), 6) AS west, round(lat + 500 / 111320.0E0, 6) AS north,
+    format('{{:,}}', n * 1000) || ' / ' || format('{{:,}}', n) AS popup FROM (SELECT p_partkey, {PICKS} FROM part) t""")
+def fun_51_52_54_69_map_values(s: SparkSession, d: str) -> DataFrame:
+    n, ring = F.col("n"), client.cell_square(F.col("lat"), F.col("lon"), 1000.0)
+    at = lambda i, j: F.get(F.get(ring, F.lit(i)), F.lit(j))
+    return _picks(s, d).select("p_partkey", client.ramp(n, [(0, 0), (10, 1), (30, 2)]).alias("shade"), client.chosen_option(n % 9, F.lit(4), F.lit(1)).alias("chosen"), at(0, 0).alias("west"), at(2, 1).alias("north"), client.popup(n * 1000.0, n.cast("double")).alias("popup"))
+
+
+@query("""SELECT trip_id, stop_sequence, CASE WHEN arr >= dep THEN arr - dep END AS seconds, CASE WHEN dep IS NOT NULL AND arr IS NOT NULL THEN CASE WHEN dep >= 30000 AND dep - 30000 <= 20000 AND arr >= dep THEN dep END ELSE 30000 + 450 END AS cursor, coalesce('R' || stop_sequence % 2, trip_id) AS key, 'source::' || stop_id AS terminal, trip_id AS leg
+FROM (SELECT *, """ + o.seconds("departure_time") + " AS dep, " + o.seconds("arrival_time") + " AS arr FROM stop_times) t", "stop_times")
+def fun_56_57_58_59_66_edge_times(s: SparkSession, d: str) -> DataFrame:
+    none, t = F.lit(None).cast("int"), times.time_to_seconds
+    dep, arr = t(F.col("departure_time")), t(F.col("arrival_time"))
+    route = F.concat(F.lit("R"), (F.col("stop_sequence") % 2).cast("string"))
+    rows = tables(s, d, "stop_times")[0]
+    return rows.select("trip_id", "stop_sequence", client.scheduled_seconds(none, none, F.col("departure_time"), F.col("arrival_time")).alias("seconds"), client.departure_cursor(F.lit(30000), dep, arr, F.lit(900), F.lit(20000)).alias("cursor"), client.ride_key(route, F.col("trip_id")).alias("key"), client.terminal("source", F.col("stop_id")).alias("terminal"), client.leg_key(F.col("trip_id"), route, F.lit(None).cast("string"), F.col("stop_id"), F.col("stop_id")).alias("leg"))
+
+
+@query("""SELECT s_suppkey, coalesce(stop_lat, 53.5E0) AS lat, coalesce(stop_lon, 10.0E0) AS lon, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey * 1.0E0 END AS clean FROM (SELECT s_suppkey, stop_lat, stop_lon FROM stops JOIN supplier ON k = s_suppkey) t""", "stops")
+def fun_60_61_62_node_coordinates(s: SparkSession, d: str) -> DataFrame:
+    stops = tables(s, d, "stops")[0]
+    x = F.when(F.col("k") % 3 == 0, float("nan")).otherwise(F.col("k").cast("double"))
+    return stops.select(F.col("k").alias("s_suppkey"), F.coalesce("stop_lat", F.lit(53.5)).alias("lat"), F.coalesce("stop_lon", F.lit(10.0)).alias("lon"), F.nanvl(x, F.lit(None).cast("double")).alias("clean"))
