@@ -22,6 +22,12 @@ def test_gtfs_folder(spark, tmp_path):
     with pytest.raises(ValueError, match="ambiguous"):
         gtfs.find_stop(tables["stops"], "ai")
     assert set(gtfs.read_feeds(spark, str(tmp_path))) == set(gtfs.REQUIRED)
+    out = str(tmp_path / "tables")
+    assert gtfs.ingest(spark, str(feed), out, dry_run=True)["stops"] == 2 and not (tmp_path / "tables").exists()
+    for drop, n in ((False, 2), (False, 4), (True, 2)):
+        assert gtfs.ingest(spark, str(feed), out, skip=("agency",), drop_existing=drop)["stops"] == 2
+        assert spark.read.parquet(f"{out}/stops").count() == n
+    assert gtfs.of_feed(tables["stops"], "feed-a").columns == ["stop_id", "stop_name", "stop_lat", "extra"] and gtfs.of_feed(tables["stops"], "b").isEmpty()
     (feed / "trips.txt").unlink()
     with pytest.raises(ValueError, match="trips"):
         gtfs.read_feed(spark, str(feed))
@@ -43,12 +49,57 @@ def test_citygml_building(spark, tmp_path):
     assert row.footprint.startswith("MULTIPOLYGON (((0.0 0.0, 10.0 0.0") and row.attributes == {"k": "v"}
 
 
+def test_citygml_terrain_address_and_releases(spark, tmp_path):
+    folder = tmp_path / "LoD1-DE_HH_2023-04-01"
+    folder.mkdir()
+    ring = lambda z, n: " ".join(f"{x} {y} {z}" for x, y in ((0, 0), (n, 0), (n, n), (0, n), (0, 0)))
+    terrain = f"<bldg:lod1TerrainIntersection><gml:MultiCurve><gml:curveMember><gml:LineString><gml:posList>{ring(3, 20)}</gml:posList></gml:LineString></gml:curveMember></gml:MultiCurve></bldg:lod1TerrainIntersection>"
+    where = '<bldg:address><core:Address><core:xalAddress><xAL:AddressDetails xmlns:xAL="x"><xAL:Country><xAL:CountryName>Land</xAL:CountryName><xAL:Locality><xAL:LocalityName>Ort</xAL:LocalityName><xAL:Thoroughfare><xAL:ThoroughfareNumber>7a</xAL:ThoroughfareNumber><xAL:ThoroughfareName> Weg </xAL:ThoroughfareName></xAL:Thoroughfare><xAL:PostalCode><xAL:PostalCodeNumber> </xAL:PostalCodeNumber></xAL:PostalCode></xAL:Locality></xAL:Country></xAL:AddressDetails></core:xalAddress></core:Address></bldg:address>'
+    (folder / "t.xml").write_text(GML.format(FACE.format(ring(4, 10)) + FACE.format(ring(16.5, 10))).replace("<bldg:lod1Solid>", terrain + where + "<bldg:lod1Solid>"))
+    row = citygml.read_release(spark, str(tmp_path)).first()
+    assert (row.ground, row.roof, row.area, row.x, row.y) == (3.0, 16.5, 400.0, 10.0, 10.0)
+    assert (row.country, row.locality, row.street_name, row.street_number, row.postal_code) == ("Land", "Ort", "Weg", "7a", None)
+    (tmp_path / "LoD1-DE_HH_2024-04-01").mkdir()
+    with pytest.raises(ValueError, match="several"):
+        citygml.release_folder(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="no release"):
+        citygml.release_folder(spark, str(folder))
+
+
+def test_census_workbooks(spark, tmp_path):
+    for name, year in (("a", "Stand 2020"), ("b", "2021"), ("c", "none")):
+        book = tmp_path / name
+        book.mkdir()
+        (book / "Titel.csv").write_text(f"Gitter 2019,x\n{census.YEAR_LABEL if name != 'c' else 'u'},{year}\n" if name != "c" else "x,y\n")
+        (book / "Werte.csv").write_text(",".join(census.COLUMNS) + "\nN2001000E4001000,1,A,t,k,b,10,7,p\n")
+    found = census.find_workbook(spark, str(tmp_path), 2020, "Titel")
+    assert found.endswith("/a")
+    got = census.read_workbook(spark, found, "Titel").first()
+    assert (got.dataset_year, got.northing_m, got.experimental_population, got.source_sheet, got.grid_resolution_m) == (2020, 2001000, 7, "Werte", 1000)
+    with pytest.raises(ValueError, match="asked for 2021"):
+        census.read_workbook(spark, found, "Titel", 2021)
+    with pytest.raises(ValueError, match="no workbook"):
+        census.find_workbook(spark, str(tmp_path), 1999, "Titel")
+    with pytest.raises(ValueError, match="no data sheet"):
+        census.data_sheet(["Titel"], "Titel")
+
+
+def test_methods_lines_and_reloaded_edges(spark):
+    assert [sinks.method(x) for x in (None, " Trip-Stop ", "anytime", "RAPTOR")] == ["trip_stop", "trip_stop", "trip_stop_anytime", "raptor"]
+    with pytest.raises(ValueError, match="called"):
+        sinks.method("x")
+    lines = lambda *x: spark.createDataFrame(list(enumerate(x)), "pos int, line string")
+    assert [r.line for r in sinks.text_lines(lines("from A", "noise", "to B"), lines("ride"), ("from", "to")).collect()] == ["from A", "to B", "ride"]
+    edges = spark.createDataFrame([("transfer", 2, 0, None, None, None, None), ("transfer", 2, 60, None, None, None, None), ("walk", None, 5, None, None, None, None), ("trip", None, 9, None, 7, "08:00:00", None)], "kind string, transfer_type int, weight int, dep int, arr int, dep_time string, arr_time string")
+    assert sorted((r.kind, r.dep, r.arr) for r in sinks.reloaded_edges(edges).collect()) == [("station_link", None, None), ("transfer", None, None), ("trip", 28800, 7)]
+
+
 def test_census_grid(spark):
     names = list(census.COLUMNS)
-    rows = [("CRS3035RES1kmN2725000E4321000", "1", " A ", "t", "k", "b", "10", "[0-3]", "p"), ("CRS3035RES1kmN2726000E4321000", "1", "B", "t", "k", "b", "", "7", "p")]
-    got = census.census_grid(spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)), 2020).orderBy("grid_northing").collect()
-    assert [r.experimental_population for r in got] == [None, 7] and len(got[0]) == 15
-    assert 47 < got[0].center_lat < 48.5 and 9 < got[0].center_lon < 11.5 and got[0].municipality_name == "A"
+    rows = [("CRS3035RES1kmN2811000E4407000", "1", " A ", "t", "k", "b", "10", "[0-3]", "p"), ("CRS3035RES1kmN2812000E4407000", "1", "B", "t", "k", "b", "", "7", "p")]
+    got = census.census_grid(spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)), 2020).orderBy("northing_m").collect()
+    assert [r.experimental_population for r in got] == [None, 7] and got[0].__fields__ == list(census.ORDER)
+    assert 48 < got[0].cell_center_lat < 49.5 and 10.5 < got[0].cell_center_lon < 12 and got[0].municipality_name == "A"
     bad = spark.createDataFrame([("CELL-1", *rows[0][1:])], ", ".join(f"`{n}` string" for n in names))
     with pytest.raises(Exception, match="not a grid id"):
         census.census_grid(bad, 2020).collect()

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import blank_to_null
+from .gtfs import listed
+
 RELEASE = r"LoD1-DE_HH_(\d{4}-\d{2}-\d{2})"
 #: Height difference up to which a face is level or two faces are at one level.
 LEVEL = 0.01
 SCHEMA = """`_gml:id` string, `gml:name` string, `bldg:function` string, `bldg:roofType` string, `bldg:measuredHeight` struct<_VALUE: double>, `bldg:storeysAboveGround` int,
  `bldg:lod1Solid` struct<`gml:Solid`: struct<`gml:exterior`: struct<`gml:CompositeSurface`: struct<`gml:surfaceMember`: array<struct<`gml:Polygon`: struct<`gml:exterior`: struct<`gml:LinearRing`: struct<`gml:posList`: string>>>>>>>>>,
  `bldg:lod1TerrainIntersection` struct<`gml:MultiCurve`: struct<`gml:curveMember`: array<struct<`gml:LineString`: struct<`gml:posList`: string>>>>>,
+ `bldg:address` struct<`core:Address`: struct<`core:xalAddress`: struct<`xAL:AddressDetails`: struct<`xAL:Country`: struct<`xAL:CountryName`: string, `xAL:Locality`: struct<`xAL:LocalityName`: string, `xAL:Thoroughfare`: struct<`xAL:ThoroughfareName`: string, `xAL:ThoroughfareNumber`: string>, `xAL:PostalCode`: struct<`xAL:PostalCodeNumber`: string>>>>>>>,
  `gen:stringAttribute` array<struct<_name: string, `gen:value`: string>>"""
 
 
@@ -35,21 +41,46 @@ def ring_wkt(rings: Column) -> Column:
     return F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(rings, lambda r: F.concat(F.lit("(("), F.array_join(F.transform(closed(r), point), ", "), F.lit("))"))), ", "), F.lit(")"))
 
 
+def release_folder(spark: SparkSession, root: str) -> str:
+    """The only folder below root that is named as a release; an error if there is none or more."""
+    found = [p for n, p, is_file in listed(spark, root) if not is_file and re.fullmatch(RELEASE, n)]
+    if len(found) != 1:
+        raise ValueError(f"{'several releases' if found else 'no release'} in {root}: {', '.join(found)}")
+    return found[0]
+
+
+def read_release(spark: SparkSession, root: str) -> DataFrame:
+    """read_buildings() of all .xml files of root's one release."""
+    return read_buildings(spark, f"{release_folder(spark, root)}/*.xml")
+
+
+def centre(rings: Column) -> Column:
+    """Struct x, y of the corners' mean of the largest ring: a point of it wherever it is convex."""
+    most = F.element_at(F.array_sort(F.transform(rings, lambda r: F.struct(ring_area(r).alias("a"), r.alias("r")))), -1)["r"]
+    mean = lambda c: F.aggregate(F.transform(F.array_distinct(most), lambda p: p[c]), F.lit(0.0), lambda a, v: a + v) / F.size(F.array_distinct(most))
+    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+
+
 def read_buildings(spark: SparkSession, path: str) -> DataFrame:
-    """building_id, release, function, height, storeys, ground, roof, area, footprint (WKT), attributes of each building.
+    """building_id, release, function, height, storeys, ground, roof, area, footprint (WKT), x, y (a point of it), country,
+    locality, street_name, street_number, postal_code, attributes of each building.
 
-    The footprint is the solid's lowest level faces; ground and roof are its least and greatest heights. A building without
-    an id or a footprint is an error. Rings are taken as they are: overlapping ones are not united and broken ones not
-    repaired; faces of no area are left out."""
+    The footprint is the terrain intersection's closed lines, else the solid's lowest level faces; ground is the footprint's
+    least height, roof the solid's greatest one, else ground and height. A building without an id or a footprint is an error.
+    Rings are taken as they are: overlapping ones are not united and broken ones not repaired; rings of fewer than three
+    corners or no area are left out. Blank address fields are null."""
     rows = spark.read.option("rowTag", "bldg:Building").schema(SCHEMA).xml(path).withColumn("_file", F.input_file_name())
     members = F.col("`bldg:lod1Solid`.`gml:Solid`.`gml:exterior`.`gml:CompositeSurface`.`gml:surfaceMember`")
     faces = F.transform(members, lambda m: points(m["gml:Polygon"]["gml:exterior"]["gml:LinearRing"]["gml:posList"]))
     rows = rows.withColumn("_faces", faces)
     z = lambda f: F.transform(f, lambda p: p["z"])
     level = F.filter("_faces", lambda f: F.array_max(z(f)) - F.array_min(z(f)) <= LEVEL)
-    rows = rows.withColumn("_level", level).withColumn("ground", F.array_min(F.transform("_level", lambda f: F.array_min(z(f)))))
-    base = F.filter("_level", lambda f: (F.array_min(z(f)) - F.col("ground") <= LEVEL) & (ring_area(f) > 0))
-    rows = rows.withColumn("_base", base)
+    rows = rows.withColumn("_level", level).withColumn("_low", F.array_min(F.transform("_level", lambda f: F.array_min(z(f)))))
+    base = F.filter("_level", lambda f: (F.array_min(z(f)) - F.col("_low") <= LEVEL) & (ring_area(f) > 0))
+    lines = F.transform("`bldg:lod1TerrainIntersection`.`gml:MultiCurve`.`gml:curveMember`", lambda m: points(m["gml:LineString"]["gml:posList"]))
+    rings = F.filter(F.coalesce(lines, F.array().cast("array<array<struct<x:double,y:double,z:double>>>")), lambda r: (F.size(F.array_distinct(F.transform(r, lambda p: F.struct(p["x"], p["y"])))) >= 3) & (ring_area(r) > 0))
+    rows = rows.withColumn("_terrain", rings).withColumn("_base", F.when(F.size("_terrain") > 0, F.col("_terrain")).otherwise(base))
+    rows = rows.withColumn("ground", F.array_min(F.transform("_base", lambda f: F.array_min(z(f)))))
     ok = F.col("`_gml:id`").isNotNull() & (F.size("_base") > 0)
     ident = F.when(ok, F.col("`_gml:id`")).otherwise(F.raise_error(F.concat(F.lit("building without id or footprint: "), F.coalesce("`_gml:id`", F.lit("?")))))
     height = F.col("`bldg:measuredHeight`._VALUE")
@@ -57,4 +88,8 @@ def read_buildings(spark: SparkSession, path: str) -> DataFrame:
     area = F.aggregate(F.transform("_base", ring_area), F.lit(0.0), lambda a, x: a + x)
     named = F.filter(F.coalesce(F.col("`gen:stringAttribute`"), F.array().cast("array<struct<_name:string,`gen:value`:string>>")), lambda a: F.trim(a["_name"]) != "")
     attributes = F.map_from_entries(F.transform(named, lambda a: F.struct(a["_name"].alias("k"), a["gen:value"].alias("v"))))
-    return rows.select(ident.alias("building_id"), F.regexp_extract("_file", RELEASE, 0).alias("release"), F.col("`bldg:function`").alias("function"), height.alias("height"), F.col("`bldg:storeysAboveGround`").alias("storeys"), "ground", F.coalesce(top, F.col("ground") + height).alias("roof"), area.alias("area"), ring_wkt(F.col("_base")).alias("footprint"), attributes.alias("attributes"))
+    country = F.col("`bldg:address`.`core:Address`.`core:xalAddress`.`xAL:AddressDetails`.`xAL:Country`")
+    place = country["xAL:Locality"]
+    said = {"country": country["xAL:CountryName"], "locality": place["xAL:LocalityName"], "street_name": place["xAL:Thoroughfare"]["xAL:ThoroughfareName"], "street_number": place["xAL:Thoroughfare"]["xAL:ThoroughfareNumber"], "postal_code": place["xAL:PostalCode"]["xAL:PostalCodeNumber"]}
+    address = [blank_to_null(v).alias(k) for k, v in said.items()]
+    return rows.select(ident.alias("building_id"), F.regexp_extract("_file", RELEASE, 0).alias("release"), F.col("`bldg:function`").alias("function"), height.alias("height"), F.col("`bldg:storeysAboveGround`").alias("storeys"), "ground", F.coalesce(top, F.col("ground") + height).alias("roof"), area.alias("area"), ring_wkt(F.col("_base")).alias("footprint"), centre(F.col("_base"))["x"].alias("x"), centre(F.col("_base"))["y"].alias("y"), *address, attributes.alias("attributes"))

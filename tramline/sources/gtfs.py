@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks
+
 # The files that a feed must and may have, and the columns that are not text.
 REQUIRED = ("agency", "calendar", "calendar_dates", "routes", "stop_times", "stops", "trips")
 OPTIONAL = ("feed_info", "frequencies", "shapes", "transfers")
@@ -15,12 +17,16 @@ DOUBLES = ("stop_lat", "stop_lon", "shape_pt_lat", "shape_pt_lon", "shape_dist_t
 DATES = ("start_date", "end_date", "date", "feed_start_date", "feed_end_date")
 
 
-def files(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Table name -> path of the folder's .txt files, subfolders not included; any file system that Spark reads."""
+def listed(spark: SparkSession, folder: str) -> list[tuple[str, str, bool]]:
+    """Name, path and whether it is a file, of what a folder holds, by name; any file system that Spark reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = [(x.getPath().getName(), x.getPath().toString()) for x in found if x.isFile()]
-    return {n[:-4]: p for n, p in sorted(names) if n.endswith(".txt")}
+    return sorted((x.getPath().getName(), x.getPath().toString(), x.isFile()) for x in found)
+
+
+def files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Table name -> path of the folder's .txt files, or folders of part files; other subfolders are not looked into."""
+    return {n[:-4]: p for n, p, _ in listed(spark, folder) if n.endswith(".txt")}
 
 
 def missing(spark: SparkSession, folder: str) -> list[str]:
@@ -53,10 +59,8 @@ def read_feed(spark: SparkSession, folder: str, feed_id: str | None = None, skip
 
 def read_feeds(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Tables of all feeds in root's subfolders, by name; columns that only some feeds have are null in the others."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     out: dict[str, DataFrame] = {}
-    for folder in sorted(x.getPath().toString() for x in found if x.isDirectory()):
+    for folder in [p for _, p, is_file in listed(spark, root) if not is_file]:
         for name, df in read_feed(spark, folder).items():
             out[name] = out[name].unionByName(df, allowMissingColumns=True) if name in out else df
     return out
@@ -81,3 +85,20 @@ def find_stop(stops: DataFrame, name: str) -> str:
         if got:
             raise ValueError(f"{name!r} is ambiguous: {', '.join(got[:10])}")
     raise ValueError(f"no stop is named {name!r}")
+
+
+def of_feed(df: DataFrame, feed_id: str) -> DataFrame:
+    """One feed's rows, without the column that says so."""
+    return df.filter(F.col("feed_id") == feed_id).drop("feed_id")
+
+
+def ingest(spark: SparkSession, folder: str, into: str, feed_id: str | None = None, skip: tuple[str, ...] = (), drop_existing: bool = False, dry_run: bool = False) -> dict[str, int]:
+    """Appends a feed's tables to those below `into`, or replaces them with drop_existing, and returns the rows of each. A dry run
+    reads and counts only."""
+    counts = {}
+    for name, df in read_feed(spark, folder, feed_id, skip).items():
+        if dry_run:
+            counts[name] = df.count()
+        else:
+            counts[name] = sinks.counted(df, f"{into.rstrip('/')}/{name}", "overwrite" if drop_existing else "append")
+    return counts

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import time_to_seconds
+
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
@@ -23,6 +26,45 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def counted(df: DataFrame, path: str, mode: str = "append") -> int:
+    """Writes df and returns how many rows that were, counted on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(path)
+    return seen.get["n"]
+
+
+def reloaded_edges(edges: DataFrame) -> DataFrame:
+    """Cached edges as a graph takes them: transfers of type 2 and no time are station links, and clock texts are read again where
+    the seconds are not there. Walk edges are left out; they are made anew from coordinates and options."""
+    kind = F.when((F.col("kind") == "transfer") & (F.col("transfer_type") == 2) & (F.coalesce("weight", F.lit(0)) == 0), "station_link").otherwise(F.col("kind"))
+    rows = edges.filter("kind <> 'walk'").withColumn("kind", kind)
+    return rows.withColumn("dep", F.coalesce("dep", time_to_seconds(F.col("dep_time")))).withColumn("arr", F.coalesce("arr", time_to_seconds(F.col("arr_time"))))
+
+
+#: Search methods and what else they are called.
+METHODS = {"trip_stop": ("trip_stop", "tripstop", "pattern"), "trip_stop_anytime": ("trip_stop_anytime", "anytime"), "multi_edge": ("multi_edge", "multiedge"), "raptor": ("raptor",)}
+
+
+def method(name: str | None) -> str:
+    """The search method of a name in any case, with blanks or hyphens; trip_stop without one."""
+    plain = re.sub(r"[\s-]+", "_", (name or "").strip().lower())
+    for known, names in METHODS.items():
+        if plain in names:
+            return known
+    if plain:
+        raise ValueError(f"no search method is called {name!r}")
+    return "trip_stop"
+
+
+def text_lines(context: DataFrame, journey: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
+    """context(pos, line) lines that begin with one of prefixes, then journey(pos, line): line, in order of `n`."""
+    some = F.lit(False)
+    for p in prefixes:
+        some = some | F.col("line").startswith(p)
+    rows = context.filter(some).select(F.lit(0).alias("part"), "pos", "line").unionByName(journey.select(F.lit(1).alias("part"), "pos", "line"))
+    return rows.select(F.struct("part", "pos").alias("n"), "line").orderBy("n")
+
+
 def feature_collection(df: DataFrame, geometry: str, properties: list[str]) -> DataFrame:
     """One GeoJSON feature text a row; geometry is GeoJSON text. A collection is the lines of all rows."""
     head = F.concat(F.lit('{"type":"Feature","geometry":'), F.col(geometry), F.lit(',"properties":'), F.to_json(F.struct(*properties)), F.lit("}"))
