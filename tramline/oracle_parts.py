@@ -134,3 +134,44 @@ s5 AS (SELECT query_id, round, string_agg(c, ',' ORDER BY i) AS colours, count(*
 opts AS (SELECT query_id, round, arrival::INT AS arrival, greatest(round - 1, 0) AS transfers FROM z),
 answers AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY arrival DESC, transfers, n_legs, round) - 1 AS place, row_number() OVER (PARTITION BY query_id ORDER BY arrival, transfers, round) = 1 AS best, min(transfers) OVER (PARTITION BY query_id) AS fewest FROM (
     SELECT o.*, coalesce(legs, '') AS legs, coalesce(n_legs, 0) AS n_legs, coalesce(colours, '') AS colours, coalesce(n_rides, 0) AS n_rides FROM opts o LEFT JOIN s4 USING (query_id, round) LEFT JOIN s5 USING (query_id, round)) y)"""
+
+
+def laea(e: str, n: str, name: str, source: str) -> str:
+    """name: source's rows with lat and lon of its columns e, n in LAEA Europe (EPSG:3035), as WITH entries. The inverse of the
+    spherical form on the authalic sphere, whose latitude goes back to the ellipsoid's by a series in the eccentricity."""
+    import math
+
+    a, f = 6_378_137.0, 1 / 298.257222101
+    k = f * (2 - f)
+    q = lambda s: (1 - k) * (s / (1 - k * s * s) - math.log((1 - math.sqrt(k) * s) / (1 + math.sqrt(k) * s)) / (2 * math.sqrt(k)))
+    s0, c0 = math.sin(math.radians(52)), math.cos(math.radians(52))
+    r = a * math.sqrt(q(1.0) / 2)
+    sb = q(s0) / q(1.0)
+    cb = math.sqrt(1 - sb * sb)
+    d = a * c0 / math.sqrt(1 - k * s0 * s0) / (r * cb)
+    g = (k / 3 + 31 * k**2 / 180 + 517 * k**3 / 5040, 23 * k**2 / 360 + 251 * k**3 / 3780, 761 * k**3 / 45360)
+    v = lambda x: repr(float(x)) + "::DOUBLE"
+    return f"""{name}1 AS (SELECT *, {e} - 4321000.0::DOUBLE AS x_, {n} - 3210000.0::DOUBLE AS y_ FROM {source}),
+{name}2 AS (SELECT *, sqrt(pow(x_ / {v(d)}, 2) + pow(y_ * {v(d)}, 2)) AS r_ FROM {name}1), {name}3 AS (SELECT *, 2 * asin(r_ / {v(2 * r)}) AS c_ FROM {name}2),
+{name}4 AS (SELECT *, CASE WHEN r_ > 0 THEN asin(cos(c_) * {v(sb)} + {v(d * cb)} * y_ * sin(c_) / r_) ELSE asin({v(sb)}) END AS b_, CASE WHEN r_ > 0 THEN atan2(x_ * sin(c_), {v(d * cb)} * r_ * cos(c_) - {v(d * d * sb)} * y_ * sin(c_)) ELSE 0 END AS l_ FROM {name}3),
+{name} AS (SELECT *, degrees(b_ + {v(g[0])} * sin(2 * b_) + {v(g[1])} * sin(4 * b_) + {v(g[2])} * sin(6 * b_)) AS lat, 10 + degrees(l_) AS lon FROM {name}4)"""
+
+
+def utm32(e: str, n: str, name: str, source: str) -> str:
+    """name: source's rows with lat and lon of its columns e, n in UTM zone 32 (EPSG:25832), as WITH entries: the inverse series of the
+    third flattening."""
+    f = 1 / 298.257222101
+    m = f / (2 - f)
+    r = 6_378_137.0 / (1 + m) * (1 + m**2 / 4 + m**4 / 64) * 0.9996
+    b = (m / 2 - 2 * m**2 / 3 + 37 * m**3 / 96, m**2 / 48 + m**3 / 15, 17 * m**3 / 480)
+    d = (2 * m - 2 * m**2 / 3 - 2 * m**3, 7 * m**2 / 3 - 8 * m**3 / 5, 56 * m**3 / 15)
+    v = lambda x: repr(float(x)) + "::DOUBLE"
+    xi = " ".join(f"- {v(b[j])} * sin({2 * j + 2} * x_) * (exp({2 * j + 2} * y_) + exp(-{2 * j + 2} * y_)) / 2" for j in range(3))
+    eta = " ".join(f"- {v(b[j])} * cos({2 * j + 2} * x_) * (exp({2 * j + 2} * y_) - exp(-{2 * j + 2} * y_)) / 2" for j in range(3))
+    lat = " ".join(f"+ {v(d[j])} * sin({2 * j + 2} * c_)" for j in range(3))
+    return f"""{name}1 AS (SELECT *, {n} / {v(r)} AS x_, ({e} - 500000.0::DOUBLE) / {v(r)} AS y_ FROM {source}), {name}2 AS (SELECT *, x_ {xi} AS u_, y_ {eta} AS w_ FROM {name}1),
+{name}3 AS (SELECT *, asin(sin(u_) / ((exp(w_) + exp(-w_)) / 2)) AS c_ FROM {name}2), {name} AS (SELECT *, degrees(c_ {lat}) AS lat, 9 + degrees(atan2((exp(w_) - exp(-w_)) / 2, cos(u_))) AS lon FROM {name}3)"""
+
+
+def values(rows: dict) -> str:
+    return ", ".join(f"('{k}', {v!r})" for k, v in rows.items())

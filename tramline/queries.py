@@ -435,9 +435,27 @@ def bld_15_agg_5_fun_15_line_shapes(s: SparkSession, d: str) -> DataFrame:
     return surfaces.frequent_shapes(surfaces.line_shapes(*tables(s, d, "routes", "trips"))).select("line", "family", "shape_id", "n")
 
 
-@query()
+FAMILIES = f"""hues(line, hue) AS (VALUES {o.values(lines.LINE_COLOURS)}), shifts(line, shift) AS (VALUES {o.values(lines.LINE_OFFSETS)}), spare(family, hues) AS (VALUES {", ".join(f"('{k}', {list(v)!r})" for k, v in lines.PALETTES.items())})"""
+
+
+@query(f"""+ a AS (SELECT upper(trim(route_short_name)) AS line, CASE WHEN upper(trim(route_short_name)) LIKE 'U%' THEN 'u_bahn' WHEN upper(trim(route_short_name)) LIKE 'S%' THEN 's_bahn' WHEN upper(trim(route_short_name)) LIKE 'R%' THEN 'regional' ELSE 'a_line' END AS family, shape_id, count(trip_id) AS c,
+    CASE WHEN regexp_matches(ltrim(trim(route_color), '#'), '^[0-9A-Fa-f]{{6}}$') THEN '#' || upper(ltrim(trim(route_color), '#')) END AS own
+FROM routes JOIN trips USING (route_id) WHERE shape_id IS NOT NULL AND (upper(route_short_name) LIKE 'U%' OR upper(route_short_name) LIKE 'S%' OR upper(route_short_name) LIKE 'RE%' OR upper(route_short_name) LIKE 'RB%' OR upper(route_short_name) IN ('A1', 'A2', 'A3', 'A11')) AND NOT contains(upper(route_short_name), 'SEV') GROUP BY route_short_name, route_color, shape_id),
+b AS (SELECT line, family, shape_id, max(c) AS n, min(own) AS own FROM a GROUP BY ALL), m AS (SELECT *, family <> 's_bahn' OR n >= greatest(5, round_even(max(n) OVER (PARTITION BY line, family) * 0.1::DOUBLE, 0)) AS ok FROM b), k AS (SELECT *, max(ok::INT) OVER (PARTITION BY line, family) AS left_over FROM m),
+refs AS (SELECT line, family, shape_id, own, n FROM k WHERE ok OR left_over = 0),
+p AS (SELECT r.line, r.family, r.shape_id, shape_pt_sequence AS q, lat, lon, row_number() OVER w AS i, count(*) OVER (PARTITION BY r.line, r.shape_id) AS n, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM shapes JOIN refs r USING (shape_id) WINDOW w AS (PARTITION BY r.line, r.shape_id ORDER BY shape_pt_sequence)),
+g AS (SELECT *, sum(CASE WHEN family = 's_bahn' AND i > 2 AND i < n AND sqrt(pow((lon - lo) * 111320.0::DOUBLE * cos(radians((la + lat) / 2)), 2) + pow((lat - la) * 111320.0::DOUBLE, 2)) > 900 THEN 1 ELSE 0 END) OVER (PARTITION BY line, shape_id ORDER BY q) AS piece FROM p),
+t AS (SELECT line, shape_id, piece, string_agg(printf('%.5f %.5f', lon, lat), ',' ORDER BY q) AS coords FROM g GROUP BY ALL HAVING count(*) >= 2), u AS (SELECT line, string_agg(coords, '|' ORDER BY shape_id, piece) AS coords, count(*)::INT AS n_pieces FROM t GROUP BY 1),
+l AS (SELECT line, family, arg_min(own, shape_id) FILTER (own IS NOT NULL) AS own, sum(n)::BIGINT AS trips, list_reduce([0::BIGINT] || list_transform(string_split(line, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM refs GROUP BY line, family), {FAMILIES}
+SELECT l.line, l.family, coalesce(hue, CASE WHEN l.family = 'regional' THEN '{lines.REGIONAL_COLOUR}' END, own, s.hues[(h % len(s.hues) + 1)::INT]) AS colour, coalesce(shift, CASE WHEN l.family = 'regional' THEN 0.0 END, ({list(lines.OFFSETS)!r})[(h % {len(lines.OFFSETS)} + 1)::INT])::DOUBLE AS line_offset,
+    n_pieces, coords, trips, row_number() OVER (ORDER BY list_position(['u_bahn', 's_bahn', 'a_line', 'regional'], l.family), l.line) AS rank FROM l JOIN u ON u.line = l.line LEFT JOIN hues ON hues.line = l.line LEFT JOIN shifts ON shifts.line = l.line LEFT JOIN spare s ON s.family = l.family""", "routes trips shapes")
 def bld_15_win_9_fun_13_14_16_top_7_snk_11_network_lines(s: SparkSession, d: str) -> DataFrame:
-    return surfaces.network_lines(*tables(s, d, "routes", "trips", "shapes"))
+    rows = surfaces.network_lines(*tables(s, d, "routes", "trips", "shapes"))
+    one = F.from_json("geometry", "coordinates array<array<double>>")["coordinates"]
+    many = F.from_json("geometry", "coordinates array<array<array<double>>>")["coordinates"]
+    pieces = F.when(F.col("n_pieces") == 1, F.array(one)).otherwise(many)
+    text = F.array_join(F.transform(pieces, lambda c: F.array_join(F.transform(c, lambda p: F.format_string("%.5f %.5f", F.get(p, F.lit(0)), F.get(p, F.lit(1)))), ",")), "|")
+    return rows.select("line", "family", "colour", F.col("line_offset").cast("double").alias("line_offset"), "n_pieces", text.alias("coords"), "trips", "rank")
 
 
 @query("SELECT grid_id, estimate FROM (SELECT grid_id, coalesce(try_cast(nullif(trim(population_raw), '') AS DOUBLE), CASE WHEN trim(population_raw) = '[0-3]' THEN 1.5 END) AS estimate FROM cells WHERE dataset_year = 2021) c WHERE estimate > 0", "cells")
@@ -445,9 +463,15 @@ def bld_17_fil_7_population_cells(s: SparkSession, d: str) -> DataFrame:
     return surfaces.population_cells(tables(s, d, "cells")[0], 2021).select("grid_id", "estimate")
 
 
-@query()
+ESTIMATES = "c0 AS (SELECT grid_id, estimate, regexp_extract(grid_id, 'N(\\d+)E(\\d+)$', 1)::DOUBLE AS n, regexp_extract(grid_id, 'N(\\d+)E(\\d+)$', 2)::DOUBLE AS e FROM (SELECT grid_id, coalesce(try_cast(nullif(trim(population_raw), '') AS DOUBLE), CASE WHEN trim(population_raw) = '[0-3]' THEN 1.5 END) AS estimate FROM cells WHERE dataset_year = 2021) q WHERE estimate > 0)"
+
+
+@query(f"""+ {ESTIMATES}, c1 AS (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS i FROM c0), c2 AS (SELECT *, e + [500, 0, 1000, 1000, 0, 0][i + 1] AS px, n + [500, 0, 0, 1000, 1000, 0][i + 1] AS py FROM c1), {o.laea("px", "py", "w", "c2")}
+SELECT grid_id, round(max(lat) FILTER (i = 0), 6) AS lat, round(max(lon) FILTER (i = 0), 6) AS lon, any_value(estimate) AS estimate, string_agg(printf('%.6f %.6f', lon, lat), ',' ORDER BY i) FILTER (i > 0) AS ring FROM w GROUP BY grid_id HAVING max(lat) FILTER (i = 0) BETWEEN 53.0 AND 54.0 AND max(lon) FILTER (i = 0) BETWEEN 9.0 AND 11.0""", "cells")
 def fun_18_20_fil_4_population_rings(s: SparkSession, d: str) -> DataFrame:
-    return surfaces.population_cells(tables(s, d, "cells")[0], 2021, (53.0, 9.0, 54.0, 11.0))
+    rows = surfaces.population_cells(tables(s, d, "cells")[0], 2021, (53.0, 9.0, 54.0, 11.0))
+    ring = F.array_join(F.transform("ring", lambda p: F.format_string("%.6f %.6f", F.get(p, F.lit(0)), F.get(p, F.lit(1)))), ",")
+    return rows.select("grid_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "estimate", ring.alias("ring"))
 
 
 @query(f"""+ b AS (SELECT (floor((x + w / 2) / 100) * 100)::INT AS easting, (floor((y + d / 2) / 100) * 100)::INT AS northing, w * d AS a, w * d * greatest(1.0, coalesce(nullif(storeys, 0)::DOUBLE, round_even(height / 3.2::DOUBLE, 0), 1.0)) AS f FROM (SELECT release, storeys, height::DOUBLE AS height, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, d::DOUBLE AS d FROM buildings) q WHERE release = '{RELEASE}'),
@@ -458,11 +482,12 @@ def bld_14_agg_2_3_joi_2_fun_35_floor_space(s: SparkSession, d: str) -> DataFram
     return g.select("easting", "northing", "n", "footprint", "floor_space", "density", F.round("people", 6).alias("people"))
 
 
-@query()
+@query(f"""+ b AS (SELECT (floor((x + w / 2) / 100) * 100)::INT AS easting, (floor((y + d / 2) / 100) * 100)::INT AS northing, w * d * greatest(1.0, coalesce(nullif(storeys, 0)::DOUBLE, round_even(height / 3.2::DOUBLE, 0), 1.0)) AS f FROM (SELECT release, storeys, height::DOUBLE AS height, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, d::DOUBLE AS d FROM buildings) q WHERE release = '{RELEASE}'),
+c AS (SELECT easting, northing, count(*) AS n, sum(f) AS f, easting + 50.0::DOUBLE AS px, northing + 50.0::DOUBLE AS py FROM b GROUP BY ALL), {o.utm32("px", "py", "z", "c")}
+SELECT easting, northing, n, round(f * 100.0, 6) AS density, round(lon, 6) AS lon, round(lat, 6) AS lat FROM z WHERE f > 0 AND lat BETWEEN 53.5 AND 53.56 AND lon BETWEEN 9.7 AND 10.0""", "buildings")
 def bld_18_fun_19_fil_5_floor_space_points(s: SparkSession, d: str) -> DataFrame:
     g = surfaces.floor_space_grid(tables(s, d, "buildings")[0], RELEASE).filter(F.col("lat").between(53.5, 53.56) & F.col("lon").between(9.7, 10.0))
-    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(F.round("lon", 6), F.round("lat", 6)).alias("coordinates")))
-    return g.select("easting", "northing", "n", F.round("density", 6).alias("density"), point.alias("geometry"))
+    return g.select("easting", "northing", "n", F.round("density", 6).alias("density"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 # --- search ----------------------------------------------------------------------------------------------------------
@@ -666,12 +691,16 @@ def fun_40_shape_slice(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(itinerary.shape_slice(F.sequence(F.lit(0), F.lit(6)), a, b).cast("array<string>"), ",").alias("part"))
 
 
-@query()
+@query("""+ t AS (SELECT from_stop_id, to_stop_id FROM transfers UNION ALL SELECT from_stop_id, from_stop_id FROM transfers), g AS (SELECT t.*, a.stop_lat AS la, a.stop_lon AS lo, b.stop_lat AS lb, b.stop_lon AS ob FROM t JOIN stops a ON a.stop_id = from_stop_id JOIN stops b ON b.stop_id = to_stop_id)
+SELECT from_stop_id, to_stop_id, CASE WHEN la IS NULL OR lb IS NULL OR lo IS NULL OR ob IS NULL THEN NULL WHEN la = lb AND lo = ob THEN array_to_string(list_transform([0, 1, 2, 3, 4, 5], lambda i: printf('%.6f %.6f', lo + 36 / 111320.0::DOUBLE / greatest(cos(radians(la)), 1e-6) * cos(2 * pi() * i / 5), la + 36 / 111320.0::DOUBLE * sin(2 * pi() * i / 5))), ',')
+    ELSE printf('%.6f %.6f', lo, la) || ',' || printf('%.6f %.6f', ob, lb) END AS geometry FROM g""", "stops transfers")
 def fun_43_44_fallback_geometry(s: SparkSession, d: str) -> DataFrame:
     stops, t = tables(s, d, "stops", "transfers")
     at = lambda i: stops.select(F.col("stop_id").alias(("from_stop_id", "to_stop_id")[i]), F.col("stop_lat").alias(f"lat{i}"), F.col("stop_lon").alias(f"lon{i}"))
     rows = t.unionByName(t.withColumn("to_stop_id", F.col("from_stop_id"))).join(at(0), "from_stop_id").join(at(1), "to_stop_id")
-    return rows.select("from_stop_id", "to_stop_id", F.to_json(itinerary.fallback_geometry(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))).alias("geometry"))
+    line = itinerary.fallback_geometry(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))
+    text = F.when(line.isNotNull(), F.array_join(F.transform(line, lambda p: F.format_string("%.6f %.6f", F.get(p, F.lit(0)), F.get(p, F.lit(1)))), ","))
+    return rows.select("from_stop_id", "to_stop_id", text.alias("geometry"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_retailprice < 60 THEN '< 1 min' WHEN p_retailprice < 3600 THEN round_even(p_retailprice / 60, 0)::INT || ' min' ELSE (round_even(p_retailprice / 60, 0)::INT // 60) || ' hr ' || (round_even(p_retailprice / 60, 0)::INT % 60) || ' min' END AS duration, round(100.0 * p_size / max(p_size) OVER (), 6) AS position FROM part")
