@@ -23,16 +23,23 @@ def requests(spark, *rows):
 
 def test_routes_by_id_name_and_place(spark, engine):
     none = (None, None)
-    got = engine.route(requests(spark, (1, "06:00:00", "S0", None, *none, "S4", None, *none), (2, "06:00:00", None, "stop 0", *none, None, " STOP 4 ", *none), (3, "06:00:00", None, None, 53.4, 9.8, "S4", None, *none))).collect()
+    got = engine.route(requests(spark, (1, "06:00:00", "S0", None, *none, "S4", None, *none), (2, "06:00:00", None, "stop 0", *none, None, " STOP 4 ", *none), (3, "06:00:00", None, None, 53.4005, 9.8, "S4", None, *none))).collect()
     arrival = {r.query_id: r.arrival for r in got if r.best}
     assert arrival[1] == arrival[2] and set(arrival) == {1, 2, 3}
     assert all(r.transfers <= 1 for r in got) and sum(r.best for r in got) == 3
+    for r in got:
+        assert r.n_rides == len(r.colours) == r["round"] and len(r.legs) >= 1 and r.fewest <= r.transfers
+    assert any(r.legs[0].startswith("__origin__ -> ") for r in got if r.query_id == 3)
+    layers = engine.map_layers(requests(spark, (1, "06:00:00", "S0", None, *none, "S4", None, *none))).collect()
+    assert layers and {r.layer for r in layers} <= {"ride", "walk", "transfer", "stop"} and all(r.feature.startswith('{"type":') for r in layers)
 
 
 def test_bad_requests(spark, engine):
     for bad in ((1, "6:0", "S0", None, None, None, "S4", None, None, None), (1, "06:00:00", "S0", None, 53.4, 9.8, "S4", None, None, None), (1, "06:00:00", None, None, 53.4, None, "S4", None, None, None)):
         with pytest.raises(Exception, match="not a time|give an id"):
             engine.route(requests(spark, bad)).collect()
+        assert [(r.status, bool(r.error)) for r in engine.checked(requests(spark, bad)).collect()] == [(400, True)]
+    assert engine.checked(requests(spark, (1, "06:00:00", "S0", None, None, None, "S4", None, None, None))).first().status == 200
     with pytest.raises(ValueError):
         Options(walk_speed=0)
     assert Options().merged(horizon=None, max_wait=5) == Options(max_wait=5)

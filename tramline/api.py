@@ -7,10 +7,9 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import geo, times
-from .operators.ordered import top_by
-from .plans import graphs, surfaces, timetable
-from .plans.raptor import best_options, raptor
+from .functions import client, times
+from .plans import access, graphs, itinerary, surfaces, timetable
+from .plans.raptor import journeys, search
 from .shared import cut
 from .sources.sinks import Catalog
 
@@ -77,29 +76,50 @@ class Engine:
         by_id = req.filter("id is not null").join(c, F.col("id") == c["stop_id"]).select("query_id", F.col("canonical").alias("stop"), F.lit(0).alias("seconds"))
         named = stops.select("stop_id", F.lower("stop_name").alias("_n")).join(c, "stop_id").select("_n", "canonical").distinct()
         by_name = req.filter("id is null and lat1 is null and name is not null").join(named, F.lower(F.trim("name")) == F.col("_n")).select("query_id", F.col("canonical").alias("stop"), F.lit(0).alias("seconds"))
-        # Cells are as high as the radius and twice as wide as it is at 60 degrees, so a neighbour's neighbour is out of reach below that.
-        high, wide = o.access_metres / 111_000.0, o.access_metres / 55_000.0
-        cell = lambda la, lo: [F.floor(F.col(la) / high).alias("cy"), F.floor(F.col(lo) / wide).alias("cx")]
-        near = req.filter("id is null and lat1 is not null").select("query_id", "lat1", "lon1", *cell("lat1", "lon1"))
-        for x in ("cy", "cx"):
-            near = near.withColumn(x, F.explode(F.array(*[F.col(x) + i for i in (-1, 0, 1)])))
-        rows = near.join(coords.select("stop", "lat", "lon", *cell("lat", "lon")), ["cy", "cx"])
-        rows = rows.withColumn("m", geo.haversine(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))).filter(F.col("m") <= o.access_metres)
-        by_place = top_by(rows, ["query_id"], [F.col("m"), F.col("stop")], o.candidates, "_r").select("query_id", "stop", geo.walk_seconds(F.col("m"), F.lit(o.walk_speed)).alias("seconds"))
-        return by_id.unionByName(by_name).unionByName(by_place)
-
-    def route(self, requests: DataFrame) -> DataFrame:
-        """requests(query_id, depart (H:MM:SS), origin_id, origin_name, origin_lat, origin_lon, destination_...) -> the options
-        of each: round, arrival, transfers, best (whether it is the one to show first)."""
+        places = stops.join(c, "stop_id").select("stop_id", "canonical", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+        near = access.candidates(req.filter("id is null and lat1 is not null").select("query_id", F.col("lat1").alias("lat"), F.col("lon1").alias("lon")), places, o.candidates, o.access_metres, o.walk_speed)
+        return by_id.unionByName(by_name).unionByName(near.select("query_id", "stop", "seconds"))
+
+    def checked(self, requests: DataFrame) -> DataFrame:
+        """query_id, status and error of each request: 400 with what is wrong in it, else 200."""
+        bad = []
+        for side in ("origin", "destination"):
+            ident, name, lat, lon = (F.col(f"{side}_{c}") for c in ("id", "name", "lat", "lon"))
+            bad.append(F.when(client.endpoint_mode(ident, lat, lon, name) == "error", F.lit(f"{side}: give an id, a name or both coordinates")))
+        bad.append(F.when(times.time_to_seconds(F.col("depart")).isNull(), F.concat(F.lit("not a time: "), F.coalesce("depart", F.lit("null")))))
+        error = F.coalesce(*bad)
+        return requests.select("query_id", F.when(error.isNull(), 200).otherwise(400).alias("status"), error.alias("error"))
+
+    def journeys(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Steps of all options, with the walks from and to coordinates, names, colours and lines, and the options."""
         t, o = self.preload(), self.options
         depart = times.time_to_seconds(F.col("depart"))
         bad = F.raise_error(F.concat(F.lit("not a time: "), F.coalesce("depart", F.lit("null")))).cast("int")
         queries = requests.select("query_id", F.coalesce(depart, bad).alias("depart"))
         rounds = min(o.max_rounds, o.max_transfers + 1)
-        options = raptor(queries, self._ends(requests, "origin"), self._ends(requests, "destination"), t["valid"], t["patterns"], t["paths"], rounds, o.horizon, o.max_wait, o.penalty)
-        options = cut(options, "options")
-        best = best_options(options).select("query_id", "round", F.lit(True).alias("best"))
-        return options.join(best, ["query_id", "round"], "left").select("query_id", "round", "arrival", times.seconds_to_time(F.col("arrival")).alias("arrival_time"), "transfers", F.coalesce("best", F.lit(False)).alias("best"))
+        found = search(queries, self._ends(requests, "origin"), self._ends(requests, "destination"), t["valid"], t["patterns"], t["paths"], rounds, o.horizon, o.max_wait, o.penalty)
+        steps = itinerary.stitched(journeys(found), found.options, found.starts, found.ends)
+        steps = itinerary.described(steps, self.feed["trips"], self.feed["routes"], self.feed["stops"])
+        if "shapes" in self.feed:
+            steps = itinerary.with_geometry(steps, self.feed["shapes"], t["coords"])
+        return cut(steps, "route-steps"), cut(found.options, "route-options")
+
+    def route(self, requests: DataFrame) -> DataFrame:
+        """requests(query_id, depart (H:MM:SS), origin_id, origin_name, origin_lat, origin_lon, destination_...) -> one row for each
+        option, as itinerary.answers() has them, with arrival_time. A request that checked() finds wrong is an error."""
+        steps, options = self.journeys(requests)
+        return itinerary.answers(steps, options, self.options.penalty).withColumn("arrival_time", times.seconds_to_time(F.col("arrival")))
+
+    def map_layers(self, requests: DataFrame) -> DataFrame:
+        """GeoJSON features of each option: query_id, round, pos, layer (ride, walk, transfer or stop), colour, feature."""
+        steps, _ = self.journeys(requests)
+        mode = F.when(F.col("kind") == "trip", "ride").when(F.col("label") == "walk", "walk").otherwise("transfer")
+        line = F.when(F.col("line_string").isNotNull(), F.to_json(F.struct(F.lit("LineString").alias("type"), F.col("line_string").alias("coordinates"))))
+        rows = steps.select("query_id", "round", "pos", mode.alias("layer"), "colour", line.alias("feature"))
+        ends = F.explode(F.array(F.get("line_string", F.lit(0)), F.element_at("line_string", -1)))
+        stops = steps.filter("line_string is not null and kind = 'trip'").select("query_id", "round", "pos", ends.alias("p"))
+        point = F.to_json(F.struct(F.lit("Point").alias("type"), F.col("p").alias("coordinates")))
+        return rows.filter("feature is not null").unionByName(stops.select("query_id", "round", "pos", F.lit("stop").alias("layer"), F.lit(None).cast("string").alias("colour"), point.alias("feature")).distinct())
 
     def network_lines(self, rapid_only: bool = False) -> DataFrame:
         lines = surfaces.network_lines(self.feed["routes"], self.feed["trips"], self.feed["shapes"])

@@ -68,11 +68,12 @@ def _search(made, queries, sources, targets, valid, patterns, paths, max_rounds,
     parent = lambda **given: [given.get(c, F.lit(None)).cast(t).alias(c) for c, t in none.items()]
 
     def improved(best: DataFrame | None, bound: DataFrame | None, new: DataFrame) -> DataFrame:
-        """The best new label of each query and stop, if within the horizon, earlier than the best so far and than the target."""
-        new = new.groupBy("query_id", "stop").agg(F.min(F.struct("t", *PARENT)).alias("l")).select("query_id", "stop", "l.*")
+        """The best new label of each query and stop, if within the horizon, earlier than the target so far and than the best. What
+        the first two rule out is dropped before anything is shuffled."""
         new = join_counted(new, limit, "query_id", "inner").filter("t <= limit").drop("limit")
         if bound is not None:
             new = join_counted(new, bound, "query_id").filter("bound is null or t < bound").drop("bound")
+        new = new.groupBy("query_id", "stop").agg(F.min(F.struct("t", *PARENT)).alias("l")).select("query_id", "stop", "l.*")
         if best is None:
             return new
         return new.join(best.withColumnRenamed("t", "_old"), ["query_id", "stop"], "left").filter("_old is null or t < _old").drop("_old")
@@ -106,8 +107,8 @@ def _search(made, queries, sources, targets, valid, patterns, paths, max_rounds,
     for n in range(max_rounds + 1):
         if n:
             ready = join_counted(rounds[-1].select("query_id", "stop", (F.col("t") + (penalty if n > 1 else 0)).alias("ready")), limit, "query_id", "inner")
-            if n > 1:  # what was improved later than the target was reached leads nowhere
-                ready = join_counted(ready, bound, "query_id").filter("bound is null or ready < bound").drop("bound")
+            # What was improved later than the target was reached, or leaves later, leads nowhere.
+            ready = join_counted(ready, bound, "query_id").withColumn("limit", F.least("limit", F.col("bound") - 1)).filter("ready <= limit").drop("bound")
             on = ready.withColumn("bin", F.floor(F.col("ready") / width)).join(board, ["stop", "bin"])
             last = F.least(F.col("limit"), F.col("ready") + max_wait) if max_wait is not None else F.col("limit")
             on = on.withColumn("d", F.get(F.filter("deps", lambda d: (d["dep"] >= F.col("ready")) & (d["dep"] <= last)), F.lit(0))).filter("d is not null")
