@@ -409,6 +409,17 @@ def test_packing_finds_neighbours_in_the_whole_corpus(spark, monkeypatch):
     assert len(set(out.sequence_id // 2**32)) > 3 and sum(same) > 0.7 * len(same), sum(same) / len(same)
 
 
+def test_packing_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_WORDS", 300)
+    rng = random.Random(6)
+    say = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "x1"]) for _ in range(rng.randint(3, 30)))
+    rows = [(None, "the same words again and again")] * 300 + [(None, say()) for _ in range(150)] + [(7, say()) for _ in range(150)] + [(i, None) for i in range(20)] + [(9, "w " * 70_000)]
+    out = packing.retrieval_packing(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).toPandas()
+    assert (out.groupby("sequence_id").length.sum() <= 1024).all() and out[out.start == 0].groupby(out.doc_id.fillna(-1)).size().to_dict() == {-1: 450, 7: 151, 9: 2, **{i: 1 for i in range(20) if i not in (7, 9)}}
+    assert (out.sequence_id // 2**32).nunique() > 3
+    assert all(packing.large(packing.small(np.array(v)), len(v)).tolist() == v for v in ([], [1, 65535], [70_000, 3]))
+
+
 def test_packing_scores_by_all_terms():
     rng = np.random.default_rng(4)
     terms = [np.unique(rng.integers(0, 400, 90)) for _ in range(50)] + [np.zeros(0, np.int64)]
@@ -553,6 +564,17 @@ def test_recall_where_a_fifth_of_the_lists_is_read(spark, n):
     assert _recall(_found(spark, x, 10), x) >= 0.9
 
 
+def test_recall_on_the_test_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = df.toPandas()
+    x = np.array(rows.embedding.tolist(), float)
+    place = {int(v): i for i, v in enumerate(rows.vec_id)}
+    got: dict[int, list] = {}
+    for r in vectors.nearest_vectors(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(place[r.query_id], []).append(place[r.vec_id])
+    assert _recall(got, x) >= 0.9 and all(len(v) == 5 for v in got.values())
+
+
 def test_long_lists_are_split(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(4, 16))[rng.integers(0, 4, 4000)] + 0.4 * rng.normal(size=(4000, 16))

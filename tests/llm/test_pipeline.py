@@ -76,3 +76,12 @@ def test_empty_corpus(spark):
     for _, stage in pipeline.STAGES:
         docs = cut(stage(spark, docs, ""), "empty")
     assert docs.count() == 0
+
+
+def test_runs_beside_each_other(spark, tmp_path):
+    path = str(tmp_path)
+    corpus(spark).limit(40).write.parquet(f"{path}/documents.parquet")
+    first = pipeline.run(spark, path)
+    second = pipeline.run(spark, path)
+    shown = lambda df: sorted((r.doc_id or -1, r.start, r.length, r.ids_crc32) for r in df.select("doc_id", "start", "length", "ids_crc32").collect())
+    assert len(shown(first)) == len(shown(second)) > 0

@@ -126,7 +126,7 @@ def lists_for(n: int) -> int:
     return max(1, min(MAX_LISTS, round(1.7 * math.sqrt(n))))
 
 
-def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, replicas: int = 4, replica_ratio: float = 1.10, probes: int = 48, probe_ratio: float = 1.6, least_probes: int = 24, share: float = 0.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, replicas: int = 5, replica_ratio: float = 1.20, probes: int = 48, probe_ratio: float = 1.6, least_probes: int = 24, share: float = 0.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row that is_query holds for, its k nearest other rows: query_id, rank (from 1), vec_id, score (cosine).
 
     Vectors that are null or zero, hold null or non-finite components, or have another length than most, take no part, nor do
