@@ -64,14 +64,17 @@ def valid_trips(merged: DataFrame) -> DataFrame:
 
 def trip_patterns(valid: DataFrame, trips: DataFrame) -> DataFrame:
     """trip_id, pattern, trip_index: trips of one route, direction and stop list share a pattern, in order of first
-    departure, last arrival and id. The pattern's id is a digest of the three."""
+    departure, last arrival and id. The pattern's id is the beginning of a digest of the three; two patterns of one id are an
+    error."""
     item = F.array_sort(F.collect_list(F.struct("pos", "stop")))
     seqs = valid.groupBy("trip_id").agg(F.transform(item, lambda x: x["stop"]).alias("stops"), F.min_by("dep", "pos").alias("first_dep"), F.max_by("arr", "pos").alias("last_arr"))
     rows = seqs.join(trips.select("trip_id", "route_id", "direction_id"), "trip_id", "left")
     text = F.concat(F.coalesce("route_id", F.lit("")), F.lit("|"), F.coalesce(F.col("direction_id").cast("string"), F.lit("")), F.lit("|"), F.array_join("stops", ","))
-    rows = rows.withColumn("pattern", F.concat(F.lit("pattern_"), F.substring(F.md5(text), 1, 12)))
-    w = Window.partitionBy("pattern").orderBy("first_dep", "last_arr", "trip_id")
-    return rows.select("trip_id", "pattern", (F.row_number().over(w) - 1).alias("trip_index"), "route_id", "direction_id", "stops")
+    rows = rows.withColumn("_digest", F.md5(text)).withColumn("pattern", F.concat(F.lit("pattern_"), F.substring("_digest", 1, 12)))
+    all_, w = Window.partitionBy("pattern"), Window.partitionBy("pattern").orderBy("first_dep", "last_arr", "trip_id")
+    one = F.min("_digest").over(all_) == F.max("_digest").over(all_)
+    known = F.when(one, F.col("pattern")).otherwise(F.raise_error(F.concat(F.lit("two patterns are called "), "pattern")).cast("string"))
+    return rows.select("trip_id", known.alias("pattern"), (F.row_number().over(w) - 1).alias("trip_index"), "route_id", "direction_id", "stops")
 
 
 def segment_medians(pairs: DataFrame, trips: DataFrame) -> DataFrame:
