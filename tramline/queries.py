@@ -226,12 +226,11 @@ def agg_17_18_inverted_indexes(s: SparkSession, d: str) -> DataFrame:
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT s.stop_id, p.stop_id AS near_id, r::INT AS rank FROM (SELECT a.stop_id, b.stop_id AS near_id, row_number() OVER (PARTITION BY a.stop_id ORDER BY abs(a.k * 7919 % 1000 - b.k * 7919 % 1000), b.k) AS r FROM stops a JOIN stops b ON a.k <> b.k AND a.k % 7 = b.k % 7) q JOIN stops s USING (stop_id) JOIN stops p ON p.stop_id = near_id WHERE r <= 3", "stops")
+@query(f"{STOPS}, p AS (SELECT stop, lon * 60000 AS x, lat * 110000 AS y FROM coords) SELECT stop_id, near_id, r::INT AS rank FROM (SELECT a.stop AS stop_id, b.stop AS near_id, row_number() OVER (PARTITION BY a.stop ORDER BY round((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), 3), b.stop) AS r FROM p a JOIN p b ON a.stop <> b.stop AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 900.0 * 900.0 AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) > 0) q WHERE r <= 3", "stops")
 def top_2_k_neighbours(s: SparkSession, d: str) -> DataFrame:
-    a = tables(s, d, "stops")[0].select("stop_id", "k", (F.col("k") % 7).alias("g"), (F.col("k") * 7919 % 1000).alias("v"))
-    b = a.select(F.col("stop_id").alias("near_id"), F.col("k").alias("k2"), "g", F.col("v").alias("v2"))
-    rows = a.join(b, "g").filter("k <> k2")
-    return top_by(rows, ["stop_id"], [F.abs(F.col("v") - F.col("v2")), F.col("k2")], 3).select("stop_id", "near_id", "rank")
+    p = _coords(s, d).select(F.col("stop").alias("id"), (F.col("lon") * 60000).alias("x"), (F.col("lat") * 110000).alias("y"))
+    near = top_by(grid_pairs(p, 900.0), ["a"], [F.round("square", 3), F.col("b")], 3)
+    return near.select(F.col("a").alias("stop_id"), F.col("b").alias("near_id"), "rank")
 
 
 @query(f"{STOPS}, p AS (SELECT stop, lon * 60000 AS x, lat * 110000 AS y FROM coords) SELECT a.stop AS a, b.stop AS b FROM p a JOIN p b ON a.stop <> b.stop AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 400.0 * 400.0 AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) > 0", "stops")
