@@ -170,9 +170,10 @@ def _journeys(made, found: Found, options: DataFrame) -> DataFrame:
 
 def station_walks(paths: DataFrame) -> DataFrame:
     """Shortest walks over any number of footpaths, for feeds with few stations: from_stop, to_stop, seconds, is_walk (whether
-    any part is no explicit transfer). Each step joins walks with walks, so it ends after the logarithm of the longest chain."""
+    any part is no explicit transfer; without is_walk all are walks). Each step joins walks with walks, so it ends after the logarithm of the longest chain."""
     least = lambda df: df.groupBy("from_stop", "to_stop").agg(F.min(F.struct("seconds", "is_walk")).alias("w")).select("from_stop", "to_stop", "w.*")
-    best = cut(least(paths.select("from_stop", "to_stop", F.col("seconds").cast("long").alias("seconds"), "is_walk")), "walks")
+    foot = F.col("is_walk") if "is_walk" in paths.columns else F.lit(True)
+    best = cut(least(paths.select("from_stop", "to_stop", F.col("seconds").cast("long").alias("seconds"), foot.alias("is_walk"))), "walks")
     seen = None
     while seen != (now := best.agg(F.count("*"), F.sum("seconds"), F.sum(F.col("is_walk").cast("int"))).first()):
         seen = now
