@@ -20,8 +20,9 @@ from .textblocks import Words, arrow_rows, blocks, mix, spans_hash
 
 #: Bits of the number of cells of the frequency sketch: about one for CELL_BYTES of text, between these. A count is kept as
 #: eighths of its logarithm, in one byte that no count fills.
-CELL_BITS, CELL_BYTES = (20, 24), 48
-#: Sets up to MAX_SMALL may be enumerated. Lists of more than LONG sets are parted by further elements, DEPTH times at most.
+CELL_BITS, CELL_BYTES = (20, 24), 256
+#: Sets up to MAX_SMALL may be enumerated. Lists in which more than LONG sets are apart from the star are parted by further
+#: elements, DEPTH times at most.
 MAX_SMALL, LONG, DEPTH = 24, 64, 3
 
 
@@ -46,6 +47,15 @@ def enumerated(n: int, percent: int) -> int:
     return sum(comb(n, i) for i in range(n - _least(n, percent) + 1))
 
 
+def rare_length(seen: np.ndarray, logs: np.ndarray, share: float) -> float:
+    """Mean length of the lists of the rarest `share` of all elements' occurrences, which are those that prefixes hold; logs:
+    seen's counts by classes."""
+    held, cells = np.bincount(logs, seen, 256), np.maximum(1, np.bincount(logs, minlength=256))
+    before = np.concatenate([[0], np.cumsum(held)[:-1]])
+    taken = np.clip(share * held.sum() - before, 0, held)
+    return float((taken * held / cells).sum() / max(1.0, taken.sum()))
+
+
 def boundary(list_length: float, percent: int) -> int:
     """Largest size up to which enumerating subsets costs no more than scanning the lists of a set's prefix."""
     best = 0
@@ -88,13 +98,13 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
 def crossing(lists: DataFrame, prefixes: DataFrame, percent: int, small: int) -> DataFrame:
     """lists(token, cls, n, p, comp, apart): pairs (a, b) of one list, of different components, one of them apart.
 
-    In a list of more than LONG the members are dealt out once more: two of them that link and have their first common element
+    If more than LONG members of a list are apart, all are dealt out once more: two of them that link and have their first common element
     here have the next one within one place more of their order's beginning, so they meet in a list of both. prefixes(cls,
     prefix) has the elements in order. After DEPTH such steps lists are joined whatever their length, so none is left out."""
     out = []
     for level in range(1, DEPTH + 2):
-        sized = lists.groupBy("token").agg(F.count("*").alias("m"), F.max(F.col("apart").cast("int")).alias("_a")).filter("m > 1 and _a = 1")
-        sized = cut(sized.select("token", (F.lit(level <= DEPTH) & (F.col("m") > LONG)).alias("long")), "set-sizes")
+        sized = lists.groupBy("token").agg(F.sum(F.col("apart").cast("int")).alias("_a"), F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_a > 0 and _l < _h")
+        sized = cut(sized.select("token", (F.lit(level <= DEPTH) & (F.col("_a") > LONG)).alias("long")), "set-sizes")
         lists = cut(join_counted(lists, sized, "token", "inner"), "set-parts")
         short = lists.filter(~F.col("long"))
         one = short.filter("apart").select("token", F.col("cls").alias("acls"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("comp").alias("acomp"))
@@ -122,11 +132,10 @@ def _similar_groups(made, docs, k, percent, id_col, text_col) -> DataFrame:
         acc[at.astype(np.int64)] += n.astype(np.uint32)
 
     seen = summed(rows, F.col("text"), cells, count, lower=True, kind=np.uint32).astype(np.float32)
-    list_length = float(np.dot(seen, seen)) / max(1.0, float(seen.sum(dtype=float)))
-    np.log2(seen + 1, out=seen)
-    sketch = spark.sparkContext.broadcast((8 * seen).astype(np.uint8))
+    logs = (8 * np.log2(seen + 1)).astype(np.uint8)
+    small = boundary(rare_length(seen, logs, 1 - percent / 100), percent)
+    sketch = spark.sparkContext.broadcast(logs)
     del seen
-    small = boundary(list_length, percent)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, words in blocks((((d, i), t) for d, i, t in arrow_rows(batches)), lower=True):
