@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import base64
+import json
 import math
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,10 +38,9 @@ class Encoder:
     """Ids of a tokenizers file. ranks: the same vocabulary's ranks and pattern, by which plain texts are encoded faster."""
 
     def __init__(self, model: str, ranks: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.full, self.fast = Tokenizer.from_file(model), None
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.model, self.fast = model, None
+        with open(model, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         if ranks:
             import tiktoken
 
@@ -50,6 +50,13 @@ class Encoder:
             # Without runs of white space the look-ahead decides nothing, and splitting is faster without it.
             self.fast, self.plain = made(pattern), made(pattern.replace(LOOK_AHEAD, ""))
 
+    @cached_property
+    def full(self):
+        """Loaded when a text first needs it, as it takes much memory."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.model)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return np.array((self.fast if _SPACES.search(text) else self.plain).encode_ordinary(text), np.uint32)
@@ -61,6 +68,16 @@ def encoder(model: str, ranks: str | None, pattern: str | None) -> Encoder:
     return Encoder(model, ranks, pattern)
 
 
+def small(numbers: np.ndarray) -> bytes:
+    """Whole numbers as 16 bits each if they all fit, else 32."""
+    return numbers.astype(np.uint16 if not len(numbers) or numbers.max() < 65536 else "<u4").tobytes()
+
+
+def large(data: bytes, n: int) -> np.ndarray:
+    """small()'s n numbers."""
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else "<u4").astype("<u4")
+
+
 def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, bucket and frequency of each different term of each text, in order of documents."""
     key, n = np.unique(words.doc.astype(np.uint64) * np.uint64(TERMS) + words.hashes[0] % np.uint64(TERMS), return_counts=True)
@@ -82,8 +99,9 @@ def sketched(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> n
     """Unit count sketches of n documents' weights, whose products come near the cosines; 0 for a document without terms."""
     at = mix(term.astype(np.uint64) + np.uint64(1))
     sign = np.where(at >> np.uint64(63), 1.0, -1.0)
-    out = np.bincount(doc * SKETCH + (at % np.uint64(SKETCH)).astype(np.int64), sign * weight, n * SKETCH).reshape(n, SKETCH)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    out = np.bincount(doc * SKETCH + (at % np.uint64(SKETCH)).astype(np.int64), sign * weight, n * SKETCH).astype(np.float32).reshape(n, SKETCH)
+    out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-12)[:, None]
+    return out
 
 
 class Topics:
@@ -92,7 +110,7 @@ class Topics:
     hash of the id."""
 
     def __init__(self, sample: np.ndarray, sizes: np.ndarray, shards: int, words: int):
-        self.topics = fit_centroids(sample, max(1, min(shards, MAX_TOPICS, len(sample) // 8))) if shards > 1 and len(sample) else None
+        self.topics = fit_centroids(sample, max(1, min(shards, MAX_TOPICS, len(sample) // 8))).astype(np.float32) if shards > 1 and len(sample) else None
         self.parts: dict[int, int] = {}
         self.large: dict[tuple[int, int], int] = {}
         if self.topics is not None:
@@ -118,7 +136,7 @@ class Topics:
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, second = [], []
-        for part in np.array_split(x, math.ceil(len(x) / 1024)):
+        for part in np.array_split(x.astype(np.float32, copy=False), math.ceil(len(x) / 1024)):
             near = part @ self.topics.T
             first.append(near.argmax(axis=1))
             near[np.arange(len(part)), first[-1]] = -2
@@ -247,7 +265,8 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
             doc, term, tf = _buckets(words)
             bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
             out: dict[str, list] = {k: [] for k in ("id", "n", "crcs", "rest", "terms", "tf", "size")}
-            keys = [zlib.crc32(t if i is None else i.encode()) for i, t in zip(some, texts)]
+            # Rows of one id and text are told apart by their place, so that copies are dealt out too.
+            keys = [zlib.crc32(t if i is None else i.encode()) + k for k, (i, t) in enumerate(zip(some, texts))]
             out["shard"] = [s for own, x in sketches(words, doc, term, tf) for s in topics.value.shards(x, keys[own])]
             for k, t in enumerate(texts):
                 tokens = np.append(encode(t.decode()), np.uint32(end_id)).astype("<u4")
@@ -256,10 +275,10 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
                 out["n"].append(len(tokens))
                 out["crcs"].append(np.array([zlib.crc32(tokens[j : j + window].tobytes()) for j in range(0, whole, window)], np.uint32).tobytes())
                 rest = tokens[whole:]
-                out["rest"].append((rest.astype(np.uint16) if not len(rest) or rest.max() < 65536 else rest).tobytes())
+                out["rest"].append(small(rest))
                 own = slice(bounds[k], bounds[k + 1])
                 out["terms"].append(term[own].tobytes())
-                out["tf"].append(np.minimum(tf[own], 65535).astype(np.uint16).tobytes())
+                out["tf"].append(small(tf[own]))
                 out["size"].append(int(words.counts[k]))
             kinds = {"id": pa.string(), "n": pa.int64(), "size": pa.int64(), "shard": pa.int64()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
@@ -270,14 +289,14 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
         known = shard["id"].notna()
         shard = shard.iloc[np.lexsort((shard["n"], shard["id"].where(known, "").astype(str), known))].reset_index(drop=True)
         tokens = shard["n"].to_numpy()
-        # A fragment of fewer ids than bytes / 4 was sent as 16-bit ids.
         fragment = tokens % window
-        rest = [np.frombuffer(b, np.uint16 if len(b) == 2 * m else "<u4").astype("<u4") for b, m in zip(shard["rest"], fragment)]
+        rest = [large(b, m) for b, m in zip(shard["rest"], fragment)]
         for k, crcs in enumerate(shard["crcs"]):
             for j, crc in enumerate(np.frombuffer(crcs, np.uint32)):
                 rows.append((k, j * window, window, int(crc), first, 0))
                 first += 1
-        index = Index([np.frombuffer(b, np.int32) for b in shard["terms"]], [np.frombuffer(b, np.uint16) for b in shard["tf"]], shard["size"].to_numpy(), idf.value, mean_size)
+        terms = [np.frombuffer(b, np.int32) for b in shard["terms"]]
+        index = Index(terms, [large(b, len(t)) for b, t in zip(shard["tf"], terms)], shard["size"].to_numpy(), idf.value, mean_size)
         for taken in pack(fragment, index.scores, window):
             offset = 0
             for k, start, length in taken:
