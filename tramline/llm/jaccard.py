@@ -21,9 +21,9 @@ from .textblocks import Words, arrow_rows, blocks, mix, spans_hash
 #: Bits of the number of cells of the frequency sketch: about one for CELL_BYTES of text, between these. A count is kept as
 #: eighths of its logarithm, in one byte that no count fills.
 CELL_BITS, CELL_BYTES = (20, 24), 256
-#: Sets up to MAX_SMALL may be enumerated. Lists in which more than LONG sets are apart from the star are parted by further
-#: elements, DEPTH times at most.
-MAX_SMALL, LONG, DEPTH = 24, 64, 3
+#: Sets up to MAX_SMALL may be enumerated. Lists that would make more than LONG pairs of sets are parted by further elements
+#: first, DEPTH times at most.
+MAX_SMALL, LONG, DEPTH = 24, 1 << 22, 3
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +98,13 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
 def crossing(lists: DataFrame, prefixes: DataFrame, percent: int, small: int) -> DataFrame:
     """lists(token, cls, n, p, comp, apart): pairs (a, b) of one list, of different components, one of them apart.
 
-    If more than LONG members of a list are apart, all are dealt out once more: two of them that link and have their first common element
+    If the members that are apart make more than LONG pairs with the others, all are dealt out once more: two of them that link and have their first common element
     here have the next one within one place more of their order's beginning, so they meet in a list of both. prefixes(cls,
     prefix) has the elements in order. After DEPTH such steps lists are joined whatever their length, so none is left out."""
     out = []
     for level in range(1, DEPTH + 2):
-        sized = lists.groupBy("token").agg(F.sum(F.col("apart").cast("int")).alias("_a"), F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_a > 0 and _l < _h")
-        sized = cut(sized.select("token", (F.lit(level <= DEPTH) & (F.col("_a") > LONG)).alias("long")), "set-sizes")
+        sized = lists.groupBy("token").agg(F.sum(F.col("apart").cast("int")).alias("_a"), F.count("*").alias("_m"), F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_a > 0 and _l < _h")
+        sized = cut(sized.select("token", (F.lit(level <= DEPTH) & (F.col("_a") * F.col("_m") > LONG)).alias("long")), "set-sizes")
         lists = cut(join_counted(lists, sized, "token", "inner"), "set-parts")
         short = lists.filter(~F.col("long"))
         one = short.filter("apart").select("token", F.col("cls").alias("acls"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("comp").alias("acomp"))
