@@ -33,8 +33,14 @@ def word_count(text: Column) -> Column:
     return F.octet_length(marks).cast("long")
 
 
+#: Makes Python workers give freed memory back, where they would keep it for themselves beside the JVM.
+MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_MMAP_THRESHOLD_": "131072"}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this library from where the driver has it."""
+    """Lets Python workers import this library from where the driver has it, and keeps them small."""
+    for key, value in MEMORY.items():
+        spark.sparkContext.environment.setdefault(key, value)
     env, held = spark.sparkContext.environment, "PYTHONPATH"
     if _ROOT not in env.get(held, "").split(os.pathsep):
         env[held] = os.pathsep.join(filter(None, [_ROOT, env.get(held, "")]))

@@ -124,7 +124,9 @@ def blocks(pairs: Iterable[tuple], lower: bool = False, hashes: int = 1, size: i
         yield some_ids, some, _hashed(some, lower, hashes)
 
 
-def arrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of the batches as tuples; ask for texts as binary columns, so no Python string is made of them."""
+def arrow_rows(batches: Iterator[pa.RecordBatch], some: int = 128) -> Iterator[tuple]:
+    """Rows of the batches as tuples, of which `some` are made at a time; ask for texts as binary columns, so no Python string is
+    made of them."""
     for b in batches:
-        yield from zip(*[c.to_pylist() for c in b.columns])
+        for i in range(0, b.num_rows, some):
+            yield from zip(*[c.to_pylist() for c in b.slice(i, some).columns])
