@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, personal, quality, secrets, source_mix, substrings, token_counts, vectors, warc
+from . import codes, digests, jaccard, packing, personal, quality, runs, secrets, source_mix, substrings, token_counts, vectors, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +67,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_docs(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.word_runs(_docs(spark, sf_dir), arrange=runs.repeating))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.exact_dedup(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_personal_data, op3_warc, op4_token_counts, op5_substring_dedup, op6_retrieval_packing, op7_source_mix, op8_nearest_vectors, op9_jaccard_groups, op10_quality_rules)
+    own = (op1_secret_scan, op2_personal_data, op3_warc, op4_token_counts, op5_substring_dedup, op6_retrieval_packing, op7_source_mix, op8_nearest_vectors, op9_jaccard_groups, op10_quality_rules, op11_periodic_runs, op12_vector_codes, op13_exact_dedup)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op5_substring_dedup": substrings.ORACLE, "op9_jaccard_groups": jaccard.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op5_substring_dedup": substrings.ORACLE, "op9_jaccard_groups": jaccard.ORACLE, "op12_vector_codes": codes.ORACLE, "op13_exact_dedup": digests.ORACLE}
