@@ -21,8 +21,8 @@ SAMPLE, MAX_LISTS = 20_000, 2_048
 SPLIT = 4_096
 #: Vectors and queries that meet in one task at most.
 PART = 2_048
-#: Decimals to which directions are one class and scores tie: what lies below is rounding of the sums.
-DECIMALS = 12
+#: Decimals of a unit vector to which directions are one class: what lies below is rounding of the division.
+DECIMALS = 15
 
 
 def fit_centroids(sample: np.ndarray, lists: int, seed: int = 7, steps: int = 8) -> np.ndarray:
@@ -80,8 +80,9 @@ class CentroidGraph:
 
 
 def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, q, v: list of doubles) -> (id, q, dim, c, u): the unit vector as bytes and a hash of its direction. Vectors are first
-    divided by their largest component, so no norm over- or underflows. What is not a valid vector is left out."""
+    """(id, q, v: list of doubles) -> (id, q, dim, c, u): the vector as bytes and a hash of its direction. Vectors are divided by
+    a power of two near their largest component, which changes no digit, so no norm over- or underflows. What is not a valid
+    vector is left out."""
     for b in batches:
         ids, asks, v = b.columns
         lens = pc.fill_null(pc.list_value_length(v), 0).to_numpy()
@@ -91,18 +92,32 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = flat[first[rows][:, None] + np.arange(dim)]
             big = np.abs(x).max(axis=1)
             ok = np.isfinite(x).all(axis=1) & (big > 0)
-            x = x[ok] / big[ok][:, None]
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            c = [xxhash.xxh3_128_hexdigest(r.tobytes()) for r in np.round(x, DECIMALS) + 0.0]
+            x = np.ldexp(x[ok], -np.frexp(big[ok])[1][:, None])
+            c = [xxhash.xxh3_128_hexdigest(r.tobytes()) for r in np.round(x / norms(x)[:, None], DECIMALS) + 0.0]
             rows = pa.array(rows[ok])
             cols = [ids.take(rows), asks.take(rows), pa.array(np.full(len(c), dim, np.int32)), pa.array(c, pa.string()), pa.array([r.tobytes() for r in x], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "q", "dim", "c", "u"])
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
+def _raw(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
 
+def _matrix(column: pd.Series) -> np.ndarray:
+    """The vectors' directions."""
+    x = _raw(column)
+    return x / norms(x)[:, None]
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of x with each of y. Products come before the division, so where sums are exact equal cosines are equal doubles."""
+    return np.clip((x @ y.T) / (norms(x)[:, None] * norms(y)), -1, 1)
+
+
 def _chosen(ids: np.ndarray, sims: np.ndarray, ratio: float, least: int) -> np.ndarray:
     """Distance-ratio pruning: lists no farther than ratio times the nearest one, and the `least` nearest in any case."""
     far = np.sqrt(np.maximum(0, 2 - 2 * sims))
@@ -129,10 +144,10 @@ def lists_for(n: int) -> int:
 def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, replicas: int = 5, replica_ratio: float = 1.20, probes: int = 48, probe_ratio: float = 1.6, least_probes: int = 24, share: float = 0.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row that is_query holds for, its k nearest other rows: query_id, rank (from 1), vec_id, score (cosine).
 
-    Vectors that are null or zero, hold null or non-finite components, or have another length than most, take no part, nor do
-    null ids. Vectors of one direction (to DECIMALS decimals of the unit vector) are one class with its k + 1 smallest ids, so
-    copies and scaled copies that fill a third of the table cost as much as one row. Scores that agree to DECIMALS decimals
-    tie, and ties go to smaller ids.
+    Vectors that are null or zero, or hold null or non-finite components, take no part, nor do null ids. Shorter vectors are
+    filled up with zeros to the longest one's length. Scores are doubles and ordered as such; where they are equal, smaller ids come first. Vectors
+    of one direction (to DECIMALS decimals of the unit vector, the rounding of a division) are one class with its k + 1 smallest
+    ids, and score as the one of the smallest id, so copies and scaled copies that fill a third of the table cost as much as one row.
 
     Classes are assigned to the posting lists of near centroids (several, if the next is within replica_ratio of the nearest)
     by a search of the centroid graph, in memory and of bounded size. A list with more than SPLIT entries gets centroids of its
@@ -145,10 +160,10 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, replicas:
     spark = ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = cut(rows.filter("id is not null and v is not null").mapInArrow(units, "id long, q boolean, dim int, c string, u binary"), "ann-vectors")
-    top = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if top is None:
+    shortest, longest = rows.agg(F.min("dim"), F.max("dim")).first()
+    if longest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    valid = rows.filter(F.col("dim") == top["dim"])
+    valid = rows if shortest == longest else rows.withColumn("u", F.expr(f"rpad(u, {8 * longest}, X'00')"))
     by = Window.partitionBy("c").orderBy("id")
     ids = valid.select("c", "id").distinct().withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= k + 1)
     ids = ids.groupBy("c").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -187,25 +202,24 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, replicas:
     seek = join_counted(probed, split, keys, "inner").select(*keys, each(F.col("_np")).alias("p"), part("_nq").alias("q"), "c", "u")
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"qc": [], "c": [], "key": [], "score": []}
+        out = {"qc": [], "c": [], "score": []}
         if len(left) and len(right):
             left = left.sort_values("first", kind="stable")
-            sims = _matrix(right["u"]) @ _matrix(left["u"]).T
-            tied = np.round(sims, DECIMALS)
+            sims = cosines(_raw(right["u"]), _raw(left["u"]))
             # By score, then smallest id, as in the result: rows are put in order of ids, and the sort is stable.
-            best = np.argsort(-tied, axis=1, kind="stable")[:, : 2 * k + 2]
+            best = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * k + 2]
             q, c = np.repeat(np.arange(len(right)), best.shape[1]), best.ravel()
-            out = {"qc": right["c"].to_numpy()[q], "c": left["c"].to_numpy()[c], "key": tied[q, c], "score": np.clip(sims[q, c], -1, 1)}
+            out = {"qc": right["c"].to_numpy()[q], "c": left["c"].to_numpy()[c], "score": sims[q, c]}
         return pd.DataFrame(out)
 
     meet = [*keys, "p", "q"]
-    found = held.groupBy(*meet).cogroup(seek.groupBy(*meet)).applyInPandas(scored, "qc string, c string, key double, score double")
-    found = cut(found.groupBy("qc", "c").agg(F.max("key").alias("key"), F.max("score").alias("score")), "ann-found")
+    found = held.groupBy(*meet).cogroup(seek.groupBy(*meet)).applyInPandas(scored, "qc string, c string, score double")
+    found = cut(found.groupBy("qc", "c").agg(F.max("score").alias("score")), "ann-found")
     drop(split, *dropped)
     found = found.join(classes.select("c", F.explode("ids").alias("vec_id")), "c")
-    best = Window.partitionBy("qc").orderBy(F.desc("key"), "vec_id")
+    best = Window.partitionBy("qc").orderBy(F.desc("score"), "vec_id")
     # An id with several vectors is found by the nearest of them.
-    found = found.groupBy("qc", "vec_id").agg(F.max("key").alias("key"), F.max("score").alias("score"))
+    found = found.groupBy("qc", "vec_id").agg(F.max("score").alias("score"))
     found = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1)
     near = found.groupBy(F.col("qc").alias("c")).agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("near"))
     out = asked.join(near, "c").select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
