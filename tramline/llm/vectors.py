@@ -21,8 +21,6 @@ SAMPLE, MAX_LISTS = 20_000, 2_048
 SPLIT = 4_096
 #: Vectors and queries that meet in one task at most.
 PART = 2_048
-#: Decimals of a unit vector to which directions are one class: what lies below is rounding of the division.
-DECIMALS = 15
 
 
 def fit_centroids(sample: np.ndarray, lists: int, seed: int = 7, steps: int = 8) -> np.ndarray:
@@ -93,7 +91,7 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             big = np.abs(x).max(axis=1)
             ok = np.isfinite(x).all(axis=1) & (big > 0)
             x = np.ldexp(x[ok], -np.frexp(big[ok])[1][:, None])
-            c = [xxhash.xxh3_128_hexdigest(r.tobytes()) for r in np.round(x / norms(x)[:, None], DECIMALS) + 0.0]
+            c = [xxhash.xxh3_128_hexdigest(r.tobytes()) for r in x / np.abs(x).max(axis=1)[:, None] + 0.0]
             rows = pa.array(rows[ok])
             cols = [ids.take(rows), asks.take(rows), pa.array(np.full(len(c), dim, np.int32)), pa.array(c, pa.string()), pa.array([r.tobytes() for r in x], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "q", "dim", "c", "u"])
@@ -145,9 +143,9 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, replicas:
     """For each row that is_query holds for, its k nearest other rows: query_id, rank (from 1), vec_id, score (cosine).
 
     Vectors that are null or zero, or hold null or non-finite components, take no part, nor do null ids. Shorter vectors are
-    filled up with zeros to the longest one's length. Scores are doubles and ordered as such; where they are equal, smaller ids come first. Vectors
-    of one direction (to DECIMALS decimals of the unit vector, the rounding of a division) are one class with its k + 1 smallest
-    ids, and score as the one of the smallest id, so copies and scaled copies that fill a third of the table cost as much as one row.
+    filled up with zeros to the longest one's length. Scores are doubles and ordered as such; where they are equal, smaller ids
+    come first. Copies and scaled copies, whose quotients by their largest component are equal, are one class with its k + 1
+    smallest ids that scores as the vector of the smallest one, so a third of the table in one direction costs as much as one row.
 
     Classes are assigned to the posting lists of near centroids (several, if the next is within replica_ratio of the nearest)
     by a search of the centroid graph, in memory and of bounded size. A list with more than SPLIT entries gets centroids of its
