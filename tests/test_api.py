@@ -34,17 +34,32 @@ def test_routes_by_id_name_and_place(spark, engine):
     assert layers and {r.layer for r in layers} <= {"ride", "walk", "transfer", "stop"} and all(r.feature.startswith('{"type":') for r in layers)
 
 
-def test_bad_requests(spark, engine):
-    for bad in ((1, "6:0", "S0", None, None, None, "S4", None, None, None), (1, "06:00:00", "S0", None, 53.4, 9.8, "S4", None, None, None), (1, "06:00:00", None, None, 53.4, None, "S4", None, None, None)):
-        with pytest.raises(Exception, match="not a time|give an id"):
-            engine.route(requests(spark, bad)).collect()
-        assert [(r.status, bool(r.error)) for r in engine.checked(requests(spark, bad)).collect()] == [(400, True)]
-    assert engine.checked(requests(spark, (1, "06:00:00", "S0", None, None, None, "S4", None, None, None))).first().status == 200
+def test_bad_requests_are_answers_among_others(spark, engine):
+    none = (None, None)
+    bad = [(1, "6:0", "S0", None, *none, "S4", None, *none), (2, "06:00:00", "S0", None, 53.4, 9.8, "S4", None, *none), (3, "06:00:00", None, None, 53.4, None, "S4", None, *none), (4, "06:00:00", "S0", None, *none, None, "nowhere", *none)]
+    good = (5, "06:00:00", "S0", None, *none, "S4", None, *none)
+    got = engine.route(requests(spark, *bad, good)).collect()
+    assert {(r.query_id, r.status) for r in got} == {(1, 400), (2, 400), (3, 400), (4, 404), (5, 200)}
+    assert all(bool(r.error) == (r.query_id != 5) and (r.arrival is None) == (r.query_id != 5) for r in got)
+    alone = {(r.place, r.arrival, tuple(r.legs)) for r in engine.route(requests(spark, good)).collect()}
+    assert {(r.place, r.arrival, tuple(r.legs)) for r in got if r.query_id == 5} == alone
+    assert [r.status for r in engine.checked(requests(spark, *bad, good)).orderBy("query_id").collect()] == [400, 400, 400, 200, 200]
     with pytest.raises(ValueError):
         Options(walk_speed=0)
     assert Options().merged(horizon=None, max_wait=5) == Options(max_wait=5)
 
 
+def test_search_over_graphs(spark, engine):
+    none = (None, None)
+    some = requests(spark, (1, "06:00:00", "S0", None, *none, "S4", None, *none), (2, "x", "S0", None, *none, "S4", None, *none))
+    for method in ("trip_stop_anytime", "multi_edge"):
+        got = engine.search_graph(some, method).orderBy("pos").collect()
+        assert {r.query_id for r in got} == {1} and got[0].from_stop == "S0" and got[-1].to_stop == "S4"
+        assert all(a.to_stop == b.from_stop and a.arr <= b.arr for a, b in zip(got, got[1:]))
+    with pytest.raises(ValueError):
+        engine.search_graph(some, "other")
+
+
 def test_layers(spark, engine):
     assert engine.status()["feed"] == "demo"
     lines = engine.network_lines().orderBy("rank").collect()

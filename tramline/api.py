@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import client, times
 from .plans import access, graphs, itinerary, surfaces, timetable
 from .plans.raptor import journeys, search
+from .plans.search import edge_labels, hops
 from .shared import cut
 from .sources.sinks import Catalog
 
@@ -81,7 +82,8 @@ class Engine:
         return by_id.unionByName(by_name).unionByName(near.select("query_id", "stop", "seconds"))
 
     def checked(self, requests: DataFrame) -> DataFrame:
-        """query_id, status and error of each request: 400 with what is wrong in it, else 200."""
+        """query_id, status and error of each request: 400 with what is wrong in it, else 200. A request is a row; what is wrong in one
+        does not concern the others."""
         bad = []
         for side in ("origin", "destination"):
             ident, name, lat, lon = (F.col(f"{side}_{c}") for c in ("id", "name", "lat", "lon"))
@@ -91,8 +93,10 @@ class Engine:
         return requests.select("query_id", F.when(error.isNull(), 200).otherwise(400).alias("status"), error.alias("error"))
 
     def journeys(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Steps of all options, with the walks from and to coordinates, names, colours and lines, and the options."""
+        """Steps of all options, with the walks from and to coordinates, names, colours and lines, and the options. Requests that
+        checked() finds wrong have none."""
         t, o = self.preload(), self.options
+        requests = cut(requests.join(self.checked(requests).filter("status = 200").select("query_id"), "query_id", "left_semi"), "requests")
         depart = times.time_to_seconds(F.col("depart"))
         bad = F.raise_error(F.concat(F.lit("not a time: "), F.coalesce("depart", F.lit("null")))).cast("int")
         queries = requests.select("query_id", F.coalesce(depart, bad).alias("depart"))
@@ -106,9 +110,35 @@ class Engine:
 
     def route(self, requests: DataFrame) -> DataFrame:
         """requests(query_id, depart (H:MM:SS), origin_id, origin_name, origin_lat, origin_lon, destination_...) -> one row for each
-        option, as itinerary.answers() has them, with arrival_time. A request that checked() finds wrong is an error."""
+        option, as itinerary.answers() has them, with arrival_time and status 200. A request without an option is one row
+        of nulls with its status and error: 400 and what checked() finds wrong, 404 if a name, id or place leads to no stop or
+        no way is found."""
         steps, options = self.journeys(requests)
-        return itinerary.answers(steps, options, self.options.penalty).withColumn("arrival_time", times.seconds_to_time(F.col("arrival")))
+        found = itinerary.answers(steps, options, self.options.penalty).withColumn("arrival_time", times.seconds_to_time(F.col("arrival")))
+        said = self.checked(requests).withColumnRenamed("status", "_status")
+        got = F.col("place").isNotNull()
+        return said.join(found, "query_id", "left").select("query_id", F.when(got, 200).when(F.col("_status") == 200, 404).otherwise(F.col("_status")).alias("status"), F.coalesce("error", F.when(~got, F.lit("no way was found"))).alias("error"), *[c for c in found.columns if c != "query_id"])
+
+    def search_graph(self, requests: DataFrame, method: str = "trip_stop_anytime", state_by: str = "route", change_penalty: int = 0) -> DataFrame:
+        """Hops to each request's destination by a search over edges, as search.hops() has them: over rides without clock times
+        (trip_stop_anytime) or with them (multi_edge). Ends are the first candidates of each side. Wrong requests have no hops."""
+        if method not in ("trip_stop_anytime", "multi_edge"):
+            raise ValueError("method is trip_stop_anytime or multi_edge")
+        t, o, trips = self.preload(), self.options, self.feed["trips"]
+        requests = cut(requests.join(self.checked(requests).filter("status = 200").select("query_id"), "query_id", "left_semi"), "requests")
+        timed = timetable.timed_stops(self.feed["stop_times"], self.feed["stops"])
+        pairs = timetable.consecutive(timed)
+        rides = pairs.filter("weight is not null").drop("weight").withColumn("weight", F.lit(None).cast("int"))
+        if method == "trip_stop_anytime":
+            rides = graphs.anytime_edges(pairs, trips, timetable.segment_medians(pairs, trips), timetable.headways(timed, trips))
+        walks = t["paths"].filter("is_walk")
+        moves = t["paths"].filter("not is_walk").withColumnRenamed("seconds", "weight")
+        edges = cut(graphs.search_edges(rides, trips, moves, walks), "edges")
+        first = lambda side: self._ends(requests, side).groupBy("query_id").agg(F.min(F.struct("seconds", "stop")).alias("e")).select("query_id", "e.stop", "e.seconds")
+        start = first("origin").join(requests.select("query_id", times.time_to_seconds(F.col("depart")).alias("depart")), "query_id")
+        start = cut(start.select("query_id", "stop", (F.col("depart") + F.col("seconds")).cast("int").alias("depart")), "starts")
+        goals = cut(first("destination").select("query_id", "stop"), "goals")
+        return hops(edge_labels(start, edges, goals, t["coords"], o.horizon, o.max_wait, o.penalty, change_penalty, state_by), goals)
 
     def map_layers(self, requests: DataFrame) -> DataFrame:
         """GeoJSON features of each option: query_id, round, pos, layer (ride, walk, transfer or stop), colour, feature."""

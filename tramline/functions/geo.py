@@ -95,3 +95,41 @@ def utm32_to_wgs84(easting: Column, northing: Column) -> tuple[Column, Column]:
     point = F.struct((northing / r).alias("xi"), ((easting - 500_000.0) / r).alias("eta"))
     out = _let(_let(point, conformal), placed)
     return out["lat"], out["lon"]
+
+
+def _edges(ring: Column) -> Column:
+    """array<struct<x1, y1, x2, y2>> of a ring of points with x and y, closed or not."""
+    n = F.size(ring)
+    after = lambda i: F.get(ring, F.pmod(i + 1, n))
+    return F.transform(ring, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), after(i)["x"].alias("x2"), after(i)["y"].alias("y2")))
+
+
+def widest_section(rings: Column) -> Column:
+    """struct<width, x, y>: the middle of the widest piece of a level line through an area, in it wherever it has any width;
+    null without one. rings: array of array<struct<x, y, ...>>, outlines and holes alike, closed or not.
+
+    The line lies halfway between the corners next above and below the middle of the area's height, so it meets no corner. Its crossings
+    with all edges, in order, are the ends of the pieces inside, two by two."""
+
+    def over(ys: Column) -> Column:
+        low, high = F.array_min(ys), F.array_max(ys)
+        return _let((low + high) / 2, lambda mid: _let((F.array_max(F.filter(ys, lambda y: y <= mid)) + F.array_min(F.filter(ys, lambda y: y > mid))) / 2, crossed))
+
+    def crossed(level: Column) -> Column:
+        hit = F.filter(F.flatten(F.transform(rings, _edges)), lambda e: (e["y1"] > level) != (e["y2"] > level))
+        xs = F.array_sort(F.transform(hit, lambda e: e["x1"] + (level - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+        return _let(xs, lambda at: F.aggregate(pieces(at, level), none, lambda best, p: F.when(best["width"].isNull() | (p["width"] > best["width"]), p).otherwise(best)))
+
+    def pieces(at: Column, level: Column) -> Column:
+        ids = F.filter(F.sequence(F.lit(0), F.greatest(F.size(at) - 2, F.lit(0))), lambda i: (i % 2 == 0) & (i + 1 < F.size(at)))
+        return F.transform(ids, lambda i: F.struct((F.get(at, i + 1) - F.get(at, i)).alias("width"), ((F.get(at, i) + F.get(at, i + 1)) / 2).alias("x"), level.alias("y")))
+
+    none = F.lit(None).cast("struct<width:double,x:double,y:double>")
+    return _let(F.transform(F.flatten(rings), lambda p: p["y"]), over)
+
+
+def point_on_surface(polygons: Column) -> Column:
+    """struct<width, x, y>: a point inside an area of one or more polygons (arrays of rings), that of the widest section of all;
+    of equally wide ones the first."""
+    found = F.transform(polygons, widest_section)
+    return F.aggregate(found, F.lit(None).cast("struct<width:double,x:double,y:double>"), lambda best, p: F.when(best["width"].isNull() | (p["width"] > best["width"]), p).otherwise(best))

@@ -48,13 +48,30 @@ def lower_median(values: Column) -> Column:
 
 
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], at: str, time: str, order: list[str], within: int | None = None) -> DataFrame:
-    """For each left row, the first right row of its keys with time >= at (at most `within` later); ties by `order`.
+    """For each left row, the first right row of its keys with time >= at (at most `within` later); ties by `order`. Rows that are
+    alike in all columns count once. Null keys and times match nothing.
 
-    An equi-join on the keys with a range filter, then a minimum: Spark may split skewed keys, and the minimum is partial."""
+    With a limit, right rows are gathered into sorted arrays by key and bin of `within` (each in its own bin and the one
+    before), so a left row meets one array and not its key's other rows. Without one, both sides are merged by key in order of
+    time, last first, and each left row takes what was passed last."""
     rest = [c for c in right.columns if c not in keys]
-    cond = F.col(time) >= F.col(at)
+    item = F.struct(time, *order, *[c for c in rest if c not in (time, *order)])
+    back = lambda b: [F.col(f"{b}.{c}").alias(c) for c in rest]
+    right = right.filter(F.col(time).isNotNull())
     if within is not None:
-        cond = cond & (F.col(time) <= F.col(at) + within)
-    best = F.min(F.struct(time, *order, *[c for c in rest if c not in (time, *order)])).alias("_b")
-    got = left.join(right, keys).filter(cond).groupBy(*left.columns).agg(best)
-    return got.select(*left.columns, *[F.col(f"_b.{c}").alias(c) for c in rest])
+        width = within + 1
+        bin_ = F.floor(F.col(time) / width)
+        bins = right.select(*keys, item.alias("_d"), F.explode(F.array(bin_, bin_ - 1)).alias("_bin"))
+        bins = bins.groupBy(*keys, "_bin").agg(F.array_sort(F.collect_set("_d")).alias("_deps"))
+        fits = lambda d: (d[time] >= F.col(at)) & (d[time] <= F.col(at) + within)
+        got = left.withColumn("_bin", F.floor(F.col(at) / width)).join(bins, [*keys, "_bin"])
+        got = got.withColumn("_b", F.get(F.filter("_deps", fits), F.lit(0))).filter("_b is not null")
+        return got.select(*left.columns, *back("_b"))
+    one = left.filter(F.col(at).isNotNull()).select(*keys, F.col(at).alias("_t"), F.struct(*[c for c in left.columns if c not in keys]).alias("_l"), F.lit(None).cast(right.select(item.alias("i")).schema["i"].dataType).alias("_d"))
+    two = right.select(*keys, F.col(time).alias("_t"), F.lit(None).cast(one.schema["_l"].dataType).alias("_l"), item.alias("_d"))
+    # Last first, and at one time right rows before left ones, the first of them last.
+    passed = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.col("_d").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    got = one.unionByName(two).withColumn("_b", F.last("_d", ignorenulls=True).over(passed)).filter("_l is not null and _b is not null")
+    for k in keys:
+        got = got.filter(F.col(k).isNotNull())
+    return got.select(*[F.col(c) if c in keys else F.col(f"_l.{c}").alias(c) for c in left.columns], *back("_b"))

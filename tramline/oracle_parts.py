@@ -103,6 +103,50 @@ b{i} AS MATERIALIZED (SELECT query_id, stop, active, min(t) AS t FROM (SELECT *
     return ", ".join(out)
 
 
+def edge_search(steps: int, state: str = "route", change: int = 0, penalty: int = 60, wait: int = 1200, horizon: int = 14_400) -> str:
+    """relaxed() over a table edges(ride, from_stop, to_stop, weight, headway, dep, arr, trip_id, route_id), where of the rides of one
+    route (or trip) at a label only the first to leave is taken. lab and g as in relaxed()."""
+    out = ["q AS MATERIALIZED (SELECT query_id, depart + %d AS lim, depart, a.canonical AS src, b.canonical AS dst FROM requests JOIN canon a ON a.stop_id = origin JOIN canon b ON b.stop_id = destination)" % horizon]
+    key = f"coalesce({state}_id, {'trip' if state == 'route' else 'route'}_id)"
+    out.append(f"timed_edges AS MATERIALIZED (SELECT *, {key} AS grp, dep // {wait} AS bin FROM edges WHERE ride AND dep IS NOT NULL AND arr >= dep)")
+    out.append(f"""steady AS MATERIALIZED (SELECT * FROM (SELECT *, {key} AS grp, coalesce(headway // 2, 0) AS waits, row_number() OVER (PARTITION BY from_stop, {key} ORDER BY coalesce(headway // 2, 0), weight, to_stop, trip_id) AS n
+    FROM edges WHERE ride AND dep IS NULL AND weight IS NOT NULL AND coalesce(headway // 2, 0) <= {wait}) x WHERE n = 1)""")
+    out.append(f"hopped AS MATERIALIZED (SELECT from_stop, to_stop, min(weight) + {penalty} AS cost FROM edges WHERE NOT ride AND weight IS NOT NULL GROUP BY ALL)")
+    out.append("f0 AS MATERIALIZED (SELECT query_id, src AS stop, '' AS active, depart AS t, NULL::INT AS kind, NULL::VARCHAR AS trip_id, NULL::VARCHAR AS from_stop, NULL::VARCHAR AS from_active, NULL::INT AS dep FROM q), b0 AS MATERIALIZED (SELECT query_id, stop, active, t FROM f0)")
+    on = f"d.{state}_id"
+    for i in range(1, steps + 1):
+        out.append(f"""n{i} AS (SELECT query_id, d.to_stop AS stop, {on if change else "''"} AS active, d.arr + CASE WHEN from_active <> '' AND from_active <> {on} THEN {change} ELSE 0 END AS t, 0 AS kind, d.trip_id AS trip_id, from_stop, from_active, d.dep AS dep FROM (
+    SELECT query_id, from_stop, from_active, arg_min(struct_pack(arr := arr, to_stop := to_stop, trip_id := trip_id, route_id := route_id, dep := dep), (leaves, arr, to_stop, trip_id)) AS d FROM (
+        SELECT f.query_id, f.stop AS from_stop, f.active AS from_active, e.grp, e.dep AS leaves, e.arr, e.to_stop, e.trip_id, e.route_id, e.dep
+        FROM (SELECT *, unnest([t // {wait}, t // {wait} + 1]) AS bin FROM f{i - 1}) f JOIN q USING (query_id) JOIN timed_edges e ON e.from_stop = f.stop AND e.bin = f.bin AND e.dep >= f.t AND e.dep <= f.t + {wait} WHERE f.t <= lim
+        UNION ALL SELECT f.query_id, f.stop, f.active, e.grp, f.t + waits, f.t + waits + e.weight, e.to_stop, e.trip_id, e.route_id, NULL FROM f{i - 1} f JOIN q USING (query_id) JOIN steady e ON e.from_stop = f.stop WHERE f.t <= lim) c
+    GROUP BY query_id, from_stop, from_active, grp) x
+    UNION ALL SELECT f.query_id, to_stop, '', f.t + cost, 1, NULL, f.stop, f.active, NULL FROM f{i - 1} f JOIN q USING (query_id) JOIN hopped h ON h.from_stop = f.stop WHERE f.t <= lim),
+f{i} AS MATERIALIZED (SELECT n.query_id, n.stop, n.active, n.t, n.kind, n.trip_id, n.from_stop, n.from_active, n.dep FROM (SELECT *, row_number() OVER (PARTITION BY query_id, stop, active ORDER BY t, kind, trip_id, from_stop, from_active) AS rn FROM n{i}) n
+    LEFT JOIN b{i - 1} b ON b.query_id = n.query_id AND b.stop = n.stop AND b.active = n.active WHERE rn = 1 AND (b.t IS NULL OR n.t < b.t)),
+b{i} AS MATERIALIZED (SELECT query_id, stop, active, min(t) AS t FROM (SELECT * FROM b{i - 1} UNION ALL SELECT query_id, stop, active, t FROM f{i}) u GROUP BY ALL)""")
+    out.append("lab AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS step, * FROM f{i}" for i in range(steps + 1)) + ")")
+    out.append("g AS MATERIALIZED (SELECT query_id, t, step, stop, active FROM (SELECT l.*, row_number() OVER (PARTITION BY query_id ORDER BY t, step, active) AS n FROM lab l JOIN q USING (query_id) WHERE stop = dst) x WHERE n = 1)")
+    return ", ".join(out)
+
+
+#: BLD-7's rides, after PAIRS: anytime(trip_id, route_id, from_stop, to_stop, weight, headway).
+ANYTIME = """medians AS (SELECT route_id, service_id, direction_id, from_stop, to_stop, floor(median(weight))::INT AS median_sec FROM pairs LEFT JOIN trips USING (trip_id) WHERE weight IS NOT NULL GROUP BY ALL),
+firsts AS (SELECT trip_id, arg_min(dep, seq) AS dep FROM timed GROUP BY 1), gaps AS (SELECT route_id, service_id, direction_id, dep - lag(dep) OVER (PARTITION BY route_id, service_id, direction_id ORDER BY dep, trip_id) AS gap FROM firsts LEFT JOIN trips USING (trip_id) WHERE dep IS NOT NULL),
+headways AS (SELECT route_id, service_id, direction_id, floor(median(CASE WHEN gap > 0 THEN gap END))::INT AS headway_sec FROM gaps GROUP BY ALL),
+anytime AS (SELECT p.trip_id, t.route_id, p.from_stop, p.to_stop, coalesce(median_sec, weight) AS weight, coalesce(headway_sec, 900) AS headway FROM pairs p LEFT JOIN trips t USING (trip_id)
+    LEFT JOIN medians m ON m.route_id = t.route_id AND m.service_id = t.service_id AND m.direction_id = t.direction_id AND m.from_stop = p.from_stop AND m.to_stop = p.to_stop
+    LEFT JOIN headways h ON h.route_id = t.route_id AND h.service_id = t.service_id AND h.direction_id = t.direction_id)"""
+_WALKED = "UNION ALL SELECT false, from_stop, to_stop, weight, NULL, NULL, NULL, NULL, NULL FROM moves"
+_RIDDEN = "SELECT true AS ride, from_stop, to_stop, weight, headway, NULL::INT AS dep, NULL::INT AS arr, trip_id, route_id FROM anytime"
+_TIMED = "SELECT true AS ride, from_stop, to_stop, NULL::INT AS weight, NULL::INT AS headway, dep, arr, trip_id, route_id FROM pairs LEFT JOIN trips USING (trip_id) WHERE weight IS NOT NULL"
+ODD = "substr(route_id, 2)::INT % 2 = 1"
+#: edges of edge_search(): rides without clock times; odd routes by the clock and the others without; all by the clock.
+ANYTIME_EDGES = f"edges AS MATERIALIZED ({_RIDDEN} {_WALKED})"
+MIXED_EDGES = f"edges AS MATERIALIZED ({_TIMED} AND {ODD} UNION ALL {_RIDDEN} WHERE NOT {ODD} {_WALKED})"
+TIMED_EDGES = f"edges AS MATERIALIZED ({_TIMED} {_WALKED})"
+
+
 #: The way to each goal, from relaxed(): h(query_id, pos, kind, from_stop, to_stop, trip_id, dep, arr).
 HOPS = """back AS (SELECT query_id, step, stop, active FROM g UNION ALL SELECT p.query_id, p.step - 1, l.from_stop, l.from_active FROM back p JOIN lab l ON l.query_id = p.query_id AND l.step = p.step AND l.stop = p.stop AND l.active = p.active WHERE l.from_stop IS NOT NULL),
 h AS (SELECT p.query_id, row_number() OVER (PARTITION BY p.query_id ORDER BY p.step) - 1 AS pos, CASE WHEN l.kind = 0 THEN 'trip' ELSE 'transfer' END AS kind, l.from_stop, l.stop AS to_stop, l.trip_id, l.dep, l.t AS arr

@@ -180,3 +180,17 @@ def inserted(rides: DataFrame, transfers: DataFrame) -> DataFrame:
 def synthetic(edges: DataFrame, kind: str, label: str | None = None, apply_penalty: bool = False) -> DataFrame:
     """Copies of edges as another kind, with another label, and with the penalty only if asked for."""
     return edges.withColumns({"kind": F.lit(kind), "label": F.lit(label).cast("string"), "apply_penalty": F.lit(apply_penalty)})
+
+
+def search_edges(rides: DataFrame, trips: DataFrame, transfers: DataFrame, walks: DataFrame | None = None) -> DataFrame:
+    """Rides (trip_id, from_stop, to_stop, weight, and headway or dep and arr, as far as they have them), transfers and walks as
+    the edges that search.edge_labels() takes. Penalties apply to transfers, not to walks."""
+    kinds = {"weight": "int", "headway": "int", "dep": "int", "arr": "int", "trip_id": "string", "route_id": "string", "apply_penalty": "boolean"}
+
+    def edges(df: DataFrame, kind: Column) -> DataFrame:
+        return df.select("from_stop", "to_stop", kind.alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+    ridden = rides.drop("route_id").join(trips.select("trip_id", "route_id"), "trip_id", "left")
+    timed = F.lit("ride") if "dep" not in rides.columns else F.when(F.col("dep").isNotNull() & F.col("arr").isNotNull(), "trip").otherwise("ride")
+    out = edges(ridden, timed).unionByName(edges(transfers.withColumn("apply_penalty", F.lit(True)), F.lit("transfer")))
+    return out if walks is None else out.unionByName(edges(walks.withColumns({"weight": F.col("seconds"), "apply_penalty": F.lit(False)}), F.lit("walk")))

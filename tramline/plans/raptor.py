@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import cut, drop, join_counted, kept, passing
+from .timetable import overtaken, trip_chains
 
 #: What an equal arrival is decided by, in this order: a ride before a walk, then the smaller trip, place and stop.
 PARENT = ["is_walk", "trip_id", "from_pos", "from_stop", "pos", "dep", "seconds", "foot"]
@@ -43,7 +44,8 @@ def search(queries: DataFrame, sources: DataFrame, targets: DataFrame, valid: Da
     within max_wait of the ready time (arrival there, plus the penalty after the first boarding) and the horizon. All later
     stops of those trips are reached; strict improvements are kept, then footpaths are walked to a fixpoint (one step does if
     they are closed, see station_walks()). Labels that are no earlier than the target has been reached lead to no option and
-    are left out. Trips of one pattern are taken not to overtake each other.
+    are left out. Trips of one pattern that overtake each other are parted into chains that do not (see trip_chains()), each boarded
+    as a pattern of its own, so the least arrival over all trips is found.
 
     Everything is keyed by query and stop, so a batch of queries is one job a round. Boarding is an equi-join on the stop and
     the ready time's bin of max_wait seconds, so a busy station's day is not joined with each query. Labels are written tables,
@@ -58,6 +60,9 @@ def _search(made, queries, sources, targets, valid, patterns, paths, max_rounds,
     width = max_wait or horizon
     limit = cut(queries.select("query_id", (F.col("depart") + horizon).alias("limit")), "search-limits")
     calls = cut(valid.join(patterns.select("trip_id", "pattern", "trip_index"), "trip_id").select("pattern", "trip_id", "trip_index", "pos", "stop", "arr", "dep"), "search-calls")
+    if not overtaken(calls).isEmpty():
+        chain = F.when(F.col("chain") == 0, F.col("pattern")).otherwise(F.concat_ws("#", "pattern", "chain"))
+        calls = cut(trip_chains(calls).withColumn("pattern", chain).drop("chain"), "search-calls")
     board = cut(boardings(calls, width), "search-boardings")
     foot = F.col("is_walk") if "is_walk" in paths.columns else F.lit(True)
     paths = cut(paths.select("from_stop", "to_stop", F.col("seconds").cast("int").alias("seconds"), foot.alias("foot")), "search-paths")

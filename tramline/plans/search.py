@@ -48,19 +48,43 @@ def labels(queries: DataFrame, rides: DataFrame, transfers: DataFrame, goals: Da
 
 def _labels(made, queries, rides, transfers, goals, coords, horizon, max_wait, penalty, route_penalty, max_steps) -> DataFrame:
     width = max_wait or horizon
-    limit = queries.select("query_id", (F.col("depart") + horizon).alias("limit"))
-    if goals is not None:
-        place = lambda df, a, b: df.join(coords.select("stop", F.col("lat").alias(a), F.col("lon").alias(b)), "stop", "left") if coords is not None else df.withColumns({c: F.lit(None).cast("double") for c in (a, b)})
-        limit = limit.join(place(goals.select("query_id", "stop"), "goal_lat", "goal_lon").withColumnRenamed("stop", "goal"), "query_id")
-    limit = cut(limit, "search-limits")
     for c in ("trip_id", "route_id"):
         rides = rides if c in rides.columns else rides.withColumn(c, F.lit(None).cast("string"))
     bins = cut(departure_bins(rides.filter("arr >= dep"), width), "search-rides")
     cost = F.col("weight") + F.when(F.col("apply_penalty"), penalty).otherwise(0)
     moves = cut(transfers.filter("weight is not null").groupBy("from_stop", "to_stop").agg(F.min(cost).alias("cost")), "search-moves")
+
+    def onward(at: DataFrame) -> DataFrame:
+        seen = at.withColumn("bin", F.floor(F.col("t") / width)).join(bins, ["from_stop", "bin"])
+        last = F.least(F.col("limit"), F.col("t") + max_wait) if max_wait is not None else F.col("limit")
+        seen = seen.withColumn("d", F.get(F.filter("deps", lambda d: (d["dep"] >= F.col("t")) & (d["dep"] <= last)), F.lit(0))).filter("d is not null")
+        change = F.when(F.col("from_active").isNotNull() & ~F.col("from_active").eqNullSafe(F.col("d.route_id")), route_penalty).otherwise(0)
+        on = F.col("d.route_id") if route_penalty else _none()
+        ridden = seen.select("query_id", F.col("to_stop").alias("stop"), on.alias("active"), (F.col("d.arr") + change).cast("int").alias("t"), F.lit(0).alias("kind"), F.col("d.trip_id").alias("trip_id"), "from_stop", "from_active", F.col("d.dep").alias("dep"))
+        return ridden.unionByName(_walked(at, moves))
+
+    return _settled(made, queries, onward, goals, coords, horizon, bool(route_penalty), False, max_steps)
+
+
+def _none(kind: str = "string") -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _walked(at: DataFrame, moves: DataFrame) -> DataFrame:
+    """Labels by moves(from_stop, to_stop, cost), after which one is on no route."""
+    return join_counted(at, moves, "from_stop", "inner").select("query_id", F.col("to_stop").alias("stop"), _none().alias("active"), (F.col("t") + F.col("cost")).cast("int").alias("t"), F.lit(1).alias("kind"), _none().alias("trip_id"), "from_stop", "from_active", _none("int").alias("dep"))
+
+
+def _settled(made, queries, onward, goals, coords, horizon, active: bool, late: bool, max_steps: int) -> DataFrame:
+    """Labels step by step, until none improves. onward(at): the labels one step on from labels at(query_id, from_stop, from_active,
+    t, limit). active: whether the route one is on is part of the state. late: labels after the horizon count, but are not left."""
+    limit = queries.select("query_id", (F.col("depart") + horizon).alias("limit"))
+    if goals is not None:
+        place = lambda df, a, b: df.join(coords.select("stop", F.col("lat").alias(a), F.col("lon").alias(b)), "stop", "left") if coords is not None else df.withColumns({c: _none("double") for c in (a, b)})
+        limit = limit.join(place(goals.select("query_id", "stop"), "goal_lat", "goal_lon").withColumnRenamed("stop", "goal"), "query_id")
+    limit = cut(limit, "search-limits")
     places = cut(coords.select("stop", "lat", "lon"), "search-places") if coords is not None else None
-    none = lambda t="string": F.lit(None).cast(t)
-    start = queries.select("query_id", "stop", none().alias("active"), F.col("depart").cast("int").alias("t"), none("int").alias("kind"), none().alias("trip_id"), none().alias("from_stop"), none().alias("from_active"), none("int").alias("dep")).distinct()
+    start = queries.select("query_id", "stop", _none().alias("active"), F.col("depart").cast("int").alias("t"), _none("int").alias("kind"), _none().alias("trip_id"), _none().alias("from_stop"), _none().alias("from_active"), _none("int").alias("dep")).distinct()
     steps, best, bound = [kept(cut(start.withColumn("step", F.lit(0)), "search-labels"), made)], None, None
     while True:
         front, n = steps[-1], len(steps)
@@ -69,15 +93,9 @@ def _labels(made, queries, rides, transfers, goals, coords, horizon, max_wait, p
             there = join_counted(best, limit, "query_id", "inner").filter("stop = goal").groupBy("query_id").agg(F.min("t").alias("bound"))
             bound = cut(there, "search-bounds")
         at = join_counted(front.select("query_id", F.col("stop").alias("from_stop"), F.col("active").alias("from_active"), "t"), limit, "query_id", "inner")
-        seen = at.withColumn("bin", F.floor(F.col("t") / width)).join(bins, ["from_stop", "bin"])
-        last = F.least(F.col("limit"), F.col("t") + max_wait) if max_wait is not None else F.col("limit")
-        seen = seen.withColumn("d", F.get(F.filter("deps", lambda d: (d["dep"] >= F.col("t")) & (d["dep"] <= last)), F.lit(0))).filter("d is not null")
-        change = F.when(F.col("from_active").isNotNull() & ~F.col("from_active").eqNullSafe(F.col("d.route_id")), route_penalty).otherwise(0)
-        on = F.col("d.route_id") if route_penalty else none()
-        ridden = seen.select("query_id", F.col("to_stop").alias("stop"), on.alias("active"), (F.col("d.arr") + change).cast("int").alias("t"), F.lit(0).alias("kind"), F.col("d.trip_id").alias("trip_id"), "from_stop", "from_active", F.col("d.dep").alias("dep"))
-        walked = join_counted(at, moves, "from_stop", "inner").select("query_id", F.col("to_stop").alias("stop"), none().alias("active"), (F.col("t") + F.col("cost")).cast("int").alias("t"), F.lit(1).alias("kind"), none().alias("trip_id"), "from_stop", "from_active", none("int").alias("dep"))
-        new = ridden.unionByName(walked).groupBy("query_id", "stop", "active").agg(F.min(F.struct("t", *STEP)).alias("l")).select("query_id", "stop", "active", "l.*")
-        new = join_counted(new, limit, "query_id", "inner").filter("t <= limit")
+        new = onward(at.filter("t <= limit") if late else at).groupBy("query_id", "stop", "active").agg(F.min(F.struct("t", *STEP)).alias("l")).select("query_id", "stop", "active", "l.*")
+        new = join_counted(new, limit, "query_id", "inner")
+        new = new if late else new.filter("t <= limit")
         if goals is not None:
             if places is not None:
                 new = join_counted(new, places, "stop").withColumn("t2", F.col("t") + lower_bound(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon")))
@@ -85,7 +103,7 @@ def _labels(made, queries, rides, transfers, goals, coords, horizon, max_wait, p
                 new = new.withColumn("t2", F.col("t"))
             new = join_counted(new, bound, "query_id").filter("bound is null or t2 < bound")
         old = best.select("query_id", "stop", F.col("active").alias("_active"), F.col("t").alias("_old"))
-        new = new.join(old, ["query_id", "stop"], "left") if not route_penalty else new.join(old.withColumnRenamed("query_id", "_q").withColumnRenamed("stop", "_s"), (F.col("query_id") == F.col("_q")) & (F.col("stop") == F.col("_s")) & F.col("active").eqNullSafe(F.col("_active")), "left")
+        new = new.join(old, ["query_id", "stop"], "left") if not active else new.join(old.withColumnRenamed("query_id", "_q").withColumnRenamed("stop", "_s"), (F.col("query_id") == F.col("_q")) & (F.col("stop") == F.col("_s")) & F.col("active").eqNullSafe(F.col("_active")), "left")
         new = new.filter("_old is null or t < _old").select("query_id", "stop", "active", "t", *STEP, F.lit(n).alias("step"))
         new = kept(cut(new, "search-labels"), made)
         if new.isEmpty():
@@ -95,6 +113,69 @@ def _labels(made, queries, rides, transfers, goals, coords, horizon, max_wait, p
         steps.append(new)
 
 
+def edge_labels(queries: DataFrame, edges: DataFrame, goals: DataFrame | None = None, coords: DataFrame | None = None, horizon: int = 14_400, max_wait: int | None = None, penalty: int = 0, change_penalty: int = 0, state_by: str = "route", zero_missing: bool = False, max_steps: int = 400) -> DataFrame:
+    """labels() over edges of any kind, timed or not: from_stop, to_stop, kind (trip and ride are rides, others are walked), weight,
+    headway, dep, arr, trip_id, route_id, apply_penalty.
+
+    A ride with dep and arr leaves at dep, if that is within max_wait; it is left out if it arrives before that. Any other ride
+    leaves after half its headway (rounded down, at once without one), if that is within max_wait, and takes its weight. At each
+    label, of all rides of one route (state_by "route"; of one trip with "trip"; the other one where that is unknown) only the
+    first to leave is taken, whichever stop it goes to; ties go to the earliest arrival, then stop and trip. Rides of neither
+    route nor trip are all taken. A ride on another route (trip) than the one that the label is on costs change_penalty; a
+    transfer whose penalty applies costs `penalty`, and after anything walked one is on none. Edges without a weight are left
+    out, or take no time with zero_missing. Labels after the horizon count, but are not left.
+
+    Rides that are not timed do not depend on the label's time, so the first of each group at a stop is found once, beforehand;
+    timed ones are found in bins of max_wait seconds. What a label can take is then one row a group, of which a partial minimum
+    chooses, so no label sees a stop's whole day, nor all of its targets."""
+    if state_by not in ("route", "trip"):
+        raise ValueError("state_by is route or trip")
+    if max_wait is not None and max_wait <= 0:
+        raise ValueError("max_wait must be above 0")
+    with passing(queries.sparkSession) as made:
+        return _edge_labels(made, queries, edges, goals, coords, horizon, max_wait, penalty, change_penalty, state_by, zero_missing, max_steps)
+
+
+def _edge_labels(made, queries, edges, goals, coords, horizon, max_wait, penalty, change_penalty, state_by, zero_missing, max_steps) -> DataFrame:
+    route, trip = F.concat(F.lit("route "), "route_id"), F.concat(F.lit("trip "), "trip_id")
+    alone = F.concat_ws(" ", F.lit("edge"), "to_stop", "dep", "arr", "weight", "headway")
+    group = F.coalesce(route, trip, alone) if state_by == "route" else F.coalesce(trip, route, alone)
+    rides = edges.filter("kind in ('trip', 'ride')").withColumn("grp", group)
+    weight = F.coalesce("weight", F.lit(0)) if zero_missing else F.col("weight")
+
+    timed = rides.filter("dep is not null and arr is not null and arr >= dep")
+    at = F.floor(F.col("dep") / max_wait) if max_wait else F.lit(0).cast("long")
+    item = F.struct("dep", "arr", "to_stop", "trip_id", "route_id")
+    timed = timed.select("from_stop", "grp", item.alias("d"), F.explode(F.array(at, at - 1) if max_wait else F.array(at)).alias("bin"))
+    timed = cut(timed.groupBy("from_stop", "bin", "grp").agg(F.array_sort(F.collect_set("d")).alias("deps")), "search-timed")
+
+    wait = F.when(F.col("headway") > 0, F.floor(F.col("headway") / 2)).otherwise(0).cast("int")
+    steady = rides.filter("dep is null or arr is null").select("from_stop", "grp", F.struct(wait.alias("wait"), weight.alias("ride"), "to_stop", "trip_id", "route_id").alias("d"))
+    steady = steady.filter("d.ride is not null").filter(F.col("d.wait") <= (max_wait if max_wait is not None else 1 << 30))
+    steady = cut(steady.groupBy("from_stop", "grp").agg(F.min("d").alias("d")), "search-steady")
+
+    cost = weight + F.when((F.col("kind") == "transfer") & F.coalesce("apply_penalty", F.lit(True)), penalty).otherwise(0)
+    moves = edges.filter("kind not in ('trip', 'ride')").select("from_stop", "to_stop", cost.alias("cost")).filter("cost is not null")
+    moves = cut(moves.groupBy("from_stop", "to_stop").agg(F.min("cost").alias("cost")), "search-moves")
+    on = F.col("d.route_id" if state_by == "route" else "d.trip_id")
+    told = ["query_id", "from_stop", "from_active", "grp"]
+
+    def onward(at: DataFrame) -> DataFrame:
+        bin_ = F.floor(F.col("t") / max_wait) if max_wait else F.lit(0).cast("long")
+        fits = lambda d: (d["dep"] >= F.col("t")) & (d["dep"] - F.col("t") <= max_wait if max_wait else F.lit(True))
+        seen = at.withColumn("bin", bin_).join(timed, ["from_stop", "bin"]).withColumn("d", F.get(F.filter("deps", fits), F.lit(0))).filter("d is not null")
+        chosen = lambda leaves, arrives, dep: F.struct(leaves.cast("int").alias("leaves"), arrives.cast("int").alias("arr"), F.col("d.to_stop").alias("to_stop"), F.col("d.trip_id").alias("trip_id"), F.col("d.route_id").alias("route_id"), dep.cast("int").alias("dep")).alias("d")
+        one = seen.select(*told, chosen(F.col("d.dep"), F.col("d.arr"), F.col("d.dep")))
+        left = F.col("t") + F.col("d.wait")
+        two = join_counted(at, steady, "from_stop", "inner").select(*told, chosen(left, left + F.col("d.ride"), _none("int")))
+        first = one.unionByName(two).groupBy(*told).agg(F.min("d").alias("d"))
+        other = F.col("from_active").isNotNull() & F.col("d.trip_id").isNotNull() & ~F.col("from_active").eqNullSafe(on)
+        ridden = first.select("query_id", F.col("d.to_stop").alias("stop"), (on if change_penalty else _none()).alias("active"), (F.col("d.arr") + F.when(other, change_penalty).otherwise(0)).cast("int").alias("t"), F.lit(0).alias("kind"), F.col("d.trip_id").alias("trip_id"), "from_stop", "from_active", F.col("d.dep").alias("dep"))
+        return ridden.unionByName(_walked(at, moves))
+
+    return _settled(made, queries, onward, goals, coords, horizon, bool(change_penalty), True, max_steps)
+
+
 def earliest_arrivals(queries: DataFrame, rides: DataFrame, transfers: DataFrame, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, max_steps: int = 400, **options) -> DataFrame:
     """Earliest arrival at every stop, and the hops of the way there: query_id, stop, t, hops. See labels()."""
     found = labels(queries, rides, transfers, horizon=horizon, max_wait=max_wait, penalty=penalty, max_steps=max_steps, **options)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import first_time, time_to_seconds
+from ..shared import cut, kept, passing
 
 
 def canonical_stops(stops: DataFrame) -> DataFrame:
@@ -77,6 +80,34 @@ def trip_patterns(valid: DataFrame, trips: DataFrame) -> DataFrame:
     return rows.select("trip_id", known.alias("pattern"), (F.row_number().over(w) - 1).alias("trip_index"), "route_id", "direction_id", "stops")
 
 
+def overtaken(calls: DataFrame) -> DataFrame:
+    """trip_id of the trips that at some place of their pattern leave or arrive before a trip that comes before them in the pattern's
+    order. calls(pattern, trip_id, trip_index, pos, arr, dep)."""
+    before = Window.partitionBy("pattern", "pos").orderBy("trip_index").rowsBetween(Window.unboundedPreceding, -1)
+    late = (F.col("arr") < F.max("arr").over(before)) | (F.col("dep") < F.max("dep").over(before))
+    return calls.withColumn("_late", F.coalesce(late, F.lit(False))).filter("_late").select("trip_id").distinct()
+
+
+def trip_chains(calls: DataFrame, max_chains: int = 1000) -> DataFrame:
+    """calls with `chain`, from 0: within a chain of a pattern no trip overtakes another, so the first one to leave a place is also
+    the first at every later place.
+
+    The first chain is what never falls behind any trip before it; what is left makes the next chain the same way. A round
+    is a window over the places of patterns that still have trips left, and there are as many as trips overtake one another
+    in a row."""
+    with passing(calls.sparkSession) as made:
+        calls, done, n = cut(calls, "chain-calls"), [], 0
+        while True:
+            behind = cut(overtaken(calls), "chain-behind")
+            done.append(kept(cut(calls.join(behind, "trip_id", "left_anti").withColumn("chain", F.lit(n)), "chain"), made))
+            if behind.isEmpty():
+                return reduce(DataFrame.unionByName, done)
+            n += 1
+            if n == max_chains:
+                raise ValueError(f"trips of a pattern overtake one another in more than {max_chains} chains")
+            calls = cut(calls.join(behind, "trip_id", "left_semi"), "chain-calls")
+
+
 def segment_medians(pairs: DataFrame, trips: DataFrame) -> DataFrame:
     """Median run time of each (route, service, direction, from, to); of two middle values their mean rounded down."""
     rows = pairs.filter("weight is not null").join(trips.select("trip_id", "route_id", "service_id", "direction_id"), "trip_id", "left")

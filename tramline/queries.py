@@ -12,7 +12,7 @@ from .operators.spatial import grid_pairs
 from .plans import access, graphs, itinerary, surfaces, timetable
 from .plans.adapter import tables
 from .plans.raptor import Found, best_options, journeys, search, station_walks
-from .plans.search import hops
+from .plans.search import edge_labels, hops
 from .plans.search import labels as search_labels
 from .registry import query
 from .shared import cut
@@ -254,6 +254,30 @@ def top_1_joi_5_nearest_stops_all(s: SparkSession, d: str) -> DataFrame:
     return top_1_joi_5_nearest_stops(s, d)
 
 
+#: Points all over the globe, one for each request.
+ANYWHERE = "SELECT query_id, (query_id * 37) % 1801 / 10.0E0 - 90 AS lat, (query_id * 101) % 3601 / 10.0E0 - 180 AS lon FROM"
+FAR = f"""WITH_POINTS p AS ({ANYWHERE} requests), m AS (SELECT query_id, s.stop_id, round(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)), 3) AS metres FROM p JOIN stops s ON s.stop_lat IS NOT NULL,
+    LATERAL (SELECT pow(sin(radians(s.stop_lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.stop_lat)) * pow(sin(radians(s.stop_lon - p.lon) / 2), 2) AS h) q)
+SELECT query_id, stop_id, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY metres, stop_id) AS r FROM m) z WHERE r <= """.replace("WITH_POINTS", "+")
+
+
+def _anywhere(s: SparkSession, d: str, k: int) -> DataFrame:
+    req, stops = tables(s, d, "requests", "stops")
+    points = s.sql(f"{ANYWHERE} {{req}}", req=req)
+    named = stops.select("stop_id", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+    return access.nearest(points, named, k).select("query_id", "stop_id", "rank")
+
+
+@query(f"{FAR} 1", "stops requests")
+def top_12_nearest_stop_anywhere(s: SparkSession, d: str) -> DataFrame:
+    return _anywhere(s, d, 1)
+
+
+@query(f"{FAR} 6", "stops requests")
+def top_1_nearest_stops_anywhere(s: SparkSession, d: str) -> DataFrame:
+    return _anywhere(s, d, 6)
+
+
 def _near(side: str, name: str) -> str:
     """Candidates of one end of each request, whose place is a little off its stop's: name(query_id, stop, metres, seconds, rank)."""
     return f"""{name}p AS (SELECT query_id, stop_lat + 0.0015 AS lat, stop_lon + 0.001 AS lon FROM requests JOIN stops ON stop_id = {side} WHERE stop_lat IS NOT NULL),
@@ -591,6 +615,48 @@ def _placed(s: SparkSession, d: str) -> Found:
     return search(req.select("query_id", "depart"), *ends, valid, timetable.trip_patterns(valid, trips), station_walks(cut(_paths(s, d), "paths")), 5, closed=True)
 
 
+# --- trips that overtake each other ----------------------------------------------------------------------------------
+
+#: A third of the trips takes 400 seconds more to each stop.
+SLOWED = "SELECT trip_id, pos, stop, arr + CASE WHEN DIV % 3 = 0 THEN pos * 400 ELSE 0 END AS arr, dep + CASE WHEN DIV % 3 = 0 THEN pos * 400 ELSE 0 END AS dep FROM"
+SLOW = o.VALID.replace("valid AS (", "on_time AS (") + f", valid AS ({SLOWED.replace('DIV', '(k // 50)')} on_time JOIN trips USING (trip_id))"
+#: Chains that the oracle is written out for.
+CHAINS = 12
+
+
+def _slow(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    trips = tables(s, d, "trips")[0]
+    valid = cut(s.sql(f"{SLOWED.replace('DIV', '(k div 50)')} {{valid}} JOIN {{trips}} USING (trip_id)", valid=_valid(s, d), trips=trips), "trips")
+    return valid, timetable.trip_patterns(valid, trips)
+
+
+def _chained(n: int) -> str:
+    out = ["c0 AS MATERIALIZED (SELECT v.*, pattern, trip_index FROM valid v JOIN patterns USING (trip_id))"]
+    for i in range(n):
+        out.append(f"late{i} AS MATERIALIZED (SELECT DISTINCT trip_id FROM (SELECT trip_id, arr < max(arr) OVER w OR dep < max(dep) OVER w AS late FROM c{i} WINDOW w AS (PARTITION BY pattern, pos ORDER BY trip_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x WHERE late), c{i + 1} AS MATERIALIZED (SELECT * FROM c{i} WHERE trip_id IN (SELECT trip_id FROM late{i}))")
+    return ", ".join(out) + ", chained AS (" + " UNION ALL ".join(f"SELECT {i} AS chain, pattern, trip_id FROM c{i} WHERE trip_id NOT IN (SELECT trip_id FROM late{i})" for i in range(n)) + ")"
+
+
+@query(f"+ {o.CANON}, {o.TIMED}, {o.MERGED}, {SLOW}, {o.PATTERNS}, {_chained(CHAINS)} SELECT pattern, chain, count(DISTINCT trip_id) AS trips FROM chained GROUP BY ALL", "stops stop_times trips")
+def itr_1_chains_of_overtaking_trips(s: SparkSession, d: str) -> DataFrame:
+    valid, patterns = _slow(s, d)
+    chains = timetable.trip_chains(valid.join(patterns.select("trip_id", "pattern", "trip_index"), "trip_id"))
+    return chains.groupBy("pattern", "chain").agg(F.countDistinct("trip_id").alias("trips"))
+
+
+#: The oracle boards every trip by itself, which needs no chains.
+ALONE = o.PATTERNS.replace("patterns AS (SELECT trip_id, pattern,", "patterns AS (SELECT trip_id, trip_id AS pattern,")
+
+
+@query(f"{WALKED}, {o.PATHS}, {o.TIMED}, {o.MERGED}, {SLOW}, {ALONE}, {o.rounds(4)} SELECT query_id, round, arrival::INT AS arrival FROM z", NEEDED)
+def itr_1_search_with_overtaking_trips(s: SparkSession, d: str) -> DataFrame:
+    req, stops = tables(s, d, "requests", "stops")
+    c = timetable.canonical_stops(stops)
+    at = lambda side: req.join(c, req[side] == c["stop_id"]).select("query_id", F.col("canonical").alias("stop"), F.lit(0).alias("seconds"))
+    valid, patterns = _slow(s, d)
+    return search(req.select("query_id", "depart"), at("origin"), at("destination"), valid, patterns, station_walks(cut(_paths(s, d), "paths")), 4, closed=True).options.select("query_id", "round", "arrival")
+
+
 # --- label-correcting search, itineraries, geometry, client transforms ----------------------------------------------
 
 
@@ -636,6 +702,50 @@ def itr_4_active_route_states(s: SparkSession, d: str) -> DataFrame:
     return goals.join(found, ["query_id", "stop"]).groupBy("query_id").agg(F.min("t").alias("arrival"))
 
 
+#: Steps that the oracles of the search over edges are written out for.
+EDGE_STEPS = 40
+ANYTIME = f"+ {o.CANON}, {o.TRANSFERS}, {o.TIMED}, {o.PAIRS}, {o.ANYTIME}"
+
+
+def _edge_labelled(s: SparkSession, d: str, timed: str = "none", **options) -> tuple[DataFrame, DataFrame]:
+    """Labels over edges, of which the routes named by `timed` (none, odd, all) go by the clock and the others by their headway; goals."""
+    req, stops, trips = tables(s, d, "requests", "stops", "trips")
+    c = timetable.canonical_stops(stops)
+    end = lambda side, *cols: req.join(c, req[side] == c["stop_id"]).select("query_id", F.col("canonical").alias("stop"), *cols)
+    odd = trips.filter("cast(substring(route_id, 2) as int) % 2 = 1").select("trip_id")
+    clocked = _pairs(s, d).filter("weight is not null").select("trip_id", "from_stop", "to_stop", "dep", "arr")
+    none = [F.lit(None).cast("int").alias(x) for x in ("dep", "arr")]
+    steady = bld_7_win_3_anytime_edges(s, d).select("trip_id", "from_stop", "to_stop", "weight", "headway", *none)
+    clocked = clocked.selectExpr("trip_id", "from_stop", "to_stop", "cast(null as int) weight", "cast(null as int) headway", "dep", "arr")
+    rides = {"none": lambda: steady, "all": lambda: clocked, "odd": lambda: clocked.join(odd, "trip_id", "left_semi").unionByName(steady.join(odd, "trip_id", "left_anti"))}[timed]()
+    edges = cut(graphs.search_edges(rides, trips, _moves(s, d)), "edges")
+    return edge_labels(end("origin", "depart"), edges, end("destination"), horizon=14_400, max_wait=1_200, penalty=60, **options), end("destination")
+
+
+def _goal_arrivals(found: DataFrame, goals: DataFrame) -> DataFrame:
+    return goals.join(found, ["query_id", "stop"]).groupBy("query_id").agg(F.min("t").alias("arrival"))
+
+
+@query(f"{ANYTIME}, {o.ANYTIME_EDGES}, {o.edge_search(EDGE_STEPS, 'route', 120)}, {o.HOPS} SELECT query_id, pos, kind, from_stop, to_stop, trip_id, arr FROM h", NEEDED)
+def itr_4_win_14_bld_7_anytime_search(s: SparkSession, d: str) -> DataFrame:
+    return hops(*_edge_labelled(s, d, change_penalty=120)).drop("dep")
+
+
+@query(f"{ANYTIME}, {o.MIXED_EDGES}, {o.edge_search(EDGE_STEPS, 'route', 120)}, {o.HOPS} SELECT query_id, pos, kind, from_stop, to_stop, trip_id, dep, arr FROM h", NEEDED)
+def itr_4_win_14_mixed_edge_search(s: SparkSession, d: str) -> DataFrame:
+    return hops(*_edge_labelled(s, d, "odd", change_penalty=120))
+
+
+@query(f"{ANYTIME}, {o.TIMED_EDGES}, {o.edge_search(EDGE_STEPS, 'trip')} SELECT query_id, t AS arrival FROM g", NEEDED)
+def itr_4_win_14_states_by_trip(s: SparkSession, d: str) -> DataFrame:
+    return _goal_arrivals(*_edge_labelled(s, d, "all", state_by="trip"))
+
+
+@query(f"{ANYTIME}, {o.TIMED_EDGES}, {o.edge_search(EDGE_STEPS)} SELECT query_id, t AS arrival FROM g", NEEDED)
+def win_14_first_ride_of_each_route(s: SparkSession, d: str) -> DataFrame:
+    return _goal_arrivals(*_edge_labelled(s, d, "all"))
+
+
 SEGMENTS = """SELECT o_custkey AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'trip' WHEN o_orderkey % 5 = 2 THEN 'station_link' ELSE 'transfer' END AS kind,
     CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'L' || (o_orderkey % 2) WHEN o_orderkey % 5 = 3 THEN 'walk' WHEN o_orderkey % 5 = 4 THEN 'change' END AS label, CASE WHEN o_orderkey % 5 = 2 AND o_orderkey % 2 = 0 THEN 0 WHEN o_orderkey % 17 <> 0 THEN (o_orderkey % 600)::INT END AS weight,
     o_orderkey % 5 = 4 AS apply_penalty, 'S' || o_orderkey AS from_stop, 'S' || (o_orderkey + 1) AS to_stop FROM orders"""
@@ -730,6 +840,22 @@ def agg_19_20_top_14_station_candidates(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("from_stop").alias("station"), F.col("b.stop_id").alias("nearest"), F.col("b.seconds").alias("seconds"))
 
 
+#: Outlines shaped like an L, a U and a diamond.
+OUTLINES = """SELECT k, CASE WHEN k % 3 = 0 THEN LIST(0, w, w, t, t, 0) WHEN k % 3 = 1 THEN LIST(0, w, w, w - t, w - t, t, t, 0) ELSE LIST(0, w / 2, w, w / 2) END AS xs, CASE WHEN k % 3 = 0 THEN LIST(0, 0, t, t, h, h) WHEN k % 3 = 1 THEN LIST(0, 0, h, h, t, t, h, h) ELSE LIST(h / 2, 0, h / 2, h) END AS ys
+    FROM (SELECT p_partkey AS k, CAST(1 + p_size % 3 AS DOUBLE) AS t, CAST(10 + p_size AS DOUBLE) AS w, CAST(8 + p_size % 7 AS DOUBLE) AS h FROM {part}) p"""
+
+
+@query(f"""WITH s AS ({OUTLINES.replace("LIST(", "list_value(").replace("{part}", "part")}), e AS (SELECT k, xs[i]::DOUBLE AS x1, ys[i]::DOUBLE AS y1, xs[i % len(xs) + 1]::DOUBLE AS x2, ys[i % len(xs) + 1]::DOUBLE AS y2 FROM s, LATERAL (SELECT unnest(generate_series(1, len(xs))) AS i) q),
+m AS (SELECT k, (min(y1) + max(y1)) / 2 AS mid FROM e GROUP BY 1), l AS (SELECT k, (max(y1) FILTER (y1 <= mid) + min(y1) FILTER (y1 > mid)) / 2 AS y FROM e JOIN m USING (k) GROUP BY 1),
+c AS (SELECT k, y, x, row_number() OVER (PARTITION BY k ORDER BY x) AS r FROM (SELECT k, y, x1 + (y - y1) * (x2 - x1) / (y2 - y1) AS x FROM e JOIN l USING (k) WHERE (y1 > y) <> (y2 > y)) z)
+SELECT k, round(w, 6) AS width, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT a.k, b.x - a.x AS w, (a.x + b.x) / 2 AS x, a.y, row_number() OVER (PARTITION BY a.k ORDER BY b.x - a.x DESC, a.x) AS n FROM c a JOIN c b ON b.k = a.k AND b.r = a.r + 1 AND a.r % 2 = 1) u WHERE n = 1""")
+def fun_32_point_on_surface(s: SparkSession, d: str) -> DataFrame:
+    rows = s.sql(OUTLINES.replace("LIST(", "array("), part=s.read.parquet(f"{d}/part.parquet"))
+    ring = F.transform("xs", lambda x, i: F.struct(x.cast("double").alias("x"), F.get("ys", i).cast("double").alias("y")))
+    at = rows.select("k", geo.point_on_surface(F.array(F.array(ring))).alias("p"))
+    return at.select("k", *[F.round(f"p.{c}", 6).alias(c) for c in ("width", "x", "y")])
+
+
 PICKS = "CASE WHEN p_partkey % 3 = 0 THEN 'X' || p_partkey END AS ident, CASE WHEN p_partkey % 5 <> 0 THEN 53.0E0 + p_size / 100.0E0 END AS lat, CASE WHEN p_partkey % 7 <> 0 THEN 9.0E0 + p_size / 50.0E0 END AS lon, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS name, p_size AS n"
 
 

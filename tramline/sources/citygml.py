@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import point_on_surface
 from ..functions.times import blank_to_null
 from .gtfs import listed
 
@@ -55,10 +56,8 @@ def read_release(spark: SparkSession, root: str) -> DataFrame:
 
 
 def centre(rings: Column) -> Column:
-    """Struct x, y of the corners' mean of the largest ring: a point of it wherever it is convex."""
-    most = F.element_at(F.array_sort(F.transform(rings, lambda r: F.struct(ring_area(r).alias("a"), r.alias("r")))), -1)["r"]
-    mean = lambda c: F.aggregate(F.transform(F.array_distinct(most), lambda p: p[c]), F.lit(0.0), lambda a, v: a + v) / F.size(F.array_distinct(most))
-    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+    """Struct x, y of a point in the rings' area: the middle of the widest section of all."""
+    return point_on_surface(F.transform(rings, lambda r: F.array(r)))
 
 
 def read_buildings(spark: SparkSession, path: str) -> DataFrame:
@@ -92,4 +91,5 @@ def read_buildings(spark: SparkSession, path: str) -> DataFrame:
     place = country["xAL:Locality"]
     said = {"country": country["xAL:CountryName"], "locality": place["xAL:LocalityName"], "street_name": place["xAL:Thoroughfare"]["xAL:ThoroughfareName"], "street_number": place["xAL:Thoroughfare"]["xAL:ThoroughfareNumber"], "postal_code": place["xAL:PostalCode"]["xAL:PostalCodeNumber"]}
     address = [blank_to_null(v).alias(k) for k, v in said.items()]
-    return rows.select(ident.alias("building_id"), F.regexp_extract("_file", RELEASE, 0).alias("release"), F.col("`bldg:function`").alias("function"), height.alias("height"), F.col("`bldg:storeysAboveGround`").alias("storeys"), "ground", F.coalesce(top, F.col("ground") + height).alias("roof"), area.alias("area"), ring_wkt(F.col("_base")).alias("footprint"), centre(F.col("_base"))["x"].alias("x"), centre(F.col("_base"))["y"].alias("y"), *address, attributes.alias("attributes"))
+    rows = rows.withColumn("_point", centre(F.col("_base")))
+    return rows.select(ident.alias("building_id"), F.regexp_extract("_file", RELEASE, 0).alias("release"), F.col("`bldg:function`").alias("function"), height.alias("height"), F.col("`bldg:storeysAboveGround`").alias("storeys"), "ground", F.coalesce(top, F.col("ground") + height).alias("roof"), area.alias("area"), ring_wkt(F.col("_base")).alias("footprint"), F.col("_point.x").alias("x"), F.col("_point.y").alias("y"), *address, attributes.alias("attributes"))
