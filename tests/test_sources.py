@@ -132,3 +132,73 @@ def test_streaming(spark, tmp_path):
     assert sorted(r.arrival for r in spark.read.parquet(str(out)).collect()) == [6, 7]
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert hourly_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def write_workbook(path, sheets, shared=True):
+    """A small .xlsx file; sheets: name -> {row from 1: {column letter: value}}."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    strings: list[str] = []
+
+    def cell(ref, v):
+        if isinstance(v, bool):
+            return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (int, float)):
+            return f'<c r="{ref}"><v>{v}</v></c>'
+        if not shared:
+            return f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        strings.append(v)
+        return f'<c r="{ref}" t="s"><v>{len(strings) - 1}</v></c>'
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        listed = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f"<workbook {main} {rel}><sheets>{listed}</sheets></workbook>")
+        links = "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join(f'<row r="{r}">' + "".join(cell(f"{c}{r}", v) for c, v in cells.items()) + "</row>" for r, cells in rows.items())
+            size = f'<dimension ref="A1:J{max(rows)}"/>' if shared else ""
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {main}>{size}<sheetData>{body}</sheetData></worksheet>")
+        if shared:
+            items = "".join(f"<si><t>{escape(s)}</t></si>" if k % 2 else f"<si><r><t>{escape(s[:1])}</t></r><r><t>{escape(s[1:])}</t></r><rPh><t>no</t></rPh></si>" for k, s in enumerate(strings))
+            z.writestr("xl/sharedStrings.xml", f"<sst {main}>{items}</sst>")
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_workbook_files(spark, tmp_path, shared):
+    from tramline.sources import workbook
+
+    path = str(tmp_path / "a.xlsx")
+    rows = {r: {"A": f"k{r} & <x>", "C": r, "AB": r / 4, "D": r % 2 == 0} for r in range(1, 1001) if r % 10}
+    write_workbook(path, {"one": {1: {"A": "x"}}, "two": rows}, shared)
+    assert workbook.sheet_names(path) == ["one", "two"]
+    got = workbook.read_sheet(spark, path, "two", rows=128)
+    assert got.rdd.getNumPartitions() == (8 if shared else 1)
+    found = {r.row: r.cells for r in got.collect()}
+    assert set(found) == {r - 1 for r in rows}
+    assert all(c[0] == f"k{r + 1} & <x>" and c[1] is None and c[2] == str(r + 1) and c[3] == str(r % 2 == 1).upper() and float(c[27]) == (r + 1) / 4 and len(c) == 28 for r, c in found.items())
+    assert [r.cells for r in workbook.read_sheet(spark, path).collect()] == [["x"]]
+    with pytest.raises(Exception, match="no sheet three"):
+        workbook.read_sheet(spark, path, "three").collect()
+
+
+def test_census_workbook_file(spark, tmp_path):
+    letters, names = "ABCDEFGHI", list(census.COLUMNS)
+    values = {2: ("CRS3035RES1kmN2725000E4321000", "01", "M", "t", "k", "b", 10, "[0-3]", "p"), 3: ("CRS3035RES1kmN2726000E4321000", "01", " ", "t", "k", "b", 10, "7", "p")}
+    data = {1: dict(zip(letters, names))} | {r: dict(zip(letters, v)) for r, v in values.items()}
+    for name, year in (("a", 2019), ("b", 2020)):
+        write_workbook(str(tmp_path / f"{name}.xlsx"), {"Titel": {1: {"A": "Gitter 1999"}, 16: {"A": census.YEAR_LABEL, "B": year}}, "Werte": data})
+    (tmp_path / "~a.xlsx").write_text("lock")
+    (tmp_path / "readme.txt").write_text("no workbook")
+    book = census.find_workbook(spark, str(tmp_path), 2020, "Titel")
+    assert book.endswith("b.xlsx")
+    rows = {r.northing_m: r for r in census.read_workbook(spark, book, "Titel", 2020).collect()}
+    assert rows[2725000].experimental_population is None and rows[2726000].experimental_population == 7 and rows[2726000].municipality_name is None
+    assert tuple(rows[2725000].asDict()) == census.ORDER and rows[2725000].source_sheet == "Werte" and rows[2725000].municipality_population == 10
+    with pytest.raises(ValueError, match="asked for 2018"):
+        census.read_workbook(spark, book, "Titel", 2018)
+    write_workbook(str(tmp_path / "c.xlsx"), {"Titel": {1: {"A": f"{census.YEAR_LABEL} 2021"}}, "Werte": {1: {"A": "Gitter-ID"}}})
+    with pytest.raises(ValueError, match="missing columns: AGS"):
+        census.read_workbook(spark, str(tmp_path / "c.xlsx"), "Titel")

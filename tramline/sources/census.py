@@ -1,4 +1,4 @@
-"""Census grid exports (CSV or Parquet of the workbook's data sheet)."""
+"""Census grids: workbook files, or folders of one CSV file a sheet."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import laea_to_wgs84
 from ..functions.times import blank_to_null
 from .gtfs import listed
+from .workbook import read_sheet, sheet_names
 
 # The workbook's column names.
 COLUMNS = {
@@ -34,11 +35,24 @@ RESOLUTION = 1_000
 _YEAR = r"\b((?:19|20)\d{2})\b"
 
 
-def sheets(spark: SparkSession, workbook: str) -> dict[str, str]:
-    """Sheet name -> path, in order, of a workbook that was exported as a folder of one CSV file a sheet."""
+def sheets(spark: SparkSession, workbook: str) -> dict[str, str | None]:
+    """Sheet name -> path, in order, of a workbook that was exported as a folder of one CSV file a sheet; without paths of an .xlsx
+    file."""
+    if workbook.endswith(".xlsx"):
+        return dict.fromkeys(sheet_names(workbook))
     return {n[:-4]: p for n, p, is_file in listed(spark, workbook) if is_file and n.endswith(".csv")}
 
 
+def sheet_table(spark: SparkSession, workbook: str, sheet: str) -> DataFrame:
+    """A sheet's rows below its first one, which names the columns."""
+    if not workbook.endswith(".xlsx"):
+        return spark.read.option("header", True).csv(sheets(spark, workbook)[sheet])
+    rows = read_sheet(spark, workbook, sheet)
+    head = rows.filter("row = 0").first()
+    named = [(i, n) for i, n in enumerate(head["cells"] if head else []) if n is not None]
+    return rows.filter("row > 0").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in named])
+
+
 def data_sheet(names: list[str], title: str) -> str:
     """The first sheet that is not the title sheet."""
     for name in names:
@@ -58,19 +72,22 @@ def sheet_year(title: DataFrame) -> int | None:
 
 
 def workbook_year(spark: SparkSession, workbook: str, title: str) -> int:
-    path = sheets(spark, workbook).get(title)
-    rows = path and spark.read.option("header", False).csv(path).withColumn("row", F.monotonically_increasing_id())
-    year = rows and sheet_year(rows.select("row", F.array_compact(F.array(*[c for c in rows.columns if c != "row"])).alias("cells")))
+    named, year = sheets(spark, workbook), None
+    if title in named and workbook.endswith(".xlsx"):
+        year = sheet_year(read_sheet(spark, workbook, title))
+    elif title in named:
+        rows = spark.read.option("header", False).csv(named[title]).withColumn("row", F.monotonically_increasing_id())
+        year = sheet_year(rows.select("row", F.array_compact(F.array(*[c for c in rows.columns if c != "row"])).alias("cells")))
     if not year:
         raise ValueError(f"no year is given in {workbook}")
     return year
 
 
 def find_workbook(spark: SparkSession, root: str, dataset_year: int, title: str) -> str:
-    """The only workbook of the year in root's folders; those that name no year are passed over."""
+    """The only workbook of the year in root: an .xlsx file or a folder; those that name no year are passed over."""
     found = []
-    for _, path, is_file in listed(spark, root):
-        if not is_file:
+    for name, path, is_file in listed(spark, root):
+        if not is_file or name.endswith(".xlsx") and not name.startswith("~"):
             try:
                 found += [path] if workbook_year(spark, path, title) == dataset_year else []
             except ValueError:
@@ -87,7 +104,7 @@ def read_workbook(spark: SparkSession, workbook: str, title: str, dataset_year:
         raise ValueError(f"asked for {dataset_year}, but {workbook} is of {year}")
     names = sheets(spark, workbook)
     sheet = data_sheet(list(names), title)
-    return census_grid(spark.read.option("header", True).csv(names[sheet]), year, workbook, sheet)
+    return census_grid(sheet_table(spark, workbook, sheet), year, workbook, sheet)
 
 
 def census_grid(sheet: DataFrame, dataset_year: int, source_path: str | None = None, source_sheet: str | None = None) -> DataFrame:
