@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import point_on_surface
+from ..functions.overlay import united_rings
 from ..functions.times import blank_to_null
+from ..shared import importable
 from .gtfs import listed
 
 RELEASE = r"LoD1-DE_HH_(\d{4}-\d{2}-\d{2})"
@@ -35,11 +37,18 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + x)) / 2
 
 
-def ring_wkt(rings: Column) -> Column:
-    """MULTIPOLYGON of one polygon for each ring."""
+def polygons_area(polygons: Column) -> Column:
+    """Area of polygons (outline, then holes)."""
+    own = lambda p: F.aggregate(F.transform(p, lambda r, i: F.when(i == 0, ring_area(r)).otherwise(-ring_area(r))), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.transform(polygons, own), F.lit(0.0), lambda a, x: a + x)
+
+
+def polygons_wkt(polygons: Column) -> Column:
+    """MULTIPOLYGON of polygons (outline, then holes)."""
     point = lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))
-    closed = lambda r: F.when(F.get(r, 0) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
-    return F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(rings, lambda r: F.concat(F.lit("(("), F.array_join(F.transform(closed(r), point), ", "), F.lit("))"))), ", "), F.lit(")"))
+    ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(F.concat(r, F.slice(r, 1, 1)), point), ", "), F.lit(")"))
+    one = lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, ring), ", "), F.lit(")"))
+    return F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(polygons, one), ", "), F.lit(")"))
 
 
 def release_folder(spark: SparkSession, root: str) -> str:
@@ -55,19 +64,16 @@ def read_release(spark: SparkSession, root: str) -> DataFrame:
     return read_buildings(spark, f"{release_folder(spark, root)}/*.xml")
 
 
-def centre(rings: Column) -> Column:
-    """Struct x, y of a point in the rings' area: the middle of the widest section of all."""
-    return point_on_surface(F.transform(rings, lambda r: F.array(r)))
-
-
 def read_buildings(spark: SparkSession, path: str) -> DataFrame:
     """building_id, release, function, height, storeys, ground, roof, area, footprint (WKT), x, y (a point of it), country,
     locality, street_name, street_number, postal_code, attributes of each building.
 
     The footprint is the terrain intersection's closed lines, else the solid's lowest level faces; ground is the footprint's
     least height, roof the solid's greatest one, else ground and height. A building without an id or a footprint is an error.
-    Rings are taken as they are: overlapping ones are not united and broken ones not repaired; rings of fewer than three
-    corners or no area are left out. Blank address fields are null."""
+    A footprint's rings are united, and one that crosses itself is repaired (see overlay.united()); rings of fewer than three
+    corners or no area are left out. x and y are the middle of the footprint's widest section, so they lie in it. Blank
+    address fields are null."""
+    importable(spark)
     rows = spark.read.option("rowTag", "bldg:Building").schema(SCHEMA).xml(path).withColumn("_file", F.input_file_name())
     members = F.col("`bldg:lod1Solid`.`gml:Solid`.`gml:exterior`.`gml:CompositeSurface`.`gml:surfaceMember`")
     faces = F.transform(members, lambda m: points(m["gml:Polygon"]["gml:exterior"]["gml:LinearRing"]["gml:posList"]))
@@ -77,19 +83,19 @@ def read_buildings(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("_level", level).withColumn("_low", F.array_min(F.transform("_level", lambda f: F.array_min(z(f)))))
     base = F.filter("_level", lambda f: (F.array_min(z(f)) - F.col("_low") <= LEVEL) & (ring_area(f) > 0))
     lines = F.transform("`bldg:lod1TerrainIntersection`.`gml:MultiCurve`.`gml:curveMember`", lambda m: points(m["gml:LineString"]["gml:posList"]))
-    rings = F.filter(F.coalesce(lines, F.array().cast("array<array<struct<x:double,y:double,z:double>>>")), lambda r: (F.size(F.array_distinct(F.transform(r, lambda p: F.struct(p["x"], p["y"])))) >= 3) & (ring_area(r) > 0))
+    rings = F.filter(F.coalesce(lines, F.array().cast("array<array<struct<x:double,y:double,z:double>>>")), lambda r: (F.size(F.array_distinct(F.transform(r, lambda p: F.struct(p["x"], p["y"])))) >= 3))
     rows = rows.withColumn("_terrain", rings).withColumn("_base", F.when(F.size("_terrain") > 0, F.col("_terrain")).otherwise(base))
     rows = rows.withColumn("ground", F.array_min(F.transform("_base", lambda f: F.array_min(z(f)))))
     ok = F.col("`_gml:id`").isNotNull() & (F.size("_base") > 0)
     ident = F.when(ok, F.col("`_gml:id`")).otherwise(F.raise_error(F.concat(F.lit("building without id or footprint: "), F.coalesce("`_gml:id`", F.lit("?")))))
     height = F.col("`bldg:measuredHeight`._VALUE")
     top = F.array_max(F.transform("_faces", lambda f: F.array_max(z(f))))
-    area = F.aggregate(F.transform("_base", ring_area), F.lit(0.0), lambda a, x: a + x)
     named = F.filter(F.coalesce(F.col("`gen:stringAttribute`"), F.array().cast("array<struct<_name:string,`gen:value`:string>>")), lambda a: F.trim(a["_name"]) != "")
     attributes = F.map_from_entries(F.transform(named, lambda a: F.struct(a["_name"].alias("k"), a["gen:value"].alias("v"))))
     country = F.col("`bldg:address`.`core:Address`.`core:xalAddress`.`xAL:AddressDetails`.`xAL:Country`")
     place = country["xAL:Locality"]
     said = {"country": country["xAL:CountryName"], "locality": place["xAL:LocalityName"], "street_name": place["xAL:Thoroughfare"]["xAL:ThoroughfareName"], "street_number": place["xAL:Thoroughfare"]["xAL:ThoroughfareNumber"], "postal_code": place["xAL:PostalCode"]["xAL:PostalCodeNumber"]}
     address = [blank_to_null(v).alias(k) for k, v in said.items()]
-    rows = rows.withColumn("_point", centre(F.col("_base")))
-    return rows.select(ident.alias("building_id"), F.regexp_extract("_file", RELEASE, 0).alias("release"), F.col("`bldg:function`").alias("function"), height.alias("height"), F.col("`bldg:storeysAboveGround`").alias("storeys"), "ground", F.coalesce(top, F.col("ground") + height).alias("roof"), area.alias("area"), ring_wkt(F.col("_base")).alias("footprint"), F.col("_point.x").alias("x"), F.col("_point.y").alias("y"), *address, attributes.alias("attributes"))
+    rows = rows.withColumn("_area", united_rings(F.col("_base")))
+    rows = rows.withColumn("_point", point_on_surface(F.col("_area")))
+    return rows.select(ident.alias("building_id"), F.regexp_extract("_file", RELEASE, 0).alias("release"), F.col("`bldg:function`").alias("function"), height.alias("height"), F.col("`bldg:storeysAboveGround`").alias("storeys"), "ground", F.coalesce(top, F.col("ground") + height).alias("roof"), polygons_area(F.col("_area")).alias("area"), polygons_wkt(F.col("_area")).alias("footprint"), F.col("_point.x").alias("x"), F.col("_point.y").alias("y"), *address, attributes.alias("attributes"))
