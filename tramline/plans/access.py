@@ -112,11 +112,17 @@ def _opened(points: DataFrame, stops: DataFrame, k: int, side: float) -> tuple[D
     return opened.select("query_id", "cube"), held
 
 
+def near_stops(points: DataFrame, stops: DataFrame, k: int = 24, metres: float = 500, speed: float = 0.7) -> DataFrame:
+    """stops(stop_id, canonical, lat, lon) -> query_id, stop_id, stop (station), metres, seconds: the k nearest stops within reach."""
+    rows = within(points, stops, metres).withColumn("metres", F.round("metres", 3))
+    some = top_by(rows, ["query_id"], [F.col("metres"), F.col("stop_id")], k, "_r")
+    return some.select("query_id", "stop_id", F.col("canonical").alias("stop"), "metres", walk_seconds(F.col("metres"), F.lit(speed)).alias("seconds"))
+
+
 def candidates(points: DataFrame, stops: DataFrame, k: int = 6, metres: float = 500, speed: float = 0.7) -> DataFrame:
     """stops(stop_id, canonical, lat, lon) -> query_id, stop (station), metres, seconds, rank: of the 4 k nearest stops the nearest
     one of each station, k of them."""
-    rows = within(points, stops, metres).withColumn("metres", F.round("metres", 3))
-    some = top_by(rows, ["query_id"], [F.col("metres"), F.col("stop_id")], 4 * k, "_r")
-    best = some.groupBy("query_id", F.col("canonical").alias("stop")).agg(F.min("metres").alias("metres"))
+    some = near_stops(points, stops, 4 * k, metres, speed)
+    best = some.groupBy("query_id", "stop").agg(F.min("metres").alias("metres"))
     first = top_by(best, ["query_id"], [F.col("metres"), F.col("stop")], k)
     return first.withColumn("seconds", walk_seconds(F.col("metres"), F.lit(speed)))

@@ -146,6 +146,24 @@ def stitched(steps: DataFrame, options: DataFrame, starts: DataFrame, ends: Data
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy("pos")) - 1)
 
 
+def chosen_candidates(steps: DataFrame, options: DataFrame, origins: DataFrame, destinations: DataFrame) -> DataFrame:
+    """Which candidate each option begins and ends with: query_id, round, from_stop_id, to_stop_id, access, egress (seconds of the walks).
+
+    steps: journeys() without the walks from and to coordinates; origins, destinations(query_id, stop_id, stop (station),
+    seconds): candidates, of which a station may have several. The candidate is the nearest one of the station where the
+    option's first step begins (its last one ends); for an option without steps, or whose station has none, the nearest of
+    all. Ties go to the smaller stop_id."""
+    key = ["query_id", "round"]
+    bounds = steps.groupBy(*key).agg(F.min_by("from_stop", "pos").alias("first"), F.max_by("to_stop", "pos").alias("last"))
+    rows = options.select(*key).join(bounds, key, "left")
+    nearest = F.min(F.struct("seconds", "stop_id"))
+    for side, of, place in (("from", origins, "first"), ("to", destinations, "last")):
+        own = of.groupBy("query_id", F.col("stop").alias(place)).agg(nearest.alias(f"_{side}"))
+        rows = rows.join(own, ["query_id", place], "left").join(of.groupBy("query_id").agg(nearest.alias(f"_any_{side}")), "query_id", "left")
+    best = lambda side: F.coalesce(f"_{side}", f"_any_{side}")
+    return rows.select(*key, best("from")["stop_id"].alias("from_stop_id"), best("to")["stop_id"].alias("to_stop_id"), best("from")["seconds"].alias("access"), best("to")["seconds"].alias("egress"))
+
+
 def without_terminals(steps: DataFrame, origin: str = "__origin__", destination: str = "__destination__") -> DataFrame:
     """Steps between stops alone."""
     rows = steps.filter((F.col("from_stop") != origin) & (F.col("to_stop") != destination))

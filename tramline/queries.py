@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle_parts as o
-from .functions import client, geo, lines, times
+from .functions import client, geo, lines, overlay, times
 from .operators.ordered import asof_forward, top_by
 from .operators.spatial import grid_pairs
 from .plans import access, graphs, itinerary, surfaces, timetable
@@ -15,7 +15,8 @@ from .plans.raptor import Found, best_options, journeys, search, station_walks
 from .plans.search import edge_labels, hops
 from .plans.search import labels as search_labels
 from .registry import query
-from .shared import cut
+from .shared import cut, importable
+from .sources import citygml
 
 RELEASE = "LoD1-DE_HH_2023-04-01"
 #: Boardings of a search, as in the reference.
@@ -293,10 +294,14 @@ def top_3_12_agg_19_fun_8_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(s: SparkSession, d: str, side: str) -> DataFrame:
+    return access.candidates(*_points(s, d, side), 6, 900).select("query_id", "stop", "metres", "seconds", "rank")
+
+
+def _points(s: SparkSession, d: str, side: str) -> tuple[DataFrame, DataFrame]:
+    """The place of one end of each request, and all stops."""
     req, stops = tables(s, d, "requests", "stops")
     at = req.join(stops.select(F.col("stop_id").alias(side), "stop_lat", "stop_lon"), side).select("query_id", (F.col("stop_lat") + 0.0015).alias("lat"), (F.col("stop_lon") + 0.001).alias("lon"))
-    named = stops.join(timetable.canonical_stops(stops), "stop_id").select("stop_id", "canonical", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
-    return access.candidates(at, named, 6, 900).select("query_id", "stop", "metres", "seconds", "rank")
+    return at, stops.join(timetable.canonical_stops(stops), "stop_id").select("stop_id", "canonical", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
 
 
 @query(f"{PAIRED} SELECT r.query_id, p.to_stop, min(p.dep) AS dep FROM requests r JOIN canon c ON c.stop_id = r.origin JOIN pairs p ON p.from_stop = c.canonical AND p.weight IS NOT NULL AND p.dep >= r.depart AND p.dep <= r.depart + 1200 GROUP BY ALL", "stops stop_times requests")
@@ -608,6 +613,21 @@ def itr_10_without_terminals(s: SparkSession, d: str) -> DataFrame:
     return itinerary.without_terminals(itinerary.stitched(journeys(found), found.options, found.starts, found.ends)).select("query_id", "round", "pos", "from_stop", "to_stop")
 
 
+def _side(name: str) -> str:
+    """Of candidate stops {name}t: the nearest of each station, and of all."""
+    sec = "greatest(0, round_even(metres / 0.7::DOUBLE, 0)::INT)"
+    return f"""{name}a AS (SELECT query_id, canonical, min(struct_pack(sec := {sec}, id := stop_id)) AS b FROM {name}t GROUP BY ALL), {name}b AS (SELECT query_id, min(struct_pack(sec := {sec}, id := stop_id)) AS b FROM {name}t GROUP BY ALL)"""
+
+
+@query(f"""{PLACED}, {o.JOURNEYS}, s AS (SELECT query_id, round, arg_min(from_stop, pos) AS first, arg_max(to_stop, pos) AS last FROM j GROUP BY ALL), {_side("starts")}, {_side("away")}
+SELECT z.query_id, z.round, coalesce(a.b.id, a0.b.id) AS from_stop_id, coalesce(b.b.id, b0.b.id) AS to_stop_id, coalesce(a.b.sec, a0.b.sec)::INT AS access, coalesce(b.b.sec, b0.b.sec)::INT AS egress FROM z LEFT JOIN s ON s.query_id = z.query_id AND s.round = z.round
+LEFT JOIN startsa a ON a.query_id = z.query_id AND a.canonical = first LEFT JOIN startsb a0 ON a0.query_id = z.query_id LEFT JOIN awaya b ON b.query_id = z.query_id AND b.canonical = last LEFT JOIN awayb b0 ON b0.query_id = z.query_id""", NEEDED)
+def top_13_chosen_candidates(s: SparkSession, d: str) -> DataFrame:
+    found = _placed(s, d)
+    sides = [access.near_stops(*_points(s, d, side), 24, 900) for side in ("origin", "destination")]
+    return itinerary.chosen_candidates(journeys(found), found.options, *sides)
+
+
 def _placed(s: SparkSession, d: str) -> Found:
     req, trips = tables(s, d, "requests", "trips")
     ends = [_candidates(s, d, side).select("query_id", "stop", "seconds") for side in ("origin", "destination")]
@@ -856,6 +876,20 @@ def fun_32_point_on_surface(s: SparkSession, d: str) -> DataFrame:
     return at.select("k", *[F.round(f"p.{c}", 6).alias(c) for c in ("width", "x", "y")])
 
 
+#: Two rectangles for each part, which may overlap, touch or lie apart.
+TWO = "SELECT p_partkey AS k, CAST(4 + p_size % 6 AS DOUBLE) AS w, CAST(3 + p_size % 5 AS DOUBLE) AS h, CAST(p_partkey % 13 AS DOUBLE) AS x, CAST(p_partkey % 11 - 2 AS DOUBLE) AS y, CAST(2 + p_partkey % 7 AS DOUBLE) AS w2, CAST(1 + p_partkey % 6 AS DOUBLE) AS h2 FROM {part}"
+
+
+@query(f"SELECT k, w * h + w2 * h2 - greatest(0, least(w, x + w2) - greatest(0, x)) * greatest(0, least(h, y + h2) - greatest(0, y)) AS area FROM ({TWO.replace('{part}', 'part')}) t")
+def fun_25_26_27_united_footprints(s: SparkSession, d: str) -> DataFrame:
+    rows = s.sql(TWO, part=s.read.parquet(f"{d}/part.parquet"))
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    box = lambda x, y, w, h: F.array(corner(x, y), corner(x + w, y), corner(x + w, y + h), corner(x, y + h))
+    zero, c = F.lit(0.0), F.col
+    importable(s)
+    return rows.select("k", citygml.polygons_area(overlay.united_rings(F.array(box(zero, zero, c("w"), c("h")), box(c("x"), c("y"), c("w2"), c("h2"))))).alias("area"))
+
+
 PICKS = "CASE WHEN p_partkey % 3 = 0 THEN 'X' || p_partkey END AS ident, CASE WHEN p_partkey % 5 <> 0 THEN 53.0E0 + p_size / 100.0E0 END AS lat, CASE WHEN p_partkey % 7 <> 0 THEN 9.0E0 + p_size / 50.0E0 END AS lon, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS name, p_size AS n"
 
 
