@@ -202,3 +202,43 @@ def test_census_workbook_file(spark, tmp_path):
     write_workbook(str(tmp_path / "c.xlsx"), {"Titel": {1: {"A": f"{census.YEAR_LABEL} 2021"}}, "Werte": {1: {"A": "Gitter-ID"}}})
     with pytest.raises(ValueError, match="missing columns: AGS"):
         census.read_workbook(spark, str(tmp_path / "c.xlsx"), "Titel")
+
+
+def test_catalogue_finds_only_whole_entries_of_what_is_asked_for(spark, tmp_path, caplog):
+    import json
+    from pathlib import Path
+
+    built = []
+
+    def build(n):
+        built.append(n)
+        return lambda: spark.range(n).selectExpr("id", "cast(null as string) as note")
+
+    options = {"metres": 500, "speed": 0.7}
+    one = sinks.Catalog(spark, str(tmp_path))
+    get = lambda c, n, **o: c.get_or_build("walks", "f", options, build(n), **o)
+    caplog.set_level("INFO", "tramline.sources.sinks")
+    assert get(one, 10).count() == 10 and get(one, 11).count() == 10
+    assert "written as entry 1, 10 rows" in caplog.text and "read from entry 1, 10 rows" in caplog.text
+    assert one.get_or_build("walks", "f", {**options, "speed": 1.4}, build(3)).count() == 3
+    # Another version of the library does not take the table, and the first one still does.
+    two = sinks.Catalog(spark, str(tmp_path), "2")
+    assert get(two, 20).count() == 20 and get(one, 21).count() == 10 and get(two, 22).count() == 20
+    assert "another version" in caplog.text
+    # A rebuild leaves what is being read.
+    before = get(one, 0)
+    assert get(one, 30, rebuild=True).count() == 30 and before.count() == 10 and get(one, 31).count() == 30
+    # Damage is a miss: a truncated file, then an unreadable manifest, then a table without one.
+    folder = Path(one.path("walks", "f", options))
+    said = json.loads((folder / "manifest-3.json").read_text())
+    part = folder / said["data"] / max(said["files"])
+    part.write_bytes(part.read_bytes()[:-7])
+    assert get(one, 40).count() == 10  # the entry before it is whole
+    (folder / "manifest-1.json").write_text("{")
+    for crc in folder.glob(".manifest-1.json.crc"):
+        crc.unlink()
+    assert get(one, 41).count() == 41 and "not whole" in caplog.text and "cannot be read" in caplog.text
+    spark.range(5).write.parquet(str(folder / "data-lost"))
+    assert get(one, 42).count() == 41
+    assert one.vacuum("walks", "f", options) == 4 and get(one, 43).count() == 41
+    assert [p.name for p in folder.glob("data-*") if p.is_dir()] == [json.loads((folder / "manifest-4.json").read_text())["data"]]
