@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .times import time_to_seconds
+from .times import blank_to_null, time_to_seconds
 
 METRES_A_DEGREE = 111_320.0
 
@@ -76,3 +76,34 @@ def leg_key(trip: Column, route: Column, label: Column, from_stop: Column, to_st
 
 def popup(density: Column, estimate: Column) -> Column:
     return F.concat(F.format_number(F.rint(density), 0), F.lit(" / "), F.format_number(F.rint(estimate), 0))
+
+
+def duration_words(seconds: Column) -> Column:
+    """A way's time as a client shows it: < 1 min, minutes, or hours and minutes."""
+    minutes = F.rint(seconds / 60).cast("int")
+    return F.when(seconds < 60, "< 1 min").when(seconds < 3600, F.concat(minutes.cast("string"), F.lit(" min"))).otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit(" hr "), (minutes % 60).cast("string"), F.lit(" min")))
+
+
+def legend_position(value: Column, most: Column) -> Column:
+    """Place of a value on a legend, in percent of the greatest one."""
+    return F.when(most != 0, 100.0 * value / most)
+
+
+def numeric(text: Column) -> Column:
+    """Whether a text is a number, blanks around it aside."""
+    return blank_to_null(text).try_cast("double").isNotNull()
+
+
+def title(name: Column) -> Column:
+    """A name in underscores as words with capitals."""
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def number_or_null(x: Column) -> Column:
+    """x, but null where it is not a number."""
+    return F.nanvl(x, F.lit(None).cast("double"))
+
+
+def placed(value: Column, default: float) -> Column:
+    """A coordinate, or the map's where it is unknown."""
+    return F.coalesce(value, F.lit(default))

@@ -194,3 +194,24 @@ def search_edges(rides: DataFrame, trips: DataFrame, transfers: DataFrame, walks
     timed = F.lit("ride") if "dep" not in rides.columns else F.when(F.col("dep").isNotNull() & F.col("arr").isNotNull(), "trip").otherwise("ride")
     out = edges(ridden, timed).unionByName(edges(transfers.withColumn("apply_penalty", F.lit(True)), F.lit("transfer")))
     return out if walks is None else out.unionByName(edges(walks.withColumns({"weight": F.col("seconds"), "apply_penalty": F.lit(False)}), F.lit("walk")))
+
+
+def adjacency(stops: DataFrame, pairs: DataFrame, transfers: DataFrame) -> DataFrame:
+    """stop, rides, buckets (stops that they go to) and moves that leave each stop; 0 where there are none."""
+    rides = pairs.filter("weight is not null").groupBy(F.col("from_stop").alias("stop")).agg(F.count("*").alias("rides"), F.countDistinct("to_stop").alias("buckets"))
+    moves = transfers.groupBy(F.col("from_stop").alias("stop")).agg(F.count("*").alias("moves"))
+    return stops.select("stop").distinct().join(rides, "stop", "left").join(moves, "stop", "left").fillna(0, ["rides", "buckets", "moves"])
+
+
+def graph_counts(edges: DataFrame) -> DataFrame:
+    """One row: nodes and edges of an edge table (from_stop, to_stop, kind)."""
+    ends = edges.select(F.col("from_stop").alias("n")).union(edges.select("to_stop"))
+    kinds = edges.groupBy("kind").count()
+    return ends.agg(F.countDistinct("n").alias("nodes")).crossJoin(kinds.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("edges"), F.count("*").alias("kinds")))
+
+
+def first_children(stops: DataFrame, paths: DataFrame) -> DataFrame:
+    """station, nearest, seconds: of each station's stops the one that paths from the station reach first; ties by stop_id."""
+    rows = stops.filter("parent_station <> ''").select("stop_id", F.col("parent_station").alias("from_stop")).join(paths, "from_stop")
+    rows = rows.groupBy("from_stop").agg(F.min(F.struct("seconds", "stop_id")).alias("b"))
+    return rows.select(F.col("from_stop").alias("station"), F.col("b.stop_id").alias("nearest"), F.col("b.seconds").alias("seconds"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import laea_to_wgs84, short_distance, utm32_to_wgs84
@@ -53,13 +53,34 @@ def network_lines(routes: DataFrame, trips: DataFrame, points: DataFrame) -> Dat
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(family_rank(F.col("family")), "line")))
 
 
+def population_estimate(raw: Column) -> Column:
+    """A cell's number of people: the number given, the middle of a masked [0-3], else null."""
+    text = blank_to_null(raw)
+    return F.coalesce(text.try_cast("double"), F.when(text == "[0-3]", 1.5))
+
+
+def cell_corner(grid_id: Column) -> tuple[Column, Column]:
+    """Northing and easting of a grid id's end, N<digits>E<digits>; null without one."""
+    part = lambda i: F.regexp_extract(grid_id, r"N(\d+)E(\d+)$", i).try_cast("long")
+    return part(1), part(2)
+
+
+def storeys_of(storeys: Column, height: Column, storey_height: float = 3.2) -> Column:
+    """Storeys as given, else height over storey_height, else 1; 1 at least."""
+    return F.greatest(F.lit(1.0), F.coalesce(F.when(storeys > 0, storeys.cast("double")), F.rint(height / storey_height), F.lit(1.0)))
+
+
+def snapped(metres: Column, resolution: int) -> Column:
+    """The edge of the grid cell that a coordinate lies in."""
+    return (F.floor(metres / resolution) * resolution).cast("int")
+
+
 def population_cells(cells: DataFrame, year: int, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Cells of a year with a positive estimate: grid_id, lat, lon (centre), estimate, ring. '[0-3]' is estimated as 1.5.
 
     bounds: min_lat, min_lon, max_lat, max_lon of the centre, inclusive."""
-    raw = blank_to_null(F.col("population_raw"))
-    est = F.coalesce(raw.try_cast("double"), F.when(raw == "[0-3]", 1.5))
-    n, e = (F.regexp_extract("grid_id", r"N(\d+)E(\d+)$", i).try_cast("double") for i in (1, 2))
+    est = population_estimate(F.col("population_raw"))
+    n, e = (c.cast("double") for c in cell_corner(F.col("grid_id")))
     rows = cells.filter(F.col("dataset_year") == year).select("grid_id", est.alias("estimate"), n.alias("_n"), e.alias("_e")).filter("estimate > 0 and _n is not null")
     lat, lon = laea_to_wgs84(F.col("_e") + 500, F.col("_n") + 500)
     rows = rows.withColumn("lat", lat).withColumn("lon", lon)
@@ -82,8 +103,8 @@ def floor_space_grid(buildings: DataFrame, release: str, resolution: int = 100,
     if min(resolution, population, storey_height) <= 0:
         raise ValueError("resolution, population and storey height must be above 0")
     area = F.col("w") * F.col("d") * 1.0
-    storeys = F.greatest(F.lit(1.0), F.coalesce(F.when(F.col("storeys") > 0, F.col("storeys").cast("double")), F.rint(F.col("height") / storey_height), F.lit(1.0)))
-    snap = lambda c: (F.floor(c / resolution) * resolution).cast("int")
+    storeys = storeys_of(F.col("storeys"), F.col("height"), storey_height)
+    snap = lambda c: snapped(c, resolution)
     rows = buildings.filter(F.col("release") == release).select(snap(F.col("x") + F.col("w") / 2).alias("easting"), snap(F.col("y") + F.col("d") / 2).alias("northing"), area.alias("a"), (area * storeys).alias("f"))
     cells = rows.groupBy("easting", "northing").agg(F.count("*").alias("n"), F.sum("a").alias("footprint"), F.sum("f").alias("floor_space"))
     total = cells.agg(F.coalesce(F.sum("floor_space"), F.lit(0.0)).alias("_t"))

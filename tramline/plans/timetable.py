@@ -23,6 +23,11 @@ def canonical_coordinates(stops: DataFrame) -> DataFrame:
     return located.groupBy("canonical").agg(first).select("canonical", F.col("f.stop_lat").alias("lat"), F.col("f.stop_lon").alias("lon"))
 
 
+def bounds(stops: DataFrame) -> DataFrame:
+    """One row: west, south, east, north of the stops' coordinates, and n, the number of different stops."""
+    return stops.agg(F.min("stop_lon").alias("west"), F.min("stop_lat").alias("south"), F.max("stop_lon").alias("east"), F.max("stop_lat").alias("north"), F.countDistinct("stop_id").alias("n"))
+
+
 def timed_stops(stop_times: DataFrame, stops: DataFrame) -> DataFrame:
     """Rows with both ids: trip_id, seq, stop (canonical), arr, dep (seconds, each standing in for the other if empty)."""
     rows = stop_times.filter("trip_id is not null and trip_id <> '' and stop_id is not null and stop_id <> ''")

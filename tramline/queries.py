@@ -148,16 +148,14 @@ def fun_12_stable_hash(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT grid_id, dataset_year, municipality, try_cast(regexp_extract(grid_id, 'N(\\d+)E(\\d+)$', 1) AS BIGINT) AS northing, try_cast(regexp_extract(grid_id, 'N(\\d+)E(\\d+)$', 2) AS BIGINT) AS easting, coalesce(try_cast(nullif(trim(population_raw), '') AS DOUBLE), CASE WHEN trim(population_raw) = '[0-3]' THEN 1.5 END) AS estimate FROM (SELECT grid_id, dataset_year, nullif(trim(municipality), '') AS municipality, population_raw FROM cells) c", "cells")
 def fun_17_21_22_cell_fields(s: SparkSession, d: str) -> DataFrame:
-    raw = times.blank_to_null(F.col("population_raw"))
-    part = lambda i: F.regexp_extract("grid_id", r"N(\d+)E(\d+)$", i).try_cast("long")
-    return tables(s, d, "cells")[0].select("grid_id", "dataset_year", times.blank_to_null(F.col("municipality")).alias("municipality"), part(1).alias("northing"), part(2).alias("easting"), F.coalesce(raw.try_cast("double"), F.when(raw == "[0-3]", 1.5)).alias("estimate"))
+    northing, easting = surfaces.cell_corner(F.col("grid_id"))
+    return tables(s, d, "cells")[0].select("grid_id", "dataset_year", times.blank_to_null(F.col("municipality")).alias("municipality"), northing.alias("northing"), easting.alias("easting"), surfaces.population_estimate(F.col("population_raw")).alias("estimate"))
 
 
 @query("SELECT building_id, greatest(1.0, coalesce(nullif(storeys, 0)::DOUBLE, round_even(height / 3.2::DOUBLE, 0), 1.0)) AS storeys, (floor((x + w / 2) / 100) * 100)::INT AS easting, (floor((y + d / 2) / 100) * 100)::INT AS northing FROM (SELECT building_id, storeys, height::DOUBLE AS height, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, d::DOUBLE AS d FROM buildings) b", "buildings")
 def fun_33_34_storeys_and_cells(s: SparkSession, d: str) -> DataFrame:
-    storeys = F.greatest(F.lit(1.0), F.coalesce(F.when(F.col("storeys") > 0, F.col("storeys").cast("double")), F.rint(F.col("height") / 3.2), F.lit(1.0)))
-    snap = lambda c: (F.floor(c / 100) * 100).cast("int")
-    return tables(s, d, "buildings")[0].select("building_id", storeys.alias("storeys"), snap(F.col("x") + F.col("w") / 2).alias("easting"), snap(F.col("y") + F.col("d") / 2).alias("northing"))
+    storeys = surfaces.storeys_of(F.col("storeys"), F.col("height"))
+    return tables(s, d, "buildings")[0].select("building_id", storeys.alias("storeys"), surfaces.snapped(F.col("x") + F.col("w") / 2, 100).alias("easting"), surfaces.snapped(F.col("y") + F.col("d") / 2, 100).alias("northing"))
 
 
 @query("SELECT query_id, least(8, query_id % 4 + 1) AS rounds, depart || ' sec (' || printf('%.1f', round_even(depart / 6.0::DOUBLE, 0) / 10) || ' min)' AS words FROM requests", "requests")
@@ -385,10 +383,7 @@ def prj_9_nodes_of_stops(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"{CALLED} SELECT stop, coalesce(rides, 0) AS rides, coalesce(buckets, 0) AS buckets, coalesce(moves, 0) AS moves FROM (SELECT DISTINCT stop FROM nodes) n LEFT JOIN (SELECT from_stop AS stop, count(*) AS rides, count(DISTINCT to_stop) AS buckets FROM pairs WHERE weight IS NOT NULL GROUP BY 1) p USING (stop) LEFT JOIN (SELECT from_stop AS stop, count(*) AS moves FROM moves GROUP BY 1) m USING (stop)", GRAPH)
 def prj_10_adjacency_of_nodes(s: SparkSession, d: str) -> DataFrame:
-    stops = graphs.pattern_nodes(_patterns(s, d)).select("stop").distinct()
-    rides = _pairs(s, d).filter("weight is not null").groupBy(F.col("from_stop").alias("stop")).agg(F.count("*").alias("rides"), F.countDistinct("to_stop").alias("buckets"))
-    moves = _moves(s, d).groupBy(F.col("from_stop").alias("stop")).agg(F.count("*").alias("moves"))
-    return stops.join(rides, "stop", "left").join(moves, "stop", "left").fillna(0, ["rides", "buckets", "moves"])
+    return graphs.adjacency(graphs.pattern_nodes(_patterns(s, d)), _pairs(s, d), _moves(s, d))
 
 
 @query(f"{CALLED} SELECT p.from_stop || '::' || t.pattern AS from_node, p.to_stop || '::' || t.pattern AS to_node, dep, arr, trip_id FROM pairs p JOIN patterns t USING (trip_id) WHERE weight IS NOT NULL", GRAPH)
@@ -729,17 +724,22 @@ ANYTIME = f"+ {o.CANON}, {o.TRANSFERS}, {o.TIMED}, {o.PAIRS}, {o.ANYTIME}"
 
 def _edge_labelled(s: SparkSession, d: str, timed: str = "none", **options) -> tuple[DataFrame, DataFrame]:
     """Labels over edges, of which the routes named by `timed` (none, odd, all) go by the clock and the others by their headway; goals."""
-    req, stops, trips = tables(s, d, "requests", "stops", "trips")
+    req, stops = tables(s, d, "requests", "stops")
     c = timetable.canonical_stops(stops)
     end = lambda side, *cols: req.join(c, req[side] == c["stop_id"]).select("query_id", F.col("canonical").alias("stop"), *cols)
+    edges = cut(_mixed_edges(s, d, timed), "edges")
+    return edge_labels(end("origin", "depart"), edges, end("destination"), horizon=14_400, max_wait=1_200, penalty=60, **options), end("destination")
+
+
+def _mixed_edges(s: SparkSession, d: str, timed: str) -> DataFrame:
+    (trips,) = tables(s, d, "trips")
     odd = trips.filter("cast(substring(route_id, 2) as int) % 2 = 1").select("trip_id")
     clocked = _pairs(s, d).filter("weight is not null").select("trip_id", "from_stop", "to_stop", "dep", "arr")
     none = [F.lit(None).cast("int").alias(x) for x in ("dep", "arr")]
     steady = bld_7_win_3_anytime_edges(s, d).select("trip_id", "from_stop", "to_stop", "weight", "headway", *none)
     clocked = clocked.selectExpr("trip_id", "from_stop", "to_stop", "cast(null as int) weight", "cast(null as int) headway", "dep", "arr")
     rides = {"none": lambda: steady, "all": lambda: clocked, "odd": lambda: clocked.join(odd, "trip_id", "left_semi").unionByName(steady.join(odd, "trip_id", "left_anti"))}[timed]()
-    edges = cut(graphs.search_edges(rides, trips, _moves(s, d)), "edges")
-    return edge_labels(end("origin", "depart"), edges, end("destination"), horizon=14_400, max_wait=1_200, penalty=60, **options), end("destination")
+    return graphs.search_edges(rides, trips, _moves(s, d))
 
 
 def _goal_arrivals(found: DataFrame, goals: DataFrame) -> DataFrame:
@@ -834,30 +834,31 @@ def fun_43_44_fallback_geometry(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, CASE WHEN p_retailprice < 60 THEN '< 1 min' WHEN p_retailprice < 3600 THEN round_even(p_retailprice / 60, 0)::INT || ' min' ELSE (round_even(p_retailprice / 60, 0)::INT // 60) || ' hr ' || (round_even(p_retailprice / 60, 0)::INT % 60) || ' min' END AS duration, round(100.0 * p_size / max(p_size) OVER (), 6) AS position FROM part")
 def fun_53_71_duration_and_legend(s: SparkSession, d: str) -> DataFrame:
-    price, minutes = F.col("p_retailprice"), F.rint(F.col("p_retailprice") / 60).cast("int")
-    text = F.when(price < 60, "< 1 min").when(price < 3600, F.concat(minutes.cast("string"), F.lit(" min"))).otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit(" hr "), (minutes % 60).cast("string"), F.lit(" min")))
     rows = s.read.parquet(f"{d}/part.parquet")
     most = rows.agg(F.max("p_size").alias("_most"))
-    return rows.crossJoin(F.broadcast(most)).select("p_partkey", text.alias("duration"), F.round(100.0 * F.col("p_size") / F.col("_most"), 6).alias("position"))
+    return rows.crossJoin(F.broadcast(most)).select("p_partkey", client.duration_words(F.col("p_retailprice")).alias("duration"), F.round(client.legend_position(F.col("p_size"), F.col("_most")), 6).alias("position"))
 
 
 @query("SELECT p_partkey, try_cast(nullif(trim(x), '') AS DOUBLE) IS NOT NULL AS numeric, array_to_string(list_transform(string_split(p_type, '_'), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title FROM (SELECT p_partkey, replace(p_type, ' ', '_') AS p_type, CASE p_partkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN ' 1.5 ' WHEN 2 THEN 'x' || p_size ELSE '' || p_size END AS x FROM part) t")
 def fun_55_68_70_text_checks(s: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey") % 4
     x = F.when(key == 0, " ").when(key == 1, " 1.5 ").when(key == 2, F.concat(F.lit("x"), F.col("p_size").cast("string"))).otherwise(F.col("p_size").cast("string"))
-    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", times.blank_to_null(x).try_cast("double").isNotNull().alias("numeric"), F.initcap(F.replace(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("_"), F.lit(" "))).alias("title"))
+    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", client.numeric(x).alias("numeric"), client.title(F.replace("p_type", F.lit(" "), F.lit("_"))).alias("title"))
 
 
 @query("SELECT min(stop_lon) AS west, min(stop_lat) AS south, max(stop_lon) AS east, max(stop_lat) AS north, count(DISTINCT stop_id) AS n FROM stops", "stops")
 def agg_21_22_bounds_and_counts(s: SparkSession, d: str) -> DataFrame:
-    return tables(s, d, "stops")[0].agg(F.min("stop_lon").alias("west"), F.min("stop_lat").alias("south"), F.max("stop_lon").alias("east"), F.max("stop_lat").alias("north"), F.countDistinct("stop_id").alias("n"))
+    return timetable.bounds(tables(s, d, "stops")[0])
+
+
+@query(f"{ANYTIME}, {o.MIXED_EDGES} SELECT count(DISTINCT n) AS nodes, (SELECT count(*) FROM edges) AS edges, 3::BIGINT AS kinds FROM (SELECT from_stop AS n FROM edges UNION ALL SELECT to_stop FROM edges) u", GRAPH)
+def agg_22_graph_counts(s: SparkSession, d: str) -> DataFrame:
+    return graphs.graph_counts(_mixed_edges(s, d, "odd"))
 
 
 @query(f"{WALKED}, {o.PATHS} SELECT a.parent_station AS station, arg_min(a.stop_id, (p.seconds, a.stop_id)) AS nearest, min(p.seconds) AS seconds FROM stops a JOIN paths p ON p.from_stop = a.parent_station WHERE a.parent_station <> '' GROUP BY 1", "stops transfers")
 def agg_19_20_top_14_station_candidates(s: SparkSession, d: str) -> DataFrame:
-    stops = tables(s, d, "stops")[0].filter("parent_station <> ''").select("stop_id", F.col("parent_station").alias("from_stop"))
-    rows = stops.join(_paths(s, d), "from_stop").groupBy("from_stop").agg(F.min(F.struct("seconds", "stop_id")).alias("b"))
-    return rows.select(F.col("from_stop").alias("station"), F.col("b.stop_id").alias("nearest"), F.col("b.seconds").alias("seconds"))
+    return graphs.first_children(tables(s, d, "stops")[0], _paths(s, d))
 
 
 #: Outlines shaped like an L, a U and a diamond.
@@ -927,4 +928,4 @@ def fun_56_57_58_59_66_edge_times(s: SparkSession, d: str) -> DataFrame:
 def fun_60_61_62_node_coordinates(s: SparkSession, d: str) -> DataFrame:
     stops = tables(s, d, "stops")[0]
     x = F.when(F.col("k") % 3 == 0, float("nan")).otherwise(F.col("k").cast("double"))
-    return stops.select(F.col("k").alias("s_suppkey"), F.coalesce("stop_lat", F.lit(53.5)).alias("lat"), F.coalesce("stop_lon", F.lit(10.0)).alias("lon"), F.nanvl(x, F.lit(None).cast("double")).alias("clean"))
+    return stops.select(F.col("k").alias("s_suppkey"), client.placed(F.col("stop_lat"), 53.5).alias("lat"), client.placed(F.col("stop_lon"), 10.0).alias("lon"), client.number_or_null(x).alias("clean"))
