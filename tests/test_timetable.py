@@ -113,3 +113,4 @@ def test_search_walks_and_waits(spark):
 def test_station_walks(spark):
     paths = spark.createDataFrame([("A", "B", 10), ("B", "C", 10), ("A", "C", 50)], "from_stop string, to_stop string, seconds int")
     assert {(r.from_stop, r.to_stop): r.seconds for r in station_walks(paths).collect()}["A", "C"] == 20
+    assert {(r.from_stop, r.to_stop) for r in station_walks(paths, 15).collect()} == {("A", "B"), ("B", "C")}

@@ -173,17 +173,22 @@ def _journeys(made, found: Found, options: DataFrame) -> DataFrame:
     return rows.select("query_id", "round", pos.alias("pos"), F.when(ride, "trip").otherwise("transfer").alias("kind"), F.when(~ride & F.col("foot"), "walk").alias("label"), "from_stop", F.col("stop").alias("to_stop"), F.when(ride, F.col("dep")).otherwise(F.col("t") - F.col("seconds")).alias("dep"), F.col("t").alias("arr"), F.when(ride, F.col("t") - F.col("dep")).otherwise(F.col("seconds")).alias("seconds"), "trip_id", "from_pos", F.col("pos").alias("to_pos"))
 
 
-def station_walks(paths: DataFrame) -> DataFrame:
-    """Shortest walks over any number of footpaths, for feeds with few stations: from_stop, to_stop, seconds, is_walk (whether
-    any part is no explicit transfer; without is_walk all are walks). Each step joins walks with walks, so it ends after the logarithm of the longest chain."""
+def station_walks(paths: DataFrame, limit: int | None = None) -> DataFrame:
+    """Shortest walks over any number of footpaths, of `limit` seconds at most: from_stop, to_stop, seconds, is_walk (whether any
+    part is no explicit transfer; without is_walk all are walks). Each step joins walks with walks, so it ends after the
+    logarithm of the longest chain.
+
+    A search whose horizon is the limit loses nothing by it. The walks are still all pairs of stations within it: for feeds of
+    many stations within a walk of each other, search() with closed=False walks on from what it has reached instead."""
     least = lambda df: df.groupBy("from_stop", "to_stop").agg(F.min(F.struct("seconds", "is_walk")).alias("w")).select("from_stop", "to_stop", "w.*")
     foot = F.col("is_walk") if "is_walk" in paths.columns else F.lit(True)
-    best = cut(least(paths.select("from_stop", "to_stop", F.col("seconds").cast("long").alias("seconds"), foot.alias("is_walk"))), "walks")
+    within = F.lit(True) if limit is None else F.col("seconds") <= limit
+    best = cut(least(paths.select("from_stop", "to_stop", F.col("seconds").cast("long").alias("seconds"), foot.alias("is_walk")).filter(within)), "walks")
     seen = None
     while seen != (now := best.agg(F.count("*"), F.sum("seconds"), F.sum(F.col("is_walk").cast("int"))).first()):
         seen = now
         on = best.select(F.col("from_stop").alias("to_stop"), F.col("to_stop").alias("end"), F.col("seconds").alias("more"), F.col("is_walk").alias("foot"))
-        longer = best.join(on, "to_stop").filter("from_stop <> end").select("from_stop", F.col("end").alias("to_stop"), (F.col("seconds") + F.col("more")).alias("seconds"), (F.col("is_walk") | F.col("foot")).alias("is_walk"))
+        longer = best.join(on, "to_stop").filter("from_stop <> end").select("from_stop", F.col("end").alias("to_stop"), (F.col("seconds") + F.col("more")).alias("seconds"), (F.col("is_walk") | F.col("foot")).alias("is_walk")).filter(within)
         old, best = best, cut(least(best.unionByName(longer)), "walks")
         drop(old)
     return best

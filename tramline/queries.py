@@ -524,7 +524,7 @@ def _found(s: SparkSession, d: str, closed: bool = True) -> Found:
     at = lambda side: req.join(c, req[side] == c["stop_id"]).select("query_id", F.col("canonical").alias("stop"), F.lit(0).alias("seconds"))
     valid = cut(_valid(s, d), "trips")
     paths = cut(_paths(s, d), "paths")
-    return search(req.select("query_id", "depart"), at("origin"), at("destination"), valid, timetable.trip_patterns(valid, trips), station_walks(paths) if closed else paths, MAX_ROUNDS, closed=closed)
+    return search(req.select("query_id", "depart"), at("origin"), at("destination"), valid, timetable.trip_patterns(valid, trips), station_walks(paths, 14_400) if closed else paths, MAX_ROUNDS, closed=closed)
 
 
 SEARCHED = f"{WALKED}, {o.PATHS}, {o.TIMED}, {o.MERGED}, {o.VALID}, {o.PATTERNS}, {o.rounds(MAX_ROUNDS)}"
@@ -627,7 +627,7 @@ def _placed(s: SparkSession, d: str) -> Found:
     req, trips = tables(s, d, "requests", "trips")
     ends = [_candidates(s, d, side).select("query_id", "stop", "seconds") for side in ("origin", "destination")]
     valid = cut(_valid(s, d), "trips")
-    return search(req.select("query_id", "depart"), *ends, valid, timetable.trip_patterns(valid, trips), station_walks(cut(_paths(s, d), "paths")), 5, closed=True)
+    return search(req.select("query_id", "depart"), *ends, valid, timetable.trip_patterns(valid, trips), station_walks(cut(_paths(s, d), "paths"), 14_400), 5, closed=True)
 
 
 # --- trips that overtake each other ----------------------------------------------------------------------------------
@@ -669,7 +669,7 @@ def itr_1_search_with_overtaking_trips(s: SparkSession, d: str) -> DataFrame:
     c = timetable.canonical_stops(stops)
     at = lambda side: req.join(c, req[side] == c["stop_id"]).select("query_id", F.col("canonical").alias("stop"), F.lit(0).alias("seconds"))
     valid, patterns = _slow(s, d)
-    return search(req.select("query_id", "depart"), at("origin"), at("destination"), valid, patterns, station_walks(cut(_paths(s, d), "paths")), 4, closed=True).options.select("query_id", "round", "arrival")
+    return search(req.select("query_id", "depart"), at("origin"), at("destination"), valid, patterns, station_walks(cut(_paths(s, d), "paths"), 14_400), 4, closed=True).options.select("query_id", "round", "arrival")
 
 
 # --- label-correcting search, itineraries, geometry, client transforms ----------------------------------------------
