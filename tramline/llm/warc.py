@@ -220,7 +220,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     files = spark.read.schema(FILES).parquet(f"{folder}/manifest").select("path")
-    return files.repartition(max(1, files.count()), "path").mapInPandas(read, RECORD)
+    # Files are of like size, so they are dealt out one by one; a task reads one after another.
+    return files.repartition(max(1, min(TASKS, files.count()))).mapInPandas(read, RECORD)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
