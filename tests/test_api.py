@@ -60,6 +60,16 @@ def test_search_over_graphs(spark, engine):
         engine.search_graph(some, "other")
 
 
+def test_tables_are_kept_by_the_options_they_need(engine):
+    first = engine.preload()
+    assert engine.with_options(max_wait=600, horizon=None).preload() is first and engine.with_options(max_wait=600).options.max_wait == 600
+    slow = engine.with_options(walk_metres=50_000)
+    other = slow.preload()
+    assert other is not first and engine.with_options(walk_metres=50_000).preload() is other and engine.preload() is first
+    assert other["paths"].filter("is_walk").count() > first["paths"].filter("is_walk").count()
+    assert slow.preload(rebuild=True) is not other
+
+
 def test_layers(spark, engine):
     assert engine.status()["feed"] == "demo"
     lines = engine.network_lines().orderBy("rank").collect()

@@ -45,7 +45,14 @@ class Engine:
 
     def __init__(self, spark: SparkSession, feed: dict[str, DataFrame], feed_id: str, options: Options | None = None, catalog: Catalog | None = None):
         self.spark, self.feed, self.feed_id, self.options, self.catalog = spark, feed, feed_id, options or Options(), catalog
-        self._tables: dict[str, DataFrame] | None = None
+        self._tables: dict[tuple, dict[str, DataFrame]] = {}
+
+    def with_options(self, **given) -> Engine:
+        """This feed under these options where they are not None, as a request may give them. Tables are shared: those that need
+        other walks are built once for each kind, and kept beside the others."""
+        other = Engine(self.spark, self.feed, self.feed_id, self.options.merged(**given), self.catalog)
+        other._tables = self._tables
+        return other
 
     def status(self) -> dict[str, str]:
         return {"status": "ok", "feed": self.feed_id, "method": "raptor"}
@@ -59,12 +66,13 @@ class Engine:
         return {"valid": valid, "patterns": timetable.trip_patterns(valid, self.feed["trips"]), "paths": graphs.footpaths(moves, walks), "coords": coords}
 
     def preload(self, rebuild: bool = False) -> dict[str, DataFrame]:
-        """The timetable's tables: built once, or read from the catalogue."""
-        if self._tables is None or rebuild:
-            build = self._built()
-            keep = lambda name, df: self.catalog.get_or_build(name, self.feed_id, asdict(self.options), lambda: df, rebuild) if self.catalog else cut(df, name)
-            self._tables = {name: keep(name, df) for name, df in build.items()}
-        return self._tables
+        """The timetable's tables for these walks: built once, or read from the catalogue."""
+        walks = {k: v for k, v in asdict(self.options).items() if k.startswith("walk_")}
+        key = tuple(walks.values())
+        if key not in self._tables or rebuild:
+            keep = lambda name, df: self.catalog.get_or_build(name, self.feed_id, walks, lambda: df, rebuild) if self.catalog else cut(df, name)
+            self._tables[key] = {name: keep(name, df) for name, df in self._built().items()}
+        return self._tables[key]
 
     def _ends(self, requests: DataFrame, side: str) -> DataFrame:
         """Candidate stops of one end: by id, else the nearest ones to its coordinates, else by exact name. An id together
