@@ -139,3 +139,32 @@ def test_neighbours_equal_brute_force(spark):
         windows = {tuple(p[1:] for p in sorted(ps)) for ps in got.values()}
         whole = {((d, s, window),) for d, n in enumerate(lengths) for s in range(0, n // window * window, window)}
         assert windows == whole | {tuple(w) for w in plain_packing(texts, lengths, window)}
+
+
+def test_order_parts_hot_topics_and_copies():
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, packing.SKETCH))
+    x = centres[rng.integers(0, 12, 6000)] + 0.4 * rng.standard_normal((6000, packing.SKETCH))
+    x[:2000] = x[0]  # copies, a third of all rows
+    x[2000:2005] = 0
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    order = packing.Order(x[::3][x[::3].any(axis=1)], np.full(2000, 100)[x[::3].any(axis=1)], 60)
+    hashed = np.arange(6000, dtype=np.uint64)
+    keys = order.keys(x.astype(np.float32), hashed)
+    assert (keys == order.keys(x.astype(np.float32), hashed)).all() and (keys >= 0).all()
+    assert (keys[2000:2005] >> packing.TOPIC_SHIFT == len(order.topics)).all()
+    assert len(np.unique(keys[:2000] >> packing.HASH_BITS)) == 1 and len(np.unique(keys[:2000])) > 1900
+    share = np.bincount(np.searchsorted(order.bounds, keys, "right"))
+    assert len(share) == len(order.bounds) + 1 > 20 and share.max() < 4 * 6000 / len(share)
+    none = packing.Order(np.zeros((0, packing.SKETCH)), np.zeros(0), 60)
+    assert len(none.bounds) == 0 and (none.keys(x[:5], hashed[:5]) >> packing.HASH_BITS == 0).all()
+
+
+def test_shards_end_with_topics_and_stay_small():
+    rng = random.Random(8)
+    rows = [(t, rng.choice([0, 1, 30, 60]), (t, k)) for t in range(40) for k in range(rng.choice([1, 5, 200]))] + [(40, 5_000, (40, 0))]
+    shards = list(packing.shards_of(iter(rows), 1000))
+    size = {r[2]: r[1] for r in rows}
+    assert [r for s in shards for r in s] == [r[2] for r in rows]
+    assert all(sum(size[r] for r in s) <= 1500 or len(s) == 1 for s in shards)
+    assert all(sum(size[r] for r in s) >= 500 for s in shards[:-1]) and list(packing.shards_of(iter([]), 1000)) == []

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import json
-import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,6 +24,9 @@ from .vectors import fit_centroids
 TERMS, SHARD_WORDS = 1 << 18, 200_000
 #: Documents that the topics are fitted on and topics at most; numbers of a document's sketch.
 SAMPLE, MAX_TOPICS, SKETCH = 20_000, 2_048, 256
+#: A key's bits: topic, second nearest topic, signs of projections, hash. Shards of a range of the order, about.
+TOPIC_BITS, PLANES, HASH_BITS, PART_SHARDS = 12, 16, 22, 2
+TOPIC_SHIFT = TOPIC_BITS + PLANES + HASH_BITS
 #: Lists that hold more than this share of a shard's documents are scored as whole rows of weights.
 COMMON = 1 / 8
 K1, B = 1.2, 0.75
@@ -104,59 +106,65 @@ def sketched(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> n
     return out
 
 
-class Topics:
-    """Deals documents to shards by content: to the topic whose centroid is nearest. A topic of more than SHARD_WORDS words,
-    by the sample's share, is parted by the second nearest one, and what is still more than two shards (copies, mostly) by a
-    hash of the id."""
-
-    def __init__(self, sample: np.ndarray, sizes: np.ndarray, shards: int, words: int):
-        self.topics = fit_centroids(sample, max(1, min(shards, MAX_TOPICS, len(sample) // 8))).astype(np.float32) if shards > 1 and len(sample) else None
-        self.parts: dict[int, int] = {}
-        self.large: dict[tuple[int, int], int] = {}
-        if self.topics is not None:
-            first, second = self.nearest(sample)
-            share = words / SHARD_WORDS / max(1, sizes.sum())
-            for a in np.unique(first):
-                own, rest = first == a, 0.0
-                for b in np.unique(second[own]):
-                    held = share * sizes[own & (second == b)].sum()
-                    if held > 2:
-                        self.large[int(a), int(b)] = math.ceil(held)
-                    else:
-                        rest += held
-                self.parts[int(a)] = max(1, math.ceil(rest))
-        # Shards are numbered topic by topic: the parts first, then the large pairs' shares.
-        self.first, self.large_first, self.n = {}, {}, 0
-        for a in range(1 if self.topics is None else len(self.topics)):
-            self.first[a] = self.n
-            self.n += self.parts.get(a, 1)
-        for pair, n in self.large.items():
-            self.large_first[pair] = self.n
-            self.n += n
-
-    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first, second = [], []
-        for part in np.array_split(x.astype(np.float32, copy=False), math.ceil(len(x) / 1024)):
-            near = part @ self.topics.T
-            first.append(near.argmax(axis=1))
-            near[np.arange(len(part)), first[-1]] = -2
-            second.append(near.argmax(axis=1))
-        return np.concatenate(first), np.concatenate(second)
-
-    def shards(self, x: np.ndarray, keys: list[int]) -> list[int]:
-        """Shards of documents with sketches x; keys are hashes of the ids. A document without terms has no topic and is
-        dealt by its key."""
-        if self.topics is None:
-            return [0] * len(keys)
-        out = []
-        for a, b, some, key in zip(*(v.tolist() for v in self.nearest(x)), x.any(axis=1).tolist(), keys):
-            if not some:
-                out.append(key % self.n)
-            elif n := self.large.get((a, b)):
-                out.append(self.large_first[a, b] + key % n)
-            else:
-                out.append(self.first[a] + b % self.parts.get(a, 1))
-        return out
+class Order:
+    """Documents in order of content. A document's key is its nearest topic (topics themselves in order of their first principal
+    component), the second nearest, the signs of PLANES projections of what the topic leaves, and a hash. Alike documents are
+    near each other at every size of corpus and topic, and copies, which differ by the hash alone, can be parted anywhere.
+
+    bounds: keys that part the order into ranges of about as many words each, by the sample's words, at the start of a topic
+    where one lies between two bounds."""
+
+    def __init__(self, sample: np.ndarray, sizes: np.ndarray, shards: int):
+        self.topics = np.zeros((0, SKETCH), np.float32)
+        self.planes = np.random.default_rng(5).standard_normal((SKETCH, PLANES)).astype(np.float32)
+        self.bounds = np.zeros(0, np.int64)
+        if shards == 1 or not len(sample):
+            return
+        found = fit_centroids(sample, max(1, min(shards, MAX_TOPICS, len(sample) // 8)))
+        main = np.linalg.svd(found - found.mean(axis=0), full_matrices=False)[2][0]
+        self.topics = found[np.argsort(found @ main, kind="stable")].astype(np.float32)
+        keys = self.keys(sample, np.arange(len(sample)))
+        order = np.argsort(keys, kind="stable")
+        keys, so_far = keys[order], np.cumsum(sizes[order])
+        parts = max(1, min(-(-shards // PART_SHARDS), len(sample) // 4))
+        last, bounds = -1, []
+        for at in np.searchsorted(so_far, so_far[-1] * np.arange(1, parts) / parts):
+            key = int(keys[at])
+            start = key >> TOPIC_SHIFT << TOPIC_SHIFT
+            last = start if start > last else max(key, last)
+            bounds.append(last)
+        self.bounds = np.unique(np.array(bounds, np.int64))
+
+    def keys(self, x: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        """Keys of documents with sketches x; a document without terms comes after all topics."""
+        out = mix(hashed.astype(np.uint64)) >> np.uint64(64 - HASH_BITS)
+        if not len(self.topics):
+            return out.astype(np.int64)
+        for lo in range(0, len(x), 1024):
+            part = x[lo : lo + 1024].astype(np.float32, copy=False)
+            near, row = part @ self.topics.T, np.arange(len(part))
+            first = near.argmax(axis=1)
+            near[row, first] = -2
+            second = near.argmax(axis=1)
+            signs = ((part - self.topics[first]) @ self.planes > 0) @ (1 << np.arange(PLANES))
+            first[~part.any(axis=1)] = len(self.topics)
+            out[lo : lo + 1024] |= ((first << TOPIC_SHIFT) | (second << (PLANES + HASH_BITS)) | (signs << HASH_BITS)).astype(np.uint64)
+        return out.astype(np.int64)
+
+
+def shards_of(rows: Iterator[tuple[int, int, tuple]], words: int) -> Iterator[list[tuple]]:
+    """Rows of (topic, size, row), in order, as shards: a new one begins with a topic once half of `words` are reached, and
+    anywhere before 1.5 times as many would be passed. One shard is held at a time."""
+    some: list[tuple] = []
+    held, last = 0, None
+    for topic, size, row in rows:
+        if some and (held + size > 1.5 * words or (held >= words / 2 and topic != last)):
+            yield some
+            some, held = [], 0
+        some.append(row)
+        held, last = held + size, topic
+    if some:
+        yield some
 
 
 class Index:
@@ -219,11 +227,13 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids, with end_id after them, are cut into whole windows, which are sequences of their own, and a last
-    fragment. Fragments are dealt by their documents' topics (see Topics, fitted on a sample) into shards of about SHARD_WORDS
-    words, so that neighbours meet; a shard holds an inverted index of its documents, weighted by document frequencies and
-    mean length of the whole corpus, and pack() fills windows from it, full up to the last one of a shard. Document frequencies are of hashed terms (a fixed-size array, which is what
-    is broadcast). Texts are read twice, for the frequencies and to encode them, and those of the sample once more. Only fragments and term counts are
-    shuffled. model (and ranks, pattern: the same vocabulary for tiktoken) must name the same files on every executor.
+    fragment. Documents are put in order of content (see Order, fitted on a sample), whose ranges are tasks and are read in
+    shards of about SHARD_WORDS words, so that neighbours meet; a shard holds an inverted index of its documents, weighted by
+    document frequencies and mean length of the whole corpus, and pack() fills windows from it, full up to the last one of a
+    shard. A task holds one shard at a time, whatever its range holds. Document frequencies are of hashed terms (a fixed-size
+    array, which is what is broadcast). Texts are read twice, for the frequencies and to encode them, and those of the sample
+    once more. Only fragments and term counts are shuffled. model (and ranks, pattern: the same vocabulary for tiktoken) must
+    name the same files on every executor.
 
     Null or empty text: end_id alone. Rows that repeat an id are packed each for itself. Null ids pass through. No rows in,
     no rows out. Other columns are not read."""
@@ -256,7 +266,8 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
         x = np.array([np.frombuffer(r["x"], np.float32) for r in some], np.float64).reshape(-1, SKETCH)
         there = x.any(axis=1)
         fit = (x[there], np.array([r["size"] for r in some], np.float64)[there])
-    topics = spark.sparkContext.broadcast(Topics(*fit, shards, total))
+    order = Order(*fit, shards)
+    parts, fitted, shard_words = len(order.bounds) + 1, spark.sparkContext.broadcast(order), SHARD_WORDS
     kind = dict(docs.dtypes)[id_col]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +275,10 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
         for some, texts, words in blocks(arrow_rows(batches)):
             doc, term, tf = _buckets(words)
             bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-            out: dict[str, list] = {k: [] for k in ("id", "n", "crcs", "rest", "terms", "tf", "size")}
-            # Rows of one id and text are told apart by their place, so that copies are dealt out too.
-            keys = [zlib.crc32(t if i is None else i.encode()) + k for k, (i, t) in enumerate(zip(some, texts))]
-            out["shard"] = [s for own, x in sketches(words, doc, term, tf) for s in topics.value.shards(x, keys[own])]
+            out: dict[str, list] = {k: [] for k in ("id", "n", "crcs", "rest", "terms", "tf")}
+            # Rows of one id and text are told apart by their place, so that copies can be parted too.
+            hashed = np.array([zlib.crc32(t if i is None else i.encode()) + k for k, (i, t) in enumerate(zip(some, texts))], np.uint64)
+            keys = np.concatenate([fitted.value.keys(x, hashed[own]) for own, x in sketches(words, doc, term, tf)])
             for k, t in enumerate(texts):
                 tokens = np.append(encode(t.decode()), np.uint32(end_id)).astype("<u4")
                 whole = len(tokens) // window * window
@@ -279,24 +290,28 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
                 own = slice(bounds[k], bounds[k + 1])
                 out["terms"].append(term[own].tobytes())
                 out["tf"].append(small(tf[own]))
-                out["size"].append(int(words.counts[k]))
-            kinds = {"id": pa.string(), "n": pa.int64(), "size": pa.int64(), "shard": pa.int64()}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
-
-    def packed(shard: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        first = int(shard["shard"].iloc[0]) << 32
-        known = shard["id"].notna()
-        shard = shard.iloc[np.lexsort((shard["n"], shard["id"].where(known, "").astype(str), known))].reset_index(drop=True)
-        tokens = shard["n"].to_numpy()
+            kinds = {"id": pa.string(), "n": pa.int64()}
+            columns = {k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()}
+            part = np.searchsorted(fitted.value.bounds, keys, "right").astype(np.int32)
+            yield pa.RecordBatch.from_pydict({**columns, "size": pa.array(words.counts, pa.int64()), "part": pa.array(part), "key": pa.array(keys)})
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r[-1] >> TOPIC_SHIFT, r[6], r) for r in arrow_rows(batches))
+        for number, some in enumerate(shards_of(rows, shard_words)):
+            yield pa.RecordBatch.from_pandas(packed_shard(some, (some[0][-2] << 50) + (number << 32)), schema, preserve_index=False)
+
+    def packed_shard(some: list[tuple], first: int) -> pd.DataFrame:
+        some.sort(key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+        ids, n, crcs, rest, terms, tf, sizes = list(zip(*some))[:7]
+        rows, tokens = [], np.array(n, np.int64)
         fragment = tokens % window
-        rest = [large(b, m) for b, m in zip(shard["rest"], fragment)]
-        for k, crcs in enumerate(shard["crcs"]):
-            for j, crc in enumerate(np.frombuffer(crcs, np.uint32)):
+        rest = [large(b, m) for b, m in zip(rest, fragment)]
+        for k, own in enumerate(crcs):
+            for j, crc in enumerate(np.frombuffer(own, np.uint32)):
                 rows.append((k, j * window, window, int(crc), first, 0))
                 first += 1
-        terms = [np.frombuffer(b, np.int32) for b in shard["terms"]]
-        index = Index(terms, [large(b, len(t)) for b, t in zip(shard["tf"], terms)], shard["size"].to_numpy(), idf.value, mean_size)
+        terms = [np.frombuffer(b, np.int32) for b in terms]
+        index = Index(terms, [large(b, len(t)) for b, t in zip(tf, terms)], np.array(sizes, np.int64), idf.value, mean_size)
         for taken in pack(fragment, index.scores, window):
             offset = 0
             for k, start, length in taken:
@@ -304,11 +319,13 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
                 offset += length
             first += 1
         out = pd.DataFrame(rows, columns=["k", "start", "length", "ids_crc32", "sequence_id", "offset"])
-        out["id"], out["doc_tokens"] = shard["id"].to_numpy()[out["k"]], tokens[out["k"]]
-        return out[["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        out["id"], out["doc_tokens"] = np.array(ids, object)[out["k"]], tokens[out["k"]]
+        return out[schema.names]
 
+    schema = pa.schema([("id", pa.string()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text.cast("binary").alias("text"))
-    rows = rows.mapInArrow(encoded, "id string, n long, crcs binary, rest binary, terms binary, tf binary, size long, shard long")
-    out = rows.groupBy("shard").applyInPandas(packed, "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    rows = rows.mapInArrow(encoded, "id string, n long, crcs binary, rest binary, terms binary, tf binary, size long, part int, key long")
+    # The range is the partition, so a lost task's rows come together again in the same order, and hot topics are many tasks.
+    rows = rows.repartitionById(parts, "part").sortWithinPartitions("key", "id", "n", "size")
+    out = rows.mapInArrow(packed, "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
-
