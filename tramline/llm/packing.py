@@ -6,6 +6,7 @@ import base64
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -33,7 +34,7 @@ K1, B = 1.2, 0.75
 #: What the byte-level pattern has for runs of white space before a word, and such runs.
 LOOK_AHEAD, _SPACES = r"|\s+(?!\S)", re.compile("[\\t\\n\\r ]{2}")
 #: Texts of these characters, without special strings, are split alike by both libraries; others go the exact way round.
-_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f]*")
+_PLAIN, _ASCII = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f]*"), b"\t\n\r" + bytes(range(0x20, 0x7F))
 
 
 class Encoder:
@@ -60,8 +61,9 @@ class Encoder:
         return Tokenizer.from_file(self.model)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return np.array((self.fast if _SPACES.search(text) else self.plain).encode_ordinary(text), np.uint32)
+        plain = not text.encode().translate(None, _ASCII) if text.isascii() else _PLAIN.fullmatch(text)
+        if self.fast and plain and not any(s in text for s in self.special):
+            return np.frombuffer(array("I", (self.fast if _SPACES.search(text) else self.plain).encode_ordinary(text)), np.uint32)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
