@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import api
 from . import oracle_parts as o
 from .functions import client, geo, lines, overlay, times
 from .operators.ordered import asof_forward, top_by
@@ -15,8 +16,8 @@ from .plans.raptor import Found, best_options, journeys, search, station_walks
 from .plans.search import edge_labels, hops
 from .plans.search import labels as search_labels
 from .registry import query
-from .shared import cut, importable
-from .sources import citygml
+from .shared import cut, importable, work_folder
+from .sources import citygml, gtfs, sinks
 
 RELEASE = "LoD1-DE_HH_2023-04-01"
 #: Boardings of a search, as in the reference.
@@ -929,3 +930,72 @@ def fun_60_61_62_node_coordinates(s: SparkSession, d: str) -> DataFrame:
     stops = tables(s, d, "stops")[0]
     x = F.when(F.col("k") % 3 == 0, float("nan")).otherwise(F.col("k").cast("double"))
     return stops.select(F.col("k").alias("s_suppkey"), client.placed(F.col("stop_lat"), 53.5).alias("lat"), client.placed(F.col("stop_lon"), 10.0).alias("lon"), client.number_or_null(x).alias("clean"))
+
+
+# --- feeds as files, written tables, map answers ---------------------------------------------------------------------
+
+
+def _feeds(s: SparkSession, d: str) -> str:
+    """The test tables as two feeds' folders of text files, trips by parity; stops, routes and services are in both."""
+    root, (stops, routes, trips, times) = work_folder(s, "feeds"), tables(s, d, "stops", "routes", "trips", "stop_times")
+    services = trips.select("service_id").distinct()
+    days = [F.lit("1").alias(c) for c in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")]
+    common = {
+        "agency": routes.select(F.concat(F.lit("A"), F.col("k") % 3).alias("agency_id")).distinct(),
+        "calendar": services.select("service_id", *days, F.lit("20240101").alias("start_date"), F.lit("2024-12-31").alias("end_date")),
+        "calendar_dates": services.select("service_id", F.lit("20240229").alias("date"), F.lit("x").alias("exception_type")),
+        "routes": routes.drop("k"),
+        "stops": stops.drop("k"),
+    }
+    for half in (0, 1):
+        own = {"trips": trips.filter(F.col("k") % 2 == half).drop("k"), "stop_times": times.filter(F.substring("trip_id", 2, 20).cast("long") % 2 == half)}
+        for name, df in {**common, **own}.items():
+            df.write.option("header", True).csv(f"{root}/f{half}/{name}.txt")
+    return root
+
+
+@query("SELECT 'f' || (substr(trip_id, 2)::BIGINT % 2) AS feed_id, trip_id, stop_id, stop_sequence, nullif(arrival_time, '') AS arrival_time, nullif(departure_time, '') AS departure_time FROM stop_times", "stop_times")
+def src_1_2_3_4_7_snk_1_ingested_stop_times(s: SparkSession, d: str) -> DataFrame:
+    root, into = _feeds(s, d), work_folder(s, "ingested")
+    for half in (0, 1):
+        gtfs.ingest(s, f"{root}/f{half}", into)
+    rows = s.read.parquet(f"{into}/stop_times")
+    return rows.select("feed_id", "trip_id", "stop_id", "stop_sequence", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("arrival_time", "departure_time")])
+
+
+@query("""+ f(feed_id) AS (VALUES ('f0'), ('f1')) SELECT feed_id, stop_id, round(stop_lat, 9) AS lat, round(stop_lon, 9) AS lon, (SELECT count(*) FROM f) AS feeds FROM stops, f WHERE stop_id <> ''""", "stops")
+def src_5_8_agg_4_stops_of_all_feeds(s: SparkSession, d: str) -> DataFrame:
+    stops = gtfs.read_feeds(s, _feeds(s, d))["stops"]
+    feeds = stops.select(F.count_distinct("feed_id").alias("feeds"))
+    return stops.crossJoin(F.broadcast(feeds)).select("feed_id", "stop_id", F.round("stop_lat", 9).alias("lat"), F.round("stop_lon", 9).alias("lon"), "feeds")
+
+
+@query("SELECT DISTINCT service_id, DATE '2024-01-01' AS first_day, NULL::DATE AS last_day, 1 AS monday, DATE '2024-02-29' AS day, NULL::INT AS exception_type FROM trips WHERE substr(trip_id, 2)::BIGINT >= 0", "trips")
+def src_4_6_fil_1_services_of_a_feed(s: SparkSession, d: str) -> DataFrame:
+    feeds = gtfs.read_feeds(s, _feeds(s, d))
+    calendar, dates = (gtfs.of_feed(feeds[n], "f1") for n in ("calendar", "calendar_dates"))
+    return calendar.join(dates, "service_id").select("service_id", F.col("start_date").alias("first_day"), F.col("end_date").alias("last_day"), "monday", F.col("date").alias("day"), "exception_type")
+
+
+@query("SELECT trip_id, route_id, CASE WHEN direction_id = 1 THEN 'new ' || service_id ELSE service_id END AS service_id, direction_id::INT AS direction_id FROM trips", "trips")
+def snk_2_3_replaced_partition(s: SparkSession, d: str) -> DataFrame:
+    path = work_folder(s, "parts")
+    trips = tables(s, d, "trips")[0].select("trip_id", "route_id", "service_id", F.col("direction_id").cast("int").alias("direction_id"))
+    sinks.replace_partitions(trips, path, ["direction_id"])
+    sinks.replace_partitions(trips.filter("direction_id = 1").withColumn("service_id", F.concat(F.lit("new "), "service_id")), path, ["direction_id"])
+    return s.read.parquet(path).select("trip_id", "route_id", "service_id", F.col("direction_id").cast("int").alias("direction_id"))
+
+
+@query("SELECT (SELECT count(*) FROM trips) AS n, route_id, count(*) AS trips FROM trips GROUP BY route_id", "trips")
+def snk_4_counted_insert(s: SparkSession, d: str) -> DataFrame:
+    path = work_folder(s, "counted")
+    n = sinks.counted(tables(s, d, "trips")[0], path)
+    return s.read.parquet(path).groupBy("route_id").agg(F.lit(n).cast("long").alias("n"), F.count(F.lit(1)).alias("trips"))
+
+
+@query(f"""+ {ESTIMATES}, c1 AS (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS i FROM c0), c2 AS (SELECT *, e + [500, 0, 1000, 1000, 0, 0][i + 1] AS px, n + [500, 0, 0, 1000, 1000, 0][i + 1] AS py FROM c1), {o.laea("px", "py", "w", "c2")}
+SELECT grid_id, any_value(estimate) AS estimate, string_agg(printf('%.6f %.6f', lon, lat), ',' ORDER BY i) FILTER (i > 0) AS ring FROM w GROUP BY grid_id HAVING max(lat) FILTER (i = 0) BETWEEN 53.0 AND 54.0 AND max(lon) FILTER (i = 0) BETWEEN 9.0 AND 11.0""", "cells")
+def api_5_population_grid(s: SparkSession, d: str) -> DataFrame:
+    rows = api.population_grid(tables(s, d, "cells")[0], 2021, (53.0, 9.0, 54.0, 11.0))
+    ring = F.get(F.from_json("geometry", "coordinates array<array<array<double>>>")["coordinates"], F.lit(0))
+    return rows.select("grid_id", "estimate", F.array_join(F.transform(ring, lambda p: F.format_string("%.6f %.6f", F.get(p, F.lit(0)), F.get(p, F.lit(1)))), ",").alias("ring"))
