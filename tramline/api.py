@@ -164,10 +164,10 @@ class Engine:
         return lines.filter(F.col("family").isin("u_bahn", "s_bahn")) if rapid_only else lines
 
 
-def population_grid(cells: DataFrame, year: int, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """GeoJSON polygons of a census year's cells."""
-    rows = surfaces.population_cells(cells, year, bounds)
-    return rows.select("grid_id", "estimate", F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates"))).alias("geometry"))
+def population_grid(cells: DataFrame, year: int, bounds: tuple[float, float, float, float] | None = None, merged: bool = False) -> DataFrame:
+    """GeoJSON polygons of a census year's cells; merged: one of each grid_id, with n, the number of its rows."""
+    rows = surfaces.population_cells(cells, year, bounds, merged)
+    return rows.select("grid_id", "estimate", *(["n"] if merged else []), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates"))).alias("geometry"))
 
 
 def floor_space_density(grid: DataFrame, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:

@@ -75,13 +75,23 @@ def snapped(metres: Column, resolution: int) -> Column:
     return (F.floor(metres / resolution) * resolution).cast("int")
 
 
-def population_cells(cells: DataFrame, year: int, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
+def one_of_each(cells: DataFrame, order: str) -> DataFrame:
+    """One row for each grid_id, the first by `order`, with n, the number of its rows."""
+    rest = [c for c in cells.columns if c not in ("grid_id", order)]
+    first = cells.groupBy("grid_id").agg(F.min_by(F.struct(*rest), order).alias("_f"), F.count("*").alias("n"))
+    return first.select("grid_id", *[F.col(f"_f.{c}").alias(c) for c in rest], "n")
+
+
+def population_cells(cells: DataFrame, year: int, bounds: tuple[float, float, float, float] | None = None, merged: bool = False) -> DataFrame:
     """Cells of a year with a positive estimate: grid_id, lat, lon (centre), estimate, ring. '[0-3]' is estimated as 1.5.
 
-    bounds: min_lat, min_lon, max_lat, max_lon of the centre, inclusive."""
+    bounds: min_lat, min_lon, max_lat, max_lon of the centre, inclusive. merged: rows of one grid_id are one cell, with the first
+    one's estimate in the table's order and n, the number of rows; else each is a cell."""
     est = population_estimate(F.col("population_raw"))
     n, e = (c.cast("double") for c in cell_corner(F.col("grid_id")))
     rows = cells.filter(F.col("dataset_year") == year).select("grid_id", est.alias("estimate"), n.alias("_n"), e.alias("_e")).filter("estimate > 0 and _n is not null")
+    if merged:
+        rows = one_of_each(rows.withColumn("_at", F.monotonically_increasing_id()), "_at")
     lat, lon = laea_to_wgs84(F.col("_e") + 500, F.col("_n") + 500)
     rows = rows.withColumn("lat", lat).withColumn("lon", lon)
     if bounds:
@@ -92,7 +102,7 @@ def population_cells(cells: DataFrame, year: int, bounds: tuple[float, float, fl
     for dx, dy in ((0, 0), (1000, 0), (1000, 1000), (0, 1000), (0, 0)):
         a, b = laea_to_wgs84(F.col("_e") + dx, F.col("_n") + dy)
         corners.append(F.array(F.round(b, 6), F.round(a, 6)))
-    return rows.select("grid_id", "lat", "lon", "estimate", F.array(*corners).alias("ring"))
+    return rows.select("grid_id", "lat", "lon", "estimate", F.array(*corners).alias("ring"), *(["n"] if merged else []))
 
 
 def floor_space_grid(buildings: DataFrame, release: str, resolution: int = 100, population: float = 1_850_000, storey_height: float = 3.2) -> DataFrame:
