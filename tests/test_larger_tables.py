@@ -18,3 +18,18 @@ def test_rows_of_one_cell_are_merged(spark):
     got = surfaces.population_cells(cells, 2021, merged=True).orderBy("grid_id").collect()
     assert [(r.estimate, r.n, len(r.ring)) for r in got] == [(7.0, 2, 5), (3.0, 1, 5)]
     assert surfaces.population_cells(cells, 2021).count() == 3
+
+
+def test_unions_of_whole_coordinates_stay_whole():
+    from fractions import Fraction
+
+    from tramline.functions import overlay
+
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    rings, scale = overlay._scaled([box(0.0, 0.0, 4.5, 3.0), box(1.25, 1.0, 9.0, 1.0)])
+    assert scale == 8 and all(isinstance(c, int) for r in rings for p in r for c in p)
+    edges = [list(zip(r, r[1:] + r[:1])) for r in rings]
+    met = [p for a in edges[0] for b in edges[1] for p in overlay._meetings(*a, *b)]
+    assert met and all(isinstance(c, int) for p in met for c in p)
+    tiny = overlay.united([[(0.0, 0.0), (2.0**-300, 0.0), (0.0, 2.0**-300)], [(0.0, 0.0), (2.0**-300, 2.0**-300), (2.0**-300, 0.0)]])
+    assert sorted(tiny[0][0]) == [(0.0, 0.0), (0.0, 2.0**-300), (2.0**-301, 2.0**-301), (2.0**-300, 0.0), (2.0**-300, 2.0**-300)] and Fraction(1, 3) == overlay._over(1, 3)
