@@ -33,3 +33,21 @@ def test_unions_of_whole_coordinates_stay_whole():
     assert met and all(isinstance(c, int) for p in met for c in p)
     tiny = overlay.united([[(0.0, 0.0), (2.0**-300, 0.0), (0.0, 2.0**-300)], [(0.0, 0.0), (2.0**-300, 2.0**-300), (2.0**-300, 0.0)]])
     assert sorted(tiny[0][0]) == [(0.0, 0.0), (0.0, 2.0**-300), (2.0**-301, 2.0**-301), (2.0**-300, 0.0), (2.0**-300, 2.0**-300)] and Fraction(1, 3) == overlay._over(1, 3)
+
+
+def test_stops_and_points_that_share_places(spark):
+    from tramline.plans import access
+
+    stops = spark.createDataFrame([(f"s{i:02}", 53.5 + (i % 3) * 1e-3, 10.0) for i in range(30)], "stop_id string, lat double, lon double")
+    points = spark.createDataFrame([(q, 53.5, 10.0) for q in range(5)] + [(9, None, None)], "query_id long, lat double, lon double")
+    joined = access.within
+    seen = []
+    access.within = lambda p, s, m: seen.append((p.count(), s.count())) or joined(p, s, m)
+    try:
+        near = access.nearest_within(points, stops, 12, 900.0)
+        got = [(r.query_id, r["rank"], r.stop_id) for r in near.orderBy("query_id", "rank").collect()]
+    finally:
+        access.within = joined
+    assert seen == [(1, 3)]  # one place of points, three of stops
+    first = [f"s{i:02}" for i in (*range(0, 30, 3), 1, 4)]
+    assert got == [(q, i + 1, s) for q in range(5) for i, s in enumerate(first)]

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, haversine, walk_seconds
 from ..operators.ordered import top_by
-from ..shared import cut, kept, passing
+from ..shared import BROADCAST_ROWS, cut, join_counted, kept, passing
 
 #: Metres of a degree of latitude, a little less than it has, so that what is near is never taken to be farther.
 DEGREE_M = 111_000.0
 #: What parts of millimetres distances are compared to, so that rounding decides nothing.
 SLACK = 1e-3
+#: Points a task looks up the hierarchy for, so what they open fits its memory.
+POINTS = 2000
 
 
 def _rows_of_cells(band: Column, metres: float) -> Column:
@@ -53,6 +56,39 @@ def within(points: DataFrame, stops: DataFrame, metres: float) -> DataFrame:
     return rows.drop("_lat", "_lon", "_cy", "_cx")
 
 
+def by_place(points: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answer(points), which depends on each point's place alone, found once for each place: points often share one."""
+    known = points.filter("lat is not null and lon is not null").select("query_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    places = known.select(F.struct(F.col("_lat").alias("lat"), F.col("_lon").alias("lon")).alias("query_id")).distinct()
+    found = answer(places.select("query_id", "query_id.lat", "query_id.lon"))
+    rest = [c for c in found.columns if c != "query_id"]
+    found = found.select(F.col("query_id.lat").alias("_lat"), F.col("query_id.lon").alias("_lon"), *rest)
+    return known.join(found, ["_lat", "_lon"]).select("query_id", *rest)
+
+
+def first_of_places(stops: DataFrame, k: int, name: str = "stop_id") -> DataFrame:
+    """The first k stops, by name, of each place: no others can be among the k nearest of a point."""
+    known = stops.filter("lat is not null and lon is not null")
+    return top_by(known, ["lat", "lon"], [F.col(name)], k, "_r").drop("_r")
+
+
+def nearest_within(points: DataFrame, stops: DataFrame, k: int, metres: float, name: str = "stop_id") -> DataFrame:
+    """The k nearest stops of each point within reach, with rank, as within() gives them; ties, to the millimetre, go to the smaller
+    name. Found once for each place that points share, among the first k stops of each place; of the stops' places first those
+    are found that are needed to have k stops."""
+    few, at = first_of_places(stops, k, name), F.round("metres", 3)
+    spots = few.groupBy("lat", "lon").agg(F.count("*").alias("n"))
+
+    def answer(places: DataFrame) -> DataFrame:
+        one = Window.partitionBy("query_id")
+        held = F.sum("n").over(one.orderBy(at, "lat", "lon").rowsBetween(Window.unboundedPreceding, 0))
+        rows = within(places, spots, metres).withColumn("_held", held)
+        rows = rows.withColumn("_last", F.min(F.when(F.col("_held") >= k, at)).over(one)).filter(F.col("_last").isNull() | (at <= F.col("_last")))
+        return top_by(rows.drop("n", "_held", "_last").join(few, ["lat", "lon"]), ["query_id"], [at, F.col(name)], k)
+
+    return by_place(points, answer)
+
+
 def nearest(points: DataFrame, stops: DataFrame, k: int = 1, metres: float | None = None, start: float = 500.0) -> DataFrame:
     """The k nearest stops of each point, however far (or within metres): query_id, rank (from 1), metres and the stop's columns.
     Ties, to the millimetre, go to the smaller stop_id. A point with null coordinates has none; fewer than k stops are all given.
@@ -61,18 +97,19 @@ def nearest(points: DataFrame, stops: DataFrame, k: int = 1, metres: float | Non
     8 x 8 x 8 smaller ones: where poles and the date line are does not matter there. At each level, adding up stops of the
     cubes at hand by farthest possible distance gives one within which k stops lie for certain, and only cubes that may hold a
     nearer stop are opened. So a point far from all stops meets some hundreds of cubes, not a city's stops one by one, and the
-    number of jobs does not depend on how far it is."""
+    number of jobs does not depend on how far it is. Points are dealt out once; what they open stays in their task as long as a
+    level can be broadcast."""
     if k <= 0 or (metres is not None and metres <= 0):
         raise ValueError("k and metres must be above 0")
     order = [F.round("metres", 3), F.col("stop_id")]
     if metres is not None:
-        return top_by(within(points, stops, metres), ["query_id"], order, k)
+        return nearest_within(points, stops, k, metres)
     with passing(points.sparkSession) as made:
-        near = top_by(within(points, stops, start), ["query_id"], order, k)
+        near = nearest_within(points, stops, k, start)
         near = kept(cut(near.withColumn("_k", F.count("*").over(Window.partitionBy("query_id"))).filter(F.col("_k") == k).drop("_k"), "near"), made)
         rest = cut(points.filter("lat is not null and lon is not null").select("query_id", "lat", "lon").join(near.select("query_id"), "query_id", "left_anti"), "near-points")
-        opened, held = _opened(rest, stops, k, start / 8)
-        far = opened.join(held, "cube").join(rest.select("query_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "query_id")
+        opened, held = _opened(rest, first_of_places(stops, k), k, start / 8)
+        far = join_counted(opened, held, "cube", "inner")
         far = far.withColumn("metres", haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
         far = kept(cut(top_by(far, ["query_id"], order, k).select(*near.columns), "near"), made)
     return near.unionByName(far)
@@ -87,20 +124,22 @@ def _cubes(places: DataFrame, side: float) -> DataFrame:
 
 
 def _opened(points: DataFrame, stops: DataFrame, k: int, side: float) -> tuple[DataFrame, DataFrame]:
-    """The cubes of `side` that may hold one of a point's k nearest stops (query_id, cube), and the stops with their cubes."""
+    """The cubes of `side` that may hold one of a point's k nearest stops (query_id, _lat, _lon, cube), and the stops with their cubes."""
     held = cut(_cubes(stops.filter("lat is not null and lon is not null"), side).drop("x", "y", "z"), "near-stops")
     levels = [cut(held.groupBy("cube").agg(F.count("*").alias("n")), "near-cubes")]
     while side < 2 * EARTH_M + 2:
         parent = F.transform("cube", lambda i: F.floor(i / 8))
-        levels[-1] = levels[-1].withColumn("parent", parent)
+        levels[-1] = cut(levels[-1].withColumn("parent", parent), "near-cubes")
         levels.append(cut(levels[-1].groupBy(F.col("parent").alias("cube")).agg(F.sum("n").alias("n")), "near-cubes"))
         side *= 8
-    at = cut(_cubes(points, side).select("query_id", "x", "y", "z", "cube"), "near-places")
-    opened = at.select("query_id", "x", "y", "z", F.lit(1e12).alias("sure")).withColumn("cube", F.explode(F.array(F.array(*[F.lit(0).cast("long")] * 3))))
+    own = ["query_id", "_lat", "_lon", "x", "y", "z"]
+    at = _cubes(points, side).withColumnsRenamed({"lat": "_lat", "lon": "_lon"}).select(*own)
+    at = at.repartition(max(1, points.count() // POINTS), "query_id")
+    opened = at.withColumns({"sure": F.lit(1e12), "cube": F.array(*[F.lit(0).cast("long")] * 3)})
     total = held.count()
     for level in reversed(levels[:-1]):
         side /= 8
-        rows = opened.withColumnRenamed("cube", "parent").join(level, "parent")
+        rows = join_counted(opened.withColumnRenamed("cube", "parent"), level, "parent", "inner")
         middle = [(F.get("cube", F.lit(i)) + 0.5) * side - F.col(c) for i, c in enumerate("xyz")]
         rows = rows.withColumn("_d", F.sqrt(sum((m * m for m in middle), F.lit(0.0))))
         reach = side * math.sqrt(3) / 2 + SLACK
@@ -108,21 +147,25 @@ def _opened(points: DataFrame, stops: DataFrame, k: int, side: float) -> tuple[D
         rows = rows.withColumn("_held", F.sum("n").over(by.orderBy("_d", "cube").rowsBetween(Window.unboundedPreceding, 0)))
         enough = F.min(F.when(F.col("_held") >= min(k, total), F.col("_d") + reach)).over(by)
         rows = rows.withColumn("sure", F.least("sure", enough)).filter(F.col("_d") - reach <= F.col("sure"))
-        opened = cut(rows.select("query_id", "x", "y", "z", "sure", "cube"), "near-opened")
-    return opened.select("query_id", "cube"), held
+        opened = rows.select(*own, "sure", "cube")
+        if level._rows > BROADCAST_ROWS:
+            opened = cut(opened, "near-opened")
+    return opened.select("query_id", "_lat", "_lon", "cube"), held
 
 
 def near_stops(points: DataFrame, stops: DataFrame, k: int = 24, metres: float = 500, speed: float = 0.7) -> DataFrame:
     """stops(stop_id, canonical, lat, lon) -> query_id, stop_id, stop (station), metres, seconds: the k nearest stops within reach."""
-    rows = within(points, stops, metres).withColumn("metres", F.round("metres", 3))
-    some = top_by(rows, ["query_id"], [F.col("metres"), F.col("stop_id")], k, "_r")
+    some = nearest_within(points, stops, k, metres).withColumn("metres", F.round("metres", 3))
     return some.select("query_id", "stop_id", F.col("canonical").alias("stop"), "metres", walk_seconds(F.col("metres"), F.lit(speed)).alias("seconds"))
 
 
 def candidates(points: DataFrame, stops: DataFrame, k: int = 6, metres: float = 500, speed: float = 0.7) -> DataFrame:
     """stops(stop_id, canonical, lat, lon) -> query_id, stop (station), metres, seconds, rank: of the 4 k nearest stops the nearest
     one of each station, k of them."""
-    some = near_stops(points, stops, 4 * k, metres, speed)
-    best = some.groupBy("query_id", "stop").agg(F.min("metres").alias("metres"))
-    first = top_by(best, ["query_id"], [F.col("metres"), F.col("stop")], k)
-    return first.withColumn("seconds", walk_seconds(F.col("metres"), F.lit(speed)))
+
+    def answer(places: DataFrame) -> DataFrame:
+        best = near_stops(places, stops, 4 * k, metres, speed).groupBy("query_id", "stop").agg(F.min("metres").alias("metres"))
+        first = top_by(best, ["query_id"], [F.col("metres"), F.col("stop")], k)
+        return first.withColumn("seconds", walk_seconds(F.col("metres"), F.lit(speed)))
+
+    return by_place(points, answer)
