@@ -51,3 +51,24 @@ def test_stops_and_points_that_share_places(spark):
     assert seen == [(1, 3)]  # one place of points, three of stops
     first = [f"s{i:02}" for i in (*range(0, 30, 3), 1, 4)]
     assert got == [(q, i + 1, s) for q in range(5) for i, s in enumerate(first)]
+
+
+def test_neighbours_of_points_that_share_places(spark):
+    from tramline.operators import spatial
+
+    rows = [(f"p{i:02}", float(i % 3) * 10, 0.0) for i in range(30)] + [("far", 500.0, 0.0)]
+    points = spark.createDataFrame(rows, "id string, x double, y double")
+    more = spark.createDataFrame([("p00", 2)], "id string, more int")
+    whole, seen = spatial.grid_pairs, []
+    spatial.grid_pairs = lambda p, r: seen.append(p.count()) or whole(p, r)
+    try:
+        got = {}
+        for r in spatial.nearest_pairs(points, 25.0, 3, lambda s: F.round(s, 3), more).collect():
+            got.setdefault(r.a, []).append((r.near, r.b))
+    finally:
+        spatial.grid_pairs = whole
+    assert seen == [4] and "far" not in got  # places, not points
+    for a, ax, _ in rows[:30]:
+        want = sorted(((x - ax) ** 2, b) for b, x, _ in rows if 0 < abs(x - ax) <= 25)
+        assert sorted(got[a]) == want[: 5 if a == "p00" or want[:5] == sorted(got[a]) else 3]
+    assert len(got["p00"]) == 5 and len(got["p01"]) == 3
