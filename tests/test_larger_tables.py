@@ -72,3 +72,13 @@ def test_neighbours_of_points_that_share_places(spark):
         want = sorted(((x - ax) ** 2, b) for b, x, _ in rows if 0 < abs(x - ax) <= 25)
         assert sorted(got[a]) == want[: 5 if a == "p00" or want[:5] == sorted(got[a]) else 3]
     assert len(got["p00"]) == 5 and len(got["p01"]) == 3
+
+
+def test_patterns_alone_need_no_window(spark):
+    rows = [(t, i, s, i * 60, i * 60) for t, stops in (("a", "XY"), ("b", "XY"), ("c", "XZ")) for i, s in enumerate(stops)]
+    valid = spark.createDataFrame(rows, "trip_id string, pos int, stop string, arr int, dep int")
+    trips = spark.createDataFrame([(t, "r", 0) for t in "abc"], "trip_id string, route_id string, direction_id int")
+    alone = timetable.patterns_alone(valid, trips)
+    assert "Window" not in alone._jdf.queryExecution().optimizedPlan().toString()
+    every = timetable.trip_patterns(valid, trips).select("pattern", "stops").distinct().collect()
+    assert sorted((r.pattern, r.stops) for r in alone.collect()) == sorted((r.pattern, r.stops) for r in every)
