@@ -82,3 +82,23 @@ def test_patterns_alone_need_no_window(spark):
     assert "Window" not in alone._jdf.queryExecution().optimizedPlan().toString()
     every = timetable.trip_patterns(valid, trips).select("pattern", "stops").distinct().collect()
     assert sorted((r.pattern, r.stops) for r in alone.collect()) == sorted((r.pattern, r.stops) for r in every)
+
+
+def test_trips_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
+    from tramline import queries
+    from tramline.plans import adapter
+
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    monkeypatch.setattr(adapter, "TASK_ROWS", 500)
+    rows = queries._pairs(spark, folder)
+    assert rows.rdd.getNumPartitions() == 1 + n // 500 > 4  # not the session's number of shuffle partitions, whatever the size
+
+
+def test_patterns_of_trips_need_no_window(spark):
+    rows = [(t, i, s, i * 60, i * 60) for t, stops in (("a", "XY"), ("b", "XY"), ("c", "XZ")) for i, s in enumerate(stops)]
+    valid = spark.createDataFrame(rows, "trip_id string, pos int, stop string, arr int, dep int")
+    trips = spark.createDataFrame([(t, "r", 0) for t in "abc"], "trip_id string, route_id string, direction_id int")
+    few = timetable.patterns_of_trips(valid, trips)
+    assert "Window" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(few.collect()) == sorted(timetable.trip_patterns(valid, trips).select("trip_id", "pattern").collect())
