@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
-from ..shared import cut, join_counted, kept, passing
+from ..shared import cut, few, join_counted, kept, passing, rows_of, written
 
 #: What an equal arrival is decided by, in this order.
 STEP = ["kind", "trip_id", "from_stop", "from_active", "dep"]
 #: No vehicle is faster, in metres a second.
 MAX_SPEED = 55.0
+#: Written tables that are read beside one another before they are put together.
+TABLES = 12
+#: Labels up to which all of them are broadcast to a step's candidates.
+FEW = 200_000
 
 
 def lower_bound(lat: Column, lon: Column, goal_lat: Column, goal_lon: Column, speed: float = MAX_SPEED) -> Column:
@@ -22,10 +26,12 @@ def lower_bound(lat: Column, lon: Column, goal_lat: Column, goal_lon: Column, sp
 
 
 def departure_bins(rides: DataFrame, width: int) -> DataFrame:
-    """rides -> (from_stop, bin, to_stop, deps): sorted departures of a bucket in a bin of width seconds and the next one."""
+    """rides -> (from_stop, bin, to_stop, deps): sorted departures of a bucket in a bin of width seconds and the next one. Of those that
+    leave at one time only the first is in it, as no other is ever taken, so a row has no more departures than seconds."""
     at = F.floor(F.col("dep") / width)
-    rows = rides.select("from_stop", "to_stop", F.struct("dep", "trip_id", "arr", "route_id").alias("d"), F.explode(F.array(at, at - 1)).alias("bin"))
-    return rows.groupBy("from_stop", "bin", "to_stop").agg(F.array_sort(F.collect_set("d")).alias("deps"))
+    rows = rides.groupBy("from_stop", "to_stop", "dep").agg(F.min(F.struct("trip_id", "arr", "route_id")).alias("f"))
+    rows = rows.select("from_stop", "to_stop", F.struct("dep", "f.trip_id", "f.arr", "f.route_id").alias("d"), F.explode(F.array(at, at - 1)).alias("bin"))
+    return rows.groupBy("from_stop", "bin", "to_stop").agg(F.array_sort(F.collect_list("d")).alias("deps"))
 
 
 def labels(queries: DataFrame, rides: DataFrame, transfers: DataFrame, goals: DataFrame | None = None, coords: DataFrame | None = None, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, route_penalty: int = 0, max_steps: int = 400) -> DataFrame:
@@ -55,7 +61,7 @@ def _labels(made, queries, rides, transfers, goals, coords, horizon, max_wait, p
     moves = cut(transfers.filter("weight is not null").groupBy("from_stop", "to_stop").agg(F.min(cost).alias("cost")), "search-moves")
 
     def onward(at: DataFrame) -> DataFrame:
-        seen = at.withColumn("bin", F.floor(F.col("t") / width)).join(bins, ["from_stop", "bin"])
+        seen = bins.join(few(at.withColumn("bin", F.floor(F.col("t") / width)), at), ["from_stop", "bin"])
         last = F.least(F.col("limit"), F.col("t") + max_wait) if max_wait is not None else F.col("limit")
         seen = seen.withColumn("d", F.get(F.filter("deps", lambda d: (d["dep"] >= F.col("t")) & (d["dep"] <= last)), F.lit(0))).filter("d is not null")
         change = F.when(F.col("from_active").isNotNull() & ~F.col("from_active").eqNullSafe(F.col("d.route_id")), route_penalty).otherwise(0)
@@ -63,7 +69,7 @@ def _labels(made, queries, rides, transfers, goals, coords, horizon, max_wait, p
         ridden = seen.select("query_id", F.col("to_stop").alias("stop"), on.alias("active"), (F.col("d.arr") + change).cast("int").alias("t"), F.lit(0).alias("kind"), F.col("d.trip_id").alias("trip_id"), "from_stop", "from_active", F.col("d.dep").alias("dep"))
         return ridden.unionByName(_walked(at, moves))
 
-    return _settled(made, queries, onward, goals, coords, horizon, bool(route_penalty), False, max_steps)
+    return _settled(made, queries, onward, moves, [bins], goals, coords, horizon, bool(route_penalty), False, max_steps)
 
 
 def _none(kind: str = "string") -> Column:
@@ -75,42 +81,102 @@ def _walked(at: DataFrame, moves: DataFrame) -> DataFrame:
     return join_counted(at, moves, "from_stop", "inner").select("query_id", F.col("to_stop").alias("stop"), _none().alias("active"), (F.col("t") + F.col("cost")).cast("int").alias("t"), F.lit(1).alias("kind"), _none().alias("trip_id"), "from_stop", "from_active", _none("int").alias("dep"))
 
 
-def _settled(made, queries, onward, goals, coords, horizon, active: bool, late: bool, max_steps: int) -> DataFrame:
+def _settled(made, queries, onward, moves, rides, goals, coords, horizon, active: bool, late: bool, max_steps: int) -> DataFrame:
     """Labels step by step, until none improves. onward(at): the labels one step on from labels at(query_id, from_stop, from_active,
-    t, limit). active: whether the route one is on is part of the state. late: labels after the horizon count, but are not left."""
-    limit = queries.select("query_id", (F.col("depart") + horizon).alias("limit"))
+    t, limit); moves: what of it is walked; rides: tables whose from_stop are the stops that rides leave. active: whether the route
+    one is on is part of the state. late: labels after the horizon count, but are not left.
+
+    Until a label is at a stop that rides leave, queries from one stop walk the same way, but for when they begin. So these walks
+    are found once for each first stop; queries go their own ways from the step that meets a ride, and those that meet none
+    within the horizon are answered by a join."""
+    spark, cols = queries.sparkSession, ["query_id", "step", "stop", "active", "t", *STEP]
+    label = lambda t: [F.lit(0).alias("step"), "stop", _none().alias("active"), t.cast("int").alias("t"), _none("int").alias("kind"), _none().alias("trip_id"), _none().alias("from_stop"), _none().alias("from_active"), _none("int").alias("dep")]
+    queries = cut(queries.select("query_id", "stop", "depart").distinct(), "search-queries")
+    one = queries.groupBy("query_id").agg(F.count("*").alias("n"), F.min("stop").alias("first"), F.min("depart").alias("depart"))
+    one = cut(one.filter("n = 1").select("query_id", "first", "depart"), "search-single")
+    ridden = cut(reduce(DataFrame.unionByName, [r.select(F.col("from_stop").alias("stop")) for r in rides]).distinct(), "search-ridden")
+
+    firsts = cut(one.select(F.col("first").alias("stop")).distinct().select(F.col("stop").alias("query_id"), *label(F.lit(0))), "search-labels")
+    span = cut(firsts.select("query_id", F.lit(horizon).alias("limit"), F.lit(0).alias("begun")), "search-limits")
+    shared = _grown(made, [firsts], firsts, span, lambda at: _walked(at, moves), None, None, False, late, max_steps, ridden)
+    walks = kept(cut(written(spark, shared).withColumnRenamed("query_id", "first"), "search-walks"), made)
+    met = join_counted(walks, ridden.withColumn("met", F.lit(True)), "stop").groupBy("first").agg(F.max("step").alias("last"), F.max("met").alias("met"))
+    met = cut(met.filter("met").select("first", "last"), "search-met")
+
+    own = _followed(join_counted(one, met, "first", "inner"), walks).select(*cols, "last")
+    more = queries.join(one, "query_id", "left_anti").select("query_id", *label(F.col("depart")), F.lit(0).alias("last"))
+    own = cut(own.unionByName(more), "search-own")
+    begun, front = cut(own.select(*cols), "search-labels"), cut(own.filter("step = last").select(*cols), "search-front")
+    limit = queries.select("query_id", (F.col("depart") + horizon).alias("limit")).distinct().join(own.groupBy("query_id").agg(F.max("last").alias("begun")), "query_id")
     if goals is not None:
         place = lambda df, a, b: df.join(coords.select("stop", F.col("lat").alias(a), F.col("lon").alias(b)), "stop", "left") if coords is not None else df.withColumns({c: _none("double") for c in (a, b)})
         limit = limit.join(place(goals.select("query_id", "stop"), "goal_lat", "goal_lon").withColumnRenamed("stop", "goal"), "query_id")
-    limit = cut(limit, "search-limits")
-    places = cut(coords.select("stop", "lat", "lon"), "search-places") if coords is not None else None
-    start = queries.select("query_id", "stop", _none().alias("active"), F.col("depart").cast("int").alias("t"), _none("int").alias("kind"), _none().alias("trip_id"), _none().alias("from_stop"), _none().alias("from_active"), _none("int").alias("dep")).distinct()
-    steps, best, bound = [kept(cut(start.withColumn("step", F.lit(0)), "search-labels"), made)], None, None
+    places = cut(coords.select("stop", "lat", "lon"), "search-places") if goals is not None and coords is not None else None
+    steps = _grown(made, [begun], front, cut(limit, "search-limits"), onward, goals is not None, places, active, late, max_steps, begun=len(shared))
+    out = written(spark, [kept(t, made) for t in steps])
+
+    on_foot = join_counted(one, met, "first", "left_anti")
+    if goals is not None:
+        there = walks.select("first", "stop", F.col("t").alias("there"))
+        on_foot = on_foot.join(goals.select("query_id", "stop"), "query_id").join(there, ["first", "stop"]).groupBy("query_id", "first", "depart").agg(F.max("there").alias("there"))
+        return out.unionByName(kept(cut(_followed(on_foot, walks).filter("t - depart <= there").select(*cols), "search-labels"), made))
+    return out.unionByName(_followed(kept(cut(on_foot, "search-on-foot"), made), walks).select(*cols))
+
+
+def _followed(queries: DataFrame, walks: DataFrame) -> DataFrame:
+    """The labels of queries(query_id, first, depart) by the walks from their first stops."""
+    return queries.join(walks, "first").withColumn("t", (F.col("t") + F.col("depart")).cast("int"))
+
+
+def _grown(made, steps, front, limit, onward, goals: bool, places, active, late, max_steps, ends=None, begun: int = 0) -> list[DataFrame]:
+    """The written tables of labels `steps` and those that follow from the labels `front` of them, step by step. limit(query_id, limit,
+    begun[, goal, goal_lat, goal_lon]), where `begun` is the step of a query's labels in front. A query that is at one of the
+    stops `ends` is followed no further. begun: the most steps that labels of front have behind them.
+
+    What was found is not written again at each step: a step's candidates, which are few, are looked for in it. What is looked in
+    is put together every few steps, so there are never many tables."""
+    spark, keys = limit.sparkSession, ["query_id", "stop", "active"] if active else ["query_id", "stop"]
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    seen, n, found = list(steps), 0, sum(map(rows_of, steps))
     while True:
-        front, n = steps[-1], len(steps)
-        best = cut(front.select("query_id", "stop", "active", "t") if best is None else best.unionByName(front.select("query_id", "stop", "active", "t")).groupBy("query_id", "stop", "active").agg(F.min("t").alias("t")), "search-best")
-        if goals is not None:
-            there = join_counted(best, limit, "query_id", "inner").filter("stop = goal").groupBy("query_id").agg(F.min("t").alias("bound"))
-            bound = cut(there, "search-bounds")
-        at = join_counted(front.select("query_id", F.col("stop").alias("from_stop"), F.col("active").alias("from_active"), "t"), limit, "query_id", "inner")
-        new = onward(at.filter("t <= limit") if late else at).groupBy("query_id", "stop", "active").agg(F.min(F.struct("t", *STEP)).alias("l")).select("query_id", "stop", "active", "l.*")
+        if ends is not None:
+            done = join_counted(front.select("query_id", "stop"), ends, "stop", "inner").select("query_id")
+            at = front.join(done, "query_id", "left_anti")
+        else:
+            at = front
+        at = join_counted(at.select("query_id", F.col("stop").alias("from_stop"), F.col("active").alias("from_active"), "t"), limit, "query_id", "inner")
+        at = (at.filter("t <= limit") if late else at).select("query_id", "from_stop", "from_active", "t", "limit")
+        at._rows = rows_of(front)
+        new = onward(at).groupBy("query_id", "stop", "active").agg(F.min(F.struct("t", *STEP)).alias("l")).select("query_id", "stop", "active", "l.*")
         new = join_counted(new, limit, "query_id", "inner")
         new = new if late else new.filter("t <= limit")
-        if goals is not None:
+        if goals:
             if places is not None:
                 new = join_counted(new, places, "stop").withColumn("t2", F.col("t") + lower_bound(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon")))
             else:
                 new = new.withColumn("t2", F.col("t"))
-            new = join_counted(new, bound, "query_id").filter("bound is null or t2 < bound")
-        old = best.select("query_id", "stop", F.col("active").alias("_active"), F.col("t").alias("_old"))
-        new = new.join(old, ["query_id", "stop"], "left") if not active else new.join(old.withColumnRenamed("query_id", "_q").withColumnRenamed("stop", "_s"), (F.col("query_id") == F.col("_q")) & (F.col("stop") == F.col("_s")) & F.col("active").eqNullSafe(F.col("_active")), "left")
-        new = new.filter("_old is null or t < _old").select("query_id", "stop", "active", "t", *STEP, F.lit(n).alias("step"))
-        new = kept(cut(new, "search-labels"), made)
-        if new.isEmpty():
-            return reduce(DataFrame.unionByName, steps)
-        if n == max_steps:
+            there = join_counted(written(spark, seen).select("query_id", "stop", "t"), limit, "query_id", "inner").filter("stop = goal").groupBy("query_id").agg(F.min("t").alias("bound"))
+            new = new.join(there, "query_id", "left").filter("bound is null or t2 < bound")
+        n += 1
+        new = new.select("query_id", (F.col("begun") + n).alias("step"), "stop", "active", "t", *STEP)
+        old = written(spark, seen).select("query_id", "stop", "active", F.col("t").alias("_old"))
+        if found > FEW:
+            # Of all that was found, only what the candidates are no earlier than is of interest.
+            new = cut(new, "search-candidates")
+            asked = few(new.select("query_id", "stop", "active", "t"), new)
+            old = few(old.join(asked, [*same(old, asked), old["_old"] <= asked["t"]]).select(*[asked[k] for k in keys], "_old"), new)
+        else:
+            old = F.broadcast(old)
+        front = kept(cut(new.join(old, [*same(new, old), old["_old"] <= new["t"]], "left_anti"), "search-labels"), made)
+        if not rows_of(front):
+            return steps
+        if n == max_steps or (begun + n >= max_steps and front.agg(F.max("step")).first()[0] >= max_steps):
             raise ValueError(f"labels still improve after {max_steps} steps")
-        steps.append(new)
+        steps.append(front)
+        seen.append(front)
+        found += rows_of(front)
+        if len(seen) > TABLES:
+            seen = [cut(written(spark, seen).select("query_id", "step", "stop", "active", "t", *STEP), "search-seen")]
 
 
 def edge_labels(queries: DataFrame, edges: DataFrame, goals: DataFrame | None = None, coords: DataFrame | None = None, horizon: int = 14_400, max_wait: int | None = None, penalty: int = 0, change_penalty: int = 0, state_by: str = "route", zero_missing: bool = False, max_steps: int = 400) -> DataFrame:
@@ -163,7 +229,7 @@ def _edge_labels(made, queries, edges, goals, coords, horizon, max_wait, penalty
     def onward(at: DataFrame) -> DataFrame:
         bin_ = F.floor(F.col("t") / max_wait) if max_wait else F.lit(0).cast("long")
         fits = lambda d: (d["dep"] >= F.col("t")) & (d["dep"] - F.col("t") <= max_wait if max_wait else F.lit(True))
-        seen = at.withColumn("bin", bin_).join(timed, ["from_stop", "bin"]).withColumn("d", F.get(F.filter("deps", fits), F.lit(0))).filter("d is not null")
+        seen = timed.join(few(at.withColumn("bin", bin_), at), ["from_stop", "bin"]).withColumn("d", F.get(F.filter("deps", fits), F.lit(0))).filter("d is not null")
         chosen = lambda leaves, arrives, dep: F.struct(leaves.cast("int").alias("leaves"), arrives.cast("int").alias("arr"), F.col("d.to_stop").alias("to_stop"), F.col("d.trip_id").alias("trip_id"), F.col("d.route_id").alias("route_id"), dep.cast("int").alias("dep")).alias("d")
         one = seen.select(*told, chosen(F.col("d.dep"), F.col("d.arr"), F.col("d.dep")))
         left = F.col("t") + F.col("d.wait")
@@ -173,7 +239,7 @@ def _edge_labels(made, queries, edges, goals, coords, horizon, max_wait, penalty
         ridden = first.select("query_id", F.col("d.to_stop").alias("stop"), (on if change_penalty else _none()).alias("active"), (F.col("d.arr") + F.when(other, change_penalty).otherwise(0)).cast("int").alias("t"), F.lit(0).alias("kind"), F.col("d.trip_id").alias("trip_id"), "from_stop", "from_active", F.col("d.dep").alias("dep"))
         return ridden.unionByName(_walked(at, moves))
 
-    return _settled(made, queries, onward, goals, coords, horizon, bool(change_penalty), True, max_steps)
+    return _settled(made, queries, onward, moves, [timed, steady], goals, coords, horizon, bool(change_penalty), True, max_steps)
 
 
 def earliest_arrivals(queries: DataFrame, rides: DataFrame, transfers: DataFrame, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, max_steps: int = 400, **options) -> DataFrame:
@@ -190,11 +256,11 @@ def hops(found: DataFrame, goals: DataFrame) -> DataFrame:
     with passing(found.sparkSession) as made:
         at = goals.join(found, ["query_id", "stop"]).groupBy("query_id").agg(F.min(F.struct("t", "step", "stop", "active")).alias("g"))
         cursor, steps = cut(at.select("query_id", "g.step", "g.stop", "g.active"), "hop-cursor"), []
-        while not steps or not cursor.isEmpty():
-            on = [cursor["query_id"] == found["query_id"], cursor["step"] == found["step"], cursor["stop"] == found["stop"], cursor["active"].eqNullSafe(found["active"])]
-            got = cursor.join(found, on).filter("from_stop is not null").select(found["*"])
-            steps.append(kept(cut(got, "hop-steps"), made))
-            cursor = cut(steps[-1].select("query_id", (F.col("step") - 1).alias("step"), F.col("from_stop").alias("stop"), F.col("from_active").alias("active")), "hop-cursor")
-        rows = reduce(DataFrame.unionByName, steps)
+        while not steps or rows_of(steps[-1]):
+            at = few(cursor, steps[-1] if steps else cursor)
+            on = [at["query_id"] == found["query_id"], at["step"] == found["step"], at["stop"] == found["stop"], at["active"].eqNullSafe(found["active"])]
+            steps.append(kept(cut(found.filter("from_stop is not null").join(at, on).select(found["*"]), "hop-steps"), made))
+            cursor = steps[-1].select("query_id", (F.col("step") - 1).alias("step"), F.col("from_stop").alias("stop"), F.col("from_active").alias("active"))
+        rows = written(found.sparkSession, steps)
         pos = F.row_number().over(Window.partitionBy("query_id").orderBy("step")) - 1
         return rows.select("query_id", pos.alias("pos"), F.when(F.col("kind") == 0, "trip").otherwise("transfer").alias("kind"), "from_stop", F.col("stop").alias("to_stop"), "trip_id", "dep", F.col("t").alias("arr"))
