@@ -34,6 +34,18 @@ def departure_bins(rides: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("from_stop", "bin", "to_stop").agg(F.array_sort(F.collect_list("d")).alias("deps"))
 
 
+def soonest_bins(rides: DataFrame, width: int) -> DataFrame:
+    """rides(from_stop, to_stop, dep, arr, trip_id) -> (from_stop, bin, to_stop, own, next): by departure, the soonest to arrive (arr,
+    trip_id, dep) of those that leave in a bin of width seconds from then on, and of those in the next one until then. So what
+    arrives first of all that leave within width is found in one row, which has no more entries than seconds."""
+    rows = rides.groupBy("from_stop", "to_stop", "dep").agg(F.min(F.struct("arr", "trip_id", "dep")).alias("b")).withColumn("bin", F.floor(F.col("dep") / width))
+    w = Window.partitionBy("from_stop", "to_stop", "bin").orderBy("dep")
+    on = rows.withColumn("own", F.min("b").over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("next", F.min("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    entry = lambda c: F.struct("dep", F.col(c).alias("best"))
+    both = on.select("from_stop", "to_stop", F.explode(F.array(F.struct("bin", entry("own").alias("own"), F.lit(None).alias("next")), F.struct((F.col("bin") - 1).alias("bin"), F.lit(None).alias("own"), entry("next").alias("next")))).alias("e"))
+    return both.groupBy("from_stop", F.col("e.bin").alias("bin"), "to_stop").agg(F.array_sort(F.collect_list("e.own")).alias("own"), F.array_sort(F.collect_list("e.next")).alias("next"))
+
+
 def labels(queries: DataFrame, rides: DataFrame, transfers: DataFrame, goals: DataFrame | None = None, coords: DataFrame | None = None, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, route_penalty: int = 0, max_steps: int = 400) -> DataFrame:
     """All labels that were an improvement when found: query_id, step, stop, active, t, and STEP, the way there from a label of the
     step before.
@@ -193,7 +205,8 @@ def edge_labels(queries: DataFrame, edges: DataFrame, goals: DataFrame | None =
 
     Rides that are not timed do not depend on the label's time, so the first of each group at a stop is found once, beforehand;
     timed ones are found in bins of max_wait seconds. What a label can take is then one row a group, of which a partial minimum
-    chooses, so no label sees a stop's whole day, nor all of its targets."""
+    chooses, so no label sees a stop's whole day, nor all of its targets. Where a group has one ride at a stop and changes cost
+    nothing, as with trips, only the soonest to arrive at each next stop can matter, and is found as in soonest_bins()."""
     if state_by not in ("route", "trip"):
         raise ValueError("state_by is route or trip")
     if max_wait is not None and max_wait <= 0:
@@ -212,14 +225,21 @@ def _edge_labels(made, queries, edges, goals, coords, horizon, max_wait, penalty
     timed = rides.filter("dep is not null and arr is not null and arr >= dep")
     at = F.floor(F.col("dep") / max_wait) if max_wait else F.lit(0).cast("long")
     item = F.struct("dep", "arr", "to_stop", "trip_id", "route_id")
-    timed = timed.select("from_stop", "grp", item.alias("d"), F.explode(F.array(at, at - 1) if max_wait else F.array(at)).alias("bin"))
-    timed = cut(timed.groupBy("from_stop", "bin", "grp").agg(F.array_sort(F.collect_set("d")).alias("deps")), "search-timed")
+    timed = timed.groupBy("from_stop", "grp", "dep").agg(F.min(item).alias("d"))
 
     wait = F.when(F.col("headway") > 0, F.floor(F.col("headway") / 2)).otherwise(0).cast("int")
     steady = rides.filter("dep is null or arr is null").select("from_stop", "grp", F.struct(wait.alias("wait"), weight.alias("ride"), "to_stop", "trip_id", "route_id").alias("d"))
     steady = steady.filter("d.ride is not null").filter(F.col("d.wait") <= (max_wait if max_wait is not None else 1 << 30))
     steady = cut(steady.groupBy("from_stop", "grp").agg(F.min("d").alias("d")), "search-steady")
 
+    single = None
+    if max_wait and not change_penalty:
+        once = cut(timed.groupBy("from_stop", "grp").agg(F.count("*").alias("n"), F.min("d").alias("d")).join(steady.select("from_stop", "grp", F.lit(True).alias("other")), ["from_stop", "grp"], "left"), "search-groups")
+        single = cut(soonest_bins(once.filter("n = 1 and other is null").select("from_stop", "d.*"), max_wait), "search-single")
+        timed = timed.join(once.filter("n > 1 or other").select("from_stop", "grp"), ["from_stop", "grp"], "left_semi")
+    timed = timed.select("from_stop", "grp", "d", F.explode(F.array(at, at - 1) if max_wait else F.array(at)).alias("bin"))
+    timed = cut(timed.groupBy("from_stop", "bin", "grp").agg(F.array_sort(F.collect_list("d")).alias("deps")), "search-timed")
+
     cost = weight + F.when((F.col("kind") == "transfer") & F.coalesce("apply_penalty", F.lit(True)), penalty).otherwise(0)
     moves = edges.filter("kind not in ('trip', 'ride')").select("from_stop", "to_stop", cost.alias("cost")).filter("cost is not null")
     moves = cut(moves.groupBy("from_stop", "to_stop").agg(F.min("cost").alias("cost")), "search-moves")
@@ -237,9 +257,15 @@ def _edge_labels(made, queries, edges, goals, coords, horizon, max_wait, penalty
         first = one.unionByName(two).groupBy(*told).agg(F.min("d").alias("d"))
         other = F.col("from_active").isNotNull() & F.col("d.trip_id").isNotNull() & ~F.col("from_active").eqNullSafe(on)
         ridden = first.select("query_id", F.col("d.to_stop").alias("stop"), (on if change_penalty else _none()).alias("active"), (F.col("d.arr") + F.when(other, change_penalty).otherwise(0)).cast("int").alias("t"), F.lit(0).alias("kind"), F.col("d.trip_id").alias("trip_id"), "from_stop", "from_active", F.col("d.dep").alias("dep"))
+        if single is not None:
+            met = single.join(few(at.withColumn("bin", bin_), at), ["from_stop", "bin"])
+            # The best from t to the end of its bin, and of the next bin until the wait is over.
+            own, then = F.get(F.filter("own", lambda d: d["dep"] >= F.col("t")), F.lit(0))["best"], F.filter("next", lambda d: d["dep"] <= F.col("t") + max_wait)
+            met = met.withColumn("b", F.least(own, F.get(then, F.size(then) - 1)["best"])).filter("b is not null")
+            ridden = ridden.unionByName(met.select("query_id", F.col("to_stop").alias("stop"), _none().alias("active"), F.col("b.arr").cast("int").alias("t"), F.lit(0).alias("kind"), F.col("b.trip_id").alias("trip_id"), "from_stop", "from_active", F.col("b.dep").cast("int").alias("dep")))
         return ridden.unionByName(_walked(at, moves))
 
-    return _settled(made, queries, onward, moves, [timed, steady], goals, coords, horizon, bool(change_penalty), True, max_steps)
+    return _settled(made, queries, onward, moves, [timed, steady, *([] if single is None else [single])], goals, coords, horizon, bool(change_penalty), True, max_steps)
 
 
 def earliest_arrivals(queries: DataFrame, rides: DataFrame, transfers: DataFrame, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, max_steps: int = 400, **options) -> DataFrame:
