@@ -102,3 +102,47 @@ def test_patterns_of_trips_need_no_window(spark):
     few = timetable.patterns_of_trips(valid, trips)
     assert "Window" not in few._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(few.collect()) == sorted(timetable.trip_patterns(valid, trips).select("trip_id", "pattern").collect())
+
+
+def test_valid_trips_and_those_between_groups_are_read_once(spark):
+    from tramline.plans.raptor import between_groups
+
+    rows = [("a", 0, "A", 0, 1, 0), ("a", 1, "B", 5, 5, 0), ("back", 0, "A", 9, 9, 0), ("back", 1, "B", 3, 4, 0), ("one", 0, "A", 1, 1, 0), ("bad", 0, "A", 1, 1, 0), ("bad", 1, "B", 2, 2, 1), ("in", 0, "A", 1, 1, 0), ("in", 1, "C", 2, 2, 0)]
+    merged = spark.createDataFrame(rows, "trip_id string, pos int, stop string, arr int, dep int, _bad int")
+    valid = timetable.valid_trips(merged)
+    assert {r.trip_id for r in valid.collect()} == {"a", "in"} and valid.columns == ["trip_id", "pos", "stop", "arr", "dep"]
+    groups = spark.createDataFrame([("A", "A"), ("C", "A")], "stop string, grp string")
+    between = between_groups(valid, groups)
+    assert {r.trip_id for r in between.collect()} == {"a"} and between.columns == valid.columns
+    plan = between._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # with the groups alone
+
+
+def test_chains_compare_trips_block_by_block(spark, monkeypatch):
+    import random
+
+    rnd, rows = random.Random(5), []
+    for p in "pq":
+        for i in range(60):
+            at = i * 20 + rnd.choice([0, 0, 300])
+            for pos in range(3):
+                rows.append((p, f"{p}{i:02}", i, pos, at, at + rnd.choice([5, 5, 90])))
+                at += rnd.choice([100, 100, 160])
+    calls = spark.createDataFrame(rows, "pattern string, trip_id string, trip_index int, pos int, arr int, dep int")
+    want, left, n = {}, {t: [(a, d) for _, u, _, _, a, d in rows if u == t] for _, t, *_ in rows}, 0
+    while left:
+        ahead, behind = {}, {}
+        for t in sorted(left):  # as trip_index goes
+            late = any(x < y for u in ahead.get(t[0], []) for a, b in zip(left[t], u) for x, y in zip(a, b))
+            ahead.setdefault(t[0], []).append(left[t])
+            if late:
+                behind[t] = left[t]
+            else:
+                want[t] = n
+        left, n = behind, n + 1
+    assert n > 3
+    for size in (7, 1000):
+        monkeypatch.setattr(timetable, "BLOCK_TRIPS", size)
+        monkeypatch.setattr(timetable, "BLOCK_ROWS", 20)
+        got = timetable.trip_chains(calls).select("trip_id", "chain").distinct().collect()
+        assert sorted((r.trip_id, r.chain) for r in got) == sorted(want.items())

@@ -90,9 +90,9 @@ def group_paths(paths: DataFrame, groups: DataFrame) -> DataFrame:
 
 def between_groups(valid: DataFrame, groups: DataFrame) -> DataFrame:
     """valid_trips() that lead from one group to another; within a group one is everywhere before any of its trips leaves."""
-    rows = grouped(valid, groups)
-    leads = rows.groupBy("trip_id").agg((F.min("grp") < F.max("grp")).alias("_leads")).filter("_leads").select("trip_id")
-    return valid.join(leads, "trip_id", "left_semi")
+    trip = Window.partitionBy("trip_id")
+    rows = grouped(valid, groups).withColumn("_leads", F.min("grp").over(trip) < F.max("grp").over(trip))
+    return rows.filter("_leads").select(*valid.columns)
 
 
 def search(queries: DataFrame, sources: DataFrame, targets: DataFrame, valid: DataFrame, patterns: DataFrame, paths: DataFrame, max_rounds: int = 8, horizon: int = 14_400, max_wait: int | None = 1_200, penalty: int = 0, closed: bool = False, groups: DataFrame | None = None) -> Found:
