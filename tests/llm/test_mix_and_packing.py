@@ -168,3 +168,29 @@ def test_shards_end_with_topics_and_stay_small():
     assert [r for s in shards for r in s] == [r[2] for r in rows]
     assert all(sum(size[r] for r in s) <= 1500 or len(s) == 1 for s in shards)
     assert all(sum(size[r] for r in s) >= 500 for s in shards[:-2]) and list(packing.shards_of(iter([]), 1000)) == []
+
+
+def test_centroids_of_single_precision_are_those_of_double():
+    from tramline.llm.vectors import fit_centroids
+
+    x = np.random.default_rng(4).standard_normal((5000, 32)).astype(np.float32)
+    assert (fit_centroids(x, 40) == fit_centroids(x.astype(np.float64), 40)).all()
+
+
+def test_driver_copies_the_sketch_of_counts_in_slices():
+    import tracemalloc
+
+    from tramline.llm import jaccard
+
+    seen = (np.arange(1 << 22, dtype=np.uint64) ** 2 % 70_001).astype(np.uint32)
+    tracemalloc.start()
+    logs = jaccard.log_classes(seen)
+    mean = jaccard.rare_length(seen, logs, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * seen.nbytes + len(logs)  # 2^22 words of 8 bytes twice would be four times seen
+    whole = seen.astype(np.float32)
+    assert (logs == (8 * np.log2(whole + 1)).astype(np.uint8)).all()
+    held, cells = np.bincount(logs, whole, 256), np.maximum(1, np.bincount(logs, minlength=256))
+    taken = np.clip(0.2 * held.sum() - np.concatenate([[0], np.cumsum(held)[:-1]]), 0, held)
+    assert mean == float((taken * held / cells).sum() / max(1.0, taken.sum()))

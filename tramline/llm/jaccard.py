@@ -21,6 +21,8 @@ from .textblocks import Words, arrow_rows, blocks, mix, spans_hash
 #: Bits of the number of cells of the frequency sketch: about one for CELL_BYTES of text, between these. A count is kept as
 #: eighths of its logarithm, in one byte that no count fills.
 CELL_BITS, CELL_BYTES = (20, 24), 256
+#: Cells of it that the driver works on at a time.
+CELLS_AT_ONCE = 1 << 20
 #: Sets up to MAX_SMALL may be enumerated. Lists that would make more than LONG pairs of sets are parted by further elements
 #: first, DEPTH times at most.
 MAX_SMALL, LONG, DEPTH = 24, 1 << 22, 3
@@ -47,10 +49,27 @@ def enumerated(n: int, percent: int) -> int:
     return sum(comb(n, i) for i in range(n - _least(n, percent) + 1))
 
 
+def _slices(n: int) -> Iterator[slice]:
+    """Of an array that the driver has, what it works on at a time, so that no copy of all of it is made."""
+    return (slice(lo, lo + CELLS_AT_ONCE) for lo in range(0, n, CELLS_AT_ONCE))
+
+
+def log_classes(seen: np.ndarray) -> np.ndarray:
+    """Counts by classes, eight to a doubling."""
+    logs = np.empty(len(seen), np.uint8)
+    for own in _slices(len(seen)):
+        logs[own] = (8 * np.log2(seen[own].astype(np.float32) + 1)).astype(np.uint8)
+    return logs
+
+
 def rare_length(seen: np.ndarray, logs: np.ndarray, share: float) -> float:
     """Mean length of the lists of the rarest `share` of all elements' occurrences, which are those that prefixes hold; logs:
     seen's counts by classes."""
-    held, cells = np.bincount(logs, seen, 256), np.maximum(1, np.bincount(logs, minlength=256))
+    held, cells = np.zeros(256), np.zeros(256, np.int64)
+    for own in _slices(len(seen)):
+        held += np.bincount(logs[own], seen[own].astype(np.float32), 256)
+        cells += np.bincount(logs[own], minlength=256)
+    cells = np.maximum(1, cells)
     before = np.concatenate([[0], np.cumsum(held)[:-1]])
     taken = np.clip(share * held.sum() - before, 0, held)
     return float((taken * held / cells).sum() / max(1.0, taken.sum()))
@@ -131,8 +150,8 @@ def _similar_groups(made, docs, k, percent, id_col, text_col) -> DataFrame:
         at, n = np.unique(shingle_sets(words, k)[1] % np.uint64(cells), return_counts=True)
         acc[at.astype(np.int64)] += n.astype(np.uint32)
 
-    seen = summed(rows, F.col("text"), cells, count, lower=True, kind=np.uint32).astype(np.float32)
-    logs = (8 * np.log2(seen + 1)).astype(np.uint8)
+    seen = summed(rows, F.col("text"), cells, count, lower=True, kind=np.uint32)
+    logs = log_classes(seen)
     small = boundary(rare_length(seen, logs, 1 - percent / 100), percent)
     sketch = spark.sparkContext.broadcast(logs)
     del seen

@@ -271,11 +271,15 @@ def retrieval_packing(docs: DataFrame, model: str, window: int = 1024, end_id: i
         key = F.xxhash64(F.lit(3), F.col(id_col).cast("string"), text)
         share = int(min(1.0, SAMPLE / n) * (1 << 20)) + 1
         some = docs.select(key.alias("key"), text.cast("binary").alias("text")).filter(F.pmod("key", F.lit(1 << 20)) < share)
-        some = some.mapInArrow(sampled, "key long, x binary, size long").orderBy("key").limit(SAMPLE).collect()
-        x = np.array([np.frombuffer(r["x"], np.float32) for r in some], np.float64).reshape(-1, SKETCH)
+        some = some.mapInArrow(sampled, "key long, x binary, size long").orderBy("key").limit(SAMPLE).select("x", "size").toArrow()
+        x = np.empty((len(some), SKETCH), np.float32)
+        for i, sketch in enumerate(some["x"]):
+            x[i] = np.frombuffer(sketch.as_buffer(), np.float32)
         there = x.any(axis=1)
-        fit = (x[there], np.array([r["size"] for r in some], np.float64)[there])
+        fit = (x if there.all() else x[there], some["size"].to_numpy().astype(np.float64)[there])
+        del some, x, there
     order = Order(*fit, shards)
+    del fit
     parts, fitted, shard_words = len(order.bounds) + 1, spark.sparkContext.broadcast(order), SHARD_WORDS
     kind = dict(docs.dtypes)[id_col]
 

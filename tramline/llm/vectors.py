@@ -26,7 +26,7 @@ PART = 2_048
 def fit_centroids(sample: np.ndarray, lists: int, seed: int = 7, steps: int = 8) -> np.ndarray:
     """Unit centroids of balanced clusters: k-means whose distances grow with a cluster's excess over the mean size."""
     rng = np.random.default_rng(seed)
-    at = sample[rng.choice(len(sample), lists, replace=False)].copy()
+    at = sample[rng.choice(len(sample), lists, replace=False)].astype(np.float64)
     load = np.zeros(lists)
     for _ in range(steps):
         own = np.concatenate([(x @ at.T - 0.02 * load).argmax(1) for x in np.array_split(sample, math.ceil(len(sample) / 4096))])
